@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontamination, pii, quality_classifier, quality_rules, secrets
+from lexloom.llm import decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets
 from lexloom.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -34,8 +38,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_quality_rules, op5_decontamination, op8_quality_classifier, op9_secrets)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op4_quality_rules, op5_decontamination, op8_quality_classifier, op9_secrets, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

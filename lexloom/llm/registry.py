@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets
+from lexloom.llm import decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, suffix_dedup
 from lexloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op4_quality_rules, op5_decontamination, op8_quality_classifier, op9_secrets, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op8_quality_classifier, op9_secrets, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, suffix_dedup
+from lexloom.llm import decontamination, html_extraction, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece, suffix_dedup
 from lexloom.llm.common import table
 
 
@@ -18,14 +19,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encode(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.array_join(F.coalesce("piece_ids", F.array().cast("array<int>")), ","), 256)
+    return out.select("doc_id", "n_pieces", digest.alias("pieces_sha256"), F.coalesce(F.col("decoded") == F.col("text"), F.lit(True)).alias("round_trip"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
@@ -34,6 +39,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op8_quality_classifier, op9_secrets, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_sentencepiece, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op7_html_extraction, op8_quality_classifier, op9_secrets, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

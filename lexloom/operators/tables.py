@@ -25,7 +25,8 @@ def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 def idle_sessions(events: DataFrame, key: str, at: str, minutes: int = 15) -> DataFrame:
     """Sessions of each key: a gap of at least `minutes` begins a new one."""
     w = Window.partitionBy(key).orderBy(at)
-    gap: Column = F.unix_micros(at) - F.lag(F.unix_micros(at)).over(w)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap: Column = micros - F.lag(micros).over(w)
     marked = events.select(key, at, F.when(gap < minutes * 60_000_000, 0).otherwise(1).alias("starts"))
     numbered = marked.withColumn("session", F.sum("starts").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count(F.lit(1)).alias("n_events"))

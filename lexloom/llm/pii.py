@@ -112,7 +112,7 @@ class Selector:
                 ys.append(float((a, b) in base))
             if len(xs) >= max_candidates:
                 break
-        x, y = np.array(xs, dtype=float).reshape(len(xs), -1), np.array(ys)
+        x, y = np.array(xs, dtype=float).reshape(-1, 14), np.array(ys)
         held = np.arange(len(y)) % 4 == 3
         self.model, self.threshold = None, np.inf
         if 0 < y[~held].sum() < (~held).sum():

@@ -2,13 +2,13 @@
 
 Each set is ordered globally: rare shingles by hash, then those that many
 sets hold. Two sets that link share a shingle of their prefixes. A first pass
-sends each set to three of its prefix shingles; there a trie of the sets
-is walked with shared partial overlaps, subtrees that can't reach the bound
-any more or are linked already are left out. Large groups are dealt into
-blocks for this. A second pass makes it exact: of all prefix shingles, those
-that sets of different components share give the pairs still to be verified.
-So copies of one text never meet pair by pair, and no link between
-components is lost.
+sends each set, as its text, to the first of its prefix shingles that others
+have too; there a trie of the sets is walked with shared partial overlaps,
+subtrees that can't reach the bound any more or are linked already are left
+out. Large groups are dealt into blocks for this. A second pass makes it exact:
+sets of different components that share prefix shingles are counted by pair,
+and those that can still reach the bound are verified. So copies of one text
+never meet pair by pair, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have an empty set and link
 with nothing; fewer than n words are one shingle; equal sets are one node, so
@@ -68,12 +68,11 @@ def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 class Trie:
     """A trie of ordered sets as ranges of their sorted list, with the shingles of each edge."""
 
-    def __init__(self, sets: list[np.ndarray], rank: dict[int, int], percent: int):
-        self.sets, self.percent = sets, percent
-        self.keys = [np.array([rank[v] for v in s.tolist()]) for s in sets]
-        self.order = sorted(range(len(sets)), key=lambda i: tuple(self.keys[i][:64].tolist()))
-        self.order.sort(key=lambda i: self.keys[i].tolist())
-        self.keys = [self.keys[i] for i in self.order]
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        """sets: ascending ranks in the global order."""
+        self.percent = percent
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
+        self.keys = [sets[i] for i in self.order]
         self.label = np.arange(len(sets))
         self.root = self.build(0, len(sets), 0) if sets else None
 
@@ -144,6 +143,23 @@ def shingled(docs: DataFrame, n: int, id_col: str, text_col: str, make, schema:
     return hashed.mapInPandas(run, schema)
 
 
+def ranked(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    """The sets as ascending ranks: rare shingles by hash, then the common ones."""
+    values = np.unique(np.concatenate(sets))
+    last = np.isin(values, common, assume_unique=True)
+    rank = np.empty(len(values), np.int64)
+    rank[~last], rank[last] = np.arange((~last).sum()), np.arange((~last).sum(), len(values))
+    return [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
+
+
+def having(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
+    """The texts of asked ids, with asked's columns; asked is broadcast while it has at most max_broadcast rows."""
+    if asked.count() <= max_broadcast:
+        asked = F.broadcast(asked)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
+    return texts.join(asked, F.col("doc").eqNullSafe(F.col("id"))).drop("doc")
+
+
 def cluster(
     docs: DataFrame,
     n: int = 3,
@@ -153,6 +169,7 @@ def cluster(
     least_common: int = 50,
     max_common: int = 1_000_000,
     block: int = 500,
+    max_broadcast: int = 500_000,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id.
 
@@ -178,35 +195,34 @@ def cluster(
         )
 
     every = checkpointed(shingled(docs, n, id_col, text_col, prefixes, "id bigint, node bigint, size bigint, prefix array<bigint>"))
-    nodes = every.filter("size > 0").groupBy("node", "size").agg(F.min_by("prefix", "id").alias("prefix"), F.min("id").alias("id"))
-    rows = checkpointed(nodes.select("node", "size", "id", F.posexplode("prefix").alias("pos", "token")))
+    sized = checkpointed(every.filter("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("id").alias("id")))
+    # copies are one node: only the first one's prefix is dealt out
+    firsts_only = every.filter("size > 0").join(sized.select("node", F.col("id").alias("rep")), "node").filter(F.col("id").eqNullSafe(F.col("rep")))
+    rows = firsts_only.dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     rows = checkpointed(rows.join(shared, "token"))
-    keys = rows.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "token", "k"))), 1, 3).alias("keys"))
+    keys = rows.groupBy("node").agg(F.min(F.struct(F.col("k") > block, "token", "k")).alias("key")).select("node", "key.token", "key.k")
 
-    def whole(ids, sets):
-        return pd.DataFrame({"id": ids, "node": [node_of(s) for s in sets], "s": sets})
-
-    # the sets that share a shingle with another, one of each
-    sets = shingled(docs, n, id_col, text_col, whole, "id bigint, node bigint, s array<bigint>")
-    asked = keys.select("node", F.col("id").alias("rep"), "keys")
-    met = sets.join(asked, "node").filter(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    met = checkpointed(met.select("node", "s", "keys"))
+    # each set that shares a shingle goes to the first of them, as text: shingles don't compress
+    asked = checkpointed(keys.join(sized.select("node", "id"), "node").select("node", "id", "token", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("k") / block).cast("long")).alias("part")))
+    dealt = having(docs, asked, id_col, text_col, max_broadcast).repartition("token", "part")
+    dealt = dealt.select("token", "part", "node", F.transform(space_words(ascii_lower(F.col("t"))), lambda w: F.xxhash64(w)).alias("h"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, got = pdf["node"].to_numpy(), [np.asarray(s, dtype=np.int64) for s in pdf["s"]]
-        values = ordered(np.unique(np.concatenate(got)), common.value)
-        trie = Trie(got, {v: r for r, v in enumerate(values.tolist())}, percent)
-        return pd.DataFrame([(node[a], node[b]) for a, b in trie.join()], columns=["a", "b"])
-
-    dealt = met.select("node", "s", F.explode("keys").alias("key")).withColumn(
-        "part", F.pmod(F.xxhash64("node", "key.token"), F.ceil(F.col("key.k") / block).cast("long"))
-    )
-    links = checkpointed(dealt.groupBy(F.col("key.token").alias("token"), "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct())
+        got = {}
+        for node, h in zip(pdf["node"].tolist(), pdf["h"]):
+            s = mixed(np.asarray(h, dtype=np.int64), n)
+            if len(s) and node_of(s) == node:  # an id may have several texts
+                got[node] = s
+        names = list(got)
+        links = Trie(ranked(list(got.values()), common.value), percent).join() if len(names) > 1 else []
+        return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"], dtype="int64")
+
+    links = checkpointed(dealt.groupBy("token", "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct())
     first = components(links)
 
     # what the blocks didn't show: shingles shared by sets of different components
-    placed = checkpointed(rows.join(first, "node", "left").select("token", "node", "size", F.coalesce("comp", "node").alias("comp")))
+    placed = checkpointed(rows.select("token", "node").join(sized.select("node", "size"), "node").join(first, "node", "left").select("token", "node", "size", F.coalesce("comp", "node").alias("comp")))
     comps = placed.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     several = comps.groupBy("token").agg(F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1").select("token")
     comps = checkpointed(comps.join(several, "token"))
@@ -215,17 +231,30 @@ def cluster(
     met_comps = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & near).select("x.token", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
     left = met_comps.join(placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na")), ["token", "ca"])
     right = placed.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"))
-    pairs = left.join(right, ["token", "cb"]).filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
+    sizes_fit = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    pairs = left.join(right, ["token", "cb"]).filter(sizes_fit).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    # besides the prefix shingles that both have, the set whose prefix ends first can share what follows its prefix
+    rest = lambda size: F.ceil(percent * F.col(size) / 100) - 1
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    pairs = checkpointed(pairs.filter(F.col("both") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b"))
 
     @F.pandas_udf("boolean")
     def linked(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(u, v, assume_unique=True)) >= required(len(u), len(v), percent) for u, v in zip(p, q)], dtype=bool)
 
-    checked = pairs.join(met.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(met.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = checkpointed(ends.join(sized.select("node", "id"), "node"))
+
+    def whole(ids, sets):
+        return pd.DataFrame({"node": [node_of(s) for s in sets], "s": sets})
+
+    sets = shingled(having(docs, ends, id_col, text_col, max_broadcast), n, "id", "t", whole, "node bigint, s array<bigint>")
+    sets = checkpointed(sets.dropDuplicates(["node"]))
+    checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     more = checked.filter(linked("sa", "sb")).select("a", "b")
     labels = components(links.union(more))
 
-    named = every.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = every.select("id", "node", "size").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = checkpointed(named.select("id", "node", "size", "comp"))
     least = named.filter("size > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = named.filter("size > 0").join(least, "comp").select("id", "size", "least").union(named.filter("size = 0").select("id", "size", "id"))

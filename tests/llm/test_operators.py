@@ -99,7 +99,7 @@ def test_trie_joins_what_pairs_would():
     for _ in range(25):
         core = r.sample(range(500), 60)
         sets += [np.unique([*core[: 60 - k], *r.sample(range(500, 900), k)]) for k in range(4)]
-    links = ngram_join.Trie(sets, {v: v for v in range(900)}, 90).join()
+    links = ngram_join.Trie(sets, 90).join()
     root = list(range(len(sets)))
 
     def find(x):

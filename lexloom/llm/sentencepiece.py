@@ -5,7 +5,8 @@ distinct words (long ones in units of max_unit characters) become lattices:
 their bounded-length substrings are joined with the piece table, edges are
 grouped by word, and a higher-order aggregate folds them to the best path.
 Characters that no piece covers become byte pieces, so that every text
-decodes to itself. A word's pieces are then joined back to the documents.
+decodes to itself. A word's pieces then go back to the texts: frequent words'
+by broadcast, the others' by a join.
 
 The best path maximises the sum of the model's piece scores; for a model of
 merges, these are negated ranks, and the path may differ from greedy merging.
@@ -18,7 +19,9 @@ stay as they are.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,20 +53,20 @@ def byte_ids(char: Column, zero: int) -> Column:
 
 
 def best_paths(words: DataFrame, pieces: DataFrame, longest: int, zero: int, worst: float) -> DataFrame:
-    """unit, first -> ids of the best path; words has unit (string) and first (whether it begins a word)."""
+    """unit, first, k and ids of the best path; words has unit (string), first (whether it begins a word) and its count k."""
     n = F.length("unit")
     starts = F.sequence(F.lit(1), n)
     substrings = F.flatten(
         F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.struct(i.alias("start"), k.alias("len"), F.substring(F.col("unit"), i, k).alias("sub"))))
     )
-    edges = words.select("unit", "first", F.explode(substrings).alias("e"))
+    edges = words.select("unit", "first", "k", F.explode(substrings).alias("e"))
     joined = edges.join(F.broadcast(pieces), F.col("e.sub") == F.col("piece"), "left")  # the piece table is one model's vocabulary
     # the mark means a blank only where a word begins
     fits = F.col("id").isNotNull() & (~F.startswith(F.col("e.sub"), F.lit(MARK)) | (F.col("first") & (F.col("e.start") == 1)))
     ids = F.when(fits, F.array("id")).when(F.col("e.len") == 1, byte_ids(F.col("e.sub"), zero))
     cost = F.when(fits, F.col("score")).otherwise(F.lit(worst - 10.0) * F.octet_length("e.sub"))
-    rows = joined.select("unit", "first", F.struct((F.col("e.start") + F.col("e.len") - 1).alias("end"), F.col("e.start").alias("start"), cost.alias("score"), ids.alias("ids")).alias("edge")).filter("edge.ids is not null")
-    lattice = rows.groupBy("unit", "first").agg(F.collect_list("edge").alias("edges"))  # at most length * longest edges
+    rows = joined.select("unit", "first", "k", F.struct((F.col("e.start") + F.col("e.len") - 1).alias("end"), F.col("e.start").alias("start"), cost.alias("score"), ids.alias("ids")).alias("edge")).filter("edge.ids is not null")
+    lattice = rows.groupBy("unit", "first", "k").agg(F.collect_list("edge").alias("edges"))  # at most length * longest edges
 
     def step(acc: Column, end: Column) -> Column:
         here = F.filter("edges", lambda e: e["end"] == end)
@@ -78,33 +81,77 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, zero: int, wor
         lambda acc, _: F.when(acc["at"] > 0, F.struct((F.get(F.col("best"), acc["at"])["start"] - 1).alias("at"), F.concat(F.get(F.col("best"), acc["at"])["ids"], acc["ids"]).alias("ids"))).otherwise(acc),
         lambda acc: acc["ids"],
     )
-    return best.select("unit", "first", back.alias("ids"))
+    return best.select("unit", "first", "k", back.alias("ids"))
 
 
-def decoded_units(coded: DataFrame, pieces: DataFrame, zero: int) -> DataFrame:
-    """coded with `decoded`: the string of its ids, from the piece table and bytes."""
-    each = coded.select("unit", "first", F.posexplode("ids").alias("at", "id"))
-    named = each.join(F.broadcast(pieces.select("id", "piece")), "id", "left")
-    hexed = F.when(F.col("piece").isNotNull(), F.hex(F.encode("piece", "UTF-8"))).otherwise(F.lpad(F.hex((F.col("id") - zero).cast("long")), 2, "0"))
-    parts = named.groupBy("unit", "first").agg(F.array_sort(F.collect_list(F.struct("at", hexed.alias("x")))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["x"]), "")), "UTF-8")
-    return coded.join(parts.select("unit", "first", text.alias("decoded")), ["unit", "first"])
+def decoding_table(pieces: DataFrame, zero: int) -> dict[int, bytes]:
+    """id -> the bytes it stands for; the piece table is one model's vocabulary."""
+    blank = lambda p: " " + p[1:] if p.startswith(MARK) else p
+    return {zero + b: bytes([b]) for b in range(256)} | {r["id"]: blank(r["piece"]).encode() for r in pieces.collect()}
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, max_unit: int = 48) -> DataFrame:
-    """The documents with piece_ids, n_pieces and decoded (the text that the ids give back)."""
-    pieces, longest, zero, worst = piece_table(docs.sparkSession, model)
-    key, mark = fresh(docs, "piece_doc", "piece_mark")
+def decode(ids, table: dict[int, bytes]) -> str:
+    return b"".join(table[i] for i in ids).decode("utf-8")[1:]
+
+
+def keys_of(text: str, max_unit: int) -> list[str]:
+    """The units of a text in order, each led by 1 where a word begins, else by 0."""
+    out = []
+    for w in text.split(" "):
+        w = MARK + w
+        out.append("1" + w[:max_unit])
+        out += ["0" + w[a : a + max_unit] for a in range(max_unit, len(w), max_unit)]
+    return out
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, max_unit: int = 48, head_words: int = 200_000) -> DataFrame:
+    """The documents with piece_ids, n_pieces and decoded (the text that the ids give back).
+
+    Units of at least a head_words-th of all units (so at most head_words) are
+    broadcast with their paths; the paths of the others reach their texts by
+    a join. Texts are not split into shuffled words.
+    """
+    spark = docs.sparkSession
+    pieces, longest, zero, worst = piece_table(spark, model)
+    marked = F.flatten(F.transform(F.split(text_col, " ", -1), lambda w: F.transform(units(F.concat(F.lit(MARK), w), max_unit), lambda u, i: F.struct(u.alias("unit"), (i == 0).alias("first")))))
+    counts = docs.filter(F.col(text_col).isNotNull()).select(F.explode(marked).alias("u")).select("u.unit", "u.first").groupBy("unit", "first").agg(F.count(F.lit(1)).alias("k"))
+    coded = checkpointed(best_paths(counts, pieces, longest, zero, worst).select(F.concat(F.when(F.col("first"), "1").otherwise("0"), "unit").alias("key"), "k", "ids"))
+    total = coded.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    is_head = F.col("k") * head_words >= total
+    head = {r["key"]: tuple(r["ids"]) for r in coded.filter(is_head).select("key", "ids").toLocalIterator()}  # at most head_words
+    shared = spark.sparkContext.broadcast((head, decoding_table(pieces, zero)))
+    del head
+
+    key, mark, k, m, rare, rare_ids, got = fresh(docs, "piece_doc", "piece_mark", "piece_k", "piece_m", "piece_rare", "piece_rare_ids", "piece_got")
     keyed = docs.withColumn(key, F.col(id_col).cast("string")).withColumn(mark, F.xxhash64(F.col(text_col)))
-    split = keyed.filter(F.col(text_col).isNotNull()).select(F.col(key).alias("k"), F.col(mark).alias("m"), F.split(text_col, " ", -1).alias("ws")).dropDuplicates(["k", "m"])
-    marked = F.flatten(F.transform("ws", lambda w: F.transform(units(F.concat(F.lit(MARK), w), max_unit), lambda u, i: F.struct(u.alias("unit"), (i == 0).alias("first")))))
-    placed = split.select("k", "m", F.posexplode(marked).alias("at", "u")).select("k", "m", "u.unit", "u.first", "at")
-    # a word's places in a text travel together
-    places = checkpointed(placed.groupBy("k", "m", "unit", "first").agg(F.collect_list("at").alias("at")))
-    coded = checkpointed(decoded_units(best_paths(places.select("unit", "first").distinct(), pieces, longest, zero, worst), pieces, zero))
-    met = places.join(coded, ["unit", "first"]).select("k", "m", F.transform("at", lambda p: F.struct(p.alias("at"), F.col("ids").alias("ids"), F.col("decoded").alias("s"), F.col("first").alias("first"))).alias("got"))
-    whole = met.groupBy("k", "m").agg(F.array_sort(F.flatten(F.collect_list("got"))).alias("got"))
-    blanked = F.array_join(F.transform("got", lambda g: F.when(g["first"], F.concat(F.lit(" "), F.substring(g["s"], F.lit(2), F.length(g["s"])))).otherwise(g["s"])), "")
-    done = whole.select("k", "m", F.flatten(F.transform("got", lambda g: g["ids"])).alias("piece_ids"), F.substring(blanked, 2, 2**31 - 1).alias("decoded"))
-    joined = keyed.join(done, F.col(key).eqNullSafe(F.col("k")) & F.col(mark).eqNullSafe(F.col("m")), "left")
-    return joined.select(*docs.columns, "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "decoded")
+
+    def missing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value[0]
+        for pdf in batches:
+            for i, h, t in zip(pdf["i"], pdf["h"], pdf["t"]):
+                rest = list(dict.fromkeys(u for u in keys_of(t, max_unit) if u not in known))
+                if rest:
+                    yield pd.DataFrame({"i": i, "h": h, "key": rest})
+
+    places = keyed.filter(F.col(text_col).isNotNull()).select(F.col(key).alias("i"), F.col(mark).alias("h"), F.col(text_col).alias("t")).mapInPandas(missing, "i string, h bigint, key string")
+    tails = places.distinct().join(coded.filter(~is_head).select("key", "ids"), "key").groupBy("i", "h").agg(F.collect_list(F.struct("key", "ids")).alias("r"))  # a text's own rare units
+    tails = checkpointed(tails.select(F.col("i").alias(k), F.col("h").alias(m), F.col("r.key").alias(rare), F.col("r.ids").alias(rare_ids)))
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def looked_up(texts: pd.Series, keys: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        known, table = shared.value
+        rows = []
+        for t, a, b in zip(texts, keys, ids):
+            if not isinstance(t, str):
+                rows.append((None, None))
+                continue
+            own = {} if a is None else dict(zip(a, b))
+            out: list[int] = []
+            for u in keys_of(t, max_unit):
+                out.extend(known[u] if u in known else own[u])
+            rows.append((out, decode(out, table)))
+        return pd.DataFrame(rows, columns=["ids", "decoded"])
+
+    joined = keyed.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
+    joined = joined.withColumn(got, looked_up(F.col(text_col), F.col(rare), F.col(rare_ids)))
+    return joined.select(*docs.columns, F.col(f"{got}.ids").alias("piece_ids"), F.coalesce(F.size(F.col(f"{got}.ids")), F.lit(0)).cast("long").alias("n_pieces"), F.col(f"{got}.decoded").alias("decoded"))

@@ -42,3 +42,11 @@ def short_title(text: Column, most: int = 48) -> Column:
 def citations(text: Column) -> Column:
     """Ids like S1 of inline citations outside fenced blocks."""
     return F.regexp_extract_all(F.regexp_replace(text, "(?s)```.*?```", ""), F.lit(r"\[(S\d+)\]"), F.lit(1))
+
+
+def paragraphs(text: Column) -> Column:
+    """Paragraphs between blank lines, their lines trimmed; empty ones go."""
+    blank = r"[\x20\x09-\x0D]"
+    cut = F.split(F.coalesce(text, F.lit("")), rf"\n{blank}*\n")
+    tidy = lambda p: F.regexp_replace(F.regexp_replace(p, rf"^{blank}+|{blank}+\z", ""), rf"{blank}*\n{blank}*", "\n")
+    return F.filter(F.transform(cut, tidy), lambda p: p != "")

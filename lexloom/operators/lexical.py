@@ -22,8 +22,8 @@ def term_df(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k best chunks.
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k best chunks, or of the k best that allowed (chunk_id) has.
 
     Statistics are those of all chunks. Only chunks' terms that some question
     has are shuffled: the question terms are joined before the counts are.
@@ -38,6 +38,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 8, k1: float = 1.2, b
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     # stats is one row
+    if allowed is not None:  # after the statistics
+        counted = counted.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     scored = counted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))
     total = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
     return top_k(total, k)
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """One row: n_docs, sum_terms."""
+    return doc_lengths(chunks).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.coalesce("len", F.lit(0))), F.lit(0)).cast("long").alias("sum_terms"))

@@ -30,3 +30,16 @@ def idle_sessions(events: DataFrame, key: str, at: str, minutes: int = 15) -> Da
     marked = events.select(key, at, F.when(gap < minutes * 60_000_000, 0).otherwise(1).alias("starts"))
     numbered = marked.withColumn("session", F.sum("starts").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count(F.lit(1)).alias("n_events"))
+
+
+def clean_chats(turns: DataFrame) -> DataFrame:
+    """conv_id, n_messages and last_turn of chats, counting turns of users and assistants that have a text; chats without any go."""
+    fits = turns.filter(F.col("role").isin("user", "assistant") & F.col("text").isNotNull() & F.col("conv_id").isNotNull())
+    return fits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.max("turn").alias("last_turn"))
+
+
+def recency(at: Column, now: Column) -> Column:
+    """Under a day, under a week, or older."""
+    age = F.unix_micros(now) - F.unix_micros(at.cast("timestamp"))
+    day = 86_400_000_000
+    return F.when(age < day, "today").when(age < 7 * day, "week").otherwise("older")

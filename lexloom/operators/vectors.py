@@ -21,7 +21,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, block: int
     Every vector row meets each block of queries once, in Arrow batches;
     a batch passes on its k best rows for a query at most.
     """
-    packed = queries.select("query_id", "embedding", F.floor(F.row_number().over(_by_id()) / block).alias("b"))
+    n_blocks = max(1, -(-queries.count() // block))  # one number reaches the driver
+    packed = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"))
     packed = packed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q")).drop("b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,12 +41,6 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, block: int
     return top_k(met.mapInPandas(run, "query_id bigint, chunk_id bigint, score double"), k)
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("query_id")
-
-
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 8, candidates: int = 24, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked tables; both raw scores stay, null where a list lacks the row."""
     part = lambda df, kind: df.filter(F.col("rank") <= candidates).select("query_id", "chunk_id", "rank", "score", F.lit(kind).alias("kind"))

@@ -4,7 +4,7 @@ import pytest
 from lexloom.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "documents benchmark embeddings conversations events".split()
+TABLES = "documents pages benchmark embeddings conversations events".split()
 
 
 def rows(df):
@@ -28,3 +28,25 @@ def test_document_symbols(spark):
     df = spark.createDataFrame([("use std::vec and os.path or os.path a_b x.",), (None,)], "t string")
     got = [r[0] for r in df.select(question_symbols(F.col("t"))).collect()]
     assert got == [["std::vec", "os.path", "a_b"], None]
+
+
+def test_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.functions.text import paragraphs
+
+    df = spark.createDataFrame([(" a \n  b\n \n\n c\n",), ("",), (None,), ("\n\n",)], "t string")
+    assert [r[0] for r in df.select(paragraphs(F.col("t"))).collect()] == [["a\nb", "c"], [], [], []]
+
+
+def test_streams_as_batches(spark, tmp_path):
+    from lexloom.operators.tables import latest
+    from lexloom.sources.tables import table
+    from lexloom.streaming.sessions import latest_stream
+
+    events = table(spark, DATA, "events").select("user_id", "ts", "event_id", "event_type")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = latest_stream(stream, "user_id", ["ts", "event_id"]).writeStream.format("memory").queryName("last_rows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    assert rows(spark.table("last_rows").toPandas()) == rows(latest(events, "user_id", ["ts", "event_id"]).toPandas())

@@ -1,15 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are summed over all training texts. A count c
-is kept as 1 + floor(log2 c) entries (n-gram, level) of a Bloom filter, so a
-count is read by probing level after level until one is missing. The filter
-is built in slices by the n-grams' hashes and broadcast; its size follows the
-number of counts. Pairs seen fewer than min_pair_count times are always left
-out, and rarer counts too where the filter would exceed max_filter_mb. A pair's probability is its
-count smoothed with the word's own: (c(vw) + mu * p(w)) / (c(v) + mu).
+Counts of words and word pairs are summed over all training texts, those seen
+once included. A count c is kept as 1 + floor(log2 c) entries (n-gram, level)
+of a Bloom filter, so a count is read by probing level after level until one
+is missing. The filter lies in slices by the n-grams' hashes, whose number
+follows the training tokens, so that one slice is small at any size. Texts are
+dealt into blocks; a block asks each slice once for its different n-grams there,
+and the answers meet the block again. A pair's probability is its count
+smoothed with the word's own: (c(vw) + mu * p(w)) / (c(v) + mu).
 
-The base score needs exact counts: words of at least a millionth of all tokens
-(so at most a million) are broadcast, the rest is joined by a shuffle.
+The base score needs exact counts, which come back with the answers.
 
 Defined cases: a null or empty text is one end token; a null id counts as
 training; repeated rows get a row each; without training tokens all counts
@@ -18,10 +18,12 @@ are 0; further columns don't matter. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from lexloom.llm.quality_classifier import in_fold
 
 END = np.int64(-1)
 SLICE_BITS = 1 << 23
+BLOCK_TOKENS = 600_000
 PROBES = 3
 LEVELS = 40
 
@@ -79,8 +82,8 @@ class Filter:
         for k, v in slices.items():
             self.bits[k] = np.frombuffer(v, np.uint8)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """What stands for each n-gram's count class; 0 where level 1 is missing."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Each n-gram's highest level; 0 where level 1 is missing."""
         found, at, where = np.zeros(len(h), np.int64), np.arange(len(h)), slice_of(h, self.n)
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
@@ -89,81 +92,128 @@ class Filter:
             if not len(at):
                 break
             found[at] = level
-        return estimate(found)
+        return found
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 8.0, min_pair_count: int = 2, max_filter_mb: int = 192, head_words: int = 1_000_000) -> DataFrame:
+def packed(a: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes each, compressed and led by that width."""
+    a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+    return bytes([a.itemsize]) + zlib.compress(a.tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b[1:]), f"u{b[0]}").astype(np.int64)
+
+
+def pairs_of(tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of a block's different pairs, each token's pair, each token's word before); tokens are places in the sorted words, and every text ends with END."""
+    before = np.append(np.searchsorted(words, END), tokens[:-1])
+    pairs, inverse = np.unique(before.astype(np.int64) * len(words) + tokens, return_inverse=True)
+    return pair_hash(words[pairs // len(words)], words[pairs % len(words)]), inverse, before
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 8.0, block_tokens: int = BLOCK_TOKENS, slice_tokens: int = SLICE_BITS // 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
+    words_of = space_words(ascii_lower(F.col(text_col)))
     hashed = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        in_fold(F.col(id_col), 10, 0).alias("held"),
-        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"),
-        F.transform(space_words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w)).alias("h"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+        (in_fold(F.col(id_col), 10, 0).cast("int") + F.when(F.col(id_col).cast("long").isNull(), 2).otherwise(0)).alias("flags"),
+        F.transform(words_of, lambda w: F.xxhash64(w)).alias("h"),
     )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [np.append(np.asarray(h, dtype=np.int64), END) for h in pdf["h"]]
-            if not texts:
-                continue
-            for n, got in ((1, texts), (2, [pair_hash(np.append(END, t[:-1]), t) for t in texts])):
-                h, k = np.unique(np.concatenate(got), return_counts=True)
-                yield pd.DataFrame({"n": n, "g": h, "k": k})
-
-    counts = checkpointed(hashed.filter("not held").select("h").mapInPandas(count, "n int, g bigint, k bigint").groupBy("n", "g").agg(F.sum("k").alias("k")).filter((F.col("n") == 1) | (F.col("k") >= min_pair_count)))
-    one = counts.filter("n = 1")
-    total, vocabulary = one.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count(F.lit(1))).first()
-    # how many counts have each level: at most two times 64 rows
-    sizes = {(r["n"], r["q"]): r["m"] for r in counts.groupBy("n", F.floor(F.log2("k")).alias("q")).agg(F.count(F.lit(1)).alias("m")).collect()}
-    cut = 0
-    entries = lambda: sum(m * (q + 1) for (n, q), m in sizes.items() if n == 1 and q >= cut - 20 or n == 2 and q >= cut)
-    while entries() > max_filter_mb * 1_000_000 and cut < 60:  # 8 bits an entry
-        cut += 1
-    n_slices = max(1, -(-entries() * 8 // SLICE_BITS))
-    kept = counts.filter(F.when(F.col("n") == 2, F.col("k") >= 2**cut).otherwise(F.col("k") >= 2 ** max(0, cut - 20)))
-    kept = kept.select("g", "k", F.pmod(F.shiftrightunsigned("g", 20), F.lit(n_slices)).alias("slice"))
-    built = kept.groupBy("slice").applyInPandas(lambda p: pd.DataFrame({"slice": p["slice"][:1], "bits": [build_slice(p["g"].to_numpy(np.int64), p["k"].to_numpy(np.int64))]}), "slice bigint, bits binary")
-    model = Filter({r["slice"]: bytes(r["bits"]) for r in built.toLocalIterator()}, n_slices)  # at most max_filter_mb
-    head = one.filter(F.col("k") * head_words >= max(total, 1)).select("g", "k").toPandas().sort_values("g")  # at most head_words
-    shared = spark.sparkContext.broadcast((model, head["g"].to_numpy(np.int64), head["k"].to_numpy(np.int64)))
-    del model
-    whole = total + 0.1 * (vocabulary + 1)
-    # what the classes' estimates of all words add up to
-    classes = sum(m * float(estimate(np.array([q + 1]))[0]) for (n, q), m in sizes.items() if n == 1) + 0.1 * (vocabulary + 1)
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def dealt_row() -> pd.DataFrame:
+            tokens, lengths = np.concatenate([t for _, _, t in held]), np.array([len(t) for _, _, t in held], np.int32)
+            flags = np.array([f for _, f, _ in held], np.uint8)
+            words, tokens = np.unique(tokens, return_inverse=True)
+            train = int(lengths[flags & 1 == 0].sum())
+            row = (block, train, words.tobytes(), packed(tokens), np.array([i for i, _, _ in held], np.int64).tobytes(), flags.tobytes(), lengths.tobytes())
+            return pd.DataFrame([row], columns=["block", "train", "words", "tokens", "ids", "flags", "lengths"])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bloom, hg, hk = shared.value
         for pdf in batches:
-            rows = []
-            for i, held, th, h in zip(pdf["id"].tolist(), pdf["held"], pdf["text_hash"], pdf["h"]):
-                t = np.append(np.asarray(h, dtype=np.int64), END)
-                words, inverse, often = np.unique(t, return_inverse=True, return_counts=True)
-                at = np.minimum(np.searchsorted(hg, words), max(len(hg) - 1, 0))
-                known = hg[at] == words if len(hg) else np.zeros(len(words), bool)
-                base = float((np.log10((hk[at[known]] + 0.1) / whole) * often[known]).sum()) if whole and known.any() else 0.0
-                c1 = bloom.counts(words)
-                before = np.append(END, t[:-1])
-                p1 = ((c1 + 0.1) / classes)[inverse]
-                cv = np.append(c1[words == END], c1[inverse[:-1]])
-                p2 = (bloom.counts(pair_hash(before, t)) + mu * p1) / (cv + mu)
-                rows.append((i, bool(held), th, len(t), int(often[known].sum()), base, float(np.log10(np.minimum(p2, 1.0)).sum()), words[~known], often[~known]))
-            yield pd.DataFrame(rows, columns=["id", "held", "text_hash", "n_tokens", "n_known", "base", "score", "rare", "times"]).astype({"id": "Int64"})
-
-    schema = "id bigint, held boolean, text_hash bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>"
-    found = checkpointed(hashed.mapInPandas(score, schema))
-    key = ["id", "text_hash"]
-    rare = found.dropDuplicates(key).select(*key, F.explode(F.arrays_zip("rare", "times")).alias("w")).select(*key, F.col("w.rare").alias("g"), F.col("w.times").alias("times"))
-    part = F.log10((F.coalesce("k", F.lit(0)) + 0.1) / F.lit(float(whole) or 1.0)) * F.col("times")
-    sums = rare.join(one.select("g", "k"), "g", "left").groupBy(*key).agg(F.sum(part).alias("more"), F.sum(F.when(F.col("k") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    sums = sums.select(F.col("id").alias("rid"), F.col("text_hash").alias("rhash"), "more", "more_known")
-    out = found.drop("rare", "times").join(sums, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+            for i, f, h in zip(pdf["id"].tolist(), pdf["flags"].tolist(), pdf["h"]):
+                held.append((i, f, np.append(np.asarray(h, dtype=np.int64), END)))
+                size += len(h) + 1
+                if size >= block_tokens:
+                    yield dealt_row()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield dealt_row()
+
+    dealt = checkpointed(hashed.mapInPandas(deal, "block bigint, train bigint, words binary, tokens binary, ids binary, flags binary, lengths binary"))
+    total = dealt.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    # a token is a word and a pair, so a slice has 8 bits for each occurrence at least
+    n_slices = max(1, -(-total // slice_tokens))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's different n-grams in each slice, words before pairs, with their counts in its training texts."""
+        for pdf in batches:
+            for block, words, tokens, flags, lengths in zip(pdf["block"], pdf["words"], pdf["tokens"], pdf["flags"], pdf["lengths"]):
+                words, tokens = np.frombuffer(words, np.int64), unpacked(tokens)
+                pairs, inverse, _ = pairs_of(tokens, words)
+                train = np.repeat(np.frombuffer(flags, np.uint8) & 1 == 0, np.frombuffer(lengths, np.int32))
+                k = np.append(np.bincount(tokens[train], minlength=len(words)), np.bincount(inverse[train], minlength=len(pairs)))
+                g = np.append(words, pairs)
+                at = slice_of(g, n_slices)
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(n_slices + 1))
+                rows = []
+                for s in np.flatnonzero(np.diff(ends)):
+                    own = order[ends[s] : ends[s + 1]]
+                    rows.append((block, int(s), int((own < len(words)).sum()), g[own].tobytes(), packed(k[own])))
+                yield pd.DataFrame(rows, columns=["block", "slice", "n", "g", "k"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The levels of all n-grams and the exact counts of words asked for in a slice, and a row (block -1) of what all its words add up to."""
+        g, k = np.frombuffer(b"".join(pdf["g"]), np.int64), np.concatenate([unpacked(x) for x in pdf["k"]])
+        sizes = np.array([len(x) // 8 for x in pdf["g"]])
+        ends = np.cumsum(sizes)
+        word = np.arange(len(g)) - np.repeat(ends - sizes, sizes) < np.repeat(pdf["n"].to_numpy(), sizes)
+        own, inverse = np.unique(g, return_inverse=True)
+        counts = np.bincount(inverse, weights=k, minlength=len(own)).astype(np.int64)
+        seen = counts > 0
+        found = Filter({0: build_slice(own[seen], counts[seen])}, 1).levels(own)
+        words = np.unique(inverse[word])
+        words = words[seen[words]]
+        rows = [(-1, int(pdf["slice"].iloc[0]), None, None, len(words), float(estimate(levels(counts[words])).sum()))]
+        for b, s, n, size, end in zip(pdf["block"], pdf["slice"], pdf["n"], sizes, ends):
+            at = inverse[end - size : end]
+            rows.append((b, s, packed(found[at]), packed(counts[at[:n]]), 0, 0.0))
+        return pd.DataFrame(rows, columns=["block", "slice", "levels", "counts", "words", "estimates"])
+
+    asked = dealt.select("block", "words", "tokens", "flags", "lengths").mapInPandas(ask, "block bigint, slice bigint, n int, g binary, k binary")
+    answers = checkpointed(asked.groupBy("slice").applyInPandas(answer, "block bigint, slice bigint, levels binary, counts binary, words bigint, estimates double"))
+    vocabulary, estimates = answers.filter("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("estimates"), F.lit(0.0))).first()
+    whole = total + 0.1 * (vocabulary + 1)
+    classes = estimates + 0.1 * (vocabulary + 1)
+
+    def score(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        own, got = blocks.iloc[0], got.sort_values("slice")
+        words, tokens = np.frombuffer(own["words"], np.int64), unpacked(own["tokens"])
+        flags, lengths = np.frombuffer(own["flags"], np.uint8), np.frombuffer(own["lengths"], np.int32)
+        pairs, inverse, before = pairs_of(tokens, words)
+        order = np.argsort(slice_of(np.append(words, pairs), n_slices), kind="stable")
+        level, counts = np.empty(len(order), np.int64), np.empty(len(words), np.int64)
+        level[order] = np.concatenate([unpacked(x) for x in got["levels"]])
+        counts[order[order < len(words)]] = np.concatenate([unpacked(x) for x in got["counts"]])
+        stands = estimate(level)
+        c1, c2 = stands[: len(words)], stands[len(words) :]
+        p2 = (c2[inverse] + mu * ((c1 + 0.1) / classes)[tokens]) / (c1[before] + mu)
+        starts = np.cumsum(lengths) - lengths
+        summed = lambda v: np.add.reduceat(v, starts)
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array(np.frombuffer(own["ids"], np.int64), "Int64").copy(),
+                "held_out": flags & 1 == 1,
+                "n_tokens": lengths.astype(np.int64),
+                "n_known": summed((counts > 0).astype(np.int64)[tokens]),
+                "train_tokens": total,
+                "base_score": summed(np.log10((counts + 0.1) / whole)[tokens]),
+                "score": summed(np.log10(np.minimum(p2, 1.0))),
+            }
+        ).assign(doc_id=lambda d: d["doc_id"].mask(flags & 2 == 2))
+
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return dealt.drop("train").groupBy("block").cogroup(answers.filter("block >= 0").select("block", "slice", "levels", "counts").groupBy("block")).applyInPandas(score, schema)

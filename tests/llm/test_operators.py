@@ -171,3 +171,28 @@ def test_gam_learns_an_interaction():
     x = np.random.default_rng(1).random((3000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((Gam(x[:2000], y[:2000]).score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
+
+
+def test_pairs_seen_once_count(spark):
+    import numpy as np
+
+    from lexloom.llm.quality_classifier import in_fold
+
+    rows = [(i, " ".join(words(40, i, 60 + i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = {r["doc_id"] for r in df.filter(in_fold(df["doc_id"], 10, 0)).collect()}
+    one, two = {}, {}
+    ended = {i: [None, *t.split(), None] for i, t in rows}
+    for i, t in ended.items():
+        for v, w in zip(t, t[1:]) if i not in held else ():
+            one[w], two[v, w] = one.get(w, 0) + 1, two.get((v, w), 0) + 1
+    assert 1 in two.values() and held
+    stands = lambda c: float(lm_scoring.estimate(lm_scoring.levels(np.array([c])))[0]) if c else 0.0
+    classes = sum(map(stands, one.values())) + 0.1 * (len(one) + 1)
+    for options in ({}, {"block_tokens": 90, "slice_tokens": 100}):
+        got = by_id(lm_scoring.lm_scores(df, **options))
+        for i, t in ended.items():
+            p = [(stands(two.get((v, w), 0)) + 8 * (stands(one.get(w, 0)) + 0.1) / classes) / (stands(one.get(v, 0)) + 8) for v, w in zip(t, t[1:])]
+            base = sum(np.log10((one.get(w, 0) + 0.1) / (sum(one.values()) + 0.1 * (len(one) + 1))) for w in t[1:])
+            assert got[i][0]["score"] == pytest.approx(sum(np.log10(np.minimum(p, 1.0)))), i
+            assert got[i][0]["base_score"] == pytest.approx(base) and got[i][0]["n_known"] == sum(w in one for w in t[1:])

@@ -5,8 +5,10 @@ least hash of its grams. Anchors whose hash occurs once can't lie in a
 repeated string. Around the others the bytes that such strings can reach are
 cut out; equal contexts meet in one aggregation that keeps the first, and the
 different contexts of an anchor are compared: by extension for a few, and
-for many by deep-shallow sorting of their suffixes (multikey quicksort to
-a shallow depth, blind tries for the groups still tied).
+for more by deep-shallow sorting of their suffixes (multikey quicksort to
+a shallow depth, blind tries for the groups still tied). An anchor of more
+than `many` contexts, which may grow with the corpus, is not held in a task:
+Spark aggregates the first place of each of its strings, known by SHA-256.
 
 Defined cases: a null text is empty; texts shorter than `length` lose
 nothing; equal rows are one document and get equal results; an empty table
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import checkpointed
 
 WINDOW = 64
+MANY = 2_000
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -181,7 +184,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def covered_by_strings(unique: DataFrame, length: int) -> DataFrame:
+    """c and ranges as `covered` gives them, from one row for each string of a context: equal strings meet in an aggregation, whatever their number."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda o: F.when((o <= F.length("l")) & (length - o <= F.length("r")), o))
+    strings = unique.select("c", "first", "l", "r", F.explode(F.array_compact(at)).alias("o"))
+    held = F.concat(F.substring("l", F.length("l") - F.col("o") + 1, F.col("o")), F.substring("r", F.lit(1), length - F.col("o")))
+    strings = checkpointed(strings.select("c", "first", "o", F.unhex(F.sha2(held, 256)).alias("s")))
+    firsts = strings.groupBy("o", "s").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = strings.join(firsts, ["o", "s"]).filter(F.col("first") != F.col("least"))
+    # at most WINDOW ranges
+    return later.groupBy("c").agg(F.flatten(F.collect_list(F.array(-F.col("o").cast("long"), length - F.col("o").cast("long")))).alias("ranges"))
+
+
+def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): id, mark and text of every row; id, mark and byte ranges to remove, as far as there are any."""
     text = F.coalesce(text_col, F.lit(""))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
@@ -239,7 +254,13 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) ->
             yield pd.DataFrame(told(held), columns=["c", "ranges"])
 
     parts = unique.select("h", "c", "l", "r", F.col("first.id").alias("i"), F.col("first.mark").alias("m"), F.col("first.pos").alias("p"))
+    big = checkpointed(unique.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > many).select("h"))
+    some_big = not big.isEmpty()
+    if some_big:
+        parts = parts.join(big, "h", "left_anti")
     ranges = parts.repartition("h").sortWithinPartitions("h").mapInPandas(compare, "c string, ranges array<bigint>")
+    if some_big:
+        ranges = ranges.union(covered_by_strings(unique.join(big, "h", "left_semi"), length))
     known = unique.select("c", "first", "k", F.length("l").alias("nl"), F.length("r").alias("nr")).join(ranges, "c", "left").filter("k > 1 or ranges is not null")
     hits = contexts.select("c", "id", "mark", "pos").join(known, "c")
     whole = F.when(F.col("nl") + F.col("nr") >= length, F.array(-F.col("nl").cast("long"), F.col("nr").cast("long")))
@@ -248,11 +269,11 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str) ->
     return texts, spans.union(later.select("id", "mark", F.array(F.lit(0).cast("long"), F.col("n").cast("long"))))
 
 
-def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     if length < WINDOW + 8:
         raise ValueError(f"length is at least {WINDOW + 8}")
-    texts, spans = repeated_spans(docs, length, id_col, text_col)
+    texts, spans = repeated_spans(docs, length, id_col, text_col, many)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -196,3 +196,21 @@ def test_pairs_seen_once_count(spark):
             base = sum(np.log10((one.get(w, 0) + 0.1) / (sum(one.values()) + 0.1 * (len(one) + 1))) for w in t[1:])
             assert got[i][0]["score"] == pytest.approx(sum(np.log10(np.minimum(p, 1.0)))), i
             assert got[i][0]["base_score"] == pytest.approx(base) and got[i][0]["n_known"] == sum(w in one for w in t[1:])
+
+
+def test_many_contexts_of_an_anchor_by_strings(spark):
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    core, edges = letters(80), [letters(70) for _ in range(5)]
+    rows = [(i, letters(20) + r.choice(edges)[-r.randrange(5, 70) :] + core + r.choice(edges)[: r.randrange(5, 70)] + letters(20)) for i in range(40)]
+    df, seen = spark.createDataFrame(rows, "doc_id bigint, text string"), {}
+    got = [by_id(suffix_dedup.dedup(df, many=many)) for many in (3, 2000)]
+    for i, t in rows:
+        b, gone = t.encode(), bytearray(len(t))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.setdefault(b[p : p + 100], i)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert [g[i][0]["kept"] for g in got] == [kept, kept], i
+    assert any(g["n_removed"] for rows in got[0].values() for g in rows)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,26 +31,76 @@ from lexloom.llm.common import checkpointed
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "table"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dl", "dt", "dd", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "hr", "title", "head"}
 DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "header", "button", "select", "textarea", "iframe", "svg", "dialog"}
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|notice|sidebar|menu|nav\w*|comments?|share|social|promo\w*|sponsor\w*|breadcrumbs?|footer|header|related|newsletter|popup)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|notice|sidebar|menu|nav(?:s|bar|igation|menu|list)?|comments?|share|social|promo\w*|sponsor\w*|breadcrumbs?|footer|header|related|newsletter|popup)(?:$|[\s_-])", re.I)
+#: States of a layout, not kinds of content.
+STATE = re.compile(r"(?:no|has|with|without)[_-]", re.I)
+NAMED, FULLY_NAMED, BY_TAG = 1, 2, 3
 VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
+class Node:
+    """An open container: why it may be noise, and how much text it holds."""
+
+    def __init__(self, tag: str, path: str, above: "Node | None", cause: int):
+        self.tag, self.path, self.above, self.cause, self.size = tag, path, above, cause, 0
+
+
+def noise_of(tag: str, names: dict) -> int:
+    if tag in DROPPED:
+        return NAMED if tag == "form" else BY_TAG  # whole pages lie in forms
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    labels = [x for k in ("class", "id", "role") for x in (names.get(k) or "").split() if not STATE.match(x)]
+    found = [m for m in map(NOISE.search, labels) if m]
+    return FULLY_NAMED if any(m[0] == m.string for m in found) else NAMED if found else 0
+
+
 class Page(HTMLParser):
     """Blocks (path, dropped, text) of a page and how often each container path opens."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []
+        self.stack: list[Node] = []
         self.paths: Counter = Counter()
-        self.blocks: list[tuple[str, bool, str]] = []
+        self.found: list[tuple[Node | None, str]] = []
         self.parts: list[str] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            path, bad = (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
-            self.blocks.append((path, bad, text))
+            self.found.append((self.stack[-1] if self.stack else None, text))
+
+    def noise(self, node: Node | None, least: int, half: float) -> bool:
+        """Whether a container around makes this noise; none above main counts, and above article only those of the least cause."""
+        bound = 0
+        while node is not None and node.tag != "main":
+            if node.tag == "article":
+                bound = least
+            # without an article, what holds most of the text is no noise by its name
+            if node.cause > bound and (node.cause == BY_TAG or node.size <= half):
+                return True
+            node = node.above
+        return False
+
+    @cached_property
+    def blocks(self) -> list[tuple[str, bool, str]]:
+        mains, half, total = any(map(is_main, self.paths)), float("inf"), 0
+        inside = [in_main(node) for node, _ in self.found]
+        if not mains:
+            for node, text in self.found:
+                if by_tag(node):
+                    continue
+                total += len(text)
+                while node is not None:
+                    node.size += len(text)
+                    node = node.above
+            half = total / 2
+        bad = [self.noise(node, NAMED, half) for node, _ in self.found]
+        if mains and all(b for b, i in zip(bad, inside) if i):
+            # the page's only articles lie in containers of such names
+            bad = [self.noise(node, FULLY_NAMED, half) for node, _ in self.found]
+        return [(node.path if node else "", b, text) for (node, text), b in zip(self.found, bad)]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -59,25 +110,36 @@ class Page(HTMLParser):
         if tag in VOID or not (tag in CONTAINERS or tag in DROPPED):
             return
         names = dict(attrs)
-        label = " ".join(filter(None, (names.get("class"), names.get("id"), names.get("role"))))
-        path, bad = (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
-        path = f"{path}/{tag}" + (f".{names['class']}" if names.get("class") else "")
+        above = self.stack[-1] if self.stack else None
+        path = f"{above.path if above else ''}/{tag}" + (f".{names['class']}" if names.get("class") else "")
         self.paths[path] += 1
         self.flush() if tag in DROPPED else None
-        self.stack.append((tag, path, bad or tag in DROPPED or bool(tag not in ("html", "body", "article", "main") and label and NOISE.search(label))))
+        self.stack.append(Node(tag, path, above, noise_of(tag, names)))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
-        if any(t == tag for t, _, _ in self.stack):
+        if any(n.tag == tag for n in self.stack):
             self.flush()
-            while self.stack.pop()[0] != tag:
+            while self.stack.pop().tag != tag:
                 pass
 
     def handle_data(self, data):
         self.parts.append(data)
 
 
+def in_main(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.above
+    return node is not None
+
+
+def by_tag(node: Node | None) -> bool:
+    while node is not None and node.cause != BY_TAG:
+        node = node.above
+    return node is not None
+
+
 def parsed(html: str) -> Page:
     page = Page()
     page.feed(html)

@@ -198,6 +198,17 @@ def test_pairs_seen_once_count(spark):
             assert got[i][0]["base_score"] == pytest.approx(base) and got[i][0]["n_known"] == sum(w in one for w in t[1:])
 
 
+def test_article_in_named_wrappers():
+    text = lambda h: html_extraction.main_text(html_extraction.parsed(h), set(), set())
+    for name in ("content-sidebar-wrap", "layout with-sidebar", "navy-theme", "no-ads", "sidebar"):
+        for tag in ("article", "main"):
+            assert text(f"<body><div class='{name}'><{tag}><p>own words</p><div class='ad'>buy</div></{tag}></div></body>") == "own words", (name, tag)
+        assert text(f"<body><div class='{name}'><p>quite a few own words here</p><div class='ad'>buy</div></div></body>") == "quite a few own words here", name
+    assert text("<form id='f'><main>own</main></form>") == "own"
+    assert text("<article>own</article><div class='related'><article>other</article></div>") == "own"
+    assert text("<nav><div class='x'>a long list of links that is most of the page</div></nav><p>own</p><div class='site-footer'>c</div>") == "own"
+
+
 def test_many_contexts_of_an_anchor_by_strings(spark):
     r = random.Random(8)
     letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))

@@ -1,157 +1,291 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are split at blanks into words, each led by the mark U+2581. The
-distinct words (long ones in units of max_unit characters) become lattices:
-their bounded-length substrings are joined with the piece table, edges are
-grouped by word, and a higher-order aggregate folds them to the best path.
-Characters that no piece covers become byte pieces, so that every text
-decodes to itself. A word's pieces then go back to the texts: frequent words'
-by broadcast, the others' by a join.
-
-The best path maximises the sum of the model's piece scores; for a model of
-merges, these are negated ranks, and the path may differ from greedy merging.
-
-Defined cases: a null text has no pieces; an empty text is the mark alone;
+Texts fall into units: a run of blanks and the word after it. No piece crosses
+a unit's end, so units are independent, and distinct units become lattices:
+their substrings of at most the longest piece's length are exploded, equi-joined
+with the piece table, grouped by unit, and folded to the cheapest path with the
+higher-order aggregate. Characters that no piece covers become byte pieces, so
+that every text decodes to itself. Long units are folded in chunks that carry
+the last states, so that a path doesn't depend on any length. The paths then go
+back to the texts: those of frequent units by broadcast, the others by a join.
+
+A piece costs the negated log-probability of its rank by the law of Zipf and
+Mandelbrot, 1 / (rank + SHIFT), in thousandths of a nat: the given model holds merge
+ranks, which are no log-probabilities themselves, and nothing is trained here. Equal costs go to the shorter last piece, then to the smaller id.
+For a model of log-probabilities pass costs="scores".
+
+Defined cases: a null text has no pieces; an empty text is the blank alone;
 repeated rows get a row each; an empty table gives no rows; further columns
-stay as they are.
+stay, but for those named piece_ids, n_pieces and decoded, which are replaced.
+Units and pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed, fresh
+from lexloom.llm.common import checkpointed, fresh, let
 
 MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
-
-def piece_table(spark: SparkSession, model: str = MODEL) -> tuple[DataFrame, int, int, float]:
-    """(piece, id, score) of the model's ordinary pieces, their longest length, the id of byte 0, and the worst score."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not special(i)]
-    rows = [r for r in rows if MARK not in r[0][1:]]
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(r[0]) for r in rows), sp.piece_to_id("<0x00>"), min(r[2] for r in rows)
-
-
-def units(word: Column, max_unit: int) -> Column:
-    """A marked word in runs of at most max_unit characters."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(word) / max_unit).cast("int") - 1, F.lit(0))), lambda k: F.substring(word, k * max_unit + 1, F.lit(max_unit)))
-
-
-def byte_ids(char: Column, zero: int) -> Column:
-    hexed = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: (F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + zero))
-
-
-def best_paths(words: DataFrame, pieces: DataFrame, longest: int, zero: int, worst: float) -> DataFrame:
-    """unit, first, k and ids of the best path; words has unit (string), first (whether it begins a word) and its count k."""
-    n = F.length("unit")
-    starts = F.sequence(F.lit(1), n)
-    substrings = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.struct(i.alias("start"), k.alias("len"), F.substring(F.col("unit"), i, k).alias("sub"))))
-    )
-    edges = words.select("unit", "first", "k", F.explode(substrings).alias("e"))
-    joined = edges.join(F.broadcast(pieces), F.col("e.sub") == F.col("piece"), "left")  # the piece table is one model's vocabulary
-    # the mark means a blank only where a word begins
-    fits = F.col("id").isNotNull() & (~F.startswith(F.col("e.sub"), F.lit(MARK)) | (F.col("first") & (F.col("e.start") == 1)))
-    ids = F.when(fits, F.array("id")).when(F.col("e.len") == 1, byte_ids(F.col("e.sub"), zero))
-    cost = F.when(fits, F.col("score")).otherwise(F.lit(worst - 10.0) * F.octet_length("e.sub"))
-    rows = joined.select("unit", "first", "k", F.struct((F.col("e.start") + F.col("e.len") - 1).alias("end"), F.col("e.start").alias("start"), cost.alias("score"), ids.alias("ids")).alias("edge")).filter("edge.ids is not null")
-    lattice = rows.groupBy("unit", "first", "k").agg(F.collect_list("edge").alias("edges"))  # at most length * longest edges
-
-    def step(acc: Column, end: Column) -> Column:
-        here = F.filter("edges", lambda e: e["end"] == end)
-        tried = F.transform(here, lambda e: F.struct((F.get(acc, e["start"] - 1)["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["ids"].alias("ids")))
-        return F.concat(acc, F.array(F.array_max(tried)))
-
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids")))
-    best = lattice.withColumn("best", F.aggregate(starts, origin, step))
-    back = F.aggregate(
-        starts,
-        F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")),
-        lambda acc, _: F.when(acc["at"] > 0, F.struct((F.get(F.col("best"), acc["at"])["start"] - 1).alias("at"), F.concat(F.get(F.col("best"), acc["at"])["ids"], acc["ids"]).alias("ids"))).otherwise(acc),
-        lambda acc: acc["ids"],
-    )
-    return best.select("unit", "first", "k", back.alias("ids"))
-
-
-def decoding_table(pieces: DataFrame, zero: int) -> dict[int, bytes]:
-    """id -> the bytes it stands for; the piece table is one model's vocabulary."""
-    blank = lambda p: " " + p[1:] if p.startswith(MARK) else p
-    return {zero + b: bytes([b]) for b in range(256)} | {r["id"]: blank(r["piece"]).encode() for r in pieces.collect()}
-
-
-def decode(ids, table: dict[int, bytes]) -> str:
-    return b"".join(table[i] for i in ids).decode("utf-8")[1:]
-
-
-def keys_of(text: str, max_unit: int) -> list[str]:
-    """The units of a text in order, each led by 1 where a word begins, else by 0."""
-    out = []
-    for w in text.split(" "):
-        w = MARK + w
-        out.append("1" + w[:max_unit])
-        out += ["0" + w[a : a + max_unit] for a in range(max_unit, len(w), max_unit)]
-    return out
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, max_unit: int = 48, head_words: int = 200_000) -> DataFrame:
+#: An edge is one number: its cost, its length (6 bits) and its id (22 bits).
+LEN_AT, COST_AT = 22, 28
+#: Ids from here on stand for characters that no piece covers, until they become bytes.
+CHAR = 1 << 21
+#: Of the costs; among 50 to 3,000 the one whose paths most often equal the model's own merges.
+SHIFT = 200
+#: Ends folded at once, and states carried on from them.
+CHUNK, CARRIED = 256, 64
+
+
+class Pieces:
+    """A model's pieces: a table (key, edge) for the lattice, and what each id decodes to."""
+
+    def __init__(self, spark: SparkSession, model: str = MODEL, costs: str = "zipf"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
+        rows = sorted((-sp.get_score(i), i, sp.id_to_piece(i).replace(MARK, " ")) for i in range(sp.get_piece_size()) if not special(i))
+        harmonic = math.log(sum(1 / (r + SHIFT) for r in range(1, len(rows) + 1)))
+        cost = lambda r, s: round(1000 * (math.log(r + SHIFT) + harmonic if costs == "zipf" else s))
+        priced = [(p, i, cost(r, s)) for r, (s, i, p) in enumerate(rows, 1)]
+        self.longest = max(len(p) for p, _, _ in priced)
+        if self.longest >= CARRIED or sp.get_piece_size() > CHAR:
+            raise ValueError("pieces are shorter than 64 characters, and at most 2,097,152")
+        self.zero, self.worst = sp.piece_to_id("<0x00>"), max(c for _, _, c in priced)
+        named = spark.createDataFrame([(p, (c << COST_AT) + (len(p) << LEN_AT) + i) for p, i, c in priced], "piece string, edge bigint")
+        self.table = named.select(F.xxhash64("piece").alias("key"), "edge")
+        texts = {i: p for p, i, _ in priced}
+        size = sp.get_piece_size()
+        hexed = [f"{i - self.zero:02X}" if self.zero <= i < self.zero + 256 else texts.get(i, "").encode().hex().upper() for i in range(size)]
+        self.decoding = spark.createDataFrame([([texts.get(i, "") for i in range(size)], hexed)], "texts array<string>, hexed array<string>")
+
+
+def units(text: Column) -> Column:
+    """The units of a text, each without its first blank, which all units have."""
+    plain = ~(F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" ")))
+    return F.when(plain, F.split(text, " ", -1)).otherwise(F.split(text, "(?<=[^ ]) ", -1))
+
+
+def length_of(edge: Column) -> Column:
+    return F.shiftright(edge, LEN_AT).bitwiseAND(F.lit(63)).cast("int")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h and its edges by their ends; the rows of a unit follow each other in the order of ends, the shortest edge first."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out(h: np.ndarray, edge: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        ends = np.flatnonzero((edge >> LEN_AT) & 63 == 1)
+        inner = pa.ListArray.from_arrays(pa.array(np.append(ends, len(edge)), pa.int32()), pa.array(edge))
+        outer = pa.ListArray.from_arrays(pa.array(np.searchsorted(ends, np.append(starts, len(edge))), pa.int32()), inner)
+        return pa.RecordBatch.from_arrays([pa.array(h[starts]), outer], names=["h", "edges"])
+
+    for batch in batches:
+        h, end, edge = (batch.column(k).to_numpy() for k in range(3))
+        starts = np.flatnonzero(end == 1)
+        if not len(starts):
+            held.append((h, edge))
+            continue
+        held.append((h[: starts[-1]], edge[: starts[-1]]))
+        whole_h, whole_edge = (np.concatenate([x[k] for x in held]) for k in range(2))
+        if len(whole_h):
+            before = len(whole_h) - starts[-1]
+            own = starts[:-1] + before
+            yield out(whole_h, whole_edge, own if not before else np.concatenate([[0], own]))
+        held = [(h[starts[-1] :], edge[starts[-1] :])]
+    if held and sum(len(x[0]) for x in held):
+        yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.zeros(1, np.int64))
+
+
+def lattices(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """h and edges (for each end, the edges that end there) of words (h, w)."""
+    unit = F.concat(F.lit(" "), "w")
+    ends = words.select("h", unit.alias("u"), F.explode(F.sequence(F.lit(1), F.length(unit))).alias("end"))
+    subs = ends.select("h", "u", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), "end"))).alias("len"))
+    subs = subs.select("h", "end", "len", F.substring("u", F.col("end") - F.col("len") + 1, F.col("len")).alias("sub")).withColumn("key", F.xxhash64("sub"))
+    # the piece table is one model's vocabulary
+    joined = subs.join(F.broadcast(pieces.table), "key", "left").filter("edge is not null or len = 1")
+    unknown = F.shiftleft((F.octet_length("sub") * (pieces.worst + 10_000)).cast("long"), COST_AT) + (1 << LEN_AT) + CHAR + F.ascii("sub")
+    rows = joined.select("h", "end", F.coalesce("edge", unknown).alias("edge"))
+    return rows.mapInArrow(gathered, "h bigint, edges array<array<bigint>>")
+
+
+def cheapest(edges: Column) -> Column:
+    """For each end the edge of the cheapest path to it, with that path's cost."""
+
+    def step(acc: Column, here: Column) -> Column:
+        before = lambda x: F.get(acc, F.size(acc) - length_of(x))
+        tried = F.transform(here, lambda x: x + F.shiftleft(F.shiftright(before(x), COST_AT), COST_AT))
+        return F.concat(acc, F.array(F.array_min(tried)))
+
+    origin = F.array(F.lit(0).cast("long"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / CHUNK).cast("int")), lambda k: F.slice(edges, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def chunk(state: Column, some: Column) -> Column:
+        folded = F.aggregate(some, state["last"], step)
+        last = lambda acc: F.slice(acc, F.greatest(F.size(acc) - CARRIED + 1, F.lit(1)), F.lit(CARRIED))
+        return let(folded, lambda acc: F.struct(last(acc).alias("last"), F.concat(state["done"], F.array(F.slice(acc, F.size(state["last"]) + 1, F.lit(CHUNK)))).alias("done")))
+
+    start = F.struct(origin.alias("last"), F.array().cast("array<array<bigint>>").alias("done"))
+    long = F.aggregate(chunks, start, chunk, lambda s: F.flatten(s["done"]))
+    return F.when(F.size(edges) <= CHUNK, F.slice(F.aggregate(edges, origin, step), 2, 2**30)).otherwise(long)
+
+
+def path_ids(best: Column, zero: int) -> Column:
+    """The piece ids of the cheapest path to the last end, in order."""
+
+    def back(state: Column, _: Column) -> Column:
+        edge = F.get(best, state["at"] - 1)
+        moved = F.struct((state["at"] - length_of(edge)).alias("at"), F.concat(F.array(edge.bitwiseAND(F.lit((1 << LEN_AT) - 1)).cast("int")), state["ids"]).alias("ids"))
+        return F.when(state["at"] > 0, moved).otherwise(state)
+
+    none = F.array().cast("array<int>")
+    some = lambda at, n: F.aggregate(F.sequence(F.lit(1), n), F.struct(at.alias("at"), none.alias("ids")), back)
+    size = F.size(best)
+    short = some(size, size)["ids"]
+    chunk = lambda state, _: let(some(state["at"], F.lit(CHUNK)), lambda s: F.struct(s["at"].alias("at"), F.concat(F.array(s["ids"]), state["parts"]).alias("parts")))
+    start = F.struct(size.alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+    long = F.aggregate(F.sequence(F.lit(0), F.floor(size / CHUNK).cast("int")), start, chunk, lambda s: F.flatten(s["parts"]))
+    ids = F.when(size <= CHUNK, short).otherwise(long)
+
+    def as_bytes(i: Column) -> Column:
+        c = i - CHAR
+        six = lambda shift: (F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128 + zero).cast("int")
+        top = lambda shift, lead: (F.shiftright(c, shift) + lead + zero).cast("int")
+        wide = F.when(c < 0x10000, F.array(top(12, 0xE0), six(6), six(0))).otherwise(F.array(top(18, 0xF0), six(12), six(6), six(0)))
+        return F.when(i < CHAR, F.array(i)).when(c < 0x80, F.array((c + zero).cast("int"))).when(c < 0x800, F.array(top(6, 0xC0), six(0))).otherwise(wide)
+
+    return let(ids, lambda p: F.when(F.exists(p, lambda i: i >= CHAR), F.flatten(F.transform(p, as_bytes))).otherwise(p))
+
+
+def decoded(ids: Column, texts: Column, hexed: Column, zero: int) -> Column:
+    """The text that ids stand for; texts and hexed have the pieces by id."""
+    join = lambda names: F.array_join(F.transform(ids, lambda i: F.get(names, i)), "")
+    raw = F.exists(ids, lambda i: (i >= zero) & (i < zero + 256))
+    return F.substring(F.when(raw, F.decode(F.unhex(join(hexed)), "UTF-8")).otherwise(join(texts)), 2, 2**31 - 1)
+
+
+def decode(coded: DataFrame, ids_col: str = "piece_ids", model: str = MODEL) -> DataFrame:
+    """coded with decoded, the text that its ids give; the pieces are one row, looked up by id."""
+    pieces = Pieces(coded.sparkSession, model)
+    a, b = fresh(coded, "piece_texts", "piece_hexed")
+    met = coded.crossJoin(F.broadcast(pieces.decoding.toDF(a, b)))  # one row
+    return met.withColumn("decoded", decoded(F.col(ids_col), F.col(a), F.col(b), pieces.zero)).drop(a, b)
+
+
+class Paths:
+    """Units' hashes in order, with their ids one after another."""
+
+    def __init__(self, table: pa.Table):
+        h = table.column("h").to_numpy()
+        order = np.argsort(h)
+        ids = table.column("ids").combine_chunks().take(pa.array(order))
+        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+        self.h = h[order]
+        self.ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.uint32)
+        flat = ids.flatten().to_numpy()
+        self.ids = flat.astype(np.min_scalar_type(int(flat.max(initial=0))))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether there)."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return at, self.h[at] == h
+
+
+def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths); null lists have length 0."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+
+
+def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None) -> pa.Array:
+    """The ids of each list of units; own has the units (h, ids) that known lacks."""
+    h, sizes = flat_lists(hashes)
+    at, there = known.find(h)
+    n = np.zeros(len(h), np.int64)
+    n[there] = np.diff(known.ends.astype(np.int64))[at[there]]
+    start, ids = np.where(there, known.ends[at].astype(np.int64) if len(known.h) else 0, 0), known.ids
+    if not there.all():
+        extra = own.flatten()
+        more, counts = flat_lists(extra.field("ids"))
+        keys, first = extra.field("h").to_numpy(), len(ids) + np.cumsum(counts) - counts
+        order = np.argsort(keys, kind="stable")
+        place = order[np.searchsorted(keys[order], h[~there])]
+        n[~there], start[~there] = counts[place], first[place]
+        ids = np.concatenate([ids.astype(np.int32), more.astype(np.int32)])
+    ends = np.cumsum(n)
+    got = ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32)
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = np.concatenate([[0], ends])[rows]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got), mask=hashes.is_null() if hashes.null_count else None)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, costs: str = "zipf", head_words: int = 6_000_000) -> DataFrame:
     """The documents with piece_ids, n_pieces and decoded (the text that the ids give back).
 
-    Units of at least a head_words-th of all units (so at most head_words) are
-    broadcast with their paths; the paths of the others reach their texts by
-    a join. Texts are not split into shuffled words.
+    The paths of the most frequent units, at most head_words (some 20 bytes
+    each), are broadcast; the others reach their texts by a join.
     """
     spark = docs.sparkSession
-    pieces, longest, zero, worst = piece_table(spark, model)
-    marked = F.flatten(F.transform(F.split(text_col, " ", -1), lambda w: F.transform(units(F.concat(F.lit(MARK), w), max_unit), lambda u, i: F.struct(u.alias("unit"), (i == 0).alias("first")))))
-    counts = docs.filter(F.col(text_col).isNotNull()).select(F.explode(marked).alias("u")).select("u.unit", "u.first").groupBy("unit", "first").agg(F.count(F.lit(1)).alias("k"))
-    coded = checkpointed(best_paths(counts, pieces, longest, zero, worst).select(F.concat(F.when(F.col("first"), "1").otherwise("0"), "unit").alias("key"), "k", "ids"))
-    total = coded.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    is_head = F.col("k") * head_words >= total
-    head = {r["key"]: tuple(r["ids"]) for r in coded.filter(is_head).select("key", "ids").toLocalIterator()}  # at most head_words
-    shared = spark.sparkContext.broadcast((head, decoding_table(pieces, zero)))
-    del head
-
-    key, mark, k, m, rare, rare_ids, got = fresh(docs, "piece_doc", "piece_mark", "piece_k", "piece_m", "piece_rare", "piece_rare_ids", "piece_got")
-    keyed = docs.withColumn(key, F.col(id_col).cast("string")).withColumn(mark, F.xxhash64(F.col(text_col)))
-
-    def missing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value[0]
-        for pdf in batches:
-            for i, h, t in zip(pdf["i"], pdf["h"], pdf["t"]):
-                rest = list(dict.fromkeys(u for u in keys_of(t, max_unit) if u not in known))
-                if rest:
-                    yield pd.DataFrame({"i": i, "h": h, "key": rest})
-
-    places = keyed.filter(F.col(text_col).isNotNull()).select(F.col(key).alias("i"), F.col(mark).alias("h"), F.col(text_col).alias("t")).mapInPandas(missing, "i string, h bigint, key string")
-    tails = places.distinct().join(coded.filter(~is_head).select("key", "ids"), "key").groupBy("i", "h").agg(F.collect_list(F.struct("key", "ids")).alias("r"))  # a text's own rare units
-    tails = checkpointed(tails.select(F.col("i").alias(k), F.col("h").alias(m), F.col("r.key").alias(rare), F.col("r.ids").alias(rare_ids)))
-
-    @F.pandas_udf("ids array<int>, decoded string")
-    def looked_up(texts: pd.Series, keys: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        known, table = shared.value
-        rows = []
-        for t, a, b in zip(texts, keys, ids):
-            if not isinstance(t, str):
-                rows.append((None, None))
-                continue
-            own = {} if a is None else dict(zip(a, b))
-            out: list[int] = []
-            for u in keys_of(t, max_unit):
-                out.extend(known[u] if u in known else own[u])
-            rows.append((out, decode(out, table)))
-        return pd.DataFrame(rows, columns=["ids", "decoded"])
-
-    joined = keyed.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
-    joined = joined.withColumn(got, looked_up(F.col(text_col), F.col(rare), F.col(rare_ids)))
-    return joined.select(*docs.columns, F.col(f"{got}.ids").alias("piece_ids"), F.coalesce(F.size(F.col(f"{got}.ids")), F.lit(0)).cast("long").alias("n_pieces"), F.col(f"{got}.decoded").alias("decoded"))
+    pieces = Pieces(spark, model, costs)
+    counts = docs.filter(F.col(text_col).isNotNull()).select(F.explode(units(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    counts = checkpointed(counts.select(F.xxhash64("w").alias("h"), "w", "k"))
+    folded = lattices(counts, pieces).select("h", cheapest(F.col("edges")).alias("best"))
+    coded = checkpointed(folded.select("h", path_ids(F.col("best"), pieces.zero).alias("ids")))
+
+    # counts by frequency: at most 10,000 numbers reach the driver
+    histogram = counts.groupBy(F.least("k", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()
+    cut, taken = 10_001, 0
+    for row in histogram:
+        if taken + row["n"] > head_words:
+            break
+        cut, taken = row["k"], taken + row["n"]
+    all_known = not histogram or cut == histogram[-1]["k"]
+    head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
+    shared = spark.sparkContext.broadcast(Paths(head.toArrow()))  # at most head_words
+
+    key, mark, hashes, own, k, m, texts, hexed = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed")
+    made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))
+    out = docs.withColumn(hashes, made)
+    if all_known:
+
+        @F.arrow_udf("array<int>")
+        def looked_up(lists: pa.Array) -> pa.Array:
+            return joined_ids(shared.value, lists, None)
+
+        ids = looked_up(F.col(hashes))
+    else:
+        out = out.withColumn(key, F.col(id_col).cast("string")).withColumn(mark, F.xxhash64(F.col(text_col)))
+
+        def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, sizes = flat_lists(batch.column(2))
+                row = np.repeat(np.arange(len(sizes)), sizes)[~shared.value.find(h)[1]]
+                h = h[~shared.value.find(h)[1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h)], names=["i", "m", "h"])
+
+        places = out.filter(F.col(text_col).isNotNull()).select(key, mark, hashes).mapInArrow(missing, "i string, m bigint, h bigint").distinct()
+        tails = places.join(coded, "h").groupBy("i", "m").agg(F.collect_list(F.struct("h", "ids")).alias("own"))  # a text's own rare units
+        tails = checkpointed(tails).select(F.col("i").alias(k), F.col("m").alias(m), F.col("own").alias(own))
+        out = out.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
+
+        @F.arrow_udf("array<int>")
+        def looked_up(lists: pa.Array, rare: pa.Array) -> pa.Array:
+            return joined_ids(shared.value, lists, rare)
+
+        ids = looked_up(F.col(hashes), F.col(own))
+    out = out.withColumn("piece_ids", ids).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))
+    out = out.crossJoin(F.broadcast(pieces.decoding.toDF(texts, hexed)))  # one row
+    out = out.withColumn("decoded", decoded(F.col("piece_ids"), F.col(texts), F.col(hexed), pieces.zero))
+    return out.drop(hashes, own, key, mark, k, m, texts, hexed)

@@ -141,31 +141,30 @@ def cheapest(edges: Column) -> Column:
     return F.when(F.size(edges) <= CHUNK, F.slice(F.aggregate(edges, origin, step), 2, 2**30)).otherwise(long)
 
 
-def path_ids(best: Column, zero: int) -> Column:
-    """The piece ids of the cheapest path to the last end, in order."""
-
-    def back(state: Column, _: Column) -> Column:
-        edge = F.get(best, state["at"] - 1)
-        moved = F.struct((state["at"] - length_of(edge)).alias("at"), F.concat(F.array(edge.bitwiseAND(F.lit((1 << LEN_AT) - 1)).cast("int")), state["ids"]).alias("ids"))
-        return F.when(state["at"] > 0, moved).otherwise(state)
-
-    none = F.array().cast("array<int>")
-    some = lambda at, n: F.aggregate(F.sequence(F.lit(1), n), F.struct(at.alias("at"), none.alias("ids")), back)
-    size = F.size(best)
-    short = some(size, size)["ids"]
-    chunk = lambda state, _: let(some(state["at"], F.lit(CHUNK)), lambda s: F.struct(s["at"].alias("at"), F.concat(F.array(s["ids"]), state["parts"]).alias("parts")))
-    start = F.struct(size.alias("at"), F.array().cast("array<array<int>>").alias("parts"))
-    long = F.aggregate(F.sequence(F.lit(0), F.floor(size / CHUNK).cast("int")), start, chunk, lambda s: F.flatten(s["parts"]))
-    ids = F.when(size <= CHUNK, short).otherwise(long)
-
-    def as_bytes(i: Column) -> Column:
-        c = i - CHAR
-        six = lambda shift: (F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128 + zero).cast("int")
-        top = lambda shift, lead: (F.shiftright(c, shift) + lead + zero).cast("int")
-        wide = F.when(c < 0x10000, F.array(top(12, 0xE0), six(6), six(0))).otherwise(F.array(top(18, 0xF0), six(12), six(6), six(0)))
-        return F.when(i < CHAR, F.array(i)).when(c < 0x80, F.array((c + zero).cast("int"))).when(c < 0x800, F.array(top(6, 0xC0), six(0))).otherwise(wide)
-
-    return let(ids, lambda p: F.when(F.exists(p, lambda i: i >= CHAR), F.flatten(F.transform(p, as_bytes))).otherwise(p))
+def followed(batches: Iterator[pa.RecordBatch], zero: int) -> Iterator[pa.RecordBatch]:
+    """h and the piece ids of each cheapest path, followed back from the last end for a whole batch at once."""
+    for batch in batches:
+        best, sizes = flat_lists(batch.column(1))
+        first = np.cumsum(sizes) - sizes
+        row, at, steps = np.arange(len(sizes)), sizes.astype(np.int64), []
+        while len(row):
+            edge = best[first[row] + at - 1]
+            steps.append((row, edge & ((1 << LEN_AT) - 1)))
+            at = at - ((edge >> LEN_AT) & 63)
+            row, at = row[at > 0], at[at > 0]
+        rows = np.concatenate([x for x, _ in steps[::-1]]) if steps else np.empty(0, np.int64)
+        ids = np.concatenate([x for _, x in steps[::-1]]) if steps else np.empty(0, np.int64)
+        order = np.argsort(rows, kind="stable")
+        rows, ids = rows[order], ids[order]
+        strange = np.flatnonzero(ids >= CHAR)
+        if len(strange):  # characters that no piece covers become their bytes
+            made = [np.frombuffer(chr(i - CHAR).encode(), np.uint8).astype(np.int64) + zero for i in ids[strange].tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[strange] = [len(x) for x in made]
+            rows, ids = np.repeat(rows, n), np.repeat(ids, n)
+            ids[np.repeat(np.isin(np.arange(len(n)), strange), n)] = np.concatenate(made)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["h", "ids"])
 
 
 def decoded(ids: Column, texts: Column, hexed: Column, zero: int) -> Column:
@@ -241,8 +240,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     pieces = Pieces(spark, model, costs)
     counts = docs.filter(F.col(text_col).isNotNull()).select(F.explode(units(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     counts = checkpointed(counts.select(F.xxhash64("w").alias("h"), "w", "k"))
-    folded = lattices(counts, pieces).select("h", cheapest(F.col("edges")).alias("best"))
-    coded = checkpointed(folded.select("h", path_ids(F.col("best"), pieces.zero).alias("ids")))
+    folded, zero = lattices(counts, pieces).select("h", cheapest(F.col("edges")).alias("best")), pieces.zero
+    coded = checkpointed(folded.mapInArrow(lambda batches: followed(batches, zero), "h bigint, ids array<int>"))
 
     # counts by frequency: at most 10,000 numbers reach the driver
     histogram = counts.groupBy(F.least("k", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()

@@ -167,10 +167,9 @@ def followed(batches: Iterator[pa.RecordBatch], zero: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["h", "ids"])
 
 
-def decoded(ids: Column, texts: Column, hexed: Column, zero: int) -> Column:
-    """The text that ids stand for; texts and hexed have the pieces by id."""
+def decoded(ids: Column, texts: Column, hexed: Column, raw: Column) -> Column:
+    """The text that ids stand for; texts and hexed have the pieces by id, and raw tells whether there are byte pieces."""
     join = lambda names: F.array_join(F.transform(ids, lambda i: F.get(names, i)), "")
-    raw = F.exists(ids, lambda i: (i >= zero) & (i < zero + 256))
     return F.substring(F.when(raw, F.decode(F.unhex(join(hexed)), "UTF-8")).otherwise(join(texts)), 2, 2**31 - 1)
 
 
@@ -179,7 +178,8 @@ def decode(coded: DataFrame, ids_col: str = "piece_ids", model: str = MODEL) ->
     pieces = Pieces(coded.sparkSession, model)
     a, b = fresh(coded, "piece_texts", "piece_hexed")
     met = coded.crossJoin(F.broadcast(pieces.decoding.toDF(a, b)))  # one row
-    return met.withColumn("decoded", decoded(F.col(ids_col), F.col(a), F.col(b), pieces.zero)).drop(a, b)
+    raw = F.exists(ids_col, lambda i: (i >= pieces.zero) & (i < pieces.zero + 256))
+    return met.withColumn("decoded", decoded(F.col(ids_col), F.col(a), F.col(b), raw)).drop(a, b)
 
 
 class Paths:
@@ -208,8 +208,8 @@ def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
 
 
-def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None) -> pa.Array:
-    """The ids of each list of units; own has the units (h, ids) that known lacks."""
+def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int) -> pa.Array:
+    """ids of each list of units, and raw, whether byte pieces are among them; own has the units (h, ids) that known lacks."""
     h, sizes = flat_lists(hashes)
     at, there = known.find(h)
     n = np.zeros(len(h), np.int64)
@@ -227,7 +227,9 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None) -> pa.Array
     got = ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32)
     rows = np.concatenate([[0], np.cumsum(sizes)])
     offsets = np.concatenate([[0], ends])[rows]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got), mask=hashes.is_null() if hashes.null_count else None)
+    raw = np.diff(np.concatenate([[0], np.cumsum((got >= zero) & (got < zero + 256))])[offsets]) > 0
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got), mask=hashes.is_null() if hashes.null_count else None)
+    return pa.StructArray.from_arrays([lists, pa.array(raw)], names=["ids", "raw"])
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, costs: str = "zipf", head_words: int = 6_000_000) -> DataFrame:
@@ -254,14 +256,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
     shared = spark.sparkContext.broadcast(Paths(head.toArrow()))  # at most head_words
 
-    key, mark, hashes, own, k, m, texts, hexed = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed")
+    key, mark, hashes, own, k, m, texts, hexed, got = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed", "piece_got")
     made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))
     out = docs.withColumn(hashes, made)
     if all_known:
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array) -> pa.Array:
-            return joined_ids(shared.value, lists, None)
+            return joined_ids(shared.value, lists, None, zero)
 
         ids = looked_up(F.col(hashes))
     else:
@@ -279,12 +281,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         tails = checkpointed(tails).select(F.col("i").alias(k), F.col("m").alias(m), F.col("own").alias(own))
         out = out.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array, rare: pa.Array) -> pa.Array:
-            return joined_ids(shared.value, lists, rare)
+            return joined_ids(shared.value, lists, rare, zero)
 
         ids = looked_up(F.col(hashes), F.col(own))
-    out = out.withColumn("piece_ids", ids).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))
+    out = out.withColumn(got, ids).withColumn("piece_ids", F.col(got)["ids"]).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))
     out = out.crossJoin(F.broadcast(pieces.decoding.toDF(texts, hexed)))  # one row
-    out = out.withColumn("decoded", decoded(F.col("piece_ids"), F.col(texts), F.col(hexed), pieces.zero))
-    return out.drop(hashes, own, key, mark, k, m, texts, hexed)
+    out = out.withColumn("decoded", decoded(F.col("piece_ids"), F.col(texts), F.col(hexed), F.col(got)["raw"]))
+    return out.drop(hashes, own, key, mark, k, m, texts, hexed, got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,19 +32,32 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that a lost executor loses nothing.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (local tests) a temporary folder takes its place.
+    The folder is the session's spark.checkpoint.dir; only where that is unset a
+    temporary folder takes its place, and only for a local master.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, a table of a few numbers a row, to be broadcast if it has at most `most` rows; beyond that, a join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

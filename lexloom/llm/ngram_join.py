@@ -1,20 +1,21 @@
 """Jaccard join of n-gram sets over prefix trees.
 
-Each set is ordered globally: rare shingles by hash, then those that many
-sets hold. Two sets that link share a shingle of their prefixes. A first pass
-sends each set, as its text, to the first of its prefix shingles that others
-have too; there a trie of the sets is walked with shared partial overlaps,
-subtrees that can't reach the bound any more or are linked already are left
-out. Large groups are dealt into blocks for this. A second pass makes it exact:
-sets of different components that share prefix shingles are counted by pair,
-and those that can still reach the bound are verified. So copies of one text
-never meet pair by pair, and no link between components is lost.
+Each set is ordered globally: shingles of long words first (they are rare), those
+that many sets hold last, by their counts. Two sets that link share a shingle of
+their prefixes, and the first one they share leaves both enough of the rest to
+reach the bound. A first pass sends each set, as its text, to one of the prefix
+shingles that others have too; there a trie of the sets is walked with shared
+partial overlaps; subtrees that can't reach the bound any more or are linked
+already are left out. Large groups are dealt into blocks for this. A second pass
+makes it exact: sets of different components that share a prefix shingle, at
+places where the remaining lengths still reach the bound, are verified. So
+copies of one text never meet pair by pair, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have an empty set and link
 with nothing; fewer than n words are one shingle; equal sets are one node, so
 repeated rows share a component; a null id gets the component of its text;
-an empty table gives no rows; further columns don't matter. Shingles, and sets
-as nodes, are told apart by 64-bit hashes.
+an empty table gives no rows; further columns don't matter. Shingles are told
+apart by 57-bit hashes and their words' lengths, sets and texts by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,25 +25,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ascii_lower, checkpointed, space_words
+from lexloom.llm.common import ascii_lower, checkpointed, fresh, small, space_words
 from lexloom.llm.components import components
 
 
-def mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The distinct hashes of all runs of n words, from the words' hashes, in order."""
-    if not len(h):
+#: A shingle is one number: 5 bits that put long words first, and 57 bits of hash. Common ones come after all others.
+HASH_BITS, COMMON = 57, 1 << 62
+#: A word is one number: its length, at most 31, and 58 bits of hash.
+WORD_BITS = 58
+
+
+def word_codes(text: Column) -> Column:
+    lengths = lambda w: F.shiftleft(F.least(F.length(w), F.lit(31)).cast("long"), WORD_BITS)
+    return F.transform(space_words(ascii_lower(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << WORD_BITS) - 1)).bitwiseOR(lengths(w)))
+
+
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """The distinct runs of n words, ascending."""
+    if not len(words):
         return np.empty(0, np.int64)
-    h, n = h.view(np.uint64), min(n, len(h))
-    out = np.full(len(h) - n + 1, np.uint64(n))
+    h, n = words.view(np.uint64), min(n, len(words))
+    size = len(h) - n + 1
+    out, long = np.full(size, np.uint64(n)), np.zeros(size, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+        part = h[k : size + k]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + part
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
+        long += part >> np.uint64(WORD_BITS)
+    rank = np.uint64(31) - np.minimum(long * np.uint64(3) // np.uint64(n), np.uint64(31))
+    return np.unique((rank << np.uint64(HASH_BITS) | out >> np.uint64(64 - HASH_BITS)).view(np.int64))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -58,26 +74,42 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """s with its common shingles (common is sorted) as COMMON plus their ranks, ascending."""
     if not len(common) or not len(s):
         return s
-    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    return np.concatenate([s[~often], s[often]])
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    often = common[at] == s
+    return np.sort(np.where(often, COMMON + rank[at], s)) if often.any() else s
 
 
 class Trie:
-    """A trie of ordered sets as ranges of their sorted list, with the shingles of each edge."""
+    """A trie of ordered sets as ranges of their sorted list, with the shingles of each edge.
+
+    Shingles that no other set here has can't count in an overlap and are left
+    out, like sets whose others can't reach the bound; the most frequent come first.
+    """
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        """sets: ascending ranks in the global order."""
         self.percent = percent
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
-        self.keys = [sets[i] for i in self.order]
-        self.label = np.arange(len(sets))
-        self.root = self.build(0, len(sets), 0) if sets else None
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, -counts))] = np.arange(len(values))
+        at = np.cumsum([0, *map(len, sets)])
+        kept = {}
+        for i, s in enumerate(sets):
+            own = inverse[at[i] : at[i + 1]]
+            own = np.sort(rank[own[counts[own] > 1]])
+            if len(own) >= required(len(s), -(-percent * len(s) // 100), percent):
+                kept[i] = own
+        self.order = sorted(kept, key=lambda i: kept[i].astype(">i8").tobytes())
+        self.keys = [kept[i] for i in self.order]
+        self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
+        self.label = np.arange(len(self.order))
+        self.root = self.build(0, len(self.order), 0) if self.order else None
 
     def build(self, lo: int, hi: int, depth: int):
-        """(lo, hi, depth at the end, edge, least size, largest size, children); sets are sorted, so first and last tell what all share."""
+        """(lo, hi, depth at the end, edge, least size, longest key, children); keys are sorted, so first and last tell what all share."""
         stack, made = [(lo, hi, depth, None)], []
         while stack:
             lo, hi, depth, parent = stack.pop()
@@ -85,19 +117,18 @@ class Trie:
             m = min(len(a), len(b))
             differs = np.flatnonzero(a[depth:m] != b[depth:m])
             end = depth + int(differs[0]) if len(differs) else m
-            sizes = [len(k) for k in self.keys[lo:hi]]
-            node = (lo, hi, end, a[depth:end], min(sizes), max(sizes), [])
+            node = (lo, hi, end, a[depth:end], int(self.sizes[lo:hi].min()), max(len(k) for k in self.keys[lo:hi]), [])
             made.append(node)
             if parent is not None:
                 parent[6].append(node)
             if hi - lo > 1:
                 at = lo
-                while at < hi and len(self.keys[at]) <= end:  # sets that end here
+                while at < hi and len(self.keys[at]) <= end:  # keys that end here
                     at += 1
                 if at == hi:  # all of them are equal
                     continue
                 if at > lo:
-                    node[6].append((lo, at, end, a[:0], end, end, []))
+                    node[6].append((lo, at, end, a[:0], int(self.sizes[lo:at].min()), end, []))
                 start = at
                 for i in range(at + 1, hi + 1):
                     if i == hi or self.keys[i][end] != self.keys[start][end]:
@@ -109,55 +140,74 @@ class Trie:
         """Links (positions in sets) that connect all that link here, found one by one."""
         links: list[tuple[int, int]] = []
         for i in range(1, len(self.keys)):
-            x = self.keys[i]
+            x, size = self.keys[i], int(self.sizes[i])
             stack = [(self.root, 0, 0)]
             while stack:
-                (lo, hi, end, edge, least, most, children), overlap, gone = stack.pop()
+                (lo, hi, end, edge, least, longest, children), overlap, gone = stack.pop()
                 hi = min(hi, i)
-                if lo >= hi or (self.label[lo:hi] == self.label[i]).all():
+                if lo >= hi or overlap + min(longest - end + len(edge), len(x) - gone) < required(size, least, self.percent) or (self.label[lo:hi] == self.label[i]).all():
                     continue
                 if len(edge):
                     at = np.searchsorted(x, edge)
                     overlap += int((x[np.minimum(at, len(x) - 1)] == edge).sum())
                     gone = int(np.searchsorted(x, edge[-1], side="right"))
-                if overlap + min(most - end, len(x) - gone) < required(len(x), least, self.percent):
+                if overlap + min(longest - end, len(x) - gone) < required(size, least, self.percent):
                     continue
                 if children:
                     stack += [(c, overlap, gone) for c in children]
-                elif overlap >= required(len(x), most, self.percent):
+                else:
                     for j in range(lo, hi):
-                        if self.label[j] != self.label[i]:
+                        if self.label[j] != self.label[i] and overlap >= required(size, int(self.sizes[j]), self.percent):
                             links.append((self.order[j], self.order[i]))
                             self.label[self.label == self.label[i]] = self.label[j]
         return links
 
 
 def shingled(docs: DataFrame, n: int, id_col: str, text_col: str, make, schema: str) -> DataFrame:
-    """What make(ids, sets) yields for batches of documents and their shingle sets."""
-    hashed = docs.select(F.col(id_col).cast("long").alias("id"), F.transform(space_words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w)).alias("h"))
+    """What make yields for a stream of (ids, marks of texts, shingle sets) of batches of documents."""
+    hashed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), word_codes(F.col(text_col)).alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield make(pdf["id"].astype("Int64"), [mixed(np.asarray(h, dtype=np.int64), n) for h in pdf["h"]])
+        yield from make((pdf["id"].astype("Int64"), pdf["mark"], [shingles(np.asarray(h, dtype=np.int64), n) for h in pdf["h"]]) for pdf in batches)
 
     return hashed.mapInPandas(run, schema)
 
 
-def ranked(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
-    """The sets as ascending ranks: rare shingles by hash, then the common ones."""
-    values = np.unique(np.concatenate(sets))
-    last = np.isin(values, common, assume_unique=True)
-    rank = np.empty(len(values), np.int64)
-    rank[~last], rank[last] = np.arange((~last).sum()), np.arange((~last).sum(), len(values))
-    return [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
+def having(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts (t) of asked (id, mark), with asked's columns."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("own"), F.col(text_col).alias("t"))
+    return texts.join(small(asked), F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark"))).drop("doc", "own")
 
 
-def having(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
-    """The texts of asked ids, with asked's columns; asked is broadcast while it has at most max_broadcast rows."""
-    if asked.count() <= max_broadcast:
-        asked = F.broadcast(asked)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    return texts.join(asked, F.col("doc").eqNullSafe(F.col("id"))).drop("doc")
+def common_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, least_common: int, max_common: int, held: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks by count) of those that over least_common sets hold, at most max_common, as far as single tasks see them repeated.
+
+    They only order the sets: any choice gives the same links.
+    """
+
+    def repeated(stream) -> Iterator[pd.DataFrame]:
+        sets, size = [], 0
+
+        def counted() -> pd.DataFrame:
+            h, k = np.unique(np.concatenate(sets), return_counts=True)
+            return pd.DataFrame({"token": h[k > 1], "k": k[k > 1]})
+
+        for _, _, more in stream:
+            sets += more
+            size += sum(map(len, more))
+            if size >= held:
+                yield counted()
+                sets, size = [], 0
+        if sets:
+            yield counted()
+
+    counts = shingled(docs, n, id_col, text_col, repeated, "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).filter(F.col("k") > least_common)
+    often = counts.orderBy(F.desc("k"), "token").limit(max_common).toPandas()
+    token, k = often["token"].to_numpy(np.int64), often["k"].to_numpy(np.int64)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, k))] = np.arange(len(token))
+    order = np.argsort(token)
+    return token[order], rank[order]
 
 
 def cluster(
@@ -169,102 +219,93 @@ def cluster(
     least_common: int = 50,
     max_common: int = 1_000_000,
     block: int = 500,
-    max_broadcast: int = 500_000,
 ) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id.
+    """One row for each document: doc_id, n_shingles, component_id and mark (the 64-bit hash of its text).
 
-    Shingles in the prefixes of more than max(least_common, all prefix rows /
-    max_common) sets are ordered last; there are at most max_common of them,
-    and only they are broadcast.
+    At most max_common shingles, held by over least_common sets, are ordered
+    last by their counts; only they and tables of checked sizes are broadcast.
     """
     spark = docs.sparkSession
-
-    def firsts(ids, sets):
-        found = [s[: prefix_size(len(s), percent)] for s in sets if len(s)]
-        h, k = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return pd.DataFrame({"token": h, "k": k})
-
-    counts = checkpointed(shingled(docs, n, id_col, text_col, firsts, "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).filter(F.col("k") > least_common))
-    total = counts.agg(F.sum("k")).first()[0] or 0
-    often = counts.filter(F.col("k") > max(least_common, total // max_common)).select("token").toPandas()["token"]  # at most max_common
-    common = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64)))
-
-    def prefixes(ids, sets):
-        return pd.DataFrame(
-            {"id": ids, "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "prefix": [ordered(s, common.value)[: prefix_size(len(s), percent)] if len(s) else s for s in sets]}
-        )
-
-    every = checkpointed(shingled(docs, n, id_col, text_col, prefixes, "id bigint, node bigint, size bigint, prefix array<bigint>"))
-    sized = checkpointed(every.filter("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("id").alias("id")))
-    # copies are one node: only the first one's prefix is dealt out
-    firsts_only = every.filter("size > 0").join(sized.select("node", F.col("id").alias("rep")), "node").filter(F.col("id").eqNullSafe(F.col("rep")))
-    rows = firsts_only.dropDuplicates(["node"]).select("node", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = checkpointed(rows.join(shared, "token"))
-    keys = rows.groupBy("node").agg(F.min(F.struct(F.col("k") > block, "token", "k")).alias("key")).select("node", "key.token", "key.k")
-
-    # each set that shares a shingle goes to the first of them, as text: shingles don't compress
-    asked = checkpointed(keys.join(sized.select("node", "id"), "node").select("node", "id", "token", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("k") / block).cast("long")).alias("part")))
-    dealt = having(docs, asked, id_col, text_col, max_broadcast).repartition("token", "part")
-    dealt = dealt.select("token", "part", "node", F.transform(space_words(ascii_lower(F.col("t"))), lambda w: F.xxhash64(w)).alias("h"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, n, id_col, text_col, least_common, max_common))
+
+    def prefixes(stream) -> Iterator[pd.DataFrame]:
+        for ids, marks, sets in stream:
+            sets = [ordered(s, *common.value) for s in sets]
+            yield pd.DataFrame({"id": ids, "mark": marks, "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "prefix": [s[: prefix_size(len(s), percent)] if len(s) else s for s in sets]})
+
+    every = checkpointed(shingled(docs, n, id_col, text_col, prefixes, "id bigint, mark bigint, node bigint, size bigint, prefix array<bigint>"))
+    nodes = every.filter("size > 0").groupBy("node").agg(F.min(F.struct("id", "mark", "size")).alias("first")).select("node", "first.*")
+
+    # prefix shingles that other sets of a fitting size have too; rows of one shingle come in the order of sizes
+    fits = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
+    rows = every.filter("size > 0").select("node", "size", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    rows = rows.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
+    by_size = Window.partitionBy("token").orderBy("size", "node")
+    near = rows.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
+    near = near.filter(fits(F.col("below"), F.col("size")) | fits(F.col("above"), F.col("size"))).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    rows = checkpointed(near.select("token", "node", "size", "pos", "k"))
+
+    # each set that shares a shingle goes to the one that most sets share, up to a block, as text: shingles don't compress
+    best = F.max(F.struct(F.col("k") <= block, F.when(F.col("k") <= block, F.col("k")).otherwise(-F.col("k")).alias("much"), (-F.col("token")).alias("token"), "k")).alias("key")
+    keys = rows.groupBy("node").agg(best).select("node", (-F.col("key.token")).alias("token"), F.col("key.k").alias("k"))
+    asked = checkpointed(keys.join(nodes, "node").select("id", "mark", "token", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("k") / block).cast("long")).alias("part")))
+    dealt = having(docs, asked, id_col, text_col).repartition("token", "part").select("token", "part", word_codes(F.col("t")).alias("h"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = {}
-        for node, h in zip(pdf["node"].tolist(), pdf["h"]):
-            s = mixed(np.asarray(h, dtype=np.int64), n)
-            if len(s) and node_of(s) == node:  # an id may have several texts
-                got[node] = s
+        sets = [ordered(shingles(np.asarray(h, dtype=np.int64), n), *common.value) for h in pdf["h"]]
+        got = {node_of(s): s for s in sets}
         names = list(got)
-        links = Trie(ranked(list(got.values()), common.value), percent).join() if len(names) > 1 else []
+        links = Trie(list(got.values()), percent).join() if len(names) > 1 else []
         return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"], dtype="int64")
 
     links = checkpointed(dealt.groupBy("token", "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct())
     first = components(links)
 
-    # what the blocks didn't show: shingles shared by sets of different components
-    placed = checkpointed(rows.select("token", "node").join(sized.select("node", "size"), "node").join(first, "node", "left").select("token", "node", "size", F.coalesce("comp", "node").alias("comp")))
-    comps = placed.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    # what the blocks didn't show: shingles shared by sets of different components, where the rest still reaches the bound
+    placed = rows.join(first, "node", "left").select("token", "node", "size", (F.col("size") - F.col("pos")).alias("rest"), F.coalesce("comp", "node").alias("comp"))
+    placed = checkpointed(placed)
+    comps = placed.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"))
     several = comps.groupBy("token").agg(F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1").select("token")
     comps = checkpointed(comps.join(several, "token"))
+    needed = lambda x, y: F.ceil(percent * (x + y) / (100 + percent))
     x, y = comps.alias("x"), comps.alias("y")
-    near = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-    met_comps = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & near).select("x.token", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    left = met_comps.join(placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na")), ["token", "ca"])
-    right = placed.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"))
-    sizes_fit = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    pairs = left.join(right, ["token", "cb"]).filter(sizes_fit).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    # besides the prefix shingles that both have, the set whose prefix ends first can share what follows its prefix
-    rest = lambda size: F.ceil(percent * F.col(size) / 100) - 1
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = checkpointed(pairs.filter(F.col("both") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b"))
+    meet = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo")) & (F.least("x.rest", "y.rest") >= needed(F.col("x.lo"), F.col("y.lo")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & meet).select("x.token", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+    left = met.join(placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra")), ["token", "ca"])
+    right = placed.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    reach = fits(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= needed(F.col("na"), F.col("nb")))
+    pairs = checkpointed(left.join(right, (left["token"] == right["token"]) & (left["cb"] == right["cb"]) & reach).select("a", "b").distinct())
 
     @F.pandas_udf("boolean")
     def linked(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(u, v, assume_unique=True)) >= required(len(u), len(v), percent) for u, v in zip(p, q)], dtype=bool)
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = checkpointed(ends.join(sized.select("node", "id"), "node"))
+    ends = checkpointed(ends.join(nodes, "node").select("id", "mark"))
 
-    def whole(ids, sets):
-        return pd.DataFrame({"node": [node_of(s) for s in sets], "s": sets})
+    def whole(stream) -> Iterator[pd.DataFrame]:
+        for _, _, sets in stream:
+            sets = [ordered(s, *common.value) for s in sets]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "s": sets})
 
-    sets = shingled(having(docs, ends, id_col, text_col, max_broadcast), n, "id", "t", whole, "node bigint, s array<bigint>")
-    sets = checkpointed(sets.dropDuplicates(["node"]))
+    sets = checkpointed(shingled(having(docs, ends, id_col, text_col), n, "id", "t", whole, "node bigint, s array<bigint>").dropDuplicates(["node"]))
     checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     more = checked.filter(linked("sa", "sb")).select("a", "b")
     labels = components(links.union(more))
 
-    named = every.select("id", "node", "size").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = checkpointed(named.select("id", "node", "size", "comp"))
+    named = every.select("id", "mark", "node", "size").join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = checkpointed(named.select("id", "mark", "size", "comp"))
     least = named.filter("size > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.filter("size > 0").join(least, "comp").select("id", "size", "least").union(named.filter("size = 0").select("id", "size", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
+    out = named.filter("size > 0").join(least, "comp").select("id", "mark", "size", "least").union(named.filter("size = 0").select("id", "mark", "size", "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("least").alias("component_id"), "mark")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with their own columns, less all but the smallest id of each component.
+    """The documents, with their own columns, less all texts but those of the smallest id of each component.
 
-    Rows with a null id stay; rows that share the kept id all stay.
+    Rows with a null id stay; rows of the kept id all stay, repeated ones too. A
+    row goes by its id and text, so that another text of the same id is judged by itself.
     """
-    gone = cluster(docs, n, percent, id_col, text_col, **options).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), docs[id_col] == F.col("_gone_id"), "left_anti")
+    i, m = fresh(docs, "gone_id", "gone_mark")
+    gone = cluster(docs, n, percent, id_col, text_col, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct()
+    return docs.join(small(checkpointed(gone)), (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(F.col(text_col)) == F.col(m)), "left_anti")

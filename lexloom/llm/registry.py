@@ -52,7 +52,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+    return ngram_join.cluster(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -270,18 +270,32 @@ def cluster(
     needed = lambda x, y: F.ceil(percent * (x + y) / (100 + percent))
     x, y = comps.alias("x"), comps.alias("y")
     meet = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo")) & (F.least("x.rest", "y.rest") >= needed(F.col("x.lo"), F.col("y.lo")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & meet).select("x.token", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    left = met.join(placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra")), ["token", "ca"])
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & meet)
+    met = met.select(F.col("x.token").alias("t"), F.col("x.comp").alias("c"), F.col("y.comp").alias("cb"), F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"), F.col("y.rest").alias("most"))
+    own = placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    # a node that reaches the bound with some size of the other component
+    lowest = F.greatest("lo", F.ceil(percent * F.col("na") / 100))
+    can = (lowest <= F.col("hi")) & (100 * F.col("na") >= percent * F.col("lo")) & (F.least("ra", "most") >= needed(F.col("na"), lowest))
+    left = met.join(own, (F.col("t") == F.col("token")) & (F.col("c") == F.col("ca")) & can).select("token", "cb", "a", "na", "ra")
     right = placed.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
     reach = fits(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= needed(F.col("na"), F.col("nb")))
-    pairs = checkpointed(left.join(right, (left["token"] == right["token"]) & (left["cb"] == right["cb"]) & reach).select("a", "b").distinct())
+    pairs = checkpointed(left.join(right, (left["token"] == right["token"]) & (left["cb"] == right["cb"]) & reach).select("a", "na", "b", "nb").distinct())
+
+    # besides the prefix shingles that both have, the set whose prefix ends first can share what follows its prefix
+    of_pairs = lambda: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    named = small(of_pairs().join(nodes, "node").select(F.col("id").alias("i"), F.col("mark").alias("m"), "node"))
+    lists = every.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")) & (every["node"] == named["node"])).select(every["node"], "prefix").dropDuplicates(["node"])
+    lists = checkpointed(lists)
+    after = lambda size: F.ceil(percent * F.col(size) / 100) - 1
+    shared = F.size(F.array_intersect("pa", "pb")) + F.greatest(after("na"), after("nb"))
+    met = pairs.join(lists.select(F.col("node").alias("a"), F.col("prefix").alias("pa")), "a").join(lists.select(F.col("node").alias("b"), F.col("prefix").alias("pb")), "b")
+    pairs = checkpointed(met.filter(shared >= needed(F.col("na"), F.col("nb"))).select("a", "b"))
 
     @F.pandas_udf("boolean")
     def linked(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(u, v, assume_unique=True)) >= required(len(u), len(v), percent) for u, v in zip(p, q)], dtype=bool)
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = checkpointed(ends.join(nodes, "node").select("id", "mark"))
+    ends = checkpointed(of_pairs().join(nodes, "node").select("id", "mark"))
 
     def whole(stream) -> Iterator[pd.DataFrame]:
         for _, _, sets in stream:

@@ -182,18 +182,32 @@ def decode(coded: DataFrame, ids_col: str = "piece_ids", model: str = MODEL) ->
     return met.withColumn("decoded", decoded(F.col(ids_col), F.col(a), F.col(b), raw)).drop(a, b)
 
 
-class Paths:
-    """Units' hashes in order, with their ids one after another."""
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, ids) of a partition as one row of numbers: hashes, lengths, ids."""
+    batches = list(batches)
+    if batches:
+        h = np.concatenate([x.column(0).to_numpy() for x in batches])
+        ids, sizes = (np.concatenate(x) for x in zip(*(flat_lists(x.column(1)) for x in batches), strict=True))
+        sizes, ids = (x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (sizes, ids))
+        row = [h.tobytes(), sizes.itemsize, sizes.tobytes(), ids.itemsize, ids.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["h", "a", "sizes", "b", "ids"])
+
 
-    def __init__(self, table: pa.Table):
-        h = table.column("h").to_numpy()
-        order = np.argsort(h)
-        ids = table.column("ids").combine_chunks().take(pa.array(order))
-        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+class Paths:
+    """Units' hashes in order, with the places of their ids."""
+
+    def __init__(self, coded: DataFrame):
+        # one partition after another, some 16 bytes a unit
+        rows = list(coded.mapInArrow(packed, "h binary, a bigint, sizes binary, b bigint, ids binary").toLocalIterator())
+        gather = lambda name, width: np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(r[name], f"u{r[width]}") for r in rows)])
+        h = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["h"], np.int64) for r in rows)])
+        sizes = gather("sizes", "a")
+        self.ids = gather("ids", "b")
+        del rows
+        order = np.argsort(h).astype(np.uint32)
         self.h = h[order]
-        self.ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.uint32)
-        flat = ids.flatten().to_numpy()
-        self.ids = flat.astype(np.min_scalar_type(int(flat.max(initial=0))))
+        self.sizes = sizes[order]
+        self.starts = (np.cumsum(sizes, dtype=np.uint32) - sizes).astype(np.uint32)[order]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, whether there)."""
@@ -213,8 +227,9 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int)
     h, sizes = flat_lists(hashes)
     at, there = known.find(h)
     n = np.zeros(len(h), np.int64)
-    n[there] = np.diff(known.ends.astype(np.int64))[at[there]]
-    start, ids = np.where(there, known.ends[at].astype(np.int64) if len(known.h) else 0, 0), known.ids
+    n[there] = known.sizes[at[there]]
+    start, ids = np.zeros(len(h), np.int64), known.ids
+    start[there] = known.starts[at[there]]
     if not there.all():
         extra = own.flatten()
         more, counts = flat_lists(extra.field("ids"))
@@ -254,7 +269,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         cut, taken = row["k"], taken + row["n"]
     all_known = not histogram or cut == histogram[-1]["k"]
     head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
-    shared = spark.sparkContext.broadcast(Paths(head.toArrow()))  # at most head_words
+    shared = spark.sparkContext.broadcast(Paths(head))  # at most head_words
 
     key, mark, hashes, own, k, m, texts, hexed, got = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed", "piece_got")
     made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))

@@ -1,19 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs are summed over all training texts, those seen
-once included. A count c is kept as 1 + floor(log2 c) entries (n-gram, level)
+once included. A pair's count c is kept as 1 + floor(2 log2 c) entries (pair, level)
 of a Bloom filter, so a count is read by probing level after level until one
-is missing. The filter lies in slices by the n-grams' hashes, whose number
-follows the training tokens, so that one slice is small at any size. Texts are
-dealt into blocks; a block asks each slice once for its different n-grams there,
-and the answers meet the block again. A pair's probability is its count
-smoothed with the word's own: (c(vw) + mu * p(w)) / (c(v) + mu).
-
-The base score needs exact counts, which come back with the answers.
+is missing; it stands for the least count of its level. The filter lies in slices
+by the n-grams' hashes, whose number follows the training tokens, so that one
+slice is small at any size; it grows with the corpus and isn't broadcast whole.
+Texts are dealt into blocks; a block asks each slice once for its different
+n-grams there, and the answers meet the block again.
+
+A pair's probability is its count smoothed with the word's own:
+(c(vw) + mu * p(w)) / (c(v) + mu), where p(w) is the base probability. A count read
+from the filter isn't above the true one (or c(v)), so that the probabilities after
+a word sum to 1 at most. The base score needs exact counts of words, which come
+back with the answers.
 
 Defined cases: a null or empty text is one end token; a null id counts as
 training; repeated rows get a row each; without training tokens all counts
-are 0; further columns don't matter. Words are told apart by 64-bit hashes.
+are 0; further columns don't matter. Words are told apart by 64-bit hashes,
+pairs by 40 bits within their slice.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ END = np.int64(-1)
 SLICE_BITS = 1 << 23
 BLOCK_TOKENS = 600_000
 PROBES = 3
-LEVELS = 40
+LEVELS = 80
+#: Bits that tell a slice's pairs apart.
+PAIR_BITS = 40
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,12 +61,13 @@ def places(h: np.ndarray, level: int, probe: int) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    """Two levels for each doubling."""
+    return 1 + np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
 def estimate(level: np.ndarray) -> np.ndarray:
-    """The geometric middle of a level's counts: 1 for the first, then 1.4 times its lower edge."""
-    return np.where(level > 1, 1.4 * 2.0 ** (level - 1.0), np.where(level == 1, 1.0, 0.0))
+    """The least count of a level."""
+    return np.where(level > 0, np.ceil(2.0 ** ((level - 1) / 2)), 0.0)
 
 
 def slice_of(h: np.ndarray, n_slices: int) -> np.ndarray:
@@ -112,6 +120,23 @@ def pairs_of(tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pair_hash(words[pairs // len(words)], words[pairs % len(words)]), inverse, before
 
 
+def by_slice(words: np.ndarray, pairs: np.ndarray, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): a block's words and pairs by slice, words first, pairs by their bits there."""
+    at = np.append(slice_of(words, n_slices), slice_of(pairs, n_slices))
+    order = np.lexsort((np.append(np.full(len(words), -1), pairs & ((1 << PAIR_BITS) - 1)), at))
+    return order, np.searchsorted(at[order], np.arange(n_slices + 1))
+
+
+def short(pairs: np.ndarray) -> bytes:
+    """Ascending numbers of PAIR_BITS bits: how many have each top byte, then their low 32 bits."""
+    return np.bincount(pairs >> 32, minlength=1 << (PAIR_BITS - 32)).astype(np.uint32).tobytes() + pairs.astype(np.uint32).tobytes()
+
+
+def long(b: bytes) -> np.ndarray:
+    tops = np.frombuffer(b, np.uint32, 1 << (PAIR_BITS - 32)).astype(np.int64)
+    return (np.repeat(np.arange(len(tops)), tops) << 32) + np.frombuffer(b, np.uint32, offset=4 * len(tops)).astype(np.int64)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 8.0, block_tokens: int = BLOCK_TOKENS, slice_tokens: int = SLICE_BITS // 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     words_of = space_words(ascii_lower(F.col(text_col)))
@@ -148,59 +173,57 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     n_slices = max(1, -(-total // slice_tokens))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block's different n-grams in each slice, words before pairs, with their counts in its training texts."""
+        """A block's different words and pairs in each slice, with their counts in its training texts."""
         for pdf in batches:
             for block, words, tokens, flags, lengths in zip(pdf["block"], pdf["words"], pdf["tokens"], pdf["flags"], pdf["lengths"]):
                 words, tokens = np.frombuffer(words, np.int64), unpacked(tokens)
                 pairs, inverse, _ = pairs_of(tokens, words)
                 train = np.repeat(np.frombuffer(flags, np.uint8) & 1 == 0, np.frombuffer(lengths, np.int32))
                 k = np.append(np.bincount(tokens[train], minlength=len(words)), np.bincount(inverse[train], minlength=len(pairs)))
-                g = np.append(words, pairs)
-                at = slice_of(g, n_slices)
-                order = np.argsort(at, kind="stable")
-                ends = np.searchsorted(at[order], np.arange(n_slices + 1))
+                order, starts = by_slice(words, pairs, n_slices)
                 rows = []
-                for s in np.flatnonzero(np.diff(ends)):
-                    own = order[ends[s] : ends[s + 1]]
-                    rows.append((block, int(s), int((own < len(words)).sum()), g[own].tobytes(), packed(k[own])))
-                yield pd.DataFrame(rows, columns=["block", "slice", "n", "g", "k"])
+                for s in np.flatnonzero(np.diff(starts)):
+                    own = order[starts[s] : starts[s + 1]]
+                    n = int((own < len(words)).sum())
+                    rows.append((block, int(s), n, words[own[:n]].tobytes(), short(pairs[own[n:] - len(words)] & ((1 << PAIR_BITS) - 1)), packed(k[own])))
+                yield pd.DataFrame(rows, columns=["block", "slice", "n", "words", "pairs", "k"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The levels of all n-grams and the exact counts of words asked for in a slice, and a row (block -1) of what all its words add up to."""
-        g, k = np.frombuffer(b"".join(pdf["g"]), np.int64), np.concatenate([unpacked(x) for x in pdf["k"]])
-        sizes = np.array([len(x) // 8 for x in pdf["g"]])
-        ends = np.cumsum(sizes)
-        word = np.arange(len(g)) - np.repeat(ends - sizes, sizes) < np.repeat(pdf["n"].to_numpy(), sizes)
-        own, inverse = np.unique(g, return_inverse=True)
-        counts = np.bincount(inverse, weights=k, minlength=len(own)).astype(np.int64)
-        seen = counts > 0
-        found = Filter({0: build_slice(own[seen], counts[seen])}, 1).levels(own)
-        words = np.unique(inverse[word])
-        words = words[seen[words]]
-        rows = [(-1, int(pdf["slice"].iloc[0]), None, None, len(words), float(estimate(levels(counts[words])).sum()))]
-        for b, s, n, size, end in zip(pdf["block"], pdf["slice"], pdf["n"], sizes, ends):
-            at = inverse[end - size : end]
-            rows.append((b, s, packed(found[at]), packed(counts[at[:n]]), 0, 0.0))
-        return pd.DataFrame(rows, columns=["block", "slice", "levels", "counts", "words", "estimates"])
-
-    asked = dealt.select("block", "words", "tokens", "flags", "lengths").mapInPandas(ask, "block bigint, slice bigint, n int, g binary, k binary")
-    answers = checkpointed(asked.groupBy("slice").applyInPandas(answer, "block bigint, slice bigint, levels binary, counts binary, words bigint, estimates double"))
-    vocabulary, estimates = answers.filter("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("estimates"), F.lit(0.0))).first()
+        """The levels of all pairs and the exact counts of words asked for in a slice, and a row (block -1) with the number of its training words."""
+        sides = {"words": [np.frombuffer(x, np.int64) for x in pdf["words"]], "pairs": [long(x) for x in pdf["pairs"]]}
+        k = [unpacked(x) for x in pdf["k"]]
+        n = pdf["n"].tolist()
+        told = {}
+        for side, lists in sides.items():
+            own, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([x[:m] if side == "words" else x[m:] for x, m in zip(k, n)]), minlength=len(own)).astype(np.int64)
+            seen = counts > 0
+            if side == "pairs":
+                values = Filter({0: build_slice(own[seen], counts[seen])}, 1).levels(own)
+            else:
+                values, vocabulary = counts, int(seen.sum())
+            ends = np.cumsum([len(x) for x in lists])[:-1]
+            told[side] = np.split(values[inverse], ends)
+        rows = [(-1, int(pdf["slice"].iloc[0]), None, None, vocabulary)]
+        rows += [(b, s, packed(x), packed(y), 0) for b, s, x, y in zip(pdf["block"], pdf["slice"], told["pairs"], told["words"])]
+        return pd.DataFrame(rows, columns=["block", "slice", "levels", "counts", "words"])
+
+    asked = dealt.select("block", "words", "tokens", "flags", "lengths").mapInPandas(ask, "block bigint, slice bigint, n int, words binary, pairs binary, k binary")
+    answers = checkpointed(asked.groupBy("slice").applyInPandas(answer, "block bigint, slice bigint, levels binary, counts binary, words bigint"))
+    vocabulary = answers.filter("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     whole = total + 0.1 * (vocabulary + 1)
-    classes = estimates + 0.1 * (vocabulary + 1)
 
     def score(blocks: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own, got = blocks.iloc[0], got.sort_values("slice")
         words, tokens = np.frombuffer(own["words"], np.int64), unpacked(own["tokens"])
         flags, lengths = np.frombuffer(own["flags"], np.uint8), np.frombuffer(own["lengths"], np.int32)
         pairs, inverse, before = pairs_of(tokens, words)
-        order = np.argsort(slice_of(np.append(words, pairs), n_slices), kind="stable")
-        level, counts = np.empty(len(order), np.int64), np.empty(len(words), np.int64)
-        level[order] = np.concatenate([unpacked(x) for x in got["levels"]])
+        order, _ = by_slice(words, pairs, n_slices)
+        level, counts = np.empty(len(pairs), np.int64), np.empty(len(words), np.int64)
+        level[order[order >= len(words)] - len(words)] = np.concatenate([unpacked(x) for x in got["levels"]])
         counts[order[order < len(words)]] = np.concatenate([unpacked(x) for x in got["counts"]])
-        stands = estimate(level)
-        c1, c2 = stands[: len(words)], stands[len(words) :]
-        p2 = (c2[inverse] + mu * ((c1 + 0.1) / classes)[tokens]) / (c1[before] + mu)
+        base, context = ((counts + 0.1) / whole)[tokens], counts[before]
+        smoothed = (np.minimum(estimate(level)[inverse], context) + mu * base) / (context + mu)
         starts = np.cumsum(lengths) - lengths
         summed = lambda v: np.add.reduceat(v, starts)
         return pd.DataFrame(
@@ -210,8 +233,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 "n_tokens": lengths.astype(np.int64),
                 "n_known": summed((counts > 0).astype(np.int64)[tokens]),
                 "train_tokens": total,
-                "base_score": summed(np.log10((counts + 0.1) / whole)[tokens]),
-                "score": summed(np.log10(np.minimum(p2, 1.0))),
+                "base_score": summed(np.log10(base)),
+                "score": summed(np.log10(smoothed)),
             }
         ).assign(doc_id=lambda d: d["doc_id"].mask(flags & 2 == 2))
 

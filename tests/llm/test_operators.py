@@ -188,14 +188,17 @@ def test_pairs_seen_once_count(spark):
             one[w], two[v, w] = one.get(w, 0) + 1, two.get((v, w), 0) + 1
     assert 1 in two.values() and held
     stands = lambda c: float(lm_scoring.estimate(lm_scoring.levels(np.array([c])))[0]) if c else 0.0
-    classes = sum(map(stands, one.values())) + 0.1 * (len(one) + 1)
+    whole = sum(one.values()) + 0.1 * (len(one) + 1)
+    p1 = lambda w: (one.get(w, 0) + 0.1) / whole
     for options in ({}, {"block_tokens": 90, "slice_tokens": 100}):
         got = by_id(lm_scoring.lm_scores(df, **options))
         for i, t in ended.items():
-            p = [(stands(two.get((v, w), 0)) + 8 * (stands(one.get(w, 0)) + 0.1) / classes) / (stands(one.get(v, 0)) + 8) for v, w in zip(t, t[1:])]
-            base = sum(np.log10((one.get(w, 0) + 0.1) / (sum(one.values()) + 0.1 * (len(one) + 1))) for w in t[1:])
-            assert got[i][0]["score"] == pytest.approx(sum(np.log10(np.minimum(p, 1.0)))), i
-            assert got[i][0]["base_score"] == pytest.approx(base) and got[i][0]["n_known"] == sum(w in one for w in t[1:])
+            p = [(stands(two.get((v, w), 0)) + 8 * p1(w)) / (one.get(v, 0) + 8) for v, w in zip(t, t[1:])]
+            assert got[i][0]["score"] == pytest.approx(sum(np.log10(p))), i
+            assert got[i][0]["base_score"] == pytest.approx(sum(np.log10(p1(w)) for w in t[1:])) and got[i][0]["n_known"] == sum(w in one for w in t[1:])
+    # what follows a word has a probability of 1 at most
+    for v in [*one][:20]:
+        assert sum((stands(two.get((v, w), 0)) + 8 * p1(w)) / (one[v] + 8) for w in one) <= 1
 
 
 def test_article_in_named_wrappers():

@@ -138,7 +138,7 @@ def test_deep_shallow_sorts():
 def test_many_contexts_as_few():
     r = random.Random(4)
     pool = [bytes(r.choice(b"xy") for _ in range(163)) for _ in range(4)]
-    contexts = [(x[:63], x[63:]) for x in (bytearray(r.choice(pool)) for _ in range(30)) if not x.__setitem__(r.randrange(163), 122)]
+    contexts = [(x[:63], x[100:]) for x in (bytearray(r.choice(pool)) for _ in range(60)) if not x.__setitem__(r.randrange(163), 122)]
     few, many = suffix_dedup.covered(contexts, 100, few=99), suffix_dedup.covered(contexts, 100, few=1)
     assert [suffix_dedup.merged(x) for x in few] == [suffix_dedup.merged(x) for x in many]
 
@@ -228,3 +228,11 @@ def test_many_contexts_of_an_anchor_by_strings(spark):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         assert [g[i][0]["kept"] for g in got] == [kept, kept], i
     assert any(g["n_removed"] for rows in got[0].values() for g in rows)
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(words(80, 11))
+    rows = [(1, text), (1, text), (2, "x " + text + " y"), (3, text[:300]), (3, text[100:500])]
+    got = by_id(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [r["n_removed"] for r in got[1]] == [0, 0] and got[2][0]["kept"] == b"x  y"
+    assert [r["n_removed"] for r in got[3]] == [300, 400 if len(text) >= 500 else len(text) - 100]

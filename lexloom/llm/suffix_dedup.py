@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import checkpointed, small
 
 WINDOW = 64
-MANY = 2_000
+MANY = 10_000
 #: Bytes hashed at once, and rows broadcast at most where they hold lists.
 BUFFER, LISTS = 1 << 19, 300_000
 LOWEST = -(2**63)
@@ -246,18 +246,22 @@ def parted(work: DataFrame, length: int, many: int) -> tuple[DataFrame, list[Dat
                     rows.append((g, i, tie, pos, x, r, 0, 0, 2, a, x[-1 - a]))
             yield pd.DataFrame(rows, columns=["g", "id", "tie", "pos", "l", "r", "x", "y", "side", "at", "byte"])
 
+    settled = None
     while True:
         big = checkpointed(work.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "tie", "pos")).alias("p")).filter(F.col("k") > many).select("g", "p"))
         if big.isEmpty():
-            return work, found
+            return work if settled is None else settled.union(work), found
+        calm = work.join(small(big.select("g")), "g", "left_anti")
+        settled = calm if settled is None else settled.union(calm)
         here = F.struct("id", "tie", "pos") == F.col("p")
         hot = work.join(small(big), "g")
-        pivots = checkpointed(hot.filter(here).select("g", F.col("l").alias("pl"), F.col("r").alias("pr")))
+        pivots = checkpointed(hot.filter(here).select("g", F.col("l").alias("pl"), F.col("r").alias("pr")).dropDuplicates(["g"]))
         moved = hot.filter(~here).drop("p").join(small(pivots), "g").mapInPandas(part, "g bigint, id bigint, tie int, pos bigint, l binary, r binary, x bigint, y bigint, side int, at int, byte int")
         moved = checkpointed(moved)
         found.append(moved.filter("side = 0").select("id", "tie", "x", "y"))
         split = moved.filter("side > 0").select(F.xxhash64("g", "side", "at", "byte").alias("g"), "id", "tie", "pos", "l", "r")
-        work = checkpointed(work.join(small(big.select("g")), "g", "left_anti").union(split))
+        alone = Window.partitionBy("g")
+        work = checkpointed(split.withColumn("k", F.count(F.lit(1)).over(alone)).filter("k > 1").drop("k"))
 
 
 def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, many: int = MANY) -> tuple[DataFrame, DataFrame]:

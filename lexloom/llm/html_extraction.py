@@ -1,14 +1,22 @@
-"""Main text of web pages by equivalence classes of their tags.
-
-Tags with the same occurrence vector over the pages of a host form a class; a
-class valid for the host (each tag once on nearly every page) belongs to the
-template, and classes nest by their paths. The slots of the template hold a
-page's own text: the slot of an article (or main) element if there is one,
-or else all slots that are no menus, notices and the like, less text blocks
-that the host repeats.
-
-Vectors are sums of page hashes, so that Spark adds them up before its
-shuffle, however many pages a host has.
+"""Main text of web pages by equivalence classes of their elements.
+
+Elements (their paths of tags and classes) with the same occurrence vector over
+the different pages of a host form a class; a class valid for the host (each
+element once on nearly every page) belongs to its template, and valid elements nest by
+their paths. What lies in a template element and in none below it is a slot. Spark
+adds up how much text and how much of it in links each slot holds on all pages
+of the host; the slot of most text outside links is the main one. It stands for the
+article or main element around it, if there is one (slots in such elements come before others), or else for itself and all
+slots of at least `least` of its text that aren't mostly links. A page without
+the host's main slot is judged by its own elements.
+
+Within these, elements of tags for menus, headers, footers, sidebars, forms,
+scripts and styles go, and elements one of whose class names (or id or role) is, as
+a whole, a word for notices, adverts, comments and the like, unless they hold most
+of what is kept.
+
+Vectors are sums of hashes of pages, so that Spark adds them up before its
+shuffle, however many pages a host has; copies of a page count once.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host
 of its own; repeated rows get a row each; an empty table gives no rows.
@@ -16,206 +24,212 @@ of its own; repeated rows get a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed
+from lexloom.llm.common import checkpointed, small
+
+BLOCKS = set(
+    "html body article main section div nav header footer aside form ul ol table p h1 h2 h3 h4 h5 h6 li dl dt dd tr td th thead tbody tfoot caption blockquote pre figure figcaption hr title head address fieldset details summary".split()
+)
+DROPPED = set("script style noscript template nav footer aside form head header button select textarea iframe svg dialog".split())
+VOID = set("br hr img meta link input area base col embed source track wbr".split())
+#: An open element of these ends where another of its group begins.
+SAME = [{"p"}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}]
+NAMES = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies menu nav navbar navigation newsletter notice notices popup promo related share sidebar social sponsor sponsored".split())
+#: Templates broadcast at most.
+HOSTS = 20_000
 
-CONTAINERS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "table"}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dl", "dt", "dd", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "hr", "title", "head"}
-DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "header", "button", "select", "textarea", "iframe", "svg", "dialog"}
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|notice|sidebar|menu|nav(?:s|bar|igation|menu|list)?|comments?|share|social|promo\w*|sponsor\w*|breadcrumbs?|footer|header|related|newsletter|popup)(?:$|[\s_-])", re.I)
-#: States of a layout, not kinds of content.
-STATE = re.compile(r"(?:no|has|with|without)[_-]", re.I)
-NAMED, FULLY_NAMED, BY_TAG = 1, 2, 3
-VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
+class Element:
+    """An open element: its path, and whether its tag or its names tell that it's no article text."""
 
-class Node:
-    """An open container: why it may be noise, and how much text it holds."""
+    __slots__ = ("tag", "path", "above", "by_tag", "named", "size")
 
-    def __init__(self, tag: str, path: str, above: "Node | None", cause: int):
-        self.tag, self.path, self.above, self.cause, self.size = tag, path, above, cause, 0
+    def __init__(self, tag: str, names: dict, above: "Element | None"):
+        self.tag, self.above, self.size = tag, above, 0
+        self.path = f"{above.path if above else ''}/{tag}" + "".join(f".{c}" for c in (names.get("class") or "").split())
+        whole = tag in ("html", "body", "article", "main")
+        self.by_tag = tag in DROPPED
+        self.named = not whole and any(x.lower() in NAMES for k in ("class", "id", "role") for x in (names.get(k) or "").split())
+
+    def around(self) -> Iterator["Element"]:
+        node: Element | None = self
+        while node is not None:
+            yield node
+            node = node.above
 
 
-def noise_of(tag: str, names: dict) -> int:
-    if tag in DROPPED:
-        return NAMED if tag == "form" else BY_TAG  # whole pages lie in forms
-    if tag in ("html", "body", "article", "main"):
-        return 0
-    labels = [x for k in ("class", "id", "role") for x in (names.get(k) or "").split() if not STATE.match(x)]
-    found = [m for m in map(NOISE.search, labels) if m]
-    return FULLY_NAMED if any(m[0] == m.string for m in found) else NAMED if found else 0
+def dropped(node: Element) -> bool:
+    """Whether a tag around says that this is no article text; a form around an article says nothing, as whole pages lie in forms."""
+    article = False
+    for e in node.around():
+        if e.by_tag and not (article and e.tag == "form"):
+            return True
+        article = article or e.tag in ("article", "main")
+    return False
 
 
 class Page(HTMLParser):
-    """Blocks (path, dropped, text) of a page and how often each container path opens."""
+    """The text blocks of a page, each with its element and its characters in links, and how often each path opens."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[Node] = []
-        self.paths: Counter = Counter()
-        self.found: list[tuple[Node | None, str]] = []
-        self.parts: list[str] = []
+        self.open: list[Element] = []
+        self.times: dict[str, int] = {}
+        self.blocks: list[tuple[Element | None, str, int]] = []
+        self.parts: list[tuple[str, bool]] = []
+        self.in_link = False
+        self.feed(html)
+        self.close()
+        self.flush()
 
     def flush(self):
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
+        text = " ".join("".join(x for x, _ in self.parts).split())
         if text:
-            self.found.append((self.stack[-1] if self.stack else None, text))
-
-    def noise(self, node: Node | None, least: int, half: float) -> bool:
-        """Whether a container around makes this noise; none above main counts, and above article only those of the least cause."""
-        bound = 0
-        while node is not None and node.tag != "main":
-            if node.tag == "article":
-                bound = least
-            # without an article, what holds most of the text is no noise by its name
-            if node.cause > bound and (node.cause == BY_TAG or node.size <= half):
-                return True
-            node = node.above
-        return False
-
-    @cached_property
-    def blocks(self) -> list[tuple[str, bool, str]]:
-        mains, half, total = any(map(is_main, self.paths)), float("inf"), 0
-        inside = [in_main(node) for node, _ in self.found]
-        if not mains:
-            for node, text in self.found:
-                if by_tag(node):
-                    continue
-                total += len(text)
-                while node is not None:
-                    node.size += len(text)
-                    node = node.above
-            half = total / 2
-        bad = [self.noise(node, NAMED, half) for node, _ in self.found]
-        if mains and all(b for b, i in zip(bad, inside) if i):
-            # the page's only articles lie in containers of such names
-            bad = [self.noise(node, FULLY_NAMED, half) for node, _ in self.found]
-        return [(node.path if node else "", b, text) for (node, text), b in zip(self.found, bad)]
+            self.blocks.append((self.open[-1] if self.open else None, text, sum(len(x.strip()) for x, link in self.parts if link)))
+        self.parts = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in DROPPED:
             self.flush()
+            self.in_link = False
         if tag == "br":
-            self.parts.append(" ")
-        if tag in VOID or not (tag in CONTAINERS or tag in DROPPED):
+            self.parts.append((" ", False))
+        self.in_link = tag == "a" or self.in_link
+        if tag in VOID or not (tag in BLOCKS or tag in DROPPED):
             return
-        names = dict(attrs)
-        above = self.stack[-1] if self.stack else None
-        path = f"{above.path if above else ''}/{tag}" + (f".{names['class']}" if names.get("class") else "")
-        self.paths[path] += 1
-        self.flush() if tag in DROPPED else None
-        self.stack.append(Node(tag, path, above, noise_of(tag, names)))
+        if self.open and (any(tag in x and self.open[-1].tag in x for x in SAME) or (self.open[-1].tag == "p" and tag in BLOCKS)):
+            self.open.pop()
+        self.open.append(Element(tag, dict(attrs), self.open[-1] if self.open else None))
+        path = self.open[-1].path
+        self.times[path] = self.times.get(path, 0) + 1
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
-        if any(n.tag == tag for n in self.stack):
+        self.in_link = self.in_link and tag != "a"
+        if any(x.tag == tag for x in self.open):
             self.flush()
-            while self.stack.pop().tag != tag:
+            while self.open.pop().tag != tag:
                 pass
 
     def handle_data(self, data):
-        self.parts.append(data)
-
-
-def in_main(node: Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.above
-    return node is not None
-
-
-def by_tag(node: Node | None) -> bool:
-    while node is not None and node.cause != BY_TAG:
-        node = node.above
-    return node is not None
-
-
-def parsed(html: str) -> Page:
-    page = Page()
-    page.feed(html)
-    page.close()
-    page.flush()
-    return page
-
-
-def is_main(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")
-
-
-def main_text(page: Page, template: set[str], repeated: set[str]) -> str:
-    """The text in the template's article slots, or in all its slots less what the host repeats."""
-    own = {p for p in page.paths if is_main(p)}
-    slots = tuple((own & template) or own)
-    if slots:
-        kept = [t for path, bad, t in page.blocks if not bad and any(path == s or path.startswith(f"{s}/") for s in slots)]
-    else:
-        kept = [t for path, bad, t in page.blocks if not bad and f"{path}\n{t}" not in repeated]
-    return " ".join(kept)
+        self.parts.append((data, self.in_link))
+
+    def weights(self) -> dict[str, tuple[int, int]]:
+        """Characters below each path, and those of them in links; what its tag drops doesn't count."""
+        out: dict[str, tuple[int, int]] = dict.fromkeys(self.times, (0, 0))
+        for node, text, links in self.blocks:
+            if node is not None and not dropped(node):
+                for path in {x.path for x in node.around()}:
+                    out[path] = (out[path][0] + len(text), out[path][1] + links)
+        return out
+
+
+def inside(path: str, of: str) -> bool:
+    return path == of or path.startswith(f"{of}/")
+
+
+class Template:
+    """Nested template elements (path, characters below, of them in links), and the slots of the main text."""
+
+    def __init__(self, elements: list[tuple[str, float, float]], least: float):
+        self.paths = {p for p, _, _ in elements}
+        own = {p: [c, k] for p, c, k in elements}
+        for p, c, k in elements:
+            above = self.slot(p.rpartition("/")[0])
+            if above:
+                own[above][0] -= c
+                own[above][1] -= k
+        prose = {p: c - k for p, (c, k) in own.items()}
+        around_of = lambda p: [k for k, x in enumerate(p.split("/")) if x.split(".")[0] in ("article", "main")]
+        # slots of articles come before all others
+        self.main = max(sorted(prose), key=lambda p: (bool(around_of(p)) and prose[p] > 0, prose[p]), default=None)
+        parts, around = (self.main or "").split("/"), around_of(self.main or "")
+        self.region = "/".join(parts[: around[0] + 1]) if around else None
+        self.kept = {p for p, x in prose.items() if p == self.main or (x > 0 and x >= least * prose[self.main] and 2 * own[p][1] < own[p][0])}
+
+    def slot(self, path: str) -> str | None:
+        """The deepest template element around a path."""
+        while path and path not in self.paths:
+            path = path.rpartition("/")[0]
+        return path or None
+
+    def holds(self, path: str) -> bool:
+        return inside(path, self.region) if self.region else self.slot(path) in self.kept
+
+
+def main_text(page: Page, template: Template | None, least: float = 0.2) -> str:
+    """The text in the main slots of the host's template, or of the page's own if it lacks them."""
+    if template is None or template.main not in page.times:
+        weights = page.weights()
+        template = Template([(p, *weights[p]) for p, n in page.times.items() if n == 1], least)
+    if template.main is None:
+        found = [x for x in page.blocks if x[0] is None or not (dropped(x[0]) or any(e.named for e in x[0].around()))]
+        return " ".join(t for _, t, _ in found)
+    root = template.region or ""
+    found = [x for x in page.blocks if x[0] is not None and template.holds(x[0].path)]
+    within = lambda node: [e for e in node.around() if not root or inside(e.path, root) and e.path != root]
+    found = [x for x in found if not dropped(x[0])]
+    total = sum(len(t) for _, t, _ in found)
+    for node, t, _ in found:
+        for e in node.around():
+            e.size += len(t)
+    return " ".join(t for node, t, _ in found if not any(e.named and 2 * e.size <= total for e in within(node)))
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, share: float = 0.9, repeat_share: float = 0.5, min_pages: int = 4) -> DataFrame:
-    """host, template (paths of its valid classes) and repeated (text blocks outside articles that it repeats); pages has host, key and html."""
+def templates(pages: DataFrame, share: float = 0.9) -> DataFrame:
+    """host and template: path, characters and characters in links of its valid elements; pages has host and html."""
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for host, key, html in zip(pdf["host"], pdf["key"], pdf["html"]):
-                page = parsed(html)
-                rows += [(host, key, "tag", path, n) for path, n in page.paths.items()]
-                if not any(map(is_main, page.paths)):
-                    rows += [(host, key, "text", t, n) for t, n in Counter(f"{p}\n{t}" for p, bad, t in page.blocks if not bad).items()]
-                rows.append((host, key, "page", "", 1))
-            yield pd.DataFrame(rows, columns=["host", "key", "kind", "token", "n"])
-
-    seen = pages.mapInPandas(tokens, "host string, key bigint, kind string, token string, n bigint")
-    vectors = seen.groupBy("host", "kind", "token").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.sum(F.pmod(F.xxhash64("key", "n"), F.lit(2**31))).alias("vector"),
-        F.max("n").alias("most"),
+                page = Page(html)
+                weights = page.weights()
+                rows += [(host, key, path, n, *weights[path]) for path, n in page.times.items()]
+                rows.append((host, key, "", 1, 0, 0))
+            yield pd.DataFrame(rows, columns=["host", "key", "path", "n", "chars", "links"])
+
+    keyed = pages.select("host", F.xxhash64("html").alias("key"), "html")
+    seen = keyed.mapInPandas(elements, "host string, key bigint, path string, n bigint, chars bigint, links bigint").dropDuplicates(["host", "key", "path"])
+    vectors = seen.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.pmod(F.xxhash64("key", "n"), F.lit(2**31))).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
     vectors = checkpointed(vectors)
-    sizes = vectors.filter("kind = 'page'").select("host", F.col("pages").alias("of"))
-    rated = vectors.filter("kind <> 'page'").join(sizes, "host")
-    classes = rated.filter(F.col("kind") == "tag").groupBy("host", "pages", "vector").agg(F.max("most").alias("class_most"))
-    valid = rated.join(classes, ["host", "pages", "vector"], "left").withColumn(
-        "valid",
-        F.when(F.col("kind") == "tag", (F.col("class_most") == 1) & (F.col("pages") >= share * F.col("of"))).otherwise((F.col("of") >= min_pages) & (F.col("pages") >= repeat_share * F.col("of"))),
-    )
-    # at most 1 / share times a page's own paths and blocks
-    return valid.filter("valid").groupBy("host").agg(
-        F.collect_set(F.when(F.col("kind") == "tag", F.col("token"))).alias("template"),
-        F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("repeated"),
-    )
+    sizes = vectors.filter("path = ''").select("host", F.col("pages").alias("of"))
+    elements_only = vectors.filter("path <> ''")
+    classes = elements_only.groupBy("host", "pages", "vector").agg(F.max("most").alias("class_most"))
+    valid = elements_only.join(classes, ["host", "pages", "vector"]).join(sizes, "host").filter((F.col("class_most") == 1) & (F.col("pages") >= share * F.col("of")))
+    # at most 1 / share times a page's own elements
+    return valid.groupBy("host").agg(F.collect_list(F.struct("path", (F.col("chars") / F.col("of")).alias("chars"), (F.col("links") / F.col("of")).alias("links"))).alias("template"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.2, **options) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    rows = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.coalesce(html_col, F.lit("")).alias("html")
-    )
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Template] = {}
         for pdf in batches:
-            out = pdf[["page_id", "url"]].copy()
-            none = lambda x: set() if x is None else set(x)
-            out["text"] = [main_text(parsed(h), none(a), none(b)) for h, a, b in zip(pdf["html"], pdf["template"], pdf["repeated"])]
-            yield out
-
-    found = templates(rows.select("host", "key", "html"), **options)
-    got = rows.join(found, "host", "left").select("page_id", "url", "html", "template", "repeated").mapInPandas(run, f"page_id {kind}, url string, text string")
+            texts = []
+            for host, html, elements in zip(pdf["host"], pdf["html"], pdf["template"]):
+                if host not in known and elements is not None:
+                    known = known if len(known) < 1000 else {}
+                    known[host] = Template([(e["path"], e["chars"], e["links"]) for e in elements], least)
+                texts.append(main_text(Page(html), known.get(host), least))
+            yield pdf[["page_id", "url"]].assign(text=texts)
+
+    found = small(checkpointed(templates(rows, **options)), HOSTS)
+    got = rows.join(found, "host", "left").select("page_id", "url", "host", "html", "template").mapInPandas(run, f"page_id {kind}, url string, text string")
     return got.withColumn("n_chars", F.length("text").cast("long"))

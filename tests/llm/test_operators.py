@@ -202,14 +202,29 @@ def test_pairs_seen_once_count(spark):
 
 
 def test_article_in_named_wrappers():
-    text = lambda h: html_extraction.main_text(html_extraction.parsed(h), set(), set())
-    for name in ("content-sidebar-wrap", "layout with-sidebar", "navy-theme", "no-ads", "sidebar"):
+    text = lambda h: html_extraction.main_text(html_extraction.Page(h), None)
+    for name in ("content-sidebar-wrap", "layout with-sidebar", "navy-theme", "no-ads", "sidebar", "content-header-wrap"):
         for tag in ("article", "main"):
             assert text(f"<body><div class='{name}'><{tag}><p>own words</p><div class='ad'>buy</div></{tag}></div></body>") == "own words", (name, tag)
         assert text(f"<body><div class='{name}'><p>quite a few own words here</p><div class='ad'>buy</div></div></body>") == "quite a few own words here", name
     assert text("<form id='f'><main>own</main></form>") == "own"
-    assert text("<article>own</article><div class='related'><article>other</article></div>") == "own"
-    assert text("<nav><div class='x'>a long list of links that is most of the page</div></nav><p>own</p><div class='site-footer'>c</div>") == "own"
+    assert text("<article><p>own text<div class='related-work'>and work</div><p class='ad'>buy<ul><li>point<li class='comment'>hm</ul></article>") == "own text and work point"
+    assert text("<nav><div class='x'>a long list of links that is most of the page</div></nav><p>own</p><div class='notice'>c</div>") == "own"
+
+
+def test_template_slots_without_article(spark):
+    """The host's template tells its story slot from a list of links that is longer on one page."""
+    links = lambda n: "".join(f"<li><a href='/{k}'>another story of today number {k}</a></li>" for k in range(n))
+    page = lambda k, story, n: f"<html><body><div class='top'><ul>{links(n)}</ul></div><div class='story'><p>{story}</p></div><div class='foot'>about us</div></body></html>"
+    rows = [(k, f"http://a.example/{k}", page(k, f"story {k} " + " ".join(words(40, k)), 3)) for k in range(8)]
+    brief = "breaking: it rained"
+    promo = "<div class='big'>" + " ".join(words(60, 99)) + "</div>"
+    rows.append((8, "http://a.example/8", page(8, brief, 3).replace("<div class='foot'>", promo + "<div class='foot'>")))
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows + rows[:1], "page_id bigint, url string, html string")).collect()}
+    assert got[3] == f"story 3 {' '.join(words(40, 3))}" and got[8] == brief
+    alone = html_extraction.main_text(html_extraction.Page(rows[8][2]), None)
+    assert alone != brief  # by itself, the page's longest slot would win
+    assert html_extraction.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
 def test_many_contexts_of_an_anchor_by_strings(spark):

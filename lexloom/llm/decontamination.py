@@ -136,15 +136,25 @@ def contamination(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 def without_hits(text: Column, hits: Column) -> Column:
     """The text less each hit word and what follows it up to the next word."""
 
-    def rebuilt(ws: Column, gaps: Column) -> Column:
+    def marked(ws: Column) -> Column:
+        """Whether each word is hit: runs of words between the hits, which come in order of start."""
+        run = lambda value, n: F.array_repeat(F.lit(value), F.greatest(n, F.lit(0)).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<boolean>>").alias("runs"))
+        step = lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["start"] + x["len"] - 1).alias("at"),
+            F.concat(acc["runs"], F.array(run(False, x["start"] - 1 - acc["at"]), run(True, x["start"] + x["len"] - 1 - F.greatest(acc["at"], x["start"] - 1)))).alias("runs"),
+        )
+        return F.aggregate(hits, start, step, lambda acc: F.concat(F.flatten(acc["runs"]), run(False, F.size(ws) - acc["at"])))
+
+    def rebuilt(ws: Column, gaps: Column, hit: Column) -> Column:
         kept = F.transform(
             ws,
-            lambda w, i: F.when(F.exists(hits, lambda x: (i + 1 >= x["start"]) & (i + 1 < x["start"] + x["len"])), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))),
+            lambda w, i: F.when(F.get(hit, i), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))),
         )
         return F.concat(F.coalesce(F.get(gaps, F.lit(0)), F.lit("")), F.array_join(kept, ""))
 
     found = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    return let(found, lambda ws: let(F.split(text, WORD, -1), lambda gaps: rebuilt(ws, gaps)))
+    return let(found, lambda ws: let(F.split(text, WORD, -1), lambda gaps: let(marked(ws), lambda hit: rebuilt(ws, gaps, hit))))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -160,4 +170,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "documents",
         return docs.join(found, same, "left_anti")
     joined = docs.join(found, same, "left")
     text = F.when(F.col(spans).isNotNull(), without_hits(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return joined.withColumn(text_col, text).drop(key, mark, spans)

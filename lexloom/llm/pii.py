@@ -1,16 +1,22 @@
 """Personal data: generators propose overlapping spans, boosted trees select.
 
 Base patterns give spans that always stay. High-recall generators propose
-further spans; trees boosted on format and context features, trained on a
-bounded sample where the base patterns tell right from wrong, score them, and
+further spans; trees boosted on format and context features score them, and
 the smallest threshold of the wanted precision on held-out candidates selects.
 
+The trees learn from a bounded sample what the base patterns can't tell: its base
+spans are rewritten in place (signs spelled out, blanked or left away, digits
+grouped otherwise) as right examples; candidates beside base spans, and
+dates, times, versions and counts put in their places, are wrong ones. No feature
+gives away whether a base pattern fits.
+
 Defined cases: a null or empty text has no spans; repeated rows get a row
 each; an empty table gives no rows; without a sample nothing is added.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,19 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.boosting import Trees
-from lexloom.llm.spans import digest, joined, overlaps
+from lexloom.llm.spans import Taken, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What the generators propose: addresses with spelled-out signs, and runs of digits and marks.
+#: They reach as far as personal data do: 64 characters before the sign of an address
+#: (the longest local part), 7 to 19 digits (the shortest phone number to the longest card
+#: number) with marks between them, so 40 characters.
 WIDE = (
-    re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
-    re.compile(r"[+(]?[0-9][0-9 ().:/-]{5,38}[0-9]"),
-    re.compile(r"[0-9]{7,19}"),
+    re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
+    re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ().:/-]{5,38}[0-9](?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9]{7,19}(?![0-9])"),
 )
 CUES = re.compile(r"mail|tel|phone|call|fax|card|contact|server|host|\bip\b", re.I)
 
@@ -81,38 +90,78 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 def features(text: str, a: int, b: int) -> list[float]:
     s, before = text[a:b], text[max(0, a - 24) : a]
-    digits = "".join(c for c in s if c in "0123456789")
+    groups = re.findall("[0-9]+", s)
+    digits, sizes = "".join(groups), [len(g) for g in groups] or [0]
+    marks = [c for c in s if not c.isalnum()]
     return [
         float(b - a),
         float(len(digits)),
-        len(digits) / max(b - a, 1),
-        float(s.count(".")),
-        float(s.count("-") + s.count(" ") + s.count("(")),
-        float(s[:1] == "+"),
-        float("@" in s),
-        float("at" in s),
+        float(len(groups)),
+        float(max(sizes)),
+        float(min(sizes)),
+        float(sizes[0]),
+        float(sizes[-1]),
+        float(len(set(marks))),
+        float(sum(c in "/:" for c in marks)),
+        float(sum(c == "." for c in marks)),
+        float(sum(c in " ()-" for c in marks)),
+        float(any(c.isalpha() for c in s) and bool(re.search(r"@|[(\[]at[)\]]", s))),
         float(len(digits) >= 13 and luhn(digits)),
-        float(max((int(p[:6]) for p in re.findall("[0-9]+", s)), default=0)),
+        float(max((int(g[:6]) for g in groups), default=0)),
         float(bool(CUES.search(before))),
-        float(before[-1:].isalnum()),
-        float(text[b : b + 1].isalnum()),
-        float(s.count("/") + s.count(":")),
+        float(before[-1:].isalnum() or text[b : b + 1].isalnum()),
     ]
 
 
+N_FEATURES = 16
+
+
+def rewritten(kind: str, s: str, pick: int) -> str:
+    """A base span in a form that its pattern doesn't know."""
+    if kind == "email":
+        local, _, domain = s.partition("@")
+        return (f"{local} (at) {domain}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local} @ {domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}")[pick % 4]
+    digits = "".join(c for c in s if c in "0123456789")
+    if kind == "ip":
+        return s.replace(".", (" . ", ". ", ":", " .")[pick % 4])
+    if kind == "card":
+        return (".", "/", "  ", " - ")[pick % 4].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return (f"00{s[1:]}", f"({digits[:2]}) {digits[2:5]} {digits[5:]}", s[1:], f"{digits[:2]}.{digits[2:5]}.{digits[5:]}")[pick % 4]
+
+
+def ordinary(seed: int) -> str:
+    """A number that isn't personal data."""
+    y, m, d, h, k = 1950 + seed % 100, 1 + seed % 12, 1 + seed % 28, seed % 24, seed % 60
+    return (f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y} {h:02}:{k:02}", f"{h:02}:{k:02}:{d:02}", f"{y}-{y + m}", f"{d}.{h:03}.{k:03}", f"{m}.{d}.{h}.{k}{y}", f"{d}/{m}/{y}", f"0.{seed % 10**8:08}", f"{y}{m:02}{d:02}{h:02}{k:02}", f"{seed % 10**7}")[seed // 7 % 10]
+
+
+def examples(text: str) -> Iterator[tuple[list[float], float]]:
+    """Features of candidates and whether they are personal data."""
+    base = base_spans(text)
+    taken = Taken(base)
+    for a, b in candidates(text):
+        if not taken.overlaps(a, b):
+            yield features(text, a, b), 0.0
+    for n, (kind, a, b) in enumerate(base):
+        seed = int.from_bytes(hashlib.blake2b(f"{n} {text[a:b]}".encode("utf-8", "replace"), digest_size=6).digest(), "little")
+        for good, new in ((True, rewritten(kind, text[a:b], seed)), (False, ordinary(seed // 4))):
+            around = text[max(0, a - 60) : a] + new + text[b : b + 60]
+            start = min(a, 60)
+            end, near = start + len(new), [(x, y) for x, y in candidates(around) if x < start + len(new) and y > start]
+            for x, y in near:
+                yield features(around, x, y), float(good and x <= start + 1 and y >= end - 1 and y - x <= len(new) + 2)
+
+
 class Selector:
     """Trees and the threshold that has the wanted precision on candidates kept from training."""
 
     def __init__(self, texts: list[str], precision: float = 0.98, max_candidates: int = 50_000):
-        xs, ys = [], []
+        got = []
         for t in texts:
-            base = {(a, b) for _, a, b in base_spans(t)}
-            for a, b in candidates(t):
-                xs.append(features(t, a, b))
-                ys.append(float((a, b) in base))
-            if len(xs) >= max_candidates:
+            got += examples(t)
+            if len(got) >= max_candidates:
                 break
-        x, y = np.array(xs, dtype=float).reshape(-1, 14), np.array(ys)
+        x, y = np.array([f for f, _ in got], dtype=float).reshape(-1, N_FEATURES), np.array([g for _, g in got])
         held = np.arange(len(y)) % 4 == 3
         self.model, self.threshold = None, np.inf
         if 0 < y[~held].sum() < (~held).sum():
@@ -129,22 +178,24 @@ class Selector:
     def added(self, text: str, base: list) -> list[tuple[str, int, int]]:
         if self.model is None:
             return []
-        spans = [(a, b) for a, b in candidates(text) if not overlaps(a, b, base)]
+        taken = Taken(base)
+        spans = [(a, b) for a, b in candidates(text) if not taken.overlaps(a, b)]
         if not spans:
             return []
         p, out = self.model.score(np.array([features(text, a, b) for a, b in spans])), []
         for k in np.lexsort(([a for a, _ in spans], -p)):
-            if p[k] >= self.threshold and not overlaps(*spans[k], out):
+            if p[k] >= self.threshold and not taken.overlaps(*spans[k]):
+                taken.add(*spans[k])
                 out.append(("model", *spans[k]))
         return sorted(out, key=lambda s: s[1])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, max_chars: int = 20_000) -> Selector:
-    """Learns from max_rows texts of at most max_chars: those with the smallest hashes of their ids."""
-    few = docs.filter(F.length(text_col) <= max_chars).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    ids = few.select("i").filter(F.col("i").isNotNull()).orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    hit = few.join(F.broadcast(ids.distinct()), "i").filter(F.col("t").rlike("[0-9@]"))
-    return Selector([r["t"] for r in sorted(hit.limit(max_rows).collect(), key=lambda r: (r["i"], r["t"]))])
+    """Learns from max_rows texts of at most max_chars with a digit or @: those with the smallest hashes of their ids."""
+    few = docs.filter((F.length(text_col) <= max_chars) & F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    hit = few.select("i").orderBy(F.xxhash64("i"), "i").limit(max_rows).distinct()
+    first = few.join(F.broadcast(hit), "i").groupBy("i").agg(F.min("t").alias("t"))
+    return Selector([r["t"] for r in sorted(first.collect(), key=lambda r: r["i"])])
 
 
 SCHEMA = "doc_id bigint, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"

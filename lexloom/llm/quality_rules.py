@@ -86,7 +86,8 @@ def host_verdicts(flagged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """host, n_docs, the shrunk failure rate of each rule, and host_failed.
 
     The rates of all hosts give each rule's beta prior by moments: mean m and
-    strength m (1 - m) / variance - 1. A host's rate is then
+    strength m (1 - m) / variance - 1, where the variance is that of the rates less the mean
+of m (1 - m) / documents, which counting alone would give them. A host's rate is then
     (failures + m * strength) / (documents + strength); where the hosts don't
     differ, the rate is m. A host fails if one of its rates exceeds max_rate.
     """
@@ -101,11 +102,13 @@ def host_verdicts(flagged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     moments = sums.agg(
         *[F.avg(F.col(f"n_{r}") / F.col("n_docs")).alias(f"m_{r}") for r in RULES],
         *[F.var_pop(F.col(f"n_{r}") / F.col("n_docs")).alias(f"v_{r}") for r in RULES],
+        F.avg(1 / F.col("n_docs")).alias("noise"),
     ).first()
     rates = {}
     for r in RULES:
         m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
-        s = max(m * (1 - m) / v - 1, 0.0) if v > 0 else None
+        v -= m * (1 - m) * (moments["noise"] or 0.0)
+        s = max(m * (1 - m) / v - 1, 0.0) if v > 1e-12 else None
         rates[r] = F.lit(m) if s is None else (F.col(f"n_{r}") + m * s) / (F.col("n_docs") + s)
     out = sums.select("host", "n_docs", *[rates[r].cast("double").alias(f"rate_{r}") for r in RULES])
     return out.withColumn("host_failed", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate)

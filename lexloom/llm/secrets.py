@@ -3,7 +3,8 @@
 Both models are trained on bounded samples: what the base patterns find is
 labelled random, other words and numbers of the texts ordinary. A token whose log-likelihood
 ratio per character exceeds the threshold is added to the base spans; the
-threshold lets pass at most one of a thousand ordinary sample words.
+threshold lets pass at most one of a thousand ordinary sample words that the
+models didn't learn from. So keys without a telling name before them are found.
 
 Defined cases: a null or empty text has no spans; repeated rows get a row
 each; an empty table gives no rows; without random samples nothing is added.
@@ -19,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.spans import digest, joined, overlaps
+from lexloom.llm.spans import Taken, digest, joined
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A token needs a letter: bare numbers are no secrets.
+#: A token needs a letter, as bare numbers are no secrets, and 16 characters: shorter random strings are
+#: told from words only by chance, and keys without a name before them are rarely shorter.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.")}
 SIZE = len(ALPHABET) + 1
@@ -53,9 +55,9 @@ def markov(samples: list[str]) -> np.ndarray:
 
 class Model:
     def __init__(self, secrets: list[str], words: list[str]):
-        self.table = markov(secrets) - markov(words) if secrets and words else None
-        longer = [w for w in words if len(w) >= 8]
-        self.threshold = max(0.25, float(np.quantile([self.ratio(w) for w in longer], 0.999))) if self.table is not None and longer else 0.25
+        own, held = words[0::2], [w for w in words[1::2] if len(w) >= 8]
+        self.table = markov(secrets) - markov(own) if secrets and own else None
+        self.threshold = max(0.25, float(np.quantile([self.ratio(w) for w in held], 0.999))) if self.table is not None and held else 0.25
 
     def ratio(self, token: str) -> float:
         c = codes(token)
@@ -64,21 +66,23 @@ class Model:
     def added(self, text: str, base: list) -> list[tuple[str, int, int]]:
         if self.table is None:
             return []
-        return [("markov", m.start(), m.end()) for m in TOKEN.finditer(text) if not overlaps(m.start(), m.end(), base) and self.ratio(m[0]) > self.threshold]
+        taken = Taken(base)
+        return [("markov", m.start(), m.end()) for m in TOKEN.finditer(text) if not taken.overlaps(m.start(), m.end()) and self.ratio(m[0]) > self.threshold]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, max_chars: int = 20_000, max_words: int = 20_000) -> Model:
-    """Labelled samples from max_rows texts of at most max_chars: those with the smallest hashes of their ids."""
-    few = docs.filter(F.length(text_col) <= max_chars).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    ids = few.select("i").filter(F.col("i").isNotNull()).orderBy(F.xxhash64("i"), "i").limit(max_rows)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, max_chars: int = 20_000, max_words: int = 20_000, text_words: int = 200) -> Model:
+    """Labelled samples from max_rows texts of at most max_chars (those with the smallest hashes of their ids): their base spans, and the first text_words words of each until there are max_words."""
+    few = docs.filter((F.length(text_col) <= max_chars) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    ids = few.select("i").orderBy(F.xxhash64("i"), "i").limit(max_rows).distinct()
     secrets, words = [], []
-    got = few.join(F.broadcast(ids.distinct()), "i").limit(max_rows).collect()  # bounded by max_rows * max_chars
-    for r in sorted(got, key=lambda r: (r["i"], r["t"])):
+    got = few.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t")).collect()  # bounded by max_rows * max_chars
+    for r in sorted(got, key=lambda r: r["i"]):
         spans = base_spans(r["t"])
+        taken = Taken(spans)
         for kind, a, b in spans:
             secrets.append(ASSIGN.match(r["t"], a)[2] if kind == "assign" else r["t"][a:b])
         if len(words) < max_words:
-            words += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", r["t"]) if not overlaps(m.start(), m.end(), spans)][:200]
+            words += [m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", r["t"]) if not taken.overlaps(m.start(), m.end())][:text_words]
     return Model([s for s in secrets if len(s) >= 6], words)
 
 

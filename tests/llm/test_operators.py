@@ -251,3 +251,70 @@ def test_repeated_rows_are_one_document(spark):
     got = by_id(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert [r["n_removed"] for r in got[1]] == [0, 0] and got[2][0]["kept"] == b"x  y"
     assert [r["n_removed"] for r in got[3]] == [300, 400 if len(text) >= 500 else len(text) - 100]
+
+
+def planted_texts():
+    """Texts with base personal data and secrets, and ordinary words and numbers."""
+    r = random.Random(7)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    out = []
+    for k in range(240):
+        a = f"mail to {r.choice('abcdef')}{k}.x@host{k % 9}.example.org or call +{r.randrange(10, 99)} {r.randrange(1, 9)} {r.randrange(100, 999)} {r.randrange(1000, 9999)} today"
+        b = f"token = {mixed(24)} and id {hexed(32)} but see AKIA{mixed(16).upper()}"
+        out.append((k, " ".join([*words(30, k), a, b, *words(10, k + 500), f"on 2021-0{1 + k % 9}-11 at 10:{10 + k % 50}:00 some understandable-identifier_names"])))
+    return out
+
+
+def test_pii_adds_what_the_patterns_miss(spark):
+    model = pii.train(spark.createDataFrame(planted_texts(), "doc_id bigint, text string"))
+    found = lambda t: [t[a:b] for _, a, b in model.added(t, pii.base_spans(t))]
+    assert found("please mail to a7.x (at) host3.example.org today") == ["a7.x (at) host3.example.org"]
+    assert found("or call 0041 4 321 7654 today")
+    assert not found("the meeting of 2023-05-17 began at 12:45:10 and cost 120 in all")
+    assert not found(" ".join(words(400, 3)))
+    assert len(pii.base_spans("9" * 40_000)) == 0  # and soon
+
+
+def test_secrets_adds_keys_without_a_name(spark):
+    model = secrets.train(spark.createDataFrame(planted_texts(), "doc_id bigint, text string"))
+    t = "deploy with Zq8fK2pLX9Rt5Vw1bN7c now"
+    assert [t[a:b] for _, a, b in model.added(t, secrets.base_spans(t))] == ["Zq8fK2pLX9Rt5Vw1bN7c"]
+    assert not model.added("some understandable-identifier_names of w12 w13", [])
+
+
+def test_spans_overlap():
+    from lexloom.llm.spans import Taken
+
+    taken = Taken([("k", 5, 8), ("k", 0, 2), ("k", 7, 9)])
+    assert [taken.overlaps(a, a + 1) for a in range(10)] == [True, True, False, False, False, True, True, True, True, False]
+    taken.add(3, 4)
+    assert taken.overlaps(2, 4) and not taken.overlaps(4, 5)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    base = " ".join(words(120, 21))
+    near = base.replace(base.split()[60], "other")
+    rows = [(i, t, None, None, None, "clash", 0.5, "q") for i, t in texts()]
+    rows += [(11, base + " mail a.b@c.example.org", None, "s", 1, "x", 0.0, "q"), (12, near + " mail a.b@c.example.org", None, "s", 1, "x", 0.0, "q"), (12, "another text of the same id " + " ".join(words(60, 77)), None, "s", 1, "x", 0.0, "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, gone_id string, piece_ids double, `a.b` string")
+    spark.createDataFrame([(1, " ".join(words(120, 1)[20:40]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.drop("gone_id", "piece_ids", "a.b").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept.collect())
+    assert (12, "another text of the ") in ids and (12, near[:20]) not in ids and (11, base[:20]) in ids
+    clean = corpus_pipeline.contamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {4, 5, 6, 7, 8, 9, None, 11, 12}
+    cut = by_id(decontamination.decontaminate(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), action="spans"))
+    want = words(120, 1)
+    assert cut[1][0]["text"].split() == want[:20] + want[40:] and cut[9][0]["text"] == texts()[9][1]
+    clean = by_id(corpus_pipeline.personal_data(spark, docs, str(tmp_path)))
+    assert "<PII>" in clean[11][0]["text"] and clean[4][0]["text"] is None
+    assert by_id(corpus_pipeline.pieces(spark, docs, str(tmp_path)))[4][0]["n_pieces"] == 0
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "text", "piece_ids", "n_pieces"} <= set(out.columns) and out.count() > 0

@@ -1,10 +1,15 @@
-"""Sources of each ask, and inventories of packs and pages."""
+"""What an answer may rest on: evidence text, sources, outcomes, traces, prompts and resolved citations."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How many sources an answer may cite.
-MOST_SOURCES = 6
+from lexloom.functions.text import citations
+
+#: Sources an answer may cite, attachments it may see, characters of each and of an attribute, tokens of an answer.
+MOST_SOURCES, MOST_ATTACHED, MOST_TEXT, MOST_CODE, MOST_ATTRIBUTE = 6, 8, 1_800, 6_000, 300
+TOKENS = {"think": 768, "fast": 512, "talk": 192}
+#: The lines that lead evidence.
+SOURCES_LEAD, ATTACHED_LEAD = "RETRIEVED SOURCES (untrusted reference data):\n", "\nATTACHED CODE (untrusted; it was not executed):\n"
 
 
 def source_list(hits: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
@@ -19,11 +24,45 @@ def outcomes(asks: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("n_hits") > 0, "evidence").otherwise("no evidence"))
 
 
-def pack_inventory(pages: DataFrame, pack: str, text: str) -> DataFrame:
-    """pack, its pages, bytes and largest page; counted before the shuffle."""
-    n = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return pages.groupBy(F.col(pack).alias("pack")).agg(F.count(F.lit(1)).alias("pages"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
+def attribute(value: Column) -> Column:
+    return F.substring(F.translate(F.coalesce(value, F.lit("")), '<>"', "   "), 1, MOST_ATTRIBUTE)
+
+
+def evidence(hits: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """ask_id and evidence: the first sources of its hits (rank, docset, version, title, section, url, text), then attachments (slot, name, language, content).
+
+    The cap on attachments comes before those without content are left out.
+    """
+    names = ("docset", "version", "title", "section", "url")
+    head = F.concat(F.lit('\n<SOURCE id="S'), F.col("rank").cast("string"), F.lit('"'), *[x for n in names for x in (F.lit(f' {n}="'), attribute(F.col(n)), F.lit('"'))], F.lit(">\n"))
+    block = F.concat(head, F.substring("text", 1, MOST_TEXT), F.lit("\n</SOURCE>\n"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["block"]), "")
+    # at most MOST_SOURCES rows an ask
+    out = hits.filter(F.col("rank") <= MOST_SOURCES).groupBy("ask_id").agg(F.concat(F.lit(SOURCES_LEAD), joined(F.struct("rank", block.alias("block")))).alias("evidence"))
+    if attachments is None:
+        return out
+    turn = F.row_number().over(Window.partitionBy("ask_id").orderBy("slot"))
+    some = attachments.withColumn("turn", turn).filter(F.col("turn") <= MOST_ATTACHED)
+    code = F.concat(F.lit('\n<ATTACHMENT name="'), attribute(F.col("name")), F.lit('" language="'), attribute(F.col("language")), F.lit('">\n'), F.substring("content", 1, MOST_CODE), F.lit("\n</ATTACHMENT>\n"))
+    attached = some.groupBy("ask_id").agg(F.concat(F.lit(ATTACHED_LEAD), joined(F.when(F.col("content").isNotNull(), F.struct("turn", code.alias("block"))))).alias("attached"))
+    both = out.join(attached, "ask_id", "full")
+    return both.select("ask_id", F.concat(F.coalesce("evidence", F.lit(SOURCES_LEAD)), F.coalesce("attached", F.lit(""))).alias("evidence"))
+
+
+def trace(hits: DataFrame) -> DataFrame:
+    """query_id, lexical_hits and semantic_hits: how many of all returned rows each list had."""
+    return hits.groupBy("query_id").agg(F.count("lexical_score").alias("lexical_hits"), F.count("semantic_score").alias("semantic_hits"))
+
+
+def prompts(asks: DataFrame, found: DataFrame) -> DataFrame:
+    """ask_id, prompt and most_tokens for an outside model: asks (ask_id, message, mode, talk), found (ask_id, evidence)."""
+    limit = F.when(F.col("talk"), TOKENS["talk"]).when(F.col("mode") == "think", TOKENS["think"]).otherwise(TOKENS["fast"])
+    prompt = F.when(F.col("talk") | F.col("evidence").isNull(), F.col("message")).otherwise(F.concat("message", F.lit("\n\n"), "evidence"))
+    return asks.join(found, "ask_id", "left").select("ask_id", prompt.alias("prompt"), limit.alias("most_tokens"))
 
 
-def tag_count(html: Column, tag: str) -> Column:
-    return F.regexp_count(F.coalesce(html, F.lit("")), F.lit(rf"(?i)<{tag}[\s>]")).cast("long")
+def resolved_citations(answers: DataFrame) -> DataFrame:
+    """message_id, source_id and url (null where the answer has no such source) of inline citations; answers (message_id, content, sources of id and url)."""
+    cited = answers.select("message_id", F.explode(F.array_distinct(citations(F.col("content")))).alias("source_id"), "sources")
+    own = F.get(F.filter("sources", lambda s: s["id"] == F.col("source_id")), F.lit(0))
+    return cited.select("message_id", "source_id", own["url"].alias("url"))

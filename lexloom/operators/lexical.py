@@ -11,38 +11,57 @@ def doc_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("len"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf and the chunk's length; counted before the shuffle."""
-    words = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    terms = words.select("chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    return terms.groupBy("chunk_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, term, tf and the chunk's length, with the columns to keep; counted before the shuffle."""
+    words = chunks.select("chunk_id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    terms = words.select("chunk_id", *keep, F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    return terms.groupBy("chunk_id", *keep, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_df(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """The different terms of each question; a repeated question asks once."""
+    return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).distinct()
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def score(post: DataFrame, df: DataFrame, stats: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id and BM25 score from postings, term_df and one row of stats (n, avg_len).
+
+    Question terms and their df are broadcast where their counted size allows
+    it, so that the postings of common terms aren't shuffled by term.
+    """
+    asked = asked_terms(questions)
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    # stats is one row
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avg_len", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return post.join(small(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks, or of the k best that allowed (chunk_id) has.
 
     Statistics are those of all chunks. Only chunks' terms that some question
-    has are shuffled: the question terms are joined before the counts are.
+    has are shuffled: the question terms are joined before the counts are. To
+    ask more than once, write an index (packs.write_index) and search that.
     """
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    wanted = asked.select("term").distinct()
+    wanted = small(asked_terms(questions).select("term").distinct())
     words = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("len", F.size("ts"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
     hits = words.select("chunk_id", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
     counted = hits.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # stats is one row
+    df = term_df(counted)
     if allowed is not None:  # after the statistics
         counted = counted.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    scored = counted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))
-    total = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
-    return top_k(total, k)
+    return top_k(score(counted, df, stats, questions, k1, b), k)
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

@@ -1,47 +1,162 @@
-"""Exact cosine search in blocks: query blocks meet vector blocks, each pair gives its own best rows."""
+"""Vectors: checks, exact cosine search, embedding jobs, and fusion of ranked tables."""
 
-from collections.abc import Iterator
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import ascii_lower
 from lexloom.operators.topk import top_k
 
+#: Bytes of a text to embed, the words before a query, texts embedded at once, and the shortest retry.
+MOST_BYTES, QUERY_WORDS, BATCH, LEAST_BYTES = 400, "Represent this sentence for searching relevant passages: ", 4, 128
+#: What an exact symbol adds to a fused score, and candidates of a list.
+SYMBOL_BOOST, CANDIDATES, ASK_CANDIDATES = 0.0125, 24, 48
+
+
+def bounded_bytes(text: str, most: int) -> str:
+    """The longest start of at most `most` bytes."""
+    return text.encode("utf-8", "surrogatepass")[:most].decode("utf-8", "ignore")
+
 
-def unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.where(n > np.finfo(np.float32).eps, m / np.where(n > 0, n, 1), m)
+def passage(title: Column, section: Column, text: Column) -> Column:
+    return F.concat_ws("\n", title, section, text)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, block: int = 500) -> DataFrame:
-    """query_id, chunk_id, score, rank; both tables have an id and an embedding of one dimension.
+def embed(rows: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], id_col: str, text_col: str, queries: bool = False, most: int = MOST_BYTES) -> DataFrame:
+    """id and embedding of each text; embed_fn gives a matrix for a list of texts.
 
-    Every vector row meets each block of queries once, in Arrow batches;
-    a batch passes on its k best rows for a query at most.
+    A batch that fails is tried text by text, each with ever fewer bytes, down to LEAST_BYTES.
     """
-    n_blocks = max(1, -(-queries.count() // block))  # one number reaches the driver
-    packed = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"))
-    packed = packed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q")).drop("b")
+    kind = dict(rows.dtypes)[id_col]
+
+    def alone(text: str) -> np.ndarray:
+        size = most
+        while True:
+            try:
+                return np.asarray(embed_fn([bounded_bytes(text, size)]))[0]
+            except Exception:
+                if size <= LEAST_BYTES:
+                    raise
+                size = max(size * 3 // 4, LEAST_BYTES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, part in pdf.groupby(pdf["q"].map(lambda q: q[0]["query_id"])):
-                q = part["q"].iloc[0]
-                ids = [x["query_id"] for x in q]
-                qm = unit(np.array([x["embedding"] for x in q], dtype=np.float64))
-                vm, names = unit(np.stack(part["embedding"].tolist()).astype(np.float64)), part["chunk_id"].to_numpy()
-                s = np.round(qm @ vm.T, 9)
-                for i, row in enumerate(s):
-                    best = np.lexsort((names, -row))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": names[best], "score": row[best]})
+            texts = [bounded_bytes((QUERY_WORDS if queries else "") + (t or ""), most) for t in pdf["t"]]
+            out: list[np.ndarray] = []
+            for k in range(0, len(texts), BATCH):
+                some = texts[k : k + BATCH]
+                try:
+                    got = np.asarray(embed_fn(some))
+                    if len(got) != len(some):
+                        raise ValueError("a vector for each text")
+                    out += list(got)
+                except Exception:
+                    out += [alone(t) for t in some]
+            yield pd.DataFrame({"id": pdf["id"], "embedding": [x.astype(np.float32) for x in out]})
+
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+
+
+def dimension(vectors: DataFrame) -> int | None:
+    """The one length of all vectors that aren't empty; None if all are. Another length is an error."""
+    sizes = [r[0] for r in vectors.select(F.size("embedding").alias("n")).filter("n > 0").distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes[0]} and {sizes[1]} numbers")
+    return sizes[0] if sizes else None
+
+
+def normalised(vectors: DataFrame, dim: int) -> DataFrame:
+    """Vectors of length 1; null and empty ones become zero, and those near zero stay as they are."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    v = F.when(F.coalesce(F.size("embedding"), F.lit(0)) > 0, F.col("embedding").cast("array<double>")).otherwise(zero)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    eps = float(np.finfo(np.float32).eps)
+    return vectors.withColumn("embedding", F.when(norm > eps, F.transform(v, lambda x: x / norm)).otherwise(v))
+
+
+def pair_cosine(left: Column, right: Column) -> Column:
+    """0 for vectors of unequal or no length."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    norm = F.sqrt(dot(left, left) * dot(right, right))
+    return F.when((F.size(left) != F.size(right)) | (F.size(left) <= 0) | left.isNull() | right.isNull() | (norm == 0), F.lit(0.0)).otherwise(dot(left, right) / norm)
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, most_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, chunk_id, score, rank; null and empty vectors are zero and score 0, which takes a place too.
+
+    The queries' matrix is broadcast, in parts of at most most_bytes; each
+    Arrow batch of vectors passes on its k best rows for a query.
+    """
+    spark, dim = vectors.sparkSession, dimension(vectors)
+    wanted = dimension(queries)
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
+    if dim is None or wanted is None:
+        return top_k(spark.createDataFrame([], kinds), k)
+    if wanted != dim:
+        raise ValueError(f"queries of {wanted} numbers, vectors of {dim}")
+    asked, held = normalised(queries, dim).select("query_id", "embedding"), normalised(vectors, dim).select("chunk_id", "embedding")
+    n_parts = max(1, -(-queries.count() * dim * 8 // most_bytes))
+    out = None
+    for part in range(n_parts):
+        rows = list(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == part).toLocalIterator())  # about most_bytes
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    names = pdf["chunk_id"].to_numpy()
+                    s = np.round(matrix @ np.stack(pdf["embedding"].tolist()).T, 9)
+                    best = np.array([np.lexsort((names, -row))[:k] for row in s])
+                    yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+
+        found = held.mapInPandas(run, kinds)
+        out = found if out is None else out.union(found)
+    return top_k(out if out is not None else spark.createDataFrame([], kinds), k)
+
+
+def in_scope(chunks: DataFrame, docsets: list[str]) -> DataFrame:
+    """Chunks of the named docsets; an empty list names all, unknown names none."""
+    return chunks.filter(F.col("docset").isin(docsets)) if docsets else chunks
+
+
+def resolved_scope(wanted: Column, allowed: Column) -> Column:
+    """A plan's docsets within the allowed ones; an empty list restricts nothing."""
+    return F.when(F.size(wanted) == 0, allowed).when(F.size(allowed) == 0, wanted).otherwise(F.array_intersect(wanted, allowed))
+
+
+def boosted(fused: DataFrame, chunks: DataFrame, wanted: DataFrame, k: int = 8) -> DataFrame:
+    """Fused rows again ranked, with SYMBOL_BOOST more where the chunk has one of the query's symbols; chunks (chunk_id, symbols), wanted (query_id, symbols)."""
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), ascii_lower)
+    rows = fused.drop("rank").join(chunks.select("chunk_id", low(F.col("symbols")).alias("has")), "chunk_id", "left").join(wanted.select("query_id", low(F.col("symbols")).alias("want")), "query_id", "left")
+    more = F.when(F.coalesce(F.arrays_overlap("has", "want"), F.lit(False)), SYMBOL_BOOST).otherwise(0.0)
+    return top_k(rows.withColumn("score", F.col("score") + more).drop("has", "want"), max(1, min(32, k)))
+
+
+def merged_queries(hits: DataFrame, plans: DataFrame) -> DataFrame:
+    """ask_id, chunk_id, score, rank: of hits (ask_id, query_no, chunk_id, score) the best row of each chunk, the first result_count of each ask."""
+    best = hits.groupBy("ask_id", "chunk_id").agg(F.max("score").alias("score"))
+    ranked = top_k(best, 16, query="ask_id")
+    return ranked.join(plans.select("ask_id", "result_count"), "ask_id").filter(F.col("rank") <= F.col("result_count")).drop("result_count")
+
 
-    met = vectors.crossJoin(packed)  # vectors by blocks of the stated queries
-    return top_k(met.mapInPandas(run, "query_id bigint, chunk_id bigint, score double"), k)
+def open_sources(urls: DataFrame, chunks: DataFrame, scheme: str = "docs://") -> DataFrame:
+    """url, status and the last chunk (by slot) of each url asked for: found, missing, or no source for another scheme."""
+    rest = [c for c in chunks.columns if c not in ("url", "slot")]
+    last = chunks.groupBy("url").agg(F.max(F.struct("slot", *rest)).alias("last"))
+    status = F.when(~F.startswith("url", F.lit(scheme)), "no source").when(F.col("last").isNull(), "missing").otherwise("found")
+    got = urls.select("url").distinct().join(last, "url", "left").withColumn("status", status)
+    return got.select("url", "status", *[F.when(F.col("status") == "found", F.col(f"last.{c}")).alias(c) for c in rest])
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 8, candidates: int = 24, constant: int = 60) -> DataFrame:
+def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 8, candidates: int = CANDIDATES, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked tables; both raw scores stay, null where a list lacks the row."""
     part = lambda df, kind: df.filter(F.col("rank") <= candidates).select("query_id", "chunk_id", "rank", "score", F.lit(kind).alias("kind"))
     both = part(lexical, "lexical").unionByName(part(semantic, "semantic"))

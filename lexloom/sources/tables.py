@@ -1,7 +1,19 @@
-"""Reading Parquet tables of a folder."""
+"""Reading Parquet tables of a folder, and the folder that all executors share."""
+
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset and all runs on this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(top or tempfile.mkdtemp(prefix='lexloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from lexloom.plans.queries import QUERIES, SQL
+from lexloom.plans import more, queries
+
+QUERIES, SQL = queries.QUERIES | more.QUERIES, queries.SQL | more.SQL
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "documents pages benchmark embeddings conversations events".split()
@@ -50,3 +52,23 @@ def test_streams_as_batches(spark, tmp_path):
     q = latest_stream(stream, "user_id", ["ts", "event_id"]).writeStream.format("memory").queryName("last_rows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert rows(spark.table("last_rows").toPandas()) == rows(latest(events, "user_id", ["ts", "event_id"]).toPandas())
+
+
+def test_session_stream_as_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexloom.operators.tables import idle_sessions
+    from lexloom.streaming.sessions import session_stream
+
+    rows = [(1, m * 60) for m in (0, 14, 29, 44, 100)] + [(2, 5), (2, 15 * 60 + 4), (2, 30 * 60 + 4), (9, 10**6)]
+    events = spark.createDataFrame(rows, "user_id bigint, s bigint").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = session_stream(stream, "user_id", "ts", "0 seconds").writeStream.format("memory").queryName("idle").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    late = idle_sessions(events.filter("user_id < 9"), "user_id", "ts").select("user_id", F.col("started").alias("start"), "n_events")
+    assert rows_of(spark.table("idle").filter("user_id < 9")) == rows_of(late)
+
+
+def rows_of(df):
+    return rows(df.toPandas())

@@ -222,6 +222,17 @@ def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
 
 
+def in_parts(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int, most: int = 250_000) -> pa.Array:
+    """joined_ids of some lists at a time, of at most `most` units together as far as one list has no more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy())
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        out.append(joined_ids(known, hashes.slice(at, to - at), None if own is None else own.slice(at, to - at), zero))
+        at = to
+    return pa.concat_arrays(out) if out else joined_ids(known, hashes, own, zero)
+
+
 def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int) -> pa.Array:
     """ids of each list of units, and raw, whether byte pieces are among them; own has the units (h, ids) that known lacks."""
     h, sizes = flat_lists(hashes)
@@ -278,7 +289,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array) -> pa.Array:
-            return joined_ids(shared.value, lists, None, zero)
+            return in_parts(shared.value, lists, None, zero)
 
         ids = looked_up(F.col(hashes))
     else:
@@ -298,7 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array, rare: pa.Array) -> pa.Array:
-            return joined_ids(shared.value, lists, rare, zero)
+            return in_parts(shared.value, lists, rare, zero)
 
         ids = looked_up(F.col(hashes), F.col(own))
     out = out.withColumn(got, ids).withColumn("piece_ids", F.col(got)["ids"]).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))

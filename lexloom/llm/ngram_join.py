@@ -264,16 +264,16 @@ def cluster(
     # what the blocks didn't show: shingles shared by sets of different components, where the rest still reaches the bound
     placed = rows.join(first, "node", "left").select("token", "node", "size", (F.col("size") - F.col("pos")).alias("rest"), F.coalesce("comp", "node").alias("comp"))
     placed = checkpointed(placed)
-    comps = placed.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"))
+    comps = placed.groupBy("token", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
     several = comps.groupBy("token").agg(F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1").select("token")
     comps = checkpointed(comps.join(several, "token"))
     needed = lambda x, y: F.ceil(percent * (x + y) / (100 + percent))
     x, y = comps.alias("x"), comps.alias("y")
     meet = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo")) & (F.least("x.rest", "y.rest") >= needed(F.col("x.lo"), F.col("y.lo")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & meet)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.comp") < F.struct("y.n", "y.comp")) & meet)
     met = met.select(F.col("x.token").alias("t"), F.col("x.comp").alias("c"), F.col("y.comp").alias("cb"), F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"), F.col("y.rest").alias("most"))
     own = placed.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"))
-    # a node that reaches the bound with some size of the other component
+    # nodes of the smaller side that reach the bound with some size of the other one
     lowest = F.greatest("lo", F.ceil(percent * F.col("na") / 100))
     can = (lowest <= F.col("hi")) & (100 * F.col("na") >= percent * F.col("lo")) & (F.least("ra", "most") >= needed(F.col("na"), lowest))
     left = met.join(own, (F.col("t") == F.col("token")) & (F.col("c") == F.col("ca")) & can).select("token", "cb", "a", "na", "ra")

@@ -258,11 +258,12 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int)
     return pa.StructArray.from_arrays([lists, pa.array(raw)], names=["ids", "raw"])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, costs: str = "zipf", head_words: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, costs: str = "zipf", head_words: int = 6_000_000, max_batch: int = 1_000) -> DataFrame:
     """The documents with piece_ids, n_pieces and decoded (the text that the ids give back).
 
     The paths of the most frequent units, at most head_words (some 20 bytes
-    each), are broadcast; the others reach their texts by a join.
+    each), are broadcast; the others reach their texts by a join. Texts are long
+    rows: the session's Arrow batches are set to max_batch rows at most.
     """
     spark = docs.sparkSession
     pieces = Pieces(spark, model, costs)
@@ -282,6 +283,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
     shared = spark.sparkContext.broadcast(Paths(head))  # at most head_words
 
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(max_batch, int(spark.conf.get(rows)) if int(spark.conf.get(rows)) > 0 else max_batch))
     key, mark, hashes, own, k, m, texts, hexed, got = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed", "piece_got")
     made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))
     out = docs.withColumn(hashes, made)

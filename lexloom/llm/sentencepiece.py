@@ -44,6 +44,8 @@ CHAR = 1 << 21
 SHIFT = 200
 #: Ends folded at once, and states carried on from them.
 CHUNK, CARRIED = 256, 64
+#: Units of which one place is held.
+BLOCK = 16
 
 
 class Pieces:
@@ -206,8 +208,23 @@ class Paths:
         del rows
         order = np.argsort(h).astype(np.uint32)
         self.h = h[order]
-        self.sizes = sizes[order]
-        self.starts = (np.cumsum(sizes, dtype=np.uint32) - sizes).astype(np.uint32)[order]
+        del h
+        self.sizes = np.append(sizes[order], np.zeros(BLOCK, sizes.dtype))
+        before = (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
+        self.blocks = (np.cumsum(self.sizes, dtype=np.uint32) - self.sizes)[::BLOCK].astype(np.uint32)
+        ids, self.ids, at = self.ids, np.empty_like(self.ids), 0
+        for k in range(0, len(order), 500_000):
+            n = self.sizes[k : min(k + 500_000, len(order))].astype(np.int64)
+            ends = np.cumsum(n)
+            self.ids[at : at + int(ends[-1])] = ids[np.repeat(before[k : k + len(n)].astype(np.int64) - (ends - n), n) + np.arange(int(ends[-1]))]
+            at += int(ends[-1])
+
+    def starts(self, at: np.ndarray) -> np.ndarray:
+        """Where the ids of the units at these places begin."""
+        first, lanes = at // BLOCK * BLOCK, np.arange(BLOCK)
+        held = self.sizes[first[:, None] + lanes]
+        held[lanes >= (at - first)[:, None]] = 0
+        return self.blocks[at // BLOCK].astype(np.int64) + held.sum(axis=1)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, whether there)."""
@@ -222,7 +239,7 @@ def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
 
 
-def in_parts(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int, most: int = 250_000) -> pa.Array:
+def in_parts(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int, most: int = 100_000) -> pa.Array:
     """joined_ids of some lists at a time, of at most `most` units together as far as one list has no more."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy())
     out, at = [], 0
@@ -240,7 +257,7 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int)
     n = np.zeros(len(h), np.int64)
     n[there] = known.sizes[at[there]]
     start, ids = np.zeros(len(h), np.int64), known.ids
-    start[there] = known.starts[at[there]]
+    start[there] = known.starts(at[there])
     if not there.all():
         extra = own.flatten()
         more, counts = flat_lists(extra.field("ids"))

@@ -59,5 +59,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_sentencepiece, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op7_html_extraction, op8_quality_classifier, op9_secrets, op10_ngram_join)}
 
 
+#: DuckDB: the words of a text for decontamination.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = {
+    "op5_decontamination": f"""
+with d as (select doc_id, {WORDS} as ws from documents), b as (select item_id, {WORDS} as ws, least(13, len(ws)) as k from benchmark where len(ws) > 0),
+w as (select distinct item_id, k, ws[i : i + k - 1] as win from (select *, unnest(range(1, len(ws) - k + 2)) as i from b)),
+p as (select doc_id, i, k, ws[i : i + k - 1] as win from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, (select distinct k from w))),
+h as (select distinct doc_id, i, k, item_id from p join w using (k, win)),
+c as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + k)) as spot from h) group by all),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by all)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -318,3 +318,17 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.quality(spark, docs, str(tmp_path)).columns == docs.columns
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "text", "piece_ids", "n_pieces"} <= set(out.columns) and out.count() > 0
+
+
+def test_contamination_as_sql(spark):
+    import duckdb
+
+    from lexloom.llm import registry
+
+    folder, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    for name, sql in registry.SQL.items():
+        got, want = registry.queries()[name](spark, folder).toPandas(), c.sql(sql).df()
+        cols = sorted(want.columns)
+        assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None)))

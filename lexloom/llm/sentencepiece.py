@@ -7,7 +7,8 @@ with the piece table, grouped by unit, and folded to the cheapest path with the
 higher-order aggregate. Characters that no piece covers become byte pieces, so
 that every text decodes to itself. Long units are folded in chunks that carry
 the last states, so that a path doesn't depend on any length. The paths then go
-back to the texts: those of frequent units by broadcast, the others by a join.
+back to the texts: those of frequent units in files that Spark hands to every executor, the others
+by a join.
 
 A piece costs the negated log-probability of its rank by the law of Zipf and
 Mandelbrot, 1 / (rank + SHIFT), in thousandths of a nat: the given model holds merge
@@ -24,11 +25,14 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,7 @@ SHIFT = 200
 CHUNK, CARRIED = 256, 64
 #: Units of which one place is held.
 BLOCK = 16
+FIELDS = ("h", "sizes", "blocks", "ids")
 
 
 class Pieces:
@@ -198,26 +203,8 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Paths:
     """Units' hashes in order, with the places of their ids."""
 
-    def __init__(self, coded: DataFrame):
-        # one partition after another, some 16 bytes a unit
-        rows = list(coded.mapInArrow(packed, "h binary, a bigint, sizes binary, b bigint, ids binary").toLocalIterator())
-        gather = lambda name, width: np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(r[name], f"u{r[width]}") for r in rows)])
-        h = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["h"], np.int64) for r in rows)])
-        sizes = gather("sizes", "a")
-        self.ids = gather("ids", "b")
-        del rows
-        order = np.argsort(h).astype(np.uint32)
-        self.h = h[order]
-        del h
-        self.sizes = np.append(sizes[order], np.zeros(BLOCK, sizes.dtype))
-        before = (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
-        self.blocks = (np.cumsum(self.sizes, dtype=np.uint32) - self.sizes)[::BLOCK].astype(np.uint32)
-        ids, self.ids, at = self.ids, np.empty_like(self.ids), 0
-        for k in range(0, len(order), 500_000):
-            n = self.sizes[k : min(k + 500_000, len(order))].astype(np.int64)
-            ends = np.cumsum(n)
-            self.ids[at : at + int(ends[-1])] = ids[np.repeat(before[k : k + len(n)].astype(np.int64) - (ends - n), n) + np.arange(int(ends[-1]))]
-            at += int(ends[-1])
+    def __init__(self, h: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, ids: np.ndarray):
+        self.h, self.sizes, self.blocks, self.ids = h, sizes, blocks, ids
 
     def starts(self, at: np.ndarray) -> np.ndarray:
         """Where the ids of the units at these places begin."""
@@ -234,6 +221,41 @@ class Paths:
         return at, self.h[at] == h
 
 
+def shipped(coded: DataFrame) -> str:
+    """The name under which Spark hands the paths of these units to every executor, as files."""
+    # one partition after another, some 16 bytes a unit
+    rows = list(coded.mapInArrow(packed, "h binary, a bigint, sizes binary, b bigint, ids binary").toLocalIterator())
+    gather = lambda name, width: np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(r[name], f"u{r[width]}") for r in rows)])
+    h = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["h"], np.int64) for r in rows)])
+    sizes = gather("sizes", "a")
+    ids = gather("ids", "b")
+    del rows
+    order = np.argsort(h).astype(np.uint32)
+    ordered = h[order]
+    del h
+    counts = np.append(sizes[order], np.zeros(BLOCK, sizes.dtype))
+    before = (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
+    blocks = (np.cumsum(counts, dtype=np.uint32) - counts)[::BLOCK].astype(np.uint32)
+    placed, at = np.empty_like(ids), 0
+    for k in range(0, len(order), 500_000):
+        n = counts[k : min(k + 500_000, len(order))].astype(np.int64)
+        ends = np.cumsum(n)
+        placed[at : at + int(ends[-1])] = ids[np.repeat(before[k : k + len(n)].astype(np.int64) - (ends - n), n) + np.arange(int(ends[-1]))]
+        at += int(ends[-1])
+    sc, name = coded.sparkSession.sparkContext, f"paths-{uuid.uuid4().hex}"
+    for field, a in zip(FIELDS, (ordered, counts, blocks, placed), strict=True):
+        file = os.path.join(SparkFiles.getRootDirectory(), f"{name}-{field}.npy")  # the application's own folder
+        np.save(file, a)
+        sc.addFile(file)
+    return name
+
+
+@lru_cache(maxsize=1)
+def opened(name: str) -> Paths:
+    """The paths in this executor's files, mapped: its Python workers share one copy."""
+    return Paths(*(np.asarray(np.load(SparkFiles.get(f"{name}-{field}.npy"), mmap_mode="r")) for field in FIELDS))
+
+
 def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, lengths); null lists have length 0."""
     return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -256,18 +278,19 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int)
     at, there = known.find(h)
     n = np.zeros(len(h), np.int64)
     n[there] = known.sizes[at[there]]
-    start, ids = np.zeros(len(h), np.int64), known.ids
+    start, more = np.zeros(len(h), np.int64), np.empty(0, np.int32)
     start[there] = known.starts(at[there])
     if not there.all():
         extra = own.flatten()
         more, counts = flat_lists(extra.field("ids"))
-        keys, first = extra.field("h").to_numpy(), len(ids) + np.cumsum(counts) - counts
+        keys, first = extra.field("h").to_numpy(), np.cumsum(counts) - counts
         order = np.argsort(keys, kind="stable")
         place = order[np.searchsorted(keys[order], h[~there])]
         n[~there], start[~there] = counts[place], first[place]
-        ids = np.concatenate([ids.astype(np.int32), more.astype(np.int32)])
     ends = np.cumsum(n)
-    got = ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32)
+    spot, held = np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), np.repeat(there, n)
+    got = np.empty(len(spot), np.int32)
+    got[held], got[~held] = known.ids[spot[held]], more[spot[~held]]
     rows = np.concatenate([[0], np.cumsum(sizes)])
     offsets = np.concatenate([[0], ends])[rows]
     raw = np.diff(np.concatenate([[0], np.cumsum((got >= zero) & (got < zero + 256))])[offsets]) > 0
@@ -279,7 +302,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """The documents with piece_ids, n_pieces and decoded (the text that the ids give back).
 
     The paths of the most frequent units, at most head_words (some 20 bytes
-    each), are broadcast; the others reach their texts by a join. Texts are long
+    each), go to every executor as files; the others reach their texts by a join. Texts are long
     rows: the session's Arrow batches are set to max_batch rows at most.
     """
     spark = docs.sparkSession
@@ -298,7 +321,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         cut, taken = row["k"], taken + row["n"]
     all_known = not histogram or cut == histogram[-1]["k"]
     head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
-    shared = spark.sparkContext.broadcast(Paths(head))  # at most head_words
+    shared = shipped(head)  # at most head_words
 
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(rows, min(max_batch, int(spark.conf.get(rows)) if int(spark.conf.get(rows)) > 0 else max_batch))
@@ -309,7 +332,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array) -> pa.Array:
-            return in_parts(shared.value, lists, None, zero)
+            return in_parts(opened(shared), lists, None, zero)
 
         ids = looked_up(F.col(hashes))
     else:
@@ -318,8 +341,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h, sizes = flat_lists(batch.column(2))
-                row = np.repeat(np.arange(len(sizes)), sizes)[~shared.value.find(h)[1]]
-                h = h[~shared.value.find(h)[1]]
+                row = np.repeat(np.arange(len(sizes)), sizes)[~opened(shared).find(h)[1]]
+                h = h[~opened(shared).find(h)[1]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h)], names=["i", "m", "h"])
 
         places = out.filter(F.col(text_col).isNotNull()).select(key, mark, hashes).mapInArrow(missing, "i string, m bigint, h bigint").distinct()
@@ -329,7 +352,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array, rare: pa.Array) -> pa.Array:
-            return in_parts(shared.value, lists, rare, zero)
+            return in_parts(opened(shared), lists, rare, zero)
 
         ids = looked_up(F.col(hashes), F.col(own))
     out = out.withColumn(got, ids).withColumn("piece_ids", F.col(got)["ids"]).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))

@@ -62,7 +62,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB: the words of a text for decontamination.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: DuckDB: the quality rules by name, as conditions on the counts of a text, and each host's rate shrunk by the prior of all hosts.
+RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "100 * n_symbols > 50 * word_chars", "lines": "100 * n_dup_lines > 50 * n_lines"}
+each_rule = lambda form: ", ".join(form.format(r=r, rule=rule) for r, rule in RULES.items())
+
 SQL = {
+    "op4_quality_rules": f"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+p as (select r, i, ws[i : i + 2] as win from (select r, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+twice as (select r, i from p qualify count(*) over (partition by r, win) > 1),
+w as (select r, count(distinct spot) as n_repeat_words from (select r, unnest(range(i, i + 3)) as spot from twice) group by all),
+l as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by all),
+c as (select doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from d left join w using (r) left join l using (r)),
+h as (select source, count(*) as n, {each_rule("count(*) filter ({rule}) as f_{r}")} from c where source is not null group by source),
+a as (select {each_rule("avg(f_{r} / n) as m_{r}")}, {each_rule("var_pop(f_{r} / n) as raw_{r}")}, avg(1 / n) as noise from h),
+v as (select *, {each_rule("raw_{r} - m_{r} * (1 - m_{r}) * noise as v_{r}")} from a),
+s as (select *, {each_rule("greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 0) as s_{r}")} from v),
+b as (select source, greatest({each_rule("case when v_{r} > 1e-12 then (f_{r} + m_{r} * s_{r}) / (n + s_{r}) else m_{r} end")}) > 0.5 as host_failed from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {RULES["short"]} or {RULES["repeats"]} as base_failed, not ({RULES["short"]} or {RULES["repeats"]}) and not coalesce(host_failed, false) as kept
+from c left join b using (source)""",
     "op5_decontamination": f"""
 with d as (select doc_id, {WORDS} as ws from documents), b as (select item_id, {WORDS} as ws, least(13, len(ws)) as k from benchmark where len(ws) > 0),
 w as (select distinct item_id, k, ws[i : i + k - 1] as win from (select *, unnest(range(1, len(ws) - k + 2)) as i from b)),

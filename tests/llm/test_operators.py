@@ -332,3 +332,71 @@ def test_contamination_as_sql(spark):
         got, want = registry.queries()[name](spark, folder).toPandas(), c.sql(sql).df()
         cols = sorted(want.columns)
         assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None)))
+
+
+def plain_pieces(text, cost, zero, worst):
+    """The ids of the cheapest path over the whole text as one lattice; ties go to the shorter last piece, then to the smaller id."""
+    u, best = " " + text, [(0, 0, None)]
+    for end in range(1, len(u) + 1):
+        tried = [(best[end - k][0] + c, k, i) for k in range(1, min(63, end) + 1) if (found := cost.get(u[end - k : end])) for c, i in [found]]
+        if u[end - 1] not in cost:
+            tried.append((best[end - 1][0] + len(u[end - 1].encode()) * (worst + 10_000), 1, None))
+        best.append(min(tried, key=lambda x: x[:2] + (x[2] or 0,)))
+    out, at = [], len(u)
+    while at:
+        _, k, i = best[at]
+        out[:0] = [i] if i is not None else [zero + b for b in u[at - 1].encode()]
+        at -= k
+    return out
+
+
+def test_pieces_against_plain_viterbi(docs):
+    import math
+
+    import sentencepiece as spm
+
+    sp = spm.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    plain.sort(key=lambda i: (-sp.get_score(i), i))
+    harmonic = math.log(sum(1 / (r + 200) for r in range(1, len(plain) + 1)))
+    cost = {sp.id_to_piece(i).replace("▁", " "): (round(1000 * (math.log(r + 200) + harmonic)), i) for r, i in enumerate(plain, 1)}
+    worst = max(c for c, _ in cost.values())
+    wanted = {t: plain_pieces(t, cost, sp.piece_to_id("<0x00>"), worst) for _, t in texts() if t is not None}
+    for head_words in (6_000_000, 3):  # all paths in the files; nearly all by the join
+        for r in sentencepiece.encode(docs, head_words=head_words).collect():
+            assert r["piece_ids"] == wanted.get(r["text"]) and r["decoded"] == r["text"], (head_words, r["doc_id"])
+
+
+def test_base_scores_against_brute_force(docs):
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [(i, [*re.findall("[^ \t-\r]+", (t or "").translate(lower)), None]) for i, t in texts()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    wanted = {i: (held(i), len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens}
+    for r in lm_scoring.lm_scores(docs).collect():
+        *exact, base = wanted[r["doc_id"]]
+        if r["doc_id"] is not None:
+            assert [r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]] == exact
+            assert r["base_score"] == pytest.approx(base)
+
+
+def test_rules_as_sql(spark, docs):
+    import duckdb
+
+    from lexloom.llm.registry import SQL
+
+    line = "one line of some words\n"
+    more = [(20 + k, line * k + " ".join(words(60, k)) + " # $ " * (30 * (k % 3)), f"host{k % 2}") for k in range(8)]
+    rows = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(more, "doc_id bigint, text string, source string"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = [tuple(r) for r in quality_rules.quality_rules(rows).select(columns).collect()]
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    wanted = con.execute(f"select {', '.join(columns)} from (select case when isnan(doc_id) then null else doc_id::bigint end as doc_id, * exclude doc_id from ({SQL['op4_quality_rules']}))").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, wanted))

@@ -57,6 +57,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that checkpointed wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("table-"):
+                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+                path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, a table of a few numbers a row, to be broadcast if it has at most `most` rows; beyond that, a join shuffles."""
     return F.broadcast(df) if df.count() <= most else df

@@ -36,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed, fresh, let
+from lexloom.llm.common import checkpointed, dropped, fresh, let
 
 MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -322,6 +322,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     all_known = not histogram or cut == histogram[-1]["k"]
     head = coded if all_known else coded.join(counts.filter(F.col("k") >= cut).select("h"), "h", "left_semi")
     shared = shipped(head)  # at most head_words
+    dropped(counts)
 
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(rows, min(max_batch, int(spark.conf.get(rows)) if int(spark.conf.get(rows)) > 0 else max_batch))
@@ -329,6 +330,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))
     out = docs.withColumn(hashes, made)
     if all_known:
+        dropped(coded)  # the files have it all
 
         @F.arrow_udf("ids array<int>, raw boolean")
         def looked_up(lists: pa.Array) -> pa.Array:
@@ -347,7 +349,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         places = out.filter(F.col(text_col).isNotNull()).select(key, mark, hashes).mapInArrow(missing, "i string, m bigint, h bigint").distinct()
         tails = places.join(coded, "h").groupBy("i", "m").agg(F.collect_list(F.struct("h", "ids")).alias("own"))  # a text's own rare units
-        tails = checkpointed(tails).select(F.col("i").alias(k), F.col("m").alias(m), F.col("own").alias(own))
+        tails = checkpointed(tails)
+        dropped(coded)
+        tails = tails.select(F.col("i").alias(k), F.col("m").alias(m), F.col("own").alias(own))
         out = out.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
 
         @F.arrow_udf("ids array<int>, raw boolean")

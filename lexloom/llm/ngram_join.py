@@ -6,7 +6,8 @@ their prefixes, and the first one they share leaves both enough of the rest to
 reach the bound. A first pass sends each set, as its text, to one of the prefix
 shingles that others have too; there a trie of the sets is walked with shared
 partial overlaps; subtrees that can't reach the bound any more or are linked
-already are left out. Large groups are dealt into blocks for this. A second pass
+already are left out. Large groups are dealt into blocks for this, and sets of a common
+shingle that are still in several components are walked by it again. A second pass
 makes it exact: sets of different components that share a prefix shingle, at
 places where the remaining lengths still reach the bound, are verified. So
 copies of one text never meet pair by pair, and no link between components is lost.
@@ -88,9 +89,10 @@ class Trie:
 
     Shingles that no other set here has can't count in an overlap and are left
     out, like sets whose others can't reach the bound; the most frequent come first.
+    Sets of one component (comps) are linked already.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, comps: list[int] | None = None):
         self.percent = percent
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(values), np.int64)
@@ -105,7 +107,7 @@ class Trie:
         self.order = sorted(kept, key=lambda i: kept[i].astype(">i8").tobytes())
         self.keys = [kept[i] for i in self.order]
         self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
-        self.label = np.arange(len(self.order))
+        self.label = np.arange(len(self.order)) if comps is None else np.unique(np.array([comps[i] for i in self.order], np.int64), return_inverse=True)[1]
         self.root = self.build(0, len(self.order), 0) if self.order else None
 
     def build(self, lo: int, hi: int, depth: int):
@@ -219,11 +221,15 @@ def cluster(
     least_common: int = 50,
     max_common: int = 1_000_000,
     block: int = 500,
+    crowded: int = 50,
+    rounds: int = 3,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id and mark (the 64-bit hash of its text).
 
     At most max_common shingles, held by over least_common sets, are ordered
     last by their counts; only they and tables of checked sizes are broadcast.
+    Groups of over `block` sets are dealt into blocks, and shingles of over `crowded`
+    sets are walked up to `rounds` times; none of these changes the result.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, n, id_col, text_col, least_common, max_common))
@@ -247,19 +253,33 @@ def cluster(
 
     # each set that shares a shingle goes to the one that most sets share, up to a block, as text: shingles don't compress
     best = F.max(F.struct(F.col("k") <= block, F.when(F.col("k") <= block, F.col("k")).otherwise(-F.col("k")).alias("much"), (-F.col("token")).alias("token"), "k")).alias("key")
-    keys = rows.groupBy("node").agg(best).select("node", (-F.col("key.token")).alias("token"), F.col("key.k").alias("k"))
-    asked = checkpointed(keys.join(nodes, "node").select("id", "mark", "token", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("k") / block).cast("long")).alias("part")))
-    dealt = having(docs, asked, id_col, text_col).repartition("token", "part").select("token", "part", word_codes(F.col("t")).alias("h"))
+    keys = rows.groupBy("node").agg(best).select("node", (-F.col("key.token")).alias("token"), F.col("key.k").alias("k"), F.col("node").alias("comp")).join(nodes, "node")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [ordered(shingles(np.asarray(h, dtype=np.int64), n), *common.value) for h in pdf["h"]]
-        got = {node_of(s): s for s in sets}
+        got = {node_of(s): (s, c) for s, c in zip(sets, pdf["comp"], strict=True)}
         names = list(got)
-        links = Trie(list(got.values()), percent).join() if len(names) > 1 else []
+        links = Trie([s for s, _ in got.values()], percent, [c for _, c in got.values()]).join() if len(names) > 1 else []
         return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"], dtype="int64")
 
-    links = checkpointed(dealt.groupBy("token", "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct())
+    def walked(keys: DataFrame, turn: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.col("k") / block).cast("long"))
+        asked = checkpointed(keys.select("id", "mark", "token", "comp", part.alias("part")))
+        dealt = having(docs, asked, id_col, text_col).repartition("token", "part").select("token", "part", "comp", word_codes(F.col("t")).alias("h"))
+        return dealt.groupBy("token", "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct()
+
+    links = checkpointed(walked(keys, 0))
     first = components(links)
+    for turn in range(1, rounds):
+        # crowds that still have several components meet anew, by the shingle that most of them share
+        crowd = rows.filter(F.col("k") > crowded).drop("k", "size").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = crowd.groupBy("token").agg(F.count(F.lit(1)).alias("k"), (F.min("comp") < F.max("comp")).alias("apart")).filter(F.col("apart") & (F.col("k") > crowded))
+        most = crowd.join(apart, "token").groupBy("node").agg(F.max(F.struct("k", "token")).alias("key"), F.min("comp").alias("comp"))
+        again = checkpointed(most.select("node", "key.*", "comp").join(nodes, "node"))
+        if again.isEmpty():
+            break
+        links = checkpointed(links.union(walked(again, turn)))
+        first = components(links)
 
     # what the blocks didn't show: shingles shared by sets of different components, where the rest still reaches the bound
     placed = rows.join(first, "node", "left").select("token", "node", "size", (F.col("size") - F.col("pos")).alias("rest"), F.coalesce("comp", "node").alias("comp"))

@@ -91,6 +91,24 @@ def test_join_against_brute_force(docs):
         assert {r["n_shingles"] for r in rows} == {len(sets.get(i, ()))}
 
 
+def test_crowds_walked_again_give_the_same(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: i % 7], f"x{i}", *words[i % 7 + 1 :]] if i % 3 else [*words, f"y{i}"])) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, "")], "doc_id long, text string")
+    plain = ngram_join.cluster(docs, 3, 80)
+    again = ngram_join.cluster(docs, 3, 80, least_common=1, block=4, crowded=2)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+    want = sorted([(i, least[i]) for i in sets] + [(60, 60), (61, 61)])
+    for got in (plain, again):
+        assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == want
+
+
 def test_trie_joins_what_pairs_would():
     import numpy as np
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontamination, html_extraction, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece, suffix_dedup
+from lexloom.llm import decontamination, hard_negatives, html_extraction, licenses, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece, suffix_dedup, token_alignment
 from lexloom.llm.common import table
 
 
@@ -55,8 +55,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_sentencepiece, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op7_html_extraction, op8_quality_classifier, op9_secrets, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_sentencepiece, op4_quality_rules, op5_decontamination, op6_suffix_dedup, op7_html_extraction, op8_quality_classifier, op9_secrets, op10_ngram_join, op11_hard_negatives, op12_token_alignment, op13_licenses)}
 
 
 #: DuckDB: the words of a text for decontamination.
@@ -91,6 +105,14 @@ c as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(r
 t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by all)
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join c using (doc_id) left join t using (doc_id)""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as alike, list_inner_product(a.q, b.q)::bigint as score from v a join v b on b.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank
+  from p join s using (anchor_id) where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
 }
 
 

@@ -8,8 +8,8 @@ from lexloom.functions.text import citations
 #: Sources an answer may cite, attachments it may see, characters of each and of an attribute, tokens of an answer.
 MOST_SOURCES, MOST_ATTACHED, MOST_TEXT, MOST_CODE, MOST_ATTRIBUTE = 6, 8, 1_800, 6_000, 300
 TOKENS = {"think": 768, "fast": 512, "talk": 192}
-#: The lines that lead evidence.
-SOURCES_LEAD, ATTACHED_LEAD = "RETRIEVED SOURCES (untrusted reference data):\n", "\nATTACHED CODE (untrusted; it was not executed):\n"
+#: The lines that lead the question and the evidence.
+QUESTION_LEAD, SOURCES_LEAD, ATTACHED_LEAD = "USER QUESTION:\n", "RETRIEVED SOURCES (untrusted reference data):\n", "\nATTACHED CODE (untrusted; it was not executed):\n"
 
 
 def source_list(hits: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
@@ -55,9 +55,12 @@ def trace(hits: DataFrame) -> DataFrame:
 
 
 def prompts(asks: DataFrame, found: DataFrame) -> DataFrame:
-    """ask_id, prompt and most_tokens for an outside model: asks (ask_id, message, mode, talk), found (ask_id, evidence)."""
+    """ask_id, prompt and most_tokens for an outside model: asks (ask_id, message, mode, talk), found (ask_id, evidence).
+
+    Small talk is the message alone; other asks without evidence have no prompt, as their answer is fixed.
+    """
     limit = F.when(F.col("talk"), TOKENS["talk"]).when(F.col("mode") == "think", TOKENS["think"]).otherwise(TOKENS["fast"])
-    prompt = F.when(F.col("talk") | F.col("evidence").isNull(), F.col("message")).otherwise(F.concat("message", F.lit("\n\n"), "evidence"))
+    prompt = F.when(F.col("talk"), F.col("message")).otherwise(F.concat(F.lit(QUESTION_LEAD), "message", F.lit("\n\n"), "evidence"))
     return asks.join(found, "ask_id", "left").select("ask_id", prompt.alias("prompt"), limit.alias("most_tokens"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
@@ -120,9 +120,10 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "id string, docset string, version string, page_path string, title string, section string, anchor string, canonical_url string, text string, symbols array<string>")
 
 
-def index_stem(docset="docset", version="version"):
+def index_stem(docset: Column | None = None, version: str = "version") -> Column:
     """The version of a local library, or else the docset."""
-    return F.when(F.startswith(F.col(version), F.lit("local-")), F.col(version)).otherwise(F.col(docset))
+    docset = F.col("docset") if docset is None else docset
+    return F.when(F.startswith(F.col(version), F.lit("local-")), F.col(version)).otherwise(docset)
 
 
 def index_rows(chunks: DataFrame, scheme: str = "docs://") -> DataFrame:

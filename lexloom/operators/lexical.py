@@ -1,10 +1,13 @@
 """BM25 over a table of chunks, for a table of questions."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.topk import top_k
+from lexloom.sources.tables import stored
 
 
 def doc_lengths(chunks: DataFrame) -> DataFrame:
@@ -13,9 +16,18 @@ def doc_lengths(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """chunk_id, term, tf and the chunk's length, with the columns to keep; counted before the shuffle."""
+    return term_rows(chunks, keep).filter("term <> ''")
+
+
+def exploded(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each token of a chunk, and one with an empty term for the chunk itself; len is the chunk's number of tokens."""
     words = chunks.select("chunk_id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    terms = words.select("chunk_id", *keep, F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    return terms.groupBy("chunk_id", *keep, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select("chunk_id", *keep, F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
+
+
+def term_rows(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, the columns to keep, term, len and tf; the rows of the empty term stand for the chunks."""
+    return exploded(chunks, keep).groupBy("chunk_id", *keep, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_df(post: DataFrame) -> DataFrame:
@@ -27,41 +39,46 @@ def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).distinct()
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, bounded_by: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, to be broadcast if bounded_by, which has as many rows at least and is cheaper to count, has at most `most`."""
+    return F.broadcast(df) if bounded_by.limit(most + 1).count() <= most else df
 
 
-def score(post: DataFrame, df: DataFrame, stats: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id and BM25 score from postings, term_df and one row of stats (n, avg_len).
+def score(post: DataFrame, df: DataFrame, n: int, average: float, asked: DataFrame, k1: float = 1.2, b: float = 0.75, scopes: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id and BM25 score from postings, term_df, the number and average length of chunks, and asked_terms.
 
-    Question terms and their df are broadcast where their counted size allows
-    it, so that the postings of common terms aren't shuffled by term.
+    Question terms with their weight are broadcast where the number of asked
+    terms, which bounds them, allows it, so that the postings of common terms
+    aren't shuffled by term. scopes (query_id, docsets) lets each question see
+    postings of its docsets only; an empty or missing list restricts nothing.
     """
-    asked = asked_terms(questions)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    # stats is one row
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avg_len", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return post.join(small(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+    weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = asked.join(df, "term").select("query_id", "term", weight.alias("idf"))
+    weighed = weighed if scopes is None else weighed.join(scopes.select("query_id", "docsets"), "query_id", "left")
+    hits = post.join(small(weighed, asked), "term")
+    if scopes is not None:
+        hits = hits.filter((F.coalesce(F.size("docsets"), F.lit(-1)) <= 0) | F.array_contains("docsets", F.col("docset")))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 8, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks, or of the k best that allowed (chunk_id) has.
 
-    Statistics are those of all chunks. Only chunks' terms that some question
-    has are shuffled: the question terms are joined before the counts are. To
-    ask more than once, write an index (packs.write_index) and search that.
+    Statistics are those of all chunks. The chunks are tokenised once: the counts
+    of terms that some question has are written, and all else is read from them.
+    To ask more than once, write an index (index.write_index) and search that.
     """
-    wanted = small(asked_terms(questions).select("term").distinct())
-    words = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("len", F.size("ts"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    hits = words.select("chunk_id", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
-    counted = hits.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked_terms(questions)
+    wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))
+    kept = exploded(chunks).join(small(wanted, asked), "term", "left_semi")
+    rows = stored(kept.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    own = rows.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.sum(F.col("tf") * F.col("len")).alias("total")).first()  # one row
+    counted = rows.filter("term <> ''")
     df = term_df(counted)
     if allowed is not None:  # after the statistics
         counted = counted.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return top_k(score(counted, df, stats, questions, k1, b), k)
+    return top_k(score(counted, df, own["n"], max(own["total"] / own["n"], 1.0) if own["n"] else 1.0, asked, k1, b), k)
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

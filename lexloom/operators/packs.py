@@ -1,14 +1,14 @@
-"""Packs of pages, the search index on disk, inventories and downloads."""
+"""Packs of pages, inventories and downloads."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from lexloom.functions.text import OFFICIAL, ascii_lower, tokens
-from lexloom.operators.lexical import postings, score
-from lexloom.operators.topk import top_k
+from lexloom.functions.text import ascii_lower
+from lexloom.operators.index import remove_stem
+from lexloom.sources.files import delete
+from lexloom.sources.snapshots import escaped
 
 #: Version, address and licence of the packs that can be installed.
 EXPECTED = [
@@ -51,34 +51,12 @@ def read_pack(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return packs, pages
 
 
-def write_index(rows: DataFrame, folder: str, files_a_stem: int = 8) -> None:
-    """Chunks, postings, and the additive statistics of each stem; other stems stay.
-
-    rows has stem, chunk_id, docset and indexed. A large stem is spread over files_a_stem tasks.
-    """
-    found = postings(rows.select("chunk_id", F.col("indexed").alias("text"), "stem", "docset"), keep=("stem", "docset"))
-    df = found.groupBy("stem", "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens(F.coalesce("indexed", F.lit(""))))).cast("long").alias("total"))
-    for name, table, by in (("chunks", rows.drop("indexed"), "chunk_id"), ("postings", found, "term"), ("terms", df, "term"), ("sizes", sizes, None)):
-        dealt = table.repartition("stem", *([F.pmod(F.xxhash64(by), F.lit(files_a_stem))] if by else []))
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").parquet(f"{folder}/{name}")
-
-
-def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All stems: official and local ones; a scope is a filter on docset after the statistics."""
-    return {x: spark.read.parquet(f"{folder}/{x}") for x in ("chunks", "postings", "terms", "sizes")}
-
-
-def search_index(index: dict[str, DataFrame], questions: DataFrame, k: int = 8, docsets: list[str] | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank of questions against a written index; statistics are those of all stems."""
-    stats = index["sizes"].agg(F.sum("n").alias("n"), F.greatest(F.coalesce(F.sum("total") / F.sum("n"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    found = index["postings"].filter(F.col("docset").isin(docsets)) if docsets else index["postings"]
-    return top_k(score(found, index["terms"].groupBy("term").agg(F.sum("df").alias("df")), stats, questions), k)
-
-
-def remove_pack(tables: dict[str, DataFrame], stem: str, downloads: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The index tables without a stem, and downloads without its rows (its id and its index pass)."""
-    return {x: df.filter(F.col("stem") != stem) for x, df in tables.items()}, downloads.filter(~F.col("id").isin(stem, f"{stem}-index"))
+def remove_pack(spark: SparkSession, folder: str, stem: str, downloads: DataFrame) -> DataFrame:
+    """A pack leaves the packs and the index of a folder, with its files; downloads without its rows (its id and its index pass)."""
+    for name in ("packs", "pages"):
+        delete(spark, f"{folder}/{name}/pack_key={escaped(stem)}")
+    remove_stem(spark, f"{folder}/index", stem)
+    return downloads.filter(~F.col("id").isin(stem, f"{stem}-index"))
 
 
 def to_install(requested: DataFrame, installed: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -140,12 +118,3 @@ def mirrored(progress: DataFrame) -> DataFrame:
     pack = F.coalesce("docset", F.when(index_pass, F.regexp_replace("id", "-index$", "")))
     state = F.when(F.col("state").isin("installed", "error"), F.col("state")).when(index_pass, "indexing").otherwise("downloading")
     return progress.withColumn("docset", pack).withColumn("state", state).filter("docset is not null")
-
-
-def installed_stems(spark: SparkSession, folder: str) -> list[str]:
-    """Official stems in their order, then the local ones."""
-    try:
-        found = {r["stem"] for r in spark.read.parquet(f"{folder}/sizes").select("stem").collect()}  # one row a stem
-    except AnalysisException:
-        return []
-    return [x for x in OFFICIAL if x in found] + sorted(x for x in found if x.startswith("local-"))

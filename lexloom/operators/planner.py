@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import OFFICIAL, ascii_lower, docset_key, question_symbols
+from lexloom.functions.text import ascii_lower, docset_key, question_symbols
 
 #: What hints at a pack, in the order in which packs are found. A cue with capitals never fits the lowered text.
 CUES = {
@@ -26,8 +24,8 @@ SMALL_TALK = (
     *("who are you", "what are you", "what can you do", "what do you do", "what can you help with", "what can you help me with", "can you help", "can you help me", "help"),
     *("thanks", "thank you", "thanks a lot", "thank you so much", "thx", "ty", "bye", "goodbye", "see you", "see ya", "ok", "okay", "nice", "cool", "great", "lol", "test", "testing"),
 )
-#: Bounds of a plan.
-MOST_QUERY, MOST_QUERIES, MOST_SYMBOL, MOST_SYMBOLS, FEWEST, MOST, USUAL = 240, 4, 100, 12, 4, 16, 8
+#: Bounds of a plan, the results that a question asks for, and those of a model's plan that names no number.
+MOST_QUERY, MOST_QUERIES, MOST_SYMBOL, MOST_SYMBOLS, FEWEST, MOST, USUAL, UNNAMED = 240, 4, 100, 12, 4, 16, 8, 10
 
 
 def trimmed(text: Column) -> Column:
@@ -41,21 +39,20 @@ def inferred_docsets(message: Column) -> Column:
 
 
 def sanitized(queries: Column, docsets: Column, symbols: Column, count: Column) -> dict[str, Column]:
-    """The columns of a plan within their bounds."""
-    order = F.array(*map(F.lit, (*OFFICIAL, "local")))
+    """The columns of a plan within their bounds; docsets are sorted by name, each once."""
     cut = F.transform(F.coalesce(queries, F.array().cast("array<string>")), lambda q: F.substring(trimmed(q), 1, MOST_QUERY))
     names = F.transform(F.coalesce(docsets, F.array().cast("array<string>")), docset_key)
     marks = F.transform(F.coalesce(symbols, F.array().cast("array<string>")), lambda s: F.substring(trimmed(s), 1, MOST_SYMBOL))
     return {
         "queries": F.slice(F.filter(cut, lambda q: q != ""), 1, MOST_QUERIES),
-        "docsets": F.filter(order, lambda d: F.array_contains(names, d)),
+        "docsets": F.array_sort(F.array_distinct(names)),
         "symbols": F.slice(F.filter(marks, lambda s: s != ""), 1, MOST_SYMBOLS),
-        "result_count": F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.coalesce(count, F.lit(USUAL)))).cast("int"),
+        "result_count": F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), count)).cast("int"),
     }
 
 
 def plan(asks: DataFrame, available: list[str]) -> DataFrame:
-    """ask_id and the plan of each ask (ask_id, message) for packs that are available; docsets come in the order of the packs, local last."""
+    """ask_id and the plan of each ask (ask_id, message) for packs that are available; docsets are sorted by name."""
     message = F.coalesce("message", F.lit(""))
     first = F.substring(trimmed(message), 1, MOST_QUERY)
     symbols = question_symbols(message)
@@ -99,19 +96,27 @@ def first_object(answer: str | None) -> str | None:
 
 
 def parse_plans(answers: DataFrame) -> DataFrame:
-    """ask_id, valid and the plan of each answer (ask_id, message, answer) that a model wrote; without queries, the message is the query."""
+    """ask_id, status and the plan of each answer (ask_id, message, answer) that a model wrote.
+
+    status is plan, no object, or bad plan: text that is no JSON, no list of
+    strings for queries, another type for an optional key, or a number of results
+    that is no whole number from 0 on. Only a plan has columns that aren't null.
+    An empty list of queries asks the message's start; a list of blanks asks nothing.
+    """
 
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
         return s.map(first_object)
 
-    kinds = "queries array<string>, docsets array<string>, symbols array<string>, resultCount int"
-    got = answers.withColumn("plan", F.from_json(cut("answer"), kinds))
-    queries = F.when(F.size(F.filter(F.coalesce("plan.queries", F.array().cast("array<string>")), lambda q: trimmed(q) != "")) > 0, F.col("plan.queries")).otherwise(F.array(F.substring(trimmed("message"), 1, MOST_QUERY)))
-    columns = sanitized(queries, F.col("plan.docsets"), F.col("plan.symbols"), F.col("plan.resultCount"))
-    return got.select("ask_id", F.col("plan").isNotNull().alias("valid"), *[c.alias(x) for x, c in columns.items()])
-
-
-def plan_json(queries: list[str], docsets: list[str]) -> str:
-    """A plan as a model is asked to write it."""
-    return json.dumps({"queries": queries, "docsets": docsets, "symbols": [], "resultCount": USUAL})
+    part = lambda key: F.try_variant_get("v", f"$.{key}", "variant")  # noqa: E731  null without the key
+    kind = lambda key: F.schema_of_variant(part(key))
+    texts = lambda key: F.try_variant_get("v", f"$.{key}", "array<string>")
+    all_text = lambda key: kind(key).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(texts(key), lambda x: x.isNull())
+    optional = lambda key, fits: part(key).isNull() | F.coalesce(fits, F.lit(False))
+    count = F.try_variant_get("v", "$.resultCount", "bigint")
+    got = answers.withColumn("object", cut("answer")).withColumn("v", F.try_parse_json("object"))
+    fits = F.coalesce(all_text("queries"), F.lit(False)) & optional("docsets", all_text("docsets")) & optional("symbols", all_text("symbols")) & optional("resultCount", (kind("resultCount") == "BIGINT") & (count >= 0))
+    status = F.when(F.col("object").isNull(), "no object").when(F.col("v").isNotNull() & fits, "plan").otherwise("bad plan")
+    queries = F.when(F.size(texts("queries")) > 0, texts("queries")).otherwise(F.array(F.substring(F.coalesce("message", F.lit("")), 1, MOST_QUERY)))
+    columns = sanitized(queries, texts("docsets"), texts("symbols"), F.coalesce(count, F.lit(UNNAMED)))
+    return got.withColumn("status", status).select("ask_id", "status", *[F.when(F.col("status") == "plan", c).alias(x) for x, c in columns.items()])

@@ -132,12 +132,12 @@ def resolved_scope(wanted: Column, allowed: Column) -> Column:
     return F.when(F.size(wanted) == 0, allowed).when(F.size(allowed) == 0, wanted).otherwise(F.array_intersect(wanted, allowed))
 
 
-def boosted(fused: DataFrame, chunks: DataFrame, wanted: DataFrame, k: int = 8) -> DataFrame:
-    """Fused rows again ranked, with SYMBOL_BOOST more where the chunk has one of the query's symbols; chunks (chunk_id, symbols), wanted (query_id, symbols)."""
+def symbol_boost(candidates: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """candidates with SYMBOL_BOOST more where the chunk has one of the query's symbols, in any case of A-Z; chunks (chunk_id, symbols), wanted (query_id, symbols)."""
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), ascii_lower)
-    rows = fused.drop("rank").join(chunks.select("chunk_id", low(F.col("symbols")).alias("has")), "chunk_id", "left").join(wanted.select("query_id", low(F.col("symbols")).alias("want")), "query_id", "left")
+    rows = candidates.join(chunks.select("chunk_id", low(F.col("symbols")).alias("has")), "chunk_id", "left").join(wanted.select("query_id", low(F.col("symbols")).alias("want")), "query_id", "left")
     more = F.when(F.coalesce(F.arrays_overlap("has", "want"), F.lit(False)), SYMBOL_BOOST).otherwise(0.0)
-    return top_k(rows.withColumn("score", F.col("score") + more).drop("has", "want"), max(1, min(32, k)))
+    return rows.withColumn("score", F.col("score") + more).drop("has", "want")
 
 
 def merged_queries(hits: DataFrame, plans: DataFrame) -> DataFrame:
@@ -156,10 +156,15 @@ def open_sources(urls: DataFrame, chunks: DataFrame, scheme: str = "docs://") ->
     return got.select("url", "status", *[F.when(F.col("status") == "found", F.col(f"last.{c}")).alias(c) for c in rest])
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 8, candidates: int = CANDIDATES, constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked tables; both raw scores stay, null where a list lacks the row."""
+def fused_candidates(lexical: DataFrame, semantic: DataFrame, candidates: int = CANDIDATES, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of two ranked tables, not cut yet; both raw scores stay, null where a list lacks the row."""
     part = lambda df, kind: df.filter(F.col("rank") <= candidates).select("query_id", "chunk_id", "rank", "score", F.lit(kind).alias("kind"))
     both = part(lexical, "lexical").unionByName(part(semantic, "semantic"))
     raw = [F.max(F.when(F.col("kind") == x, F.col("score"))).alias(f"{x}_score") for x in ("lexical", "semantic")]
-    fused = both.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), *raw)
-    return top_k(fused, max(1, min(32, k)))
+    return both.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), *raw)
+
+
+def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 8, candidates: int = CANDIDATES, constant: int = 60, chunks: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """The k best fused rows, 32 at most; with chunks and wanted, exact symbols raise candidates before the cut."""
+    rows = fused_candidates(lexical, semantic, candidates, constant)
+    return top_k(rows if wanted is None else symbol_boost(rows, chunks, wanted), max(1, min(32, k)))

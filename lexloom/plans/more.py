@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import docset_key
-from lexloom.operators import evidence, ingest, packs, planner, tables
+from lexloom.operators import evidence, index, ingest, packs, planner, tables
 from lexloom.operators.lexical import bm25
-from lexloom.operators.vectors import boosted, cosine_topk, merged_queries, open_sources, pair_cosine
+from lexloom.operators.vectors import cosine_topk, fuse, merged_queries, open_sources, pair_cosine
 from lexloom.plans import queries as base
 from lexloom.plans.queries import BEST, BM25, SYMBOLS, bm25_sql
 from lexloom.sources.tables import new_folder, table
@@ -59,12 +59,30 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("id", "stem", "section", "url", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def indexable(spark: SparkSession, d: str, text=None) -> DataFrame:
+    """Documents as pages of one chunk, in stems by language."""
+    return table(spark, d, "documents").select(docset_key(F.col("source")).alias("docset"), F.concat(F.lit("local-"), "lang").alias("stem"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("chunk_id"), (F.col("text") if text is None else text).alias("indexed"))
+
+
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """The corpus written as an index by stem, and the questions asked of it."""
-    docs = table(spark, d, "documents").select(docset_key(F.col("source")).alias("docset"), F.concat(F.lit("local-"), "lang").alias("stem"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("indexed"))
     folder = new_folder(spark, "index")
-    packs.write_index(docs, folder)
-    return packs.search_index(packs.load_index(spark, folder), base.questions(spark, d))
+    index.write_index(indexable(spark, d), folder)
+    return index.search_index(index.load_index(spark, folder), base.questions(spark, d))
+
+
+def index_merged(spark: SparkSession, d: str) -> DataFrame:
+    """All pages; then every third with other words, and one that isn't there yet; every seventh gone; a batch once more; all of it compacted."""
+    folder, docs = new_folder(spark, "index"), indexable(spark, d)
+    index.merge_pages(docs.filter("chunk_id % 5 <> 4"), docs, folder, "first")
+    third = indexable(spark, d, F.concat(F.substring("text", 1, 400), F.lit(" "), F.reverse("text"))).filter("chunk_id % 3 = 0")
+    new = docs.filter("chunk_id % 5 = 4 and chunk_id % 3 <> 0")
+    for again in range(2):
+        index.merge_pages(third.unionByName(new), third.unionByName(new), folder, "second")
+    seventh = docs.filter("chunk_id % 7 = 0")
+    index.merge_pages(seventh.limit(0), seventh, folder, "third")
+    index.compact(spark, folder, most=1)
+    return index.search_index(index.load_index(spark, folder), base.questions(spark, d))
 
 
 def cosine_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +100,11 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_boosted(spark: SparkSession, d: str) -> DataFrame:
-    """Fused rows, where a document of the source that the item's number names counts as an exact symbol."""
+    """Fused candidates, where a document of the source that the item's number names counts as an exact symbol."""
     docs = table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.array("source").alias("symbols"))
     wanted = table(spark, d, "benchmark").select("item_id").distinct().join(docs, F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("query_id"), F.array(F.upper("source")).alias("symbols"))
-    return boosted(base.rrf_hybrid(spark, d), chunks, wanted)
+    return fuse(*base.ranked_lists(spark, d), chunks=chunks, wanted=wanted)
 
 
 def hybrid_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -124,11 +142,13 @@ def small_talk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_plans(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that hold a plan on even turns, and none on odd ones."""
+    """Answers of a model by turn: plans whole and short, no object, no JSON, and objects of wrong types."""
     a = asks(spark, d)
-    plan = F.to_json(F.struct(F.array(F.substring("text", 1, 30)).alias("queries"), F.array(F.lit("css"), F.lit("nope")).alias("docsets"), F.lit(99).alias("resultCount")))
-    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<think>{"a": 1}</think>Plan: '), plan, F.lit(" done }"))).otherwise("no plan")
-    return planner.parse_plans(a.select("ask_id", F.col("text").alias("message"), answer.alias("answer"))).select("ask_id", "valid", *joined("queries", "docsets"), "result_count")
+    start = F.substring(F.regexp_replace("text", r'["\\\\\x00-\x1f]', " "), 1, 30)
+    whole = F.concat(F.lit('<think>{"a": 1}</think>Plan: {"queries": ["'), start, F.lit('", " "], "docsets": ["python", "nope", "css", "css"], "symbols": [" a.b "], "resultCount": 99} done }'))
+    forms = [whole, F.lit("no plan"), F.lit("{oops}"), F.lit('{"queries": "a"}'), F.lit('{"queries": []}'), F.lit('{"queries": [" "], "resultCount": 1}'), F.lit('{"queries": ["q"], "resultCount": -1}'), F.lit('{"queries": ["q", 7]}'), F.lit('{"docsets": ["css"]}')]
+    answer = F.element_at(F.array(*forms), (F.col("ask_id") % len(forms) + 1).cast("int"))
+    return planner.parse_plans(a.select("ask_id", F.col("text").alias("message"), answer.alias("answer"))).select("ask_id", "status", *joined("queries", "docsets", "symbols"), F.coalesce("result_count", F.lit(0)).alias("result_count"))
 
 
 def hits_with_text(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +162,7 @@ def evidence_text(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_rows(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "benchmark").select(F.col("item_id").alias("ask_id"), F.col("text").alias("message"), F.when(F.col("item_id") % 2 == 0, "think").otherwise("fast").alias("mode"), (F.col("item_id") % 5 == 0).alias("talk")).distinct()
-    return evidence.prompts(a, evidence.evidence(hits_with_text(spark, d))).select("ask_id", F.md5("prompt").alias("prompt_md5"), F.col("most_tokens"))
+    return evidence.prompts(a, evidence.evidence(hits_with_text(spark, d).filter("ask_id % 4 <> 3"))).select("ask_id", F.md5("prompt").alias("prompt_md5"), F.col("most_tokens"))
 
 
 def retrieval_trace(spark: SparkSession, d: str) -> DataFrame:
@@ -266,9 +286,9 @@ SQL = {
     "index_search": base.SQL["bm25_topk"],
     "cosine_filtered": base.SQL["vector_topk"].replace("where q.vec_id % 100 = 0", "where q.vec_id % 100 = 0 and v.label in (1, 3)"),
     "cosine_pairs": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine, 0.0::double as with_none from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
-    "hybrid_boosted": f"""
-with f as ({base.SQL["rrf_hybrid"]}), b as (select f.* exclude (score, rank), round(score + case when lower(c.source) = lower(w.source) then 0.0125 else 0 end, 6) as score from f left join documents c on chunk_id = c.doc_id left join documents w on query_id = w.doc_id)
-select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from b) where rank <= 8""",
+    "index_merged": base.bm25_sql("select item_id as query_id, text as question from benchmark", "select doc_id, case when doc_id % 3 = 0 then substr(text, 1, 400) || ' ' || reverse(text) else text end as text from documents where doc_id % 7 <> 0") + f"\n{BEST.format('r', 8)}",
+    "hybrid_boosted": f"""{base.FUSED}, x as (select g.* exclude (score), round(score + case when lower(c.source) = lower(w.source) then 0.0125 else 0 end, 6) as score from g left join documents c on chunk_id = c.doc_id left join documents w on query_id = w.doc_id)
+select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from x) where rank <= 8""",
     "hybrid_merged": f"""{bm25_sql("select item_id * 2 as query_id, text as question from benchmark union all select item_id * 2 + 1, substr(text, 1, 80) from benchmark")}, h as ({BEST.format('r', 16)}),
 m as (select query_id // 2 as ask_id, chunk_id, max(score) as score from h group by all)
 select ask_id, chunk_id, score, rank from (select *, row_number() over (partition by ask_id order by score desc, chunk_id)::int as rank from m) where rank <= least(16, ask_id % 13 + 4)""",
@@ -279,16 +299,18 @@ select url, 'found' as status, n_chars from c union all select url || '#gone', '
 with a as ({ASKS}), s as (select *, {SYMBOLS.format('message')} as l, substr({TRIM.format('message')}, 1, 240) as q, list_concat(case when {HAS(planner.CUES["python"])} then ['python'] else [] end, case when {HAS(planner.CUES["cpp"])} then ['cpp'] else [] end) as two, ({" or ".join(HAS(planner.CUES[x]) for x in ("html", "css", "javascript"))}) as others from a),
 t as (select *, list_filter(l, lambda x, i: list_position(l, x) = i)[1:12] as y from s)
 select ask_id, array_to_string(list_filter([{TRIM.format('q')}, case when len(y) > 0 and not contains({LOW.format('q')}, {LOW.format('y[1]')}) then substr(y[1], 1, 240) else '' end], lambda x: x <> ''), '|') as queries,
-array_to_string(list_concat(case when len(two) = 0 and not others then ['python', 'cpp'] else two end, ['local']), '|') as docsets, array_to_string(list_transform(y, lambda x: substr(x, 1, 100)), '|') as symbols, 8::int as result_count from t""",
+array_to_string(list_sort(list_concat(case when len(two) = 0 and not others then ['python', 'cpp'] else two end, ['local'])), '|') as docsets, array_to_string(list_transform(y, lambda x: substr(x, 1, 100)), '|') as symbols, 8::int as result_count from t""",
     "small_talk": rf"""
 with a as ({ASKS}), t as (select ask_id, {TRIM.format('message')} as m from a)
 select ask_id, m = '' or (not ({" or ".join(f"contains(m, {QUOTED([c]) if c != chr(10) else 'chr(10)'})" for c in planner.TECHNICAL)}) and {TRIM.format(r"regexp_replace(regexp_replace(lower(m), '[!-&(-,./:-@\[-`{-~]', '', 'g'), '[\s\x0b]+', ' ', 'g')")} in ({QUOTED(planner.SMALL_TALK)})) as talk from t""",
-    "parsed_plans": f"""
-with a as ({ASKS})
-select ask_id, turn % 2 = 0 as valid, case when turn % 2 = 0 and {TRIM.format('substr(text, 1, 30)')} <> '' then {TRIM.format('substr(text, 1, 30)')} else {TRIM.format(f"substr({TRIM.format('text')}, 1, 240)")} end as queries, case when turn % 2 = 0 then 'css|local' else '' end as docsets, case when turn % 2 = 0 then 16 else 8 end::int as result_count from a""",
+    "parsed_plans": rf"""
+with a as ({ASKS}), f as (select *, ask_id % 9 as f from a),
+p as (select *, case f when 0 then [{TRIM.format("substr(regexp_replace(text, '[\"\\\x00-\x1f]', ' ', 'g'), 1, 30)")}] when 4 then [{TRIM.format("substr(text, 1, 240)")}] when 5 then [] end as qs from f)
+select ask_id, case f when 1 then 'no object' when 0 then 'plan' when 4 then 'plan' when 5 then 'plan' else 'bad plan' end as status, array_to_string(list_filter(qs, lambda q: q <> ''), '|') as queries,
+case f when 0 then 'css|local|python' when 4 then '' when 5 then '' end as docsets, case f when 0 then 'a.b' when 4 then '' when 5 then '' end as symbols, case f when 0 then 16 when 4 then 10 when 5 then 4 else 0 end::int as result_count from p""",
     "evidence_text": f"{BM25}, {EVIDENCE}\nselect ask_id, md5(evidence) as evidence_md5, length(evidence)::bigint as n_chars from e",
     "prompt_rows": f"""{BM25}, {EVIDENCE}
-select distinct item_id as ask_id, md5(text || case when item_id % 5 = 0 or evidence is null then '' else chr(10) || chr(10) || evidence end) as prompt_md5, case when item_id % 5 = 0 then 192 when item_id % 2 = 0 then 768 else 512 end::int as most_tokens from benchmark left join e on ask_id = item_id""",
+select distinct item_id as ask_id, md5(case when item_id % 5 = 0 then text when item_id % 4 <> 3 and evidence is not null then 'USER QUESTION:' || chr(10) || text || chr(10) || chr(10) || evidence end) as prompt_md5, case when item_id % 5 = 0 then 192 when item_id % 2 = 0 then 768 else 512 end::int as most_tokens from benchmark left join e on ask_id = item_id""",
     "retrieval_trace": f"with f as ({base.SQL['rrf_hybrid']}) select query_id, count(lexical_score) as lexical_hits, count(semantic_score) as semantic_hits from f group by all",
     "citations_resolved": f"with a as ({ASKS}), c as (select ask_id as message_id, unnest(['S' || (turn % 4), 'S9']) as source_id from a) select message_id, source_id, case when source_id in ('S1', 'S2', 'S3') then 'docs://' || substr(source_id, 2) end as url from c",
     "pack_inventory": f"{INVENTORY} select * from i",
@@ -318,7 +340,7 @@ select conv_id as id, coalesce(nullif(substr(trim(regexp_replace(typed, '[\s\x0b
 }
 
 NAMES = (
-    *(import_limited, asset_status, html_sections, document_chunks, index_search, cosine_filtered, cosine_pairs, hybrid_boosted, hybrid_merged, sources_opened, plan_asks, small_talk, parsed_plans),
+    *(import_limited, asset_status, html_sections, document_chunks, index_search, index_merged, cosine_filtered, cosine_pairs, hybrid_boosted, hybrid_merged, sources_opened, plan_asks, small_talk, parsed_plans),
     *(evidence_text, prompt_rows, retrieval_trace, citations_resolved, pack_inventory, pack_totals, pack_filter, packs_to_install, pack_validation, library_ids, downloads_list, pack_progress),
     *(answer_assembly, chats_loaded, chats_renamed),
 )

@@ -29,12 +29,15 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return bm25(chunks(spark, d), questions(spark, d), allowed=allowed)
 
 
-def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+def ranked_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Each benchmark item asks with its text and with the vector of the same id."""
     v = table(spark, d, "embeddings")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")).distinct().join(v, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
-    semantic = cosine_topk(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k=24)
-    return fuse(bm25(chunks(spark, d), questions(spark, d), k=24), semantic)
+    return bm25(chunks(spark, d), questions(spark, d), k=24), cosine_topk(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k=24)
+
+
+def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return fuse(*ranked_lists(spark, d))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +96,9 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = r"flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_:.#-]+'), lambda t: list_concat([t], list_filter(regexp_split_to_array(t, '[:.#-]'), lambda p: strlen(p) > 1 and p <> t))))"
 
 #: DuckDB: BM25 scores of all chunks that share a term with a question, and the best rows of such a table.
-def bm25_sql(asked: str) -> str:
+def bm25_sql(asked: str, docs: str = "documents") -> str:
     return f"""
-with w as (select doc_id as chunk_id, {TOKENS.format("coalesce(text, '')")} as ts from documents),
+with w as (select doc_id as chunk_id, {TOKENS.format("coalesce(text, '')")} as ts from ({docs if " " in docs else f"select * from {docs}"})),
 s as (select count(*) as n, greatest(coalesce(avg(len(ts)), 0), 1) as a from w),
 q as (select distinct query_id, unnest({TOKENS.format("question")}) as term from ({asked})),
 c as (select term, chunk_id, len, count(*) as tf from (select chunk_id, len(ts) as len, unnest(ts) as term from w) where term in (select term from q) group by all),
@@ -106,6 +109,13 @@ r as (select query_id, chunk_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) *
 BM25 = bm25_sql("select item_id as query_id, text as question from benchmark")
 BEST = "select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from {0} where score > 0) where rank <= {1}"
 
+#: DuckDB: the fused candidates of both lists, not cut yet.
+FUSED = f"""{BM25}, l as ({BEST.format('r', 24)}),
+p as (select q.vec_id as query_id, v.vec_id as chunk_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id in (select item_id from benchmark)),
+v as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from p) where rank <= 24),
+b as (select *, 'l' as kind from l union all select query_id, chunk_id, score, rank, 'v' as kind from v),
+g as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as score, max(score) filter (kind = 'l') as lexical_score, max(score) filter (kind = 'v') as semantic_score from b group by all)"""
+
 #: DuckDB: names with a dot, :: or _, the first twelve different ones.
 SYMBOLS = r"list_filter(regexp_extract_all({0}, '[A-Za-z0-9_:.#-]+'), lambda r: strlen(r) > 2 and regexp_matches(r, '\.|::|_'))"
 
@@ -117,12 +127,8 @@ select doc_id, len(s)::bigint as n_symbols, array_to_string(s, ' ') as symbols f
     "bm25_filtered": f"{BM25}, e as (select * from r where chunk_id in (select doc_id from documents where lang = 'en'))\n{BEST.format('e', 8)}",
     "source_list": f"{BM25}\nselect query_id, 'S' || rank as source_id, chunk_id, score from ({BEST.format('r', 6)})",
     "evidence_outcomes": f"{BM25}, h as ({BEST.format('r', 8)}), n as (select query_id, count(*) as n from h group by all)\nselect query_id, coalesce(n, 0) as n_hits, case when n > 0 then 'evidence' else 'no evidence' end as status from (select distinct item_id as query_id from benchmark) left join n using (query_id)",
-    "rrf_hybrid": f"""{BM25}, l as ({BEST.format('r', 24)}),
-p as (select q.vec_id as query_id, v.vec_id as chunk_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id in (select item_id from benchmark)),
-v as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from p) where rank <= 24),
-b as (select *, 'l' as kind from l union all select query_id, chunk_id, score, rank, 'v' as kind from v),
-g as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 6) as score, max(score) filter (kind = 'l') as lexical_score, max(score) filter (kind = 'v') as semantic_score from b group by all)
-select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from g) where rank <= 8""",
+    "rrf_hybrid": f"""{FUSED}, x as (select * exclude (score), round(score, 6) as score from g)
+select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from x) where rank <= 8""",
     "corpus_stats": f"select count(*) as n_docs, coalesce(sum(len({TOKENS.format("coalesce(text, '')")})), 0)::bigint as sum_terms from documents",
     "plaintext_sections": r"""
 with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n'), lambda p: regexp_replace(regexp_replace(p, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*', chr(10), 'g')), lambda p: p <> '') as ps from documents)

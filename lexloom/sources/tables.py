@@ -17,3 +17,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(top or tempfile.mkdtemp(prefix='lexloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new shared folder and read again: computed once, and not lost with an executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexloom.functions.text import docset_key
 from lexloom.operators import ingest
-from lexloom.operators.packs import mirrored, write_index
+from lexloom.operators.index import merge_pages
+from lexloom.operators.packs import mirrored
 from lexloom.streaming.sessions import latest_stream
 
 
@@ -30,15 +32,22 @@ def pack_states(progress: DataFrame) -> DataFrame:
     return latest_stream(rows.select("docset", "seq", "state"), "docset", ["seq"])
 
 
-def ingest_stream(landing: DataFrame, folder: str, base: str, checkpoint: str) -> StreamingQuery:
-    """Parses, chunks and indexes files (docset, version, path, content) that land; a batch replaces the stems that it holds and leaves the others.
+def ingest_stream(landing: DataFrame, folder: str, base: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Parses, chunks and indexes files (docset, version, path, content) that land, page by page.
 
-    Statistics are sums of those of the stems, so that none is computed again.
+    A file replaces the page of its stem and path and nothing else; one without
+    text removes it. Of a batch's files with one stem and path the last by the
+    column order counts (the greatest content, without one). A batch that the
+    index has is not added again.
     """
-
-    def add(batch: DataFrame, _: int) -> None:
-        pages = ingest.parse_pages(batch, base, keep=("docset", "version"))
-        rows = ingest.index_rows(ingest.chunk_pages(pages)).withColumnRenamed("id", "chunk_id")
-        write_index(rows.select("stem", "chunk_id", "docset", "version", "title", "section", "url", "text", "symbols", "embedding", "indexed"), folder)
+    by = [order] if order else []
+
+    def add(batch: DataFrame, number: int) -> None:
+        files = batch.withColumn("stem", ingest.index_stem(docset_key(F.col("docset")))).groupBy("stem", "path").agg(F.max(F.struct(*by, "content", "docset", "version")).alias("f"))
+        files = files.select("stem", "path", "f.docset", "f.version", "f.content")
+        pages = ingest.parse_pages(files, base, keep=("docset", "version"))
+        rows = ingest.index_rows(ingest.chunk_pages(pages)).withColumnsRenamed({"id": "chunk_id", "page_path": "path"})
+        rows = rows.select("stem", "path", "chunk_id", "docset", "version", "title", "section", "url", "text", "symbols", "embedding", "indexed")
+        merge_pages(rows, files, folder, f"{checkpoint}:{number}")
 
     return landing.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
-from lexloom.operators import ingest, packs
+from lexloom.operators import index, ingest, packs
+from lexloom.sources import files, snapshots
 from lexloom.streaming.answers import ingest_stream
 
 FILES = "path string, content string"
@@ -80,10 +81,10 @@ def test_tree_and_assets(spark, tmp_path):
         (tmp_path / name).write_text("veda")
     got = {r["path"]: r["content"] for r in ingest.read_tree(spark, f"file://{tmp_path}", 2).collect()}
     assert got == {x: "veda" for x in ("library/__main__.html", "sub/_static/y.html", "a.MD")}
-    files = spark.createDataFrame([("a", b"four"), ("b", b"four"), ("c", b"four")], "name string, content binary")
+    held = spark.createDataFrame([("a", b"four"), ("b", b"four"), ("c", b"four")], "name string, content binary")
     right = hashlib.sha256(b"four").hexdigest().upper()
     catalog = spark.createDataFrame([("a", 4, right), ("b", 5, right), ("c", 4, "00"), ("d", 1, "00")], "name string, bytes bigint, sha256 string")
-    assert {r["name"]: r["status"] for r in ingest.verify_assets(files, catalog).collect()} == {"a": "ok", "b": "size", "c": "checksum", "d": "missing"}
+    assert {r["name"]: r["status"] for r in ingest.verify_assets(held, catalog).collect()} == {"a": "ok", "b": "size", "c": "checksum", "d": "missing"}
 
 
 def test_packs_and_index(spark, tmp_path):
@@ -95,32 +96,108 @@ def test_packs_and_index(spark, tmp_path):
     packs.write_pack(made.filter("pack_key = 'q'"), pages.filter("pack_key = 'q'").union(pages.filter("pack_key = 'q'")), str(tmp_path / "packs"))
     with pytest.raises(ValueError, match="page count"):
         packs.read_pack(spark, str(tmp_path / "packs"))
-    rows = spark.createDataFrame([("python", 1, "python", "std alpha alpha"), ("local-a", 2, "local", "alpha beta"), ("local-a", 3, "local", "gamma")], "stem string, chunk_id bigint, docset string, indexed string")
-    folder = str(tmp_path / "index")
-    packs.write_index(rows, folder)
-    asked = spark.createDataFrame([(1, "alpha"), (1, "alpha"), (2, "nothing here"), (3, "")], "query_id bigint, question string")
-    find = lambda **o: [(r["query_id"], r["chunk_id"], r["score"]) for r in packs.search_index(packs.load_index(spark, folder), asked, **o).orderBy("rank").collect()]
-    every = find()
-    assert [x[1] for x in every] == [1, 2]
-    assert find(docsets=["local"]) == [every[1]]  # statistics stay those of all
-    assert packs.installed_stems(spark, folder) == ["python", "local-a"] and packs.installed_stems(spark, str(tmp_path / "none")) == []
-    tables, left = packs.remove_pack(packs.load_index(spark, folder), "local-a", spark.createDataFrame([("local-a",), ("local-a-index",), ("python",)], "id string"))
-    assert tables["postings"].select("stem").distinct().collect()[0][0] == "python" and left.count() == 1
     # an official pack in a wrong version, a ready one, and a local one
     assert packs.expected(spark).count() == 5
 
 
+INDEXED = "stem string, path string, chunk_id bigint, docset string, indexed string"
+
+
+def asking(spark, folder, text, **options):
+    asked = spark.createDataFrame([(1, text), (1, text), (2, "nothing here"), (3, ""), (4, None)], "query_id bigint, question string")
+    return [(r["chunk_id"], r["score"]) for r in index.search_index(index.load_index(spark, folder, options.pop("version", None)), asked, **options).orderBy("rank").collect()]
+
+
+def test_index_on_disk(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    assert asking(spark, folder, "alpha") == [] and index.load_index(spark, folder).stems == []
+    rows = spark.createDataFrame([("python", "a", 1, "python", "std alpha alpha"), ("local-a", "b", 2, "local", "alpha beta"), ("local-a", "c", 3, "local", "gamma"), ("007", "d", 4, "local", "")], INDEXED)
+    index.write_index(rows, folder)
+    every = asking(spark, folder, "alpha")
+    assert [x[0] for x in every] == [1, 2] and index.load_index(spark, folder).n == 4
+    assert asking(spark, folder, "alpha", docsets=["local"]) == [every[1]]  # statistics stay those of all
+    scopes = spark.createDataFrame([(1, ["python"])], "query_id bigint, docsets array<string>")
+    assert asking(spark, folder, "alpha", scopes=scopes) == [every[0]]
+    assert asking(spark, folder, "alpha", scopes=spark.createDataFrame([(1, [])], "query_id bigint, docsets array<string>")) == every
+    assert index.load_index(spark, folder).stems == ["python", "007", "local-a"]
+    # a stem written again is replaced, one without rows emptied; others stay
+    index.write_index(spark.createDataFrame([("local-a", "b", 9, "local", "alpha")], INDEXED), folder, ["local-a", "007"])
+    assert [x[0] for x in asking(spark, folder, "alpha gamma")] == [9, 1] and index.load_index(spark, folder).n == 2
+
+
+def test_removal_and_failed_writes(spark, tmp_path, monkeypatch):
+    folder, out = f"{tmp_path}/index", spark.createDataFrame([("local-a",), ("local-a-index",), ("python",)], "id string")
+    rows = spark.createDataFrame([("python", "a", 1, "python", "alpha " * 50), ("local-a", "b", 2, "local", "alpha beta " * 50)], INDEXED)
+    index.write_index(rows, folder)
+    before, full = asking(spark, folder, "alpha"), files.size(spark, f"{folder}/segments")
+
+    def fails(*_):
+        raise OSError("disk is full")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "commit", fails)
+        with pytest.raises(OSError):
+            index.write_index(rows.withColumn("indexed", F.lit("other")), folder)
+    assert asking(spark, folder, "alpha") == before and asking(spark, folder, "other") == []
+    assert files.size(spark, f"{folder}/segments") > full
+    snapshots.vacuum(spark, folder)
+    assert files.size(spark, f"{folder}/segments") == full
+    # readers keep their version until its files go
+    assert packs.remove_pack(spark, str(tmp_path), "local-a", out).count() == 1
+    assert [x[0] for x in asking(spark, folder, "alpha")] == [1] and 0 < files.size(spark, f"{folder}/segments") < full
+    assert index.load_index(spark, folder).stems == ["python"]
+
+
+def test_merge_replay_and_compaction(spark, tmp_path):
+    folder, whole = f"{tmp_path}/index", f"{tmp_path}/whole"
+    frame = lambda rows: spark.createDataFrame([("s", p, c, "local", t) for p, c, t in rows], INDEXED)
+    pages = lambda *paths: spark.createDataFrame([("s", p) for p in paths], "stem string, path string")
+    assert index.merge_pages(frame([("a", 1, "alpha beta"), ("b", 2, "beta"), ("c", 3, "gamma")]), pages("a", "b", "c"), folder, "1")
+    assert index.merge_pages(frame([("b", 2, "alpha delta delta"), ("d", 4, "beta")]), pages("b", "d"), folder, "2")
+    assert not index.merge_pages(frame([("b", 2, "alpha delta delta"), ("d", 4, "beta")]), pages("b", "d"), folder, "2")  # a replay
+    assert index.merge_pages(frame([]), pages("c", "none"), folder, "3")
+    assert index.merge_pages(frame([("b", 2, "alpha delta")]), pages("b"), folder, "4")
+    index.write_index(frame([("a", 1, "alpha beta"), ("b", 2, "alpha delta"), ("d", 4, "beta")]), whole)
+    same = lambda: [(asking(spark, folder, t), asking(spark, whole, t)) for t in ("alpha", "beta", "gamma delta")]
+    assert all(a == b for a, b in same()) and asking(spark, folder, "gamma") == []
+    assert (index.load_index(spark, folder).n, index.load_index(spark, folder).average) == (3, 5 / 3)
+    assert [x[0] for x in asking(spark, folder, "gamma", version=2)] == [3]  # an earlier version
+    assert index.compact(spark, folder, most=9) == [] and index.compact(spark, folder, most=2) == ["s"]
+    assert all(a == b for a, b in same()) and len(index.load_index(spark, folder).parts) == 1
+    snapshots.vacuum(spark, folder)
+    assert all(a == b for a, b in same()) and len(files.children(spark, f"{folder}/segments")) == 1
+
+
+def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    folder = f"{tmp_path}/index"
+    index.write_index(spark.createDataFrame([("s", str(k), k, "local", f"word{k} other{k}") for k in range(200)], INDEXED), folder)
+    now = index.load_index(spark, folder)
+    bucket = spark.range(1).select(index.bucket_of(F.lit("word7"))).first()[0]
+    read, every = now.postings([bucket]).inputFiles(), now.table("postings").inputFiles()
+    assert all(f"bucket={bucket}/" in f for f in now.postings([bucket]).filter("term = 'word7'").select(F.input_file_name()).distinct().toPandas().iloc[:, 0]) and len(every) > index.BUCKETS // 2
+    assert now.postings([bucket]).count() < now.table("postings").count() / 8 and read
+
+
 def test_pages_that_land(spark, tmp_path):
+    """Three batches of two stems: both pages of a stem stay, a changed page replaces only itself, an empty one goes; a batch build is the same."""
     schema = f"docset string, version string, {FILES}"
-    spark.createDataFrame([("python", "3", "a.md", "# A\nalpha words"), ("css", "1", "b.md", "# B\nbeta")], schema).write.parquet(str(tmp_path / "in"))
+    land = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(str(tmp_path / "in"))
     run = lambda: ingest_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), "https://d", str(tmp_path / "c")).awaitTermination(120)
+    land(("python", "3", "a.md", "# A\nalpha words"), ("css", "1", "b.md", "# B\nbeta"))
+    run()
+    land(("python", "3", "b.md", "# B\ngamma words only"), ("x", "local-n", "c.md", "gamma"))
+    run()
+    land(("python", "3", "a.md", "# A\ndelta"), ("css", "1", "b.md", ""))
     run()
-    spark.createDataFrame([("python", "3", "a.md", "# A\ngamma words only"), ("x", "local-n", "c.md", "gamma")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    index = packs.load_index(spark, str(tmp_path / "index"))
-    assert {r["stem"]: r["n"] for r in index["sizes"].collect()} == {"python": 1, "css": 1, "local-n": 1}
-    asked = spark.createDataFrame([(1, "gamma"), (2, "alpha"), (3, "beta")], "query_id bigint, question string")
-    assert sorted((r["query_id"], r["chunk_id"]) for r in packs.search_index(index, asked).collect()) == [(1, "local:local-n:c.md:0"), (1, "python:3:a.md:0"), (3, "css:1:b.md:0")]
+    now = index.load_index(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "gamma"), (2, "alpha"), (3, "beta"), (4, "delta")], "query_id bigint, question string")
+    found = lambda ix: sorted((r["query_id"], r["chunk_id"], r["score"]) for r in index.search_index(ix, asked).collect())
+    assert [x[:2] for x in found(now)] == [(1, "local:local-n:c.md:0"), (1, "python:3:b.md:0"), (4, "python:3:a.md:0")] and now.n == 3
+    final = spark.createDataFrame([("python", "3", "a.md", "# A\ndelta"), ("python", "3", "b.md", "# B\ngamma words only"), ("x", "local-n", "c.md", "gamma")], schema)
+    rows = ingest.index_rows(ingest.chunk_pages(ingest.parse_pages(final, "https://d", keep=("docset", "version")))).withColumnsRenamed({"id": "chunk_id", "page_path": "path"})
+    index.write_index(rows, str(tmp_path / "whole"))
+    assert found(now) == found(index.load_index(spark, str(tmp_path / "whole")))
 
 
 def test_library_ids(spark):

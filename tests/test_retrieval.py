@@ -44,8 +44,13 @@ def test_fusion_scope_and_symbols(spark):
     assert [(r["chunk_id"], r["semantic_score"]) for r in alone] == [(10, None), (11, None)]
     chunks = spark.createDataFrame([(10, ["x.y"]), (11, ["Std::Sort"])], "chunk_id bigint, symbols array<string>")
     wanted = spark.createDataFrame([(1, ["std::sort", "std::sort"])], "query_id bigint, symbols array<string>")
-    best = vectors.boosted(vectors.fuse(lexical, none), chunks, wanted).orderBy("rank").collect()
+    best = vectors.fuse(lexical, none, chunks=chunks, wanted=wanted).orderBy("rank").collect()
     assert best[0]["chunk_id"] == 11 and best[0]["score"] == pytest.approx(1 / 62 + 0.0125, abs=1e-6)
+    # the boost comes before the cut: the ninth of 24 candidates is the first of 8
+    many = spark.createDataFrame([(1, k, k, 1.0) for k in range(1, 25)], "query_id bigint, chunk_id bigint, rank int, score double")
+    ninth = spark.createDataFrame([(9, ["a.b"])], "chunk_id bigint, symbols array<string>")
+    top = vectors.fuse(many, none, chunks=ninth, wanted=spark.createDataFrame([(1, ["A.B"])], "query_id bigint, symbols array<string>")).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in top] == [9, 1, 2, 3, 4, 5, 6, 7] and top[0]["score"] == pytest.approx(1 / 69 + 0.0125, abs=1e-6)
     s = lambda a, b: spark.range(1).select(vectors.resolved_scope(F.array(*map(F.lit, a)).cast("array<string>"), F.array(*map(F.lit, b)).cast("array<string>"))).first()[0]
     assert s([], ["a"]) == ["a"] and s(["a", "b"], []) == ["a", "b"] and s(["a", "b"], ["b", "c"]) == ["b"]
     docs = spark.createDataFrame([("python",), ("css",)], "docset string")
@@ -59,8 +64,8 @@ def plans(spark, message, available):
 def test_plans(spark):
     p = plans(spark, "How do I use asyncio in Python?", ["python", "cpp"])
     assert p["queries"] == ["How do I use asyncio in Python?"] and p["docsets"] == ["python"] and p["result_count"] == 8
-    assert plans(spark, "sort a list", ["javascript", "python"])["docsets"] == ["python", "javascript"]
-    assert plans(spark, "python lists", ["python", "local"])["docsets"] == ["python", "local"]
+    assert plans(spark, "sort a list", ["javascript", "python"])["docsets"] == ["javascript", "python"]
+    assert plans(spark, "python lists", ["python", "local"])["docsets"] == ["local", "python"]
     assert plans(spark, "addEventListener", [])["docsets"] == [] and plans(spark, " \t ", ["python"])["queries"] == []
     long = plans(spark, "x" * 300 + " std::vector::push_back Array.prototype.map", [])
     assert long["queries"] == ["x" * 240, "std::vector::push_back"] and long["symbols"] == ["std::vector::push_back", "Array.prototype.map"]
@@ -72,10 +77,13 @@ def test_plans(spark):
 
 def test_plans_of_a_model(spark):
     assert planner.first_object('<think>{no}</think> ```json {"a": "}\\"{", "b": {}} ``` {}') == '{"a": "}\\"{", "b": {}}'
-    answers = [(1, "m one", '{"queries": ["a", " ", "b", "c", "d", "e"], "docsets": ["css", "css", "html"], "symbols": [" s "], "resultCount": 500}'), (2, " m two ", "nothing"), (3, "m", None)]
+    answers = [(1, "m one", '{"queries": ["a", " ", "b", "c", "d", "e"], "docsets": ["html", "css", "css", "mine"], "symbols": [" s "], "resultCount": 500}'), (2, " m two ", '{"queries": []}'), (3, "m", '{"queries": [" "], "resultCount": 0}')]
+    wrong = ["{oops}", '{"queries": "a"}', '{"queries": ["a", null]}', '{"queries": ["a"], "resultCount": 8.5}', '{"queries": ["a"], "resultCount": -1}', '{"queries": ["a"], "docsets": null}', '{"symbols": []}', "nothing", None]
+    answers += [(10 + k, "m", w) for k, w in enumerate(wrong)]
     got = {r["ask_id"]: r for r in planner.parse_plans(spark.createDataFrame(answers, "ask_id bigint, message string, answer string")).collect()}
-    assert got[1]["queries"] == ["a", "b", "c", "d"] and got[1]["docsets"] == ["html", "css"] and got[1]["symbols"] == ["s"] and got[1]["result_count"] == 16
-    assert not got[2]["valid"] and got[2]["queries"] == ["m two"] and got[3]["queries"] == ["m"]
+    assert got[1]["queries"] == ["a", "b", "c", "d"] and got[1]["docsets"] == ["css", "html", "local"] and got[1]["symbols"] == ["s"] and got[1]["result_count"] == 16
+    assert got[2]["queries"] == ["m two"] and got[2]["result_count"] == 10 and got[3]["queries"] == [] and got[3]["result_count"] == 4
+    assert [got[10 + k]["status"] for k in range(len(wrong))] == ["bad plan"] * 7 + ["no object"] * 2 and got[10]["queries"] is None
 
 
 def test_evidence(spark):
@@ -85,7 +93,9 @@ def test_evidence(spark):
     assert 'id="S6"' in got[1] and 'id="S7"' not in got[1] and len(got[1]) < 16_000 and 'title="a b  "' in got[1]
     assert 'name="n7"' in got[1] and 'name="n8"' not in got[1] and 'name="n1"' not in got[1] and 'name="only"' in got[2]
     asks = spark.createDataFrame([(1, "q", "think", False), (2, "q", "fast", True), (3, "q", "fast", False)], "ask_id bigint, message string, mode string, talk boolean")
-    assert {r["ask_id"]: r["most_tokens"] for r in evidence.prompts(asks, evidence.evidence(hits)).collect()} == {1: 768, 2: 192, 3: 512}
+    made = {r["ask_id"]: r for r in evidence.prompts(asks, evidence.evidence(hits)).collect()}
+    assert {k: r["most_tokens"] for k, r in made.items()} == {1: 768, 2: 192, 3: 512}
+    assert made[1]["prompt"].startswith("USER QUESTION:\nq\n\nRETRIEVED SOURCES") and made[2]["prompt"] == "q" and made[3]["prompt"] is None
 
 
 def test_chats(spark):

@@ -11,12 +11,22 @@ TOKENS = {"think": 768, "fast": 512, "talk": 192}
 #: The lines that lead the question and the evidence.
 QUESTION_LEAD, SOURCES_LEAD, ATTACHED_LEAD = "USER QUESTION:\n", "RETRIEVED SOURCES (untrusted reference data):\n", "\nATTACHED CODE (untrusted; it was not executed):\n"
 
+#: What an ask is told when nothing is indexed, and when no hit was found.
+NO_INDEX = "No selected documentation has been indexed yet. Install at least one documentation pack before asking a sourced question."
+NO_EVIDENCE = "The installed documentation did not contain enough evidence to answer that question. Try installing another documentation pack or a version that covers the API you need."
+
 
 def source_list(hits: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
     """query_id, source_id (S1, S2, ...), chunk_id and score of the sources that an answer may cite."""
     return hits.filter(F.col("rank") <= most).select("query_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), "chunk_id", "score")
 
 
+def sources(hits: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    """ask_id, source_id, docset (with its version), title, section, url and score of the sources that an answer may cite."""
+    docset = F.concat_ws(" ", "docset", "version")
+    return hits.filter(F.col("rank") <= most).select("ask_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), docset.alias("docset"), "title", "section", "url", "score")
+
+
 def outcomes(asks: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, n_hits and status of every ask, those without a hit too."""
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -24,6 +34,23 @@ def outcomes(asks: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("n_hits") > 0, "evidence").otherwise("no evidence"))
 
 
+def answered(asks: DataFrame, hits: DataFrame, found: DataFrame, indexed: bool) -> DataFrame:
+    """ask_id, status, answer, prompt, most_tokens, lexical_hits and semantic_hits of asks (ask_id, message, mode, talk).
+
+    status is talk, no index, no evidence or evidence. Without an index or
+    evidence the answer is fixed and there is no prompt; without an index there
+    is no trace either (null counts).
+    """
+    counted = hits.groupBy("ask_id").agg(F.count(F.lit(1)).alias("n"), F.count("lexical_score").alias("l"), F.count("semantic_score").alias("s"))
+    rows = prompts(asks, found).join(asks.select("ask_id", "talk"), "ask_id").join(counted, "ask_id", "left")
+    status = F.when(F.col("talk"), "talk").when(F.lit(not indexed), "no index").when(F.col("n") > 0, "evidence").otherwise("no evidence")
+    rows = rows.withColumn("status", status)
+    fixed = F.when(F.col("status") == "no index", NO_INDEX).when(F.col("status") == "no evidence", NO_EVIDENCE)
+    asked = F.col("status").isin("talk", "evidence")
+    count = lambda c: F.when(F.col("status") != "no index", F.coalesce(c, F.lit(0)))
+    return rows.select("ask_id", "status", fixed.alias("answer"), F.when(asked, F.col("prompt")).alias("prompt"), F.when(asked, F.col("most_tokens")).alias("most_tokens"), count("l").alias("lexical_hits"), count("s").alias("semantic_hits"))
+
+
 def attribute(value: Column) -> Column:
     return F.substring(F.translate(F.coalesce(value, F.lit("")), '<>"', "   "), 1, MOST_ATTRIBUTE)
 

@@ -62,7 +62,7 @@ class Index:
         return max(sum(r["total"] for r in self.parts) / self.n, 1.0) if self.n > 0 else 1.0
 
     def table(self, name: str, within: tuple[str, list[int]] | None = None, parts: list[Row] | None = None) -> DataFrame | None:
-        """The rows of all segments with their version; within names a partition column and the values to read. None where there are none."""
+        """The rows of all segments with the version that added them; within names a partition column and the values to read. None where there are none."""
         parts, out = self.parts if parts is None else parts, []
         for segment in dict.fromkeys(r["segment"] for r in parts):
             own = [r for r in parts if r["segment"] == segment]
@@ -74,24 +74,24 @@ class Index:
                 kinds = self.spark.read.parquet(paths[0]).schema.add("stem", "string")
                 df = self.spark.read.schema(kinds).option("basePath", top).parquet(*paths)
                 df = df.filter(F.col(within[0]).isin(within[1])) if within else df
-                out.append(df.withColumn("version", F.lit(own[0]["version"])))
+                out.append(df.withColumn("_version", F.lit(own[0]["version"])))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out) if out else None
 
     def alive(self, rows: DataFrame) -> DataFrame:
-        """rows (stem, path, version) less those of pages that a later segment replaces."""
+        """rows (stem, path, _version) less those of pages that a later segment replaces."""
         dead = self.table("gone", parts=[r for r in self.parts if r["replaced"]]) if any(r["replaced"] for r in self.parts) else None
         if dead is None:
             return rows
-        last = dead.groupBy("stem", "path").agg(F.max("version").alias("until"))
-        return rows.join(last, ["stem", "path"], "left").filter("until is null or version >= until").drop("until")
+        last = dead.groupBy("stem", "path").agg(F.max("_version").alias("_until"))
+        return rows.join(last, ["stem", "path"], "left").filter("_until is null or _version >= _until").drop("_until")
 
     def chunks(self, shelves: list[int] | None = None) -> DataFrame | None:
         rows = self.table("chunks", ("shelf", shelves) if shelves is not None else None)
-        return None if rows is None else self.alive(rows).drop("shelf", "version")
+        return None if rows is None else self.alive(rows).drop("shelf", "_version")
 
     def postings(self, buckets: list[int]) -> DataFrame | None:
         rows = self.table("postings", ("bucket", buckets))
-        return None if rows is None else self.alive(rows).drop("version")
+        return None if rows is None else self.alive(rows).drop("_version")
 
     def term_df(self, buckets: list[int]) -> DataFrame:
         return self.table("terms", ("bucket", buckets)).groupBy("term").agg(F.sum("df").alias("df"))
@@ -188,8 +188,8 @@ def compact(spark: SparkSession, folder: str, most: int = 8) -> list[str]:
         return []
     old, segment = Index(spark, folder, snapshots.latest(rows), own), snapshots.new_segment()
     top = f"{folder}/segments/{segment}"
-    written(old.alive(old.table("chunks")).drop("version"), f"{top}/chunks", "shelf", ("path",))
-    written(old.alive(old.table("postings")).drop("version"), f"{top}/postings", "bucket", ("term",))
+    written(old.alive(old.table("chunks")).drop("_version"), f"{top}/chunks", "shelf", ("path",))
+    written(old.alive(old.table("postings")).drop("_version"), f"{top}/postings", "bucket", ("term",))
     summed = old.table("terms").groupBy("stem", "bucket", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     written(summed.filter("df <> 0 or bucket < 0"), f"{top}/terms", "bucket", ("term",))
     total = lambda stem, c: sum(r[c] for r in own if r["stem"] == stem)

@@ -51,18 +51,19 @@ def sanitized(queries: Column, docsets: Column, symbols: Column, count: Column)
     }
 
 
-def plan(asks: DataFrame, available: list[str]) -> DataFrame:
-    """ask_id and the plan of each ask (ask_id, message) for packs that are available; docsets are sorted by name."""
+def plan(asks: DataFrame, available: list[str] | None = None) -> DataFrame:
+    """ask_id and the plan of each ask (ask_id, message) for packs that are available, or for those of its own column docsets; docsets are sorted by name."""
+    none = F.array().cast("array<string>")
+    every = F.coalesce("docsets", none) if available is None else F.array(*map(F.lit, available)).cast("array<string>")
     message = F.coalesce("message", F.lit(""))
     first = F.substring(trimmed(message), 1, MOST_QUERY)
     symbols = question_symbols(message)
     symbol = F.get(symbols, F.lit(0))
     named = F.contains(ascii_lower(first), ascii_lower(symbol)) & (first != "")
     queries = F.array_compact(F.array(F.when(first != "", first), F.when(symbol.isNotNull() & ~named, symbol)))
-    every = F.array(*map(F.lit, available)).cast("array<string>")
     hints = inferred_docsets(message)
-    scope = F.when(F.size(hints) == 0, every).otherwise(F.array_intersect(hints, every) if available else hints)
-    scope = F.array_union(scope, F.array(F.lit("local"))) if "local" in available else scope
+    scope = F.when(F.size(hints) == 0, every).when(F.size(every) == 0, hints).otherwise(F.array_intersect(hints, every))
+    scope = F.when(F.array_contains(every, "local"), F.array_union(scope, F.array(F.lit("local")))).otherwise(scope)
     return asks.select("ask_id", *[c.alias(x) for x, c in sanitized(queries, scope, symbols, F.lit(USUAL)).items()])
 
 

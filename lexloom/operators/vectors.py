@@ -16,6 +16,8 @@ from lexloom.operators.topk import top_k
 MOST_BYTES, QUERY_WORDS, BATCH, LEAST_BYTES = 400, "Represent this sentence for searching relevant passages: ", 4, 128
 #: What an exact symbol adds to a fused score, and candidates of a list.
 SYMBOL_BOOST, CANDIDATES, ASK_CANDIDATES = 0.0125, 24, 48
+#: Rows that a task holds before it keeps only the best.
+MOST_FOUND = 500_000
 
 
 def bounded_bytes(text: str, most: int) -> str:
@@ -86,40 +88,72 @@ def pair_cosine(left: Column, right: Column) -> Column:
     return F.when((F.size(left) != F.size(right)) | (F.size(left) <= 0) | left.isNull() | right.isNull() | (norm == 0), F.lit(0.0)).otherwise(dot(left, right) / norm)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, most_bytes: int = 64 << 20) -> DataFrame:
+def blocks_of(rows: DataFrame, id_col: str, more: dict[str, str], block: int) -> tuple[DataFrame, int]:
+    """Rows (id, embedding, more columns of these types) in blocks by hash, a row each: ids, matrix, and lists of the rest; and how many."""
+    n = max(1, -(-rows.count() // block))
+    kind = dict(rows.dtypes)[id_col]
+
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col, kind="stable")
+        matrix = np.stack(pdf["embedding"].to_list()).astype(float)
+        return pd.DataFrame({"block": [key[0]], "ids": [pdf[id_col].to_list()], "matrix": [matrix.tobytes()]} | {c: [pdf[c].to_list()] for c in more})
+
+    dealt = rows.select(F.pmod(F.xxhash64(id_col, "embedding"), F.lit(n)).cast("int").alias("block"), id_col, "embedding", *more)
+    # a block has about `block` rows
+    return dealt.groupBy("block").applyInPandas(packed, ", ".join(["block int", f"ids array<{kind}>", "matrix binary", *(f"{c} array<{k}>" for c, k in more.items())])), n
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, scopes: DataFrame | None = None, block: int = 4_096, asked_block: int = 512) -> DataFrame:
     """query_id, chunk_id, score, rank; null and empty vectors are zero and score 0, which takes a place too.
 
-    The queries' matrix is broadcast, in parts of at most most_bytes; each
-    Arrow batch of vectors passes on its k best rows for a query.
+    Queries and vectors lie in blocks, and every block of queries meets every
+    block of vectors in some task, as a matrix product; a task passes on its k
+    best rows for a query. Neither side passes the driver. A repeated query asks
+    once. With scopes (query_id, docsets), a query sees vectors of its docsets
+    only (vectors then has docset); an empty or missing list restricts nothing.
     """
     spark, dim = vectors.sparkSession, dimension(vectors)
     wanted = dimension(queries)
-    kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
+    names = (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"])
+    kinds = f"query_id {names[0]}, chunk_id {names[1]}, score double"
     if dim is None or wanted is None:
         return top_k(spark.createDataFrame([], kinds), k)
     if wanted != dim:
         raise ValueError(f"queries of {wanted} numbers, vectors of {dim}")
-    asked, held = normalised(queries, dim).select("query_id", "embedding"), normalised(vectors, dim).select("chunk_id", "embedding")
-    n_parts = max(1, -(-queries.count() * dim * 8 // most_bytes))
-    out = None
-    for part in range(n_parts):
-        rows = list(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == part).toLocalIterator())  # about most_bytes
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows])))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    names = pdf["chunk_id"].to_numpy()
-                    s = np.round(matrix @ np.stack(pdf["embedding"].tolist()).T, 9)
-                    best = np.array([np.lexsort((names, -row))[:k] for row in s])
-                    yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-        found = held.mapInPandas(run, kinds)
-        out = found if out is None else out.union(found)
-    return top_k(out if out is not None else spark.createDataFrame([], kinds), k)
+    asked = normalised(queries.groupBy("query_id").agg(F.min("embedding").alias("embedding")), dim)
+    held = normalised(vectors, dim)
+    scoped = scopes is not None
+    if scoped:
+        asked = asked.join(scopes.groupBy("query_id").agg(F.min("docsets").alias("docsets")), "query_id", "left")
+    right, n = blocks_of(held, "chunk_id", {"docset": "string"} if scoped else {}, block)
+    left, _ = blocks_of(asked, "query_id", {"docsets": "array<string>"} if scoped else {}, asked_block)
+    pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnsRenamed({"ids": "asked", "matrix": "questions"}).join(right, "block")
+
+    def best(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(rows).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                s = np.round(np.frombuffer(r.questions).reshape(-1, dim) @ np.frombuffer(r.matrix).reshape(-1, dim).T, 9)
+                if scoped:
+                    sets = np.array(r.docset, dtype=object)
+                    s = np.stack([row if scope is None or not len(scope) else np.where(np.isin(sets, list(scope)), row, -np.inf) for row, scope in zip(s, r.docsets)])
+                at_least = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else -2.0
+                a, b = np.nonzero((s >= at_least) & (s > -np.inf))
+                found.append(pd.DataFrame({"query_id": np.asarray(r.asked)[a], "chunk_id": np.asarray(r.ids)[b], "score": s[a, b]}))
+                size += len(a)
+                if size > MOST_FOUND:
+                    found = [best(found)]
+                    size = len(found[0])
+                    if size > MOST_FOUND // 2:
+                        yield found.pop()
+                        size = 0
+        if found:
+            yield best(found)
+
+    return top_k(pairs.mapInPandas(run, kinds), k)
 
 
 def in_scope(chunks: DataFrame, docsets: list[str]) -> DataFrame:
@@ -128,7 +162,7 @@ def in_scope(chunks: DataFrame, docsets: list[str]) -> DataFrame:
 
 
 def resolved_scope(wanted: Column, allowed: Column) -> Column:
-    """A plan's docsets within the allowed ones; an empty list restricts nothing."""
+    """A plan's docsets within the allowed ones; an empty list restricts nothing, so that a plan with no allowed docset sees all."""
     return F.when(F.size(wanted) == 0, allowed).when(F.size(allowed) == 0, wanted).otherwise(F.array_intersect(wanted, allowed))
 
 
@@ -141,8 +175,9 @@ def symbol_boost(candidates: DataFrame, chunks: DataFrame, wanted: DataFrame) ->
 
 
 def merged_queries(hits: DataFrame, plans: DataFrame) -> DataFrame:
-    """ask_id, chunk_id, score, rank: of hits (ask_id, query_no, chunk_id, score) the best row of each chunk, the first result_count of each ask."""
-    best = hits.groupBy("ask_id", "chunk_id").agg(F.max("score").alias("score"))
+    """ask_id, chunk_id, score, rank and what else hits has: of hits (ask_id, query_no, chunk_id, score, ...) the best row of each chunk (of the first query, on ties), the first result_count of each ask."""
+    rest = [c for c in hits.columns if c not in ("ask_id", "chunk_id", "score", "query_no", "query_id", "rank")]
+    best = hits.groupBy("ask_id", "chunk_id").agg(F.max(F.struct("score", -F.col("query_no"), *rest)).alias("b")).select("ask_id", "chunk_id", "b.score", *[f"b.{c}" for c in rest])
     ranked = top_k(best, 16, query="ask_id")
     return ranked.join(plans.select("ask_id", "result_count"), "ask_id").filter(F.col("rank") <= F.col("result_count")).drop("result_count")
 

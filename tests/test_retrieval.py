@@ -17,7 +17,7 @@ def test_cosine_of_odd_vectors(spark):
     asked = vecs(spark, [(7, [0.9, 0.1]), (8, [])], "query_id")
     got = [(r["query_id"], r["chunk_id"], r["score"]) for r in vectors.cosine_topk(held, asked, k=4).orderBy("query_id", "rank").collect()]
     assert [x[1] for x in got[:4]] == [1, 3, 2, 4] and got[2][2] == 0 and [x[1] for x in got[4:]] == [1, 2, 3, 4]
-    few = [(r["query_id"], r["chunk_id"], r["score"]) for r in vectors.cosine_topk(held, asked, k=4, most_bytes=16).orderBy("query_id", "rank").collect()]
+    few = [(r["query_id"], r["chunk_id"], r["score"]) for r in vectors.cosine_topk(held, asked, k=4, block=2, asked_block=1).orderBy("query_id", "rank").collect()]
     assert few == got
     assert vectors.cosine_topk(held.filter("chunk_id = 2"), asked).count() == 0
     with pytest.raises(ValueError):

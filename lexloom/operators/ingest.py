@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
-from lexloom.functions.text import docset_key
+from lexloom.functions.text import docset_key, let, packed_chunks, paragraphs, path_title, slug
 
-#: What is imported, by extension; the limits of one import; the size and overlap of chunks; headings in a chunk's label.
+#: What is imported, by extension; the limits of one import.
 EXTENSIONS = ("html", "htm", "md", "markdown", "txt", "rst", "text")
 MOST_FILES, MOST_BYTES = 400, 2 * 1024 * 1024
-CHUNK, OVERLAP, LABEL = 5_200, 160, 6
 SECTIONS = "array<struct<heading:string,anchor:string,text:string,code:array<string>>>"
 PAGES = f"path string, title string, canonical_url string, symbols array<string>, sections {SECTIONS}"
 
@@ -67,57 +66,23 @@ def parse_pages(files: DataFrame, base: str, standalone: bool = False, keep: tup
     return parsed.filter(F.size("sections") > 0)
 
 
-def split_bounded(text: str, most: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Parts of at most `most` characters that end after a newline, dot, semicolon or brace of their second half, if there is one; each begins `overlap` before the last one's end."""
-    if len(text) <= most:
-        return [text] if text else []
-    parts, start = [], 0
-    while True:
-        end = min(start + most, len(text))
-        if end < len(text):
-            cut = max(text.rfind(c, start + most // 2, end) for c in "\n.;}") + 1
-            end = cut if cut > start + most // 2 else end
-        parts.append(text[start:end].strip())
-        if end == len(text):
-            return parts
-        start = max(end - overlap, 0)
-
-
-def chunks_of(title: str, sections: list[dict]) -> Iterator[tuple[str, str, str]]:
-    """(label, anchor, text) of chunks that parts of sections are packed into."""
-    held, size, heads, anchor = [], 0, [], "top"
-
-    def made() -> tuple[str, str, str]:
-        return " · ".join(heads[:LABEL]) if heads else title, anchor, "".join(held).strip()
-
-    for s in sections:
-        for part in split_bounded(s["text"] + "".join(f"\n\nCODE:\n{c}" for c in s["code"])):
-            if held and size + len(s["heading"]) + 1 + len(part) + 2 > CHUNK:
-                yield made()
-                held, size, heads = [], 0, []
-            anchor = anchor if held else s["anchor"]
-            lines = [f"{part}\n\n"]
-            if not heads or heads[-1] != s["heading"]:
-                heads.append(s["heading"])
-                lines.insert(0, f"{s['heading']}\n")
-            held += lines
-            size += sum(map(len, lines))
-    if "".join(held).strip():
-        yield made()
+def plain_pages(files: DataFrame, base: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """parse_pages for files that are all plain text, with built-in functions only: a section for each paragraph."""
+    safe = F.when(F.array_contains(F.split("path", "/"), ".."), F.raise_error(F.concat(F.lit("path leaves its folder: "), "path"))).otherwise(F.col("path"))
+    title = path_title(F.col("path"))
+    # what the end of the file closes is anchored at the top
+    open_end = F.coalesce(F.col("content"), F.lit("")).rlike(r"(?U)\S[^\n]*\n?\z")
+    made = lambda ps: F.transform(ps, lambda p, k: F.struct(title.alias("heading"), F.when(open_end & (k == F.size(ps) - 1), "top").otherwise(slug(title)).alias("anchor"), p.alias("text"), F.array().cast("array<string>").alias("code")))
+    url = F.concat(F.lit(base.rstrip("/") + "/"), "path")
+    rows = files.select(*keep, safe.alias("path"), title.alias("title"), url.alias("canonical_url"), F.array().cast("array<string>").alias("symbols"), let(paragraphs(F.col("content")), made).alias("sections"))
+    return rows.filter(F.size("sections") > 0)
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
     """Chunks of pages (docset, version, and the columns of PAGES), in order within each page; the key holds the version."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                rows += [(f"{r.docset}:{r.version}:{r.path}:{n}", r.docset, r.version, r.path, r.title, label, anchor, r.canonical_url, text, r.symbols) for n, (label, anchor, text) in enumerate(chunks_of(r.title, r.sections))]
-            yield pd.DataFrame(rows, columns=["id", "docset", "version", "page_path", "title", "section", "anchor", "canonical_url", "text", "symbols"])
-
-    rows = pages.select(docset_key(F.col("docset")).alias("docset"), "version", "path", "title", "canonical_url", "symbols", "sections")
-    return rows.mapInPandas(run, "id string, docset string, version string, page_path string, title string, section string, anchor string, canonical_url string, text string, symbols array<string>")
+    rows = pages.select(docset_key(F.col("docset")).alias("docset"), "version", F.col("path").alias("page_path"), "title", "canonical_url", "symbols", F.posexplode(packed_chunks(F.col("sections"))).alias("n", "c"))
+    key = F.concat_ws(":", "docset", "version", "page_path", "n")
+    return rows.select(key.alias("id"), "docset", "version", "page_path", "title", F.col("c.label").alias("section"), "c.anchor", "canonical_url", "c.text", "symbols")
 
 
 def index_stem(docset: Column | None = None, version: str = "version") -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import ascii_lower, docset_key, question_symbols
+from lexloom.functions.text import ascii_lower, docset_key, question_symbols, trimmed
 
 #: What hints at a pack, in the order in which packs are found. A cue with capitals never fits the lowered text.
 CUES = {
@@ -28,10 +28,6 @@ SMALL_TALK = (
 MOST_QUERY, MOST_QUERIES, MOST_SYMBOL, MOST_SYMBOLS, FEWEST, MOST, USUAL, UNNAMED = 240, 4, 100, 12, 4, 16, 8, 10
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-
-
 def inferred_docsets(message: Column) -> Column:
     low = ascii_lower(message)
     hints = [F.when(F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(low, c)), F.lit(pack)) for pack, cues in CUES.items()]

@@ -55,7 +55,7 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as plain-text pages, cut into chunks."""
     docs = table(spark, d, "documents").filter("doc_id is not null")
     rows = docs.select(F.coalesce("source", F.lit("none")).alias("docset"), F.lit("v1").alias("version"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    chunks = ingest.index_rows(ingest.chunk_pages(ingest.parse_pages(rows, "https://docs.example", keep=("docset", "version"))))
+    chunks = ingest.index_rows(ingest.chunk_pages(ingest.plain_pages(rows, "https://docs.example", keep=("docset", "version"))))
     return chunks.select("id", "stem", "section", "url", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -283,6 +283,20 @@ HAS = lambda cues: " or ".join(f"contains({LOW.format('message')}, {QUOTED([c])}
 SQL = {
     "import_limited": "with f as (select * from documents order by doc_id limit 400) select source || '/' || doc_id || '.' || case lang when 'en' then 'md' when 'de' then 'txt' else 'HTML' end as path, source as library, strlen(text)::bigint as bytes from f where lang in ('en', 'de', 'fr') and strlen(text) <= 2097152",
     "asset_status": "select doc_id::varchar as name, case when doc_id % 11 = 0 then 'missing' when strlen(text) <> length(text) then 'size' when doc_id % 7 = 0 then 'checksum' else 'ok' end as status from documents where doc_id is not null and text is not null",
+    "document_chunks": r"""
+with recursive d as (select doc_id, case when source in ('python', 'cpp', 'html', 'css', 'javascript') then source else 'local' end as docset, text from documents where doc_id is not null),
+ps as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '\s*\n\s*', chr(10), 'g')), lambda p: p <> '') as ps, regexp_matches(coalesce(text, ''), '[^\s][^\n]*\n?$') as open_end from d),
+s as (select doc_id, unnest(range(1, len(ps) + 1)) as k, unnest(ps) as t, len(ps) as n, open_end from ps),
+parts as (select doc_id, k, 1 as j, t, length(t) as n, case when length(t) <= 5200 then -1 else 0 end as start, case when length(t) <= 5200 then t end as part from s
+  union all select doc_id, k, j + 1, t, n, case when start + 5200 >= n then -1 else start + fin - 160 end, regexp_replace(substr(t, start + 1, fin), '^\s+|\s+$', '', 'g')
+  from (select *, case when start + 5200 >= n then n - start when length(regexp_extract(substr(t, start + 1, 5200), '(?s)^.*[\n.;}]')) > 2600 then length(regexp_extract(substr(t, start + 1, 5200), '(?s)^.*[\n.;}]')) else 5200 end as fin from parts where start >= 0)),
+f as (select doc_id, row_number() over (partition by doc_id order by k, j) as i, part, case when p.k = s.n and s.open_end then 'top' else doc_id::varchar end as anchor from parts p join s using (doc_id, k) where part is not null),
+pack as (select doc_id, 0::bigint as i, 0 as chunk, '' as held, 'top' as anchor, null::varchar as made, null::varchar as made_anchor from d
+  union all select p.doc_id, f.i, chunk + is_full::int, case when is_full or held = '' then p.doc_id || chr(10) else held end || part || chr(10) || chr(10), case when is_full or held = '' then f.anchor else p.anchor end, case when is_full then held end, case when is_full then p.anchor end
+  from (select pack.*, held <> '' and length(held) + length(pack.doc_id::varchar) + length(g.part) + 3 > 5200 as is_full from pack join f g on g.doc_id = pack.doc_id and g.i = pack.i + 1) p join f on f.doc_id = p.doc_id and f.i = p.i + 1),
+done as (select doc_id, chunk - 1 as n, made as held, made_anchor as anchor from pack where made is not null union all select doc_id, chunk, held, anchor from pack where held <> '' qualify row_number() over (partition by doc_id order by i desc) = 1),
+c as (select *, regexp_replace(held, '^\s+|\s+$', '', 'g') as t from done)
+select docset || ':v1:' || doc_id || '.txt:' || n as id, docset as stem, doc_id::varchar as section, 'docs://' || docset || '/' || doc_id || '.txt#' || anchor as url, length(t) as n_chars, md5(t) as text_md5 from c join d using (doc_id)""",
     "index_search": base.SQL["bm25_topk"],
     "cosine_filtered": base.SQL["vector_topk"].replace("where q.vec_id % 100 = 0", "where q.vec_id % 100 = 0 and v.label in (1, 3)"),
     "cosine_pairs": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine, 0.0::double as with_none from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
+from lexloom.functions.text import packed_chunks, split_bounded
 from lexloom.operators import index, ingest, packs
 from lexloom.sources import files, snapshots
 from lexloom.streaming.answers import ingest_stream
@@ -61,12 +62,52 @@ def plain_split(text):
     return parts if len(text) > 5200 else [text] if text else []
 
 
+def split(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(split_bounded(F.col("t"))).first()[0]
+
+
+def plain_chunks(title, sections):
+    """(label, anchor, text) of a page's chunks, one section after the other."""
+    out, held, heads, anchor = [], "", [], "top"
+    for s in sections:
+        for part in plain_split(s["text"] + "".join(f"\n\nCODE:\n{c}" for c in s["code"])):
+            if held and len(held) + len(s["heading"]) + 1 + len(part) + 2 > 5200:
+                out.append((" \u00b7 ".join(heads[:6]), anchor, held.strip()))
+                held, heads = "", []
+            anchor = anchor if held else s["anchor"]
+            if not heads or heads[-1] != s["heading"]:
+                heads.append(s["heading"])
+                held += s["heading"] + "\n"
+            held += part + "\n\n"
+    return out + ([(" \u00b7 ".join(heads[:6]), anchor, held.strip())] if held.strip() else [])
+
+
+def test_packed_chunks(spark):
+    r = random.Random(2)
+    pages = []
+    for k in range(40):
+        sections = [{"heading": f"h{r.randrange(3)}", "anchor": f"a{j}", "text": "word. " * r.randrange(r.choice([3, 300, 2500])), "code": ["c" * r.randrange(r.choice([2, 3000]))] * r.randrange(3)} for j in range(r.randrange(12))]
+        pages.append((k, sections))
+    rows = spark.createDataFrame(pages, f"k int, sections {ingest.SECTIONS}").select("k", packed_chunks(F.col("sections")).alias("c"))
+    got = {x["k"]: [tuple(c) for c in x["c"]] for x in rows.collect()}
+    assert got == {k: plain_chunks("t", s) for k, s in pages}
+
+
+def test_plain_pages_without_python(spark):
+    texts = ["a\n\nb", "a\n\nb\n", "a\n\nb\n\n", "a\n \n", "", "\n\n", " x \r\n y\r\n\r\nz", "\u00a0\n\u2003q", None]
+    files = spark.createDataFrame([(f"d/n_{k}-x.txt", t) for k, t in enumerate(texts)] + [("noext", "t"), (".hid", "t")], FILES)
+    both = [{r["path"]: r.asDict(recursive=True) for r in f(files, "https://d").collect()} for f in (ingest.plain_pages, ingest.parse_pages)]
+    assert both[0] == both[1] and len(both[0]) == 8
+    assert "Python" not in ingest.plain_pages(files, "b")._jdf.queryExecution().toString()
+
+
 def test_chunks(spark):
     r = random.Random(1)
     for n in (0, 5200, 5201, 20_000):
         text = "".join(r.choice("abcdefgh .;\n") if r.random() < 0.2 else "x" for _ in range(n))
-        assert ingest.split_bounded(text) == plain_split(text)
-    assert ingest.split_bounded("y" * 12_000) == plain_split("y" * 12_000)
+        assert split(spark, text) == plain_split(text)
+    odd = ["y" * 12_000, "\U0001f600." * 9_000, "\u00a0x. " * 3_000, "x" * 5_199 + "}" + "z" * 5_200, "." * 10_400, None]
+    assert [split(spark, t) for t in odd] == [plain_split(t or "") for t in odd]
     many = "".join(f"# H{k}\ntext {k}\n" for k in range(20))
     pages = ingest.parse_pages(spark.createDataFrame([("python", "3", "m.md", many), ("x", "local-a", "m.md", "word. " * 3000)], f"docset string, version string, {FILES}"), "b", keep=("docset", "version"))
     rows = ingest.index_rows(ingest.chunk_pages(pages)).collect()

@@ -33,6 +33,12 @@ def docset_key(key: Column) -> Column:
     return F.when(key.isin(*OFFICIAL), key).otherwise(F.lit("local"))
 
 
+def docset_named(name: Column) -> Column:
+    """The key that a name, in any case, or another usual name of a pack means; null for all others."""
+    low = ascii_lower(name)
+    return F.when(low.isin(*OFFICIAL, "local"), low).when(low == "c++", "cpp").when(low == "js", "javascript")
+
+
 def short_title(text: Column, most: int = 48) -> Column:
     """Blanks collapsed; over `most` characters, cut with an ellipsis; null when empty."""
     flat = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))

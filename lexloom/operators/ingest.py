@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
 from lexloom.functions.text import docset_key, let, packed_chunks, paragraphs, path_title, slug
+from lexloom.sources.tables import stored
 
 #: What is imported, by extension; the limits of one import.
 EXTENSIONS = ("html", "htm", "md", "markdown", "txt", "rst", "text")
@@ -18,29 +20,51 @@ SECTIONS = "array<struct<heading:string,anchor:string,text:string,code:array<str
 PAGES = f"path string, title string, canonical_url string, symbols array<string>, sections {SECTIONS}"
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """uri and path (relative, with slashes) of the files below root that can be imported, but for those in _sources and _static. Only names reach the driver."""
+def list_folders(spark: SparkSession, root: str, partitions: int = 32) -> DataFrame:
+    """uri, path (relative, with slashes) and place (the names on its way, by which a walk through sorted folders orders files) of all files below root.
+
+    Tasks list the folders of one level at a time; no name reaches the driver. Links are no files and no folders.
+    """
     from pyarrow import fs
 
-    system, top = fs.FileSystem.from_uri(root)
-    found = sorted(x.path for x in system.get_file_info(fs.FileSelector(top, recursive=True)) if x.type == fs.FileType.File)
-    rows = [(p, p[len(top.rstrip("/")) + 1 :].replace("\\", "/")) for p in found]
-    rows = [(p, r) for p, r in rows if parsing.extension(r) in EXTENSIONS and not r.startswith(("_sources/", "_static/"))]
-    return spark.createDataFrame(rows, "uri string, path string")
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(root)[0]
+        local = isinstance(system, fs.LocalFileSystem)
+        for pdf in batches:
+            for uri, place in zip(pdf["uri"], pdf["place"]):
+                found = [x for x in system.get_file_info(fs.FileSelector(uri)) if not (local and os.path.islink(x.path))]
+                kind = {fs.FileType.File: True, fs.FileType.Directory: False}
+                rows = [(x.path, [*place, x.base_name], kind[x.type]) for x in found if x.type in kind]
+                yield pd.DataFrame(rows, columns=["uri", "place", "is_file"])
+
+    columns = "uri string, place array<string>, is_file boolean"
+    level, files = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1], [])], "uri string, place array<string>"), None
+    while True:
+        found = stored(level.repartition(partitions, "uri").mapInPandas(listed, columns), "listing")
+        files = found.filter("is_file") if files is None else files.union(found.filter("is_file"))
+        level = found.filter("not is_file").select("uri", "place")
+        if level.isEmpty():
+            return files.select("uri", F.array_join(F.transform("place", lambda n: F.translate(n, "\\", "/")), "/").alias("path"), "place")
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """list_folders of what can be imported: by extension, but for what lies in _sources and _static of the root."""
+    kind = F.lower(F.regexp_extract(F.element_at("place", -1), r"^.+\.([^.]*)\z", 1))
+    return list_folders(spark, root).filter(kind.isin(*EXTENSIONS) & ~F.startswith("path", F.lit("_sources/")) & ~F.startswith("path", F.lit("_static/")))
 
 
 def read_tree(spark: SparkSession, root: str, partitions: int = 32) -> DataFrame:
-    """path and content of a tree's files, read by the tasks; names that begin with _ count too."""
+    """path, place (the order of files) and content of a tree's files, read by the tasks; names that begin with _ count too."""
     from pyarrow import fs
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system = fs.FileSystem.from_uri(root)[0]
         for pdf in batches:
-            for uri, path in zip(pdf["uri"], pdf["path"]):
+            for uri, path, place in zip(pdf["uri"], pdf["path"], pdf["place"]):
                 with system.open_input_stream(uri) as f:
-                    yield pd.DataFrame({"path": [path], "content": [f.read().decode("utf-8", "replace")]})
+                    yield pd.DataFrame({"path": [path], "place": [place], "content": [f.read().decode("utf-8", "replace")]})
 
-    return list_tree(spark, root).repartition(partitions, "uri").mapInPandas(read, "path string, content string")
+    return list_tree(spark, root).repartition(partitions, "uri").mapInPandas(read, "path string, place array<string>, content string")
 
 
 def import_limited(files: DataFrame, order: str = "slot") -> DataFrame:

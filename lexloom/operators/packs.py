@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import ascii_lower
+from lexloom.functions.text import ascii_lower, docset_key
 from lexloom.operators.index import remove_stem
 from lexloom.sources.files import delete
 from lexloom.sources.snapshots import escaped
-
-#: Version, address and licence of the packs that can be installed.
-EXPECTED = [
-    ("python", "3.14.7", "https://docs.python.org/3", "https://docs.python.org/3/license.html"),
-    ("cpp", "2025-02-09", "https://en.cppreference.com/w", "https://en.cppreference.com/w/Cppreference:Copyright/CC-BY-SA"),
-    ("html", "2026-08-12", "https://developer.mozilla.org/en-US/docs", "https://creativecommons.org/licenses/by-sa/2.5/"),
-    ("css", "2026-08-12", "https://developer.mozilla.org/en-US/docs", "https://creativecommons.org/licenses/by-sa/2.5/"),
-    ("javascript", "2026-08-12", "https://developer.mozilla.org/en-US/docs", "https://creativecommons.org/licenses/by-sa/2.5/"),
+from lexloom.sources.tables import stored
+
+#: Version, address, licence and attribution of the packs that can be installed, and of local ones.
+MDN = ("2026-08-12", "https://developer.mozilla.org/en-US/docs", "https://creativecommons.org/licenses/by-sa/2.5/", "MDN content by Mozilla Contributors")
+METADATA = [
+    ("python", "3.14.7", "https://docs.python.org/3", "https://docs.python.org/3/license.html", "© Python Software Foundation"),
+    ("cpp", "2025-02-09", "https://en.cppreference.com/w", "https://en.cppreference.com/w/Cppreference:Copyright/CC-BY-SA", "cppreference.com contributors"),
+    *((key, *MDN) for key in ("html", "css", "javascript")),
+    ("local", "local", "docs://local", "", "Imported by the user"),
 ]
+EXPECTED = [row[:4] for row in METADATA if row[0] != "local"]
 #: The only schema version that is read.
 SCHEMA_VERSION = 1
 
@@ -94,16 +96,31 @@ def library_slug(name):
 def library_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     """new (slot, name) with an id local-<slug>, -2, -3 ... where others have it before: those of existing, and earlier slots.
 
-    Free numbers of a slug go to its rows in their order; existing ids that end in a number count for the slug before it.
+    Free numbers of a slug go to its rows in their order; existing ids that end
+    in a number count for the slug before it. The k-th free number of a slug is k
+    and as many more as numbers are taken before it: those with fewer than k free
+    ones below them, which a window over both counts. Where rows of different
+    slugs would get one id, the earliest slot keeps it and the rest are dealt again.
     """
-    named = new.withColumn("slug", library_slug(F.col("name"))).withColumn("turn", F.row_number().over(Window.partitionBy("slug").orderBy("slot")))
-    wanted = named.groupBy("slug").agg(F.max("turn").alias("rows"))
-    taken = existing.select(F.col("id").alias("taken")).distinct()
-    held = taken.count()  # a number of libraries, not of rows
-    tries = wanted.select("slug", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows") + held)).alias("n"))
-    tries = tries.withColumn("id", F.concat(F.lit("local-"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise("")))
-    free = tries.join(taken, F.col("id") == F.col("taken"), "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("slug").orderBy("n")))
-    return named.join(free.select("slug", "turn", "id"), ["slug", "turn"]).select("slot", "name", "id")
+    named = stored(new.withColumn("slug", library_slug(F.col("name"))).withColumn("turn", F.row_number().over(Window.partitionBy("slug").orderBy("slot"))), "libraries")
+    tail = F.regexp_extract("id", r"-([1-9][0-9]{0,8})\z", 1)
+    number = F.when(tail != "", tail.cast("bigint"))
+    bare = existing.filter(F.startswith("id", F.lit("local-"))).select(F.expr("substring(id, 7)").alias("slug"), F.lit(1).cast("bigint").alias("n"))
+    numbered = existing.filter(F.startswith("id", F.lit("local-")) & (number > 1)).select(F.expr(r"regexp_replace(substring(id, 7), '-[0-9]+\\z', '')").alias("slug"), number.alias("n"))
+    taken = bare.union(numbered).distinct()
+    while True:
+        order = Window.partitionBy("slug").orderBy("n")
+        held = taken.select("slug", (F.col("n") - F.row_number().over(order)).alias("key"), F.lit(1).alias("held"), F.lit(None).cast("bigint").alias("turn"))
+        both = named.select("slug", F.col("turn").cast("bigint").alias("key"), F.lit(0).alias("held"), F.col("turn").cast("bigint").alias("turn")).union(held)
+        before = F.sum("held").over(Window.partitionBy("slug").orderBy("key", "held").rowsBetween(Window.unboundedPreceding, 0))
+        found = both.withColumn("n", F.col("key") + before).filter("turn is not null").select("slug", "turn", "n")
+        named_id = F.concat(F.lit("local-"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""))
+        out = stored(named.join(found, ["slug", "turn"]).withColumn("id", named_id), "libraries")
+        first = out.groupBy("id").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        lost = out.join(first, "id").filter("slot <> first").select("slug", "n")
+        if lost.isEmpty():
+            return out.select("slot", "name", "id")
+        taken = stored(taken.union(lost).distinct(), "libraries")
 
 
 def downloads_list(items: DataFrame, assets: DataFrame) -> DataFrame:
@@ -113,8 +130,20 @@ def downloads_list(items: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def mirrored(progress: DataFrame) -> DataFrame:
-    """docset and state that each progress row (id, state, docset) shows on its pack; rows of no pack go."""
+    """progress (id, state, docset, ...) with the docset and state that each row shows on its pack; rows of no pack go."""
     index_pass = F.endswith("id", F.lit("-index"))
     pack = F.coalesce("docset", F.when(index_pass, F.regexp_replace("id", "-index$", "")))
     state = F.when(F.col("state").isin("installed", "error"), F.col("state")).when(index_pass, "indexing").otherwise("downloading")
     return progress.withColumn("docset", pack).withColumn("state", state).filter("docset is not null")
+
+
+def selected_bytes(packs: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row: packs and bytes of the official packs (id, compressed_bytes) that are selected (id)."""
+    own = packs.filter(~F.startswith("id", F.lit("local-")) & (F.col("id") != "local")).join(selected.select("id").distinct(), "id", "left_semi")
+    return own.agg(F.count(F.lit(1)).alias("packs"), F.coalesce(F.sum("compressed_bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def pack_metadata(packs: DataFrame) -> DataFrame:
+    """packs (id, ...) with version, base_url, license_url and attribution; every key that is no official pack's has those of a local one."""
+    known = packs.sparkSession.createDataFrame(METADATA, "key string, version string, base_url string, license_url string, attribution string")
+    return packs.withColumn("key", docset_key(F.col("id"))).join(F.broadcast(known), "key").drop("key")  # six rows

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import citations, short_title
+from lexloom.functions.text import short_title
 
 
 def chat_titles(turns: DataFrame, default: str = "New chat") -> DataFrame:
@@ -12,10 +12,6 @@ def chat_titles(turns: DataFrame, default: str = "New chat") -> DataFrame:
     return first.select("conv_id", F.coalesce(short_title(F.col("first")), F.lit(default)).alias("title"))
 
 
-def citation_counts(turns: DataFrame) -> DataFrame:
-    return turns.select("conv_id", F.explode(citations(F.col("text"))).alias("source_id")).groupBy("conv_id", "source_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key, aggregated before the shuffle."""
     rest = [c for c in events.columns if c not in (key, *order)]
@@ -71,7 +67,8 @@ def save_chats(chats: DataFrame) -> DataFrame:
 
 
 def rename_chats(chats: DataFrame, new: DataFrame) -> DataFrame:
-    """chats (id, title, ...) with the titles of new (id, typed): blanks collapsed, at most MOST_TITLE characters; a blank one keeps the old title."""
+    """chats (id, title, ...) with the titles of new (id, typed): blanks collapsed, at most MOST_TITLE characters; a blank one keeps the old title. Of several for one id the greatest counts."""
+    new = new.groupBy("id").agg(F.max("typed").alias("typed"))
     clean = F.substring(F.trim(F.regexp_replace("typed", r"(?U)\s+", " ")), 1, MOST_TITLE)
     return chats.join(new, "id", "left").withColumn("title", F.coalesce(F.nullif(clean, F.lit("")), "title")).drop("typed")
 

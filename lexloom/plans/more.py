@@ -224,13 +224,13 @@ def downloads_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pack_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Events as progress rows of packs named by their users."""
+    """Events as progress rows of packs named by their users, of which those of even numbers are known."""
     e = table(spark, d, "events").filter("user_id is not null")
     k = F.col("event_id")
     rows = e.select(
-        k.alias("seq"), F.concat(F.lit("u"), "user_id", F.when(k % 3 == 0, "-index").otherwise("")).alias("id"), F.when(k % 3 == 1, F.concat(F.lit("u"), "user_id")).alias("docset"), F.when(k % 7 == 0, "installed").when(k % 7 == 1, "error").otherwise("running").alias("state")
+        k.alias("seq"), F.concat(F.lit("u"), "user_id", F.when(k % 3 == 0, "-index").otherwise("")).alias("id"), F.when(k % 3 == 1, F.concat(F.lit("u"), "user_id")).alias("docset"), F.when(k % 7 == 0, "installed").when(k % 7 == 1, "error").otherwise("running").alias("state"), (k % 101).cast("double").alias("progress")
     )
-    return pack_states(rows)
+    return pack_states(rows, e.filter("user_id % 2 = 0").select(F.concat(F.lit("u"), "user_id").alias("id")))
 
 
 def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +238,7 @@ def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").filter("conv_id is not null and turn is not null")
     payload = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
     line = F.when(F.col("turn") % 3 == 2, F.when(F.col("turn") % 2 == 0, "data: [DONE]").otherwise("data: {oops")).otherwise(F.concat(F.lit("data: "), payload))
-    return assembled(c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), line.alias("line"))).select("chat_id", F.md5("answer").alias("answer_md5"))
+    return assembled(c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), line.alias("line"))).select("chat_id", F.md5("answer").alias("answer_md5"), "status")
 
 
 def stores(spark: SparkSession, d: str) -> DataFrame:
@@ -341,9 +341,9 @@ t as (select *, row_number() over (partition by slug order by slot) + case when
 select slot, name, 'local-' || slug || case when k > 1 then '-' || k else '' end as id from t""",
     "downloads_list": "select doc_id::varchar as id, case when doc_id % 3 = 0 then 'downloading' else 'installed' end as state from documents where doc_id % 3 = 0 or (doc_id % 2 = 0 and coalesce(lang <> 'de', true))",
     "pack_progress": """
-with m as (select event_id as seq, 'u' || user_id as docset, case event_id % 7 when 0 then 'installed' when 1 then 'error' else case when event_id % 3 = 0 then 'indexing' else 'downloading' end end as state from events where user_id is not null and event_id % 3 <> 2)
-select docset, max(seq) as seq, arg_max(state, seq) as state from m group by docset""",
-    "answer_assembly": "select conv_id as chat_id, md5(nullif(string_agg(text, '' order by turn) filter (turn % 3 <> 2), '')) as answer_md5 from conversations where conv_id is not null and turn is not null group by conv_id",
+with m as (select event_id as seq, 'u' || user_id as docset, case event_id % 7 when 0 then 'installed' when 1 then 'error' else case when event_id % 3 = 0 then 'indexing' else 'downloading' end end as state from events where user_id is not null and user_id % 2 = 0 and event_id % 3 <> 2)
+select docset, max(seq) as seq, arg_max(state, seq) as state, (max(seq) % 101)::double as progress from m group by docset""",
+    "answer_assembly": "select conv_id as chat_id, md5(nullif(string_agg(text, '' order by turn) filter (turn % 3 <> 2), '')) as answer_md5, case when coalesce(string_agg(text, '' order by turn) filter (turn % 3 <> 2), '') = '' then 'empty' else 'whole' end as status from conversations where conv_id is not null and turn is not null group by conv_id",
     "chats_loaded": f"""
 with c as (select conv_id, count(*) filter (role in ('user', 'assistant') and text is not null and turn < 6) as n from conversations where conv_id is not null and turn is not null group by all),
 k as (select *, row_number() over (partition by conv_id % 7 order by conv_id) as slot from c where conv_id % 9 <> 0 and n > 0)

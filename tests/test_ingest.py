@@ -1,14 +1,16 @@
 """Files to pages, pages to chunks, packs and the index on disk."""
 
 import hashlib
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import parsing
 from lexloom.functions.text import packed_chunks, split_bounded
-from lexloom.operators import index, ingest, packs
+from lexloom.operators import index, ingest, packfiles, packs
 from lexloom.sources import files, snapshots
 from lexloom.streaming.answers import ingest_stream
 
@@ -120,8 +122,11 @@ def test_tree_and_assets(spark, tmp_path):
     for name in ("library/__main__.html", "_static/x.html", "sub/_static/y.html", "z.png", "a.MD"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("veda")
-    got = {r["path"]: r["content"] for r in ingest.read_tree(spark, f"file://{tmp_path}", 2).collect()}
-    assert got == {x: "veda" for x in ("library/__main__.html", "sub/_static/y.html", "a.MD")}
+    (tmp_path / "link.md").symlink_to(tmp_path / "a.MD")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "sub.html").write_text("veda")
+    got = [(r["path"], r["content"]) for r in ingest.read_tree(spark, f"file://{tmp_path}", 2).orderBy("place").collect()]
+    assert got == [(x, "veda") for x in ("a.MD", "library/__main__.html", "sub/_static/y.html", "sub.html")]  # as a walk through sorted folders
     held = spark.createDataFrame([("a", b"four"), ("b", b"four"), ("c", b"four")], "name string, content binary")
     right = hashlib.sha256(b"four").hexdigest().upper()
     catalog = spark.createDataFrame([("a", 4, right), ("b", 5, right), ("c", 4, "00"), ("d", 1, "00")], "name string, bytes bigint, sha256 string")
@@ -247,3 +252,45 @@ def test_library_ids(spark):
     new = spark.createDataFrame([(1, "Notes"), (2, "notes"), (3, "x")], "slot bigint, name string")
     held = spark.createDataFrame([("local-notes",), ("local-notes-3",)], "id string")
     assert {r["slot"]: r["id"] for r in packs.library_ids(new, held).collect()} == {1: "local-notes-2", 2: "local-notes-4", 3: "local-x"}
+
+
+def test_library_ids_of_two_slugs(spark):
+    new = spark.createDataFrame([(1, "a"), (2, "a"), (3, "A 2"), (4, "a"), (5, "a 2")], "slot bigint, name string")
+    held = spark.createDataFrame([("local-a-4",), ("python",)], "id string")
+    taken, want = {"local-a-4"}, {}
+    for slot, slug in ((1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "a-2")):
+        n = next(n for n in range(1, 99) if f"local-{slug}{'' if n == 1 else f'-{n}'}" not in taken)
+        want[slot] = f"local-{slug}{'' if n == 1 else f'-{n}'}"
+        taken.add(want[slot])
+    assert {r["slot"]: r["id"] for r in packs.library_ids(new, held).collect()} == want
+
+
+MANIFEST = {"schemaVersion": 1, "id": "python", "name": "n", "version": "3", "sourceUrl": "u", "sourceRevision": "r", "createdAt": "c", "locale": "en", "pageCount": 1, "license": {"name": "l", "url": "u", "attribution": "a", "sourceOfferUrl": None}}
+PAGE = {"path": "a.md", "title": "t", "canonicalUrl": "u", "symbols": ["x.y"], "sections": [{"heading": "h", "anchor": "top", "text": "words"}]}
+
+
+def test_pack_files(spark, tmp_path):
+    cases = {
+        "fine": (MANIFEST, json.dumps(PAGE) + "\n\n  \n"),
+        "defaults": (MANIFEST, json.dumps({k: v for k, v in PAGE.items() if k != "symbols"} | {"more": 1})),
+        "no manifest": (None, json.dumps(PAGE)),
+        "bad manifest": (MANIFEST | {"license": {"name": "l"}}, json.dumps(PAGE)),
+        "bad manifest 2": (MANIFEST | {"pageCount": -1}, json.dumps(PAGE)),
+        "bad page": (MANIFEST, "{oops"),
+        "bad page 2": (MANIFEST, json.dumps(PAGE | {"sections": [{"heading": "h", "anchor": "top"}]})),
+        "bad page 3": (MANIFEST, json.dumps(PAGE | {"symbols": [None]})),
+        "schema version": (MANIFEST | {"schemaVersion": 2}, json.dumps(PAGE)),
+        "page count": (MANIFEST, json.dumps(PAGE) + "\n" + json.dumps(PAGE)),
+        "entry too large": (MANIFEST | {"name": "n" * 1_100_000}, json.dumps(PAGE)),
+        "unexpected entry": (MANIFEST, json.dumps(PAGE)),
+    }
+    for key, (manifest, pages) in cases.items():
+        (tmp_path / key).mkdir()
+        if manifest:
+            (tmp_path / key / "manifest.json").write_text(json.dumps(manifest))
+        (tmp_path / key / "pages.jsonl").write_text(pages)
+    (tmp_path / "unexpected entry" / "evil.sh").write_text("x")
+    pages, wrong = packfiles.read_packs(spark, str(tmp_path))
+    assert {r["pack_key"]: r["violation"] for r in wrong.collect()} == {k: re.sub(" [23]$", "", k) for k in cases if k not in ("fine", "defaults")}
+    got = {r["pack_key"]: r for r in pages.collect()}
+    assert set(got) == {"fine", "defaults"} and got["fine"]["symbols"] == ["x.y"] and got["defaults"]["symbols"] == [] and got["fine"]["sections"][0]["code"] == []

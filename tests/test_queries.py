@@ -1,9 +1,9 @@
 import duckdb
 import pytest
 
-from lexloom.plans import answers, more, queries
+from lexloom.plans import answers, more, queries, stores
 
-QUERIES, SQL = queries.QUERIES | more.QUERIES | answers.QUERIES, queries.SQL | more.SQL | answers.SQL
+QUERIES, SQL = queries.QUERIES | more.QUERIES | answers.QUERIES | stores.QUERIES, queries.SQL | more.SQL | answers.SQL | stores.SQL
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "documents pages benchmark embeddings conversations events".split()

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import evidence, planner, tables, vectors
-from lexloom.streaming.answers import assembled, pack_states
+from lexloom.operators import evidence, lexical, planner, tables, vectors
+from lexloom.streaming.answers import assembled, finished, pack_states
+from lexloom.streaming.sessions import latest_within
 
 
 def vecs(spark, rows, name):
@@ -115,7 +116,7 @@ def test_streamed_answers(spark, tmp_path):
     line = lambda t: 'data: {"choices": [{"delta": {"content": "%s"}}]}' % t
     rows = [(1, 2, line("lo")), (1, 1, line("Hel")), (1, 3, "data: [DONE]"), (1, 4, "data: {bad"), (1, 0, ""), (2, 1, "event: x")]
     lines = spark.createDataFrame(rows, "chat_id bigint, seq bigint, line string")
-    assert {r["chat_id"]: r["answer"] for r in assembled(lines).collect()} == {1: "Hello", 2: None}
+    assert {r["chat_id"]: (r["answer"], r["status"]) for r in assembled(lines).collect()} == {1: ("Hello", "whole"), 2: (None, "empty")}
     lines.write.parquet(str(tmp_path / "in"))
     q = assembled(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("said").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
@@ -123,3 +124,57 @@ def test_streamed_answers(spark, tmp_path):
     progress = [("p-index", "running", None, 1), ("x", "running", "p", 2), ("q-index", "error", None, 3), ("model", "running", None, 4)]
     states = pack_states(spark.createDataFrame(progress, "id string, state string, docset string, seq bigint"))
     assert {r["docset"]: r["state"] for r in states.collect()} == {"p": "downloading", "q": "error"}
+
+
+def test_progress_of_known_packs(spark, tmp_path):
+    """A stream joined with a table of packs, restarted between two files."""
+    schema, known = "id string, state string, docset string, seq bigint, progress double", spark.createDataFrame([("p",), ("q",), ("p",)], "id string")
+    run = lambda: pack_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), known).writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    spark.createDataFrame([("p-index", "running", None, 1, 10.0), ("odd", "running", "nobody", 9, 1.0)], schema).write.parquet(str(tmp_path / "in"))
+    run()
+    spark.createDataFrame([("q", "installed", "q", 2, 100.0), ("x", "error", "p", 0, 5.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert sorted(map(tuple, spark.table("states").select("docset", "state", "progress").collect())) == [("p", "indexing", 10.0), ("q", "installed", 100.0)]
+
+
+def test_answers_that_end(spark, tmp_path):
+    """Each answer comes once, by its end mark or after its time; lines of a batch after a restart join those before it."""
+    line = lambda t: 'data: {"choices": [{"delta": {"content": "%s"}}]}' % t
+    schema = "chat_id bigint, seq bigint, s bigint, line string"
+    land = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        lines = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_seconds("s"))
+        finished(lines).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+        return sorted(map(tuple, spark.read.schema("chat_id bigint, answer string, status string").parquet(str(tmp_path / "out")).collect()))
+
+    land((1, 2, 101, line("lo")), (1, 1, 100, line("Hel")), (2, 1, 100, line("cut")), (3, 1, 100, "data: [DONE]"))
+    assert run() == [(3, None, "empty")]
+    land((1, 3, 102, line("!")), (1, 4, 103, "data: [DONE]"), (4, 1, 7_200, line("later")))
+    run()
+    land((5, 1, 7_300, line("x")))
+    assert run() == [(1, "Hello!", "whole"), (2, "cut", "cut"), (3, None, "empty")]
+
+
+def test_latest_within_spans(spark, tmp_path):
+    """Late rows of a span whose state has ended change nothing."""
+    schema = "k bigint, s bigint, v string"
+    land = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_seconds("s"))
+        latest_within(rows, "k", ["at"], "at", "0 seconds", "1 hour").select("k", "v").writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+        return sorted(map(tuple, spark.read.schema("k bigint, v string").parquet(str(tmp_path / "out")).collect()))
+
+    land((1, 10, "a"), (1, 20, "b"), (2, 5, "c"), (1, 9_000, "next"))
+    run()
+    land((1, 30, "too late"), (3, 20_000, "d"))
+    assert run() == [(1, "b"), (1, "next"), (2, "c")]
+
+
+def test_empty_search(spark):
+    none = spark.createDataFrame([], "chunk_id bigint, text string")
+    asked = spark.createDataFrame([(1, "word"), (2, ""), (3, None)], "query_id bigint, question string")
+    assert lexical.bm25(none, asked).count() == 0 and lexical.bm25(none.union(spark.createDataFrame([(1, "word"), (2, None)], "chunk_id bigint, text string")), asked.filter("query_id > 1")).count() == 0
+    same = spark.range(2000).select(F.col("id").alias("chunk_id"), F.lit("equal words").alias("text"))
+    assert lexical.bm25(same, spark.createDataFrame([(1, "unknown")], "query_id bigint, question string")).count() == 0

@@ -9,7 +9,8 @@ partial overlaps; subtrees that can't reach the bound any more or are linked
 already are left out. Large groups are dealt into blocks for this, and sets of a common
 shingle that are still in several components are walked by it again. A second pass
 makes it exact: sets of different components that share a prefix shingle, at
-places where the remaining lengths still reach the bound, are verified. So
+places where the remaining lengths still reach the bound, and whose parities (512
+bits of a set) don't differ in more bits than linked sets can, are verified. So
 copies of one text never meet pair by pair, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have an empty set and link
@@ -35,6 +36,8 @@ from lexloom.llm.components import components
 
 #: A shingle is one number: 5 bits that put long words first, and 57 bits of hash. Common ones come after all others.
 HASH_BITS, COMMON = 57, 1 << 62
+#: Numbers of 64 bits in a set's parity; a power of two.
+PARITY = 8
 #: A word is one number: its length, at most 31, and 58 bits of hash.
 WORD_BITS = 58
 
@@ -71,6 +74,15 @@ def required(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY numbers of 64 bits: whether each of their bits is hit by an odd number of shingles.
+
+    Two sets' parities differ in no more bits than the sets differ in shingles.
+    """
+    at = (s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * PARITY - 1).bit_length())
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
@@ -237,9 +249,9 @@ def cluster(
     def prefixes(stream) -> Iterator[pd.DataFrame]:
         for ids, marks, sets in stream:
             sets = [ordered(s, *common.value) for s in sets]
-            yield pd.DataFrame({"id": ids, "mark": marks, "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "prefix": [s[: prefix_size(len(s), percent)] if len(s) else s for s in sets]})
+            yield pd.DataFrame({"id": ids, "mark": marks, "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "prefix": [s[: prefix_size(len(s), percent)] if len(s) else s for s in sets], "parity": [parity(s) for s in sets]})
 
-    every = checkpointed(shingled(docs, n, id_col, text_col, prefixes, "id bigint, mark bigint, node bigint, size bigint, prefix array<bigint>"))
+    every = checkpointed(shingled(docs, n, id_col, text_col, prefixes, "id bigint, mark bigint, node bigint, size bigint, prefix array<bigint>, parity array<bigint>"))
     nodes = every.filter("size > 0").groupBy("node").agg(F.min(F.struct("id", "mark", "size")).alias("first")).select("node", "first.*")
 
     # prefix shingles that other sets of a fitting size have too; rows of one shingle come in the order of sizes
@@ -297,8 +309,12 @@ def cluster(
     lowest = F.greatest("lo", F.ceil(percent * F.col("na") / 100))
     can = (lowest <= F.col("hi")) & (100 * F.col("na") >= percent * F.col("lo")) & (F.least("ra", "most") >= needed(F.col("na"), lowest))
     left = met.join(own, (F.col("t") == F.col("token")) & (F.col("c") == F.col("ca")) & can).select("token", "cb", "a", "na", "ra")
-    right = placed.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
-    reach = fits(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= needed(F.col("na"), F.col("nb")))
+    right = placed.join(several, "token", "left_semi").select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    # sets that link differ in few shingles, so their parities do in few bits
+    bits = lambda name: every.filter("size > 0").select(F.col("node").alias(name), *[F.col("parity")[k].alias(f"{name}{k}") for k in range(PARITY)]).dropDuplicates([name])
+    left, right = left.join(bits("a"), "a"), right.join(bits("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
+    reach = fits(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= needed(F.col("na"), F.col("nb"))) & (differ <= F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb")))
     pairs = checkpointed(left.join(right, (left["token"] == right["token"]) & (left["cb"] == right["cb"]) & reach).select("a", "na", "b", "nb").distinct())
 
     # besides the prefix shingles that both have, the set whose prefix ends first can share what follows its prefix

@@ -28,15 +28,15 @@ BASE = {b"under the mit license": "mit", b"apache license version 2": "apache-2"
 
 #: Licenses, the more particular first: label, names (of words, as regular expressions), and the words of the short id.
 FAMILIES = (
-    ("agpl-3", "gnu affero general public license(?: version| v)? 3|agpl ?v? ?3", "agpl 3 0"),
+    ("agpl-3", "gnu affero general public license(?: version| v)? ?3|agpl ?v? ?3", "agpl 3 0"),
     ("agpl", "gnu affero general public license|affero general public license|agpl license", "agpl"),
-    ("lgpl-2.1", "gnu (?:lesser|library) general public license(?: version| v)? 2 1|lgpl ?v? ?2 1", "lgpl 2 1"),
-    ("lgpl-3", "gnu lesser general public license(?: version| v)? 3|lgpl ?v? ?3", "lgpl 3 0"),
-    ("lgpl-2", "gnu (?:lesser|library) general public license(?: version| v)? 2|lgpl ?v? ?2", "lgpl 2 0"),
+    ("lgpl-2.1", "gnu (?:lesser|library) general public license(?: version| v)? ?2 1|lgpl ?v? ?2 1", "lgpl 2 1"),
+    ("lgpl-3", "gnu lesser general public license(?: version| v)? ?3|lgpl ?v? ?3", "lgpl 3 0"),
+    ("lgpl-2", "gnu (?:lesser|library) general public license(?: version| v)? ?2|lgpl ?v? ?2", "lgpl 2 0"),
     ("lgpl", "gnu lesser general public license|gnu library general public license|lgpl license", "lgpl"),
-    ("gpl-3", "gnu general public license(?: version| v)? 3|gnu gpl(?: version| v)? ?3|gpl ?v? ?3", "gpl 3 0"),
-    ("gpl-2", "gnu general public license(?: version| v)? 2|gnu gpl(?: version| v)? ?2|gpl ?v? ?2", "gpl 2 0"),
-    ("gpl-1", "gnu general public license(?: version| v)? 1|gpl ?v? ?1", "gpl 1 0"),
+    ("gpl-3", "gnu general public license(?: version| v)? ?3|gnu gpl(?: version| v)? ?3|gpl ?v? ?3", "gpl 3 0"),
+    ("gpl-2", "gnu general public license(?: version| v)? ?2|gnu gpl(?: version| v)? ?2|gpl ?v? ?2", "gpl 2 0"),
+    ("gpl-1", "gnu general public license(?: version| v)? ?1|gpl ?v? ?1", "gpl 1 0"),
     ("gpl", "gnu general public license|gnu gpl|gpl license", "gpl"),
     ("gfdl-1.3", "gnu free documentation license version 1 3", "gfdl 1 3"),
     ("gfdl", "gnu free documentation license|gfdl", "gfdl"),
@@ -53,11 +53,11 @@ FAMILIES = (
     ("mit", "mit license|mit x11 license|expat license|mit style license", "mit"),
     ("x11", "x11 license", "x11"),
     ("isc", "isc license|internet software consortium license", "isc"),
-    ("mpl-2", "mozilla public license(?: version| v)? 2|mpl ?v? ?2", "mpl 2 0"),
-    ("mpl-1.1", "mozilla public license(?: version| v)? 1 1|mpl 1 1", "mpl 1 1"),
+    ("mpl-2", "mozilla public license(?: version| v)? ?2|mpl ?v? ?2", "mpl 2 0"),
+    ("mpl-1.1", "mozilla public license(?: version| v)? ?1 1|mpl 1 1", "mpl 1 1"),
     ("mpl", "mozilla public license", "mpl"),
-    ("epl-2", "eclipse public license(?: version| v)? 2|epl ?v? ?2", "epl 2 0"),
-    ("epl-1", "eclipse public license(?: version| v)? 1|epl ?v? ?1", "epl 1 0"),
+    ("epl-2", "eclipse public license(?: version| v)? ?2|epl ?v? ?2", "epl 2 0"),
+    ("epl-1", "eclipse public license(?: version| v)? ?1|epl ?v? ?1", "epl 1 0"),
     ("epl", "eclipse public license", "epl"),
     ("cddl-1.1", "common development and distribution license version 1 1", "cddl 1 1"),
     ("cddl", "common development and distribution license|cddl", "cddl 1 0"),
@@ -68,7 +68,7 @@ FAMILIES = (
     ("busl", "business source license", "busl 1 1"),
     ("zlib", "zlib(?: libpng)? license", "zlib"),
     ("libpng", "libpng license", "libpng 2 0"),
-    ("artistic-2", "artistic license(?: version| v)? 2", "artistic 2 0"),
+    ("artistic-2", "artistic license(?: version| v)? ?2", "artistic 2 0"),
     ("artistic", "artistic license", "artistic 1 0"),
     ("psf", "python software foundation license|psf license", "psf 2 0"),
     ("php", "php license", "php 3 01"),

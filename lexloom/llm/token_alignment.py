@@ -121,7 +121,7 @@ def aligned(pair: Tokenizers, tokens: list[tuple[list[int], list[int]]]) -> pd.D
     n_a, n_b = (np.array([len(t[k]) for t in tokens]) for k in (0, 1))
     a, b = (np.fromiter((x for t in tokens for x in t[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
     ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
-    found = np.array(runs(ends_a.tolist(), ends_b.tolist())).reshape(-1, 3)
+    found = np.array(runs(ends_a.tolist(), ends_b.tolist()), np.int64).reshape(-1, 3)
     within = np.arange(found[:, 2].sum()) - np.repeat(np.cumsum(found[:, 2]) - found[:, 2], found[:, 2])
     last_a, last_b = (np.repeat(found[:, k], found[:, 2]) + within for k in (0, 1))
 

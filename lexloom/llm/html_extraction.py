@@ -11,9 +11,10 @@ slots of at least `least` of its text that aren't mostly links. A page without
 the host's main slot is judged by its own elements.
 
 Within these, elements of tags for menus, headers, footers, sidebars, forms,
-scripts and styles go, and elements one of whose class names (or id or role) is, as
-a whole, a word for notices, adverts, comments and the like, unless they hold most
-of what is kept.
+scripts and styles go, but for the headings in an article's own header. So do elements
+one of whose class names (or id or role) is a word for notices, adverts, comments and the
+like, alone or beside words for parts of a page (comments-list), unless they hold most of
+what is kept.
 
 Vectors are sums of hashes of pages, so that Spark adds them up before its
 shuffle, however many pages a host has; copies of a page count once.
@@ -24,6 +25,7 @@ of its own; repeated rows get a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,10 +43,19 @@ VOID = set("br hr img meta link input area base col embed source track wbr".spli
 #: An open element of these ends where another of its group begins.
 SAME = [{"p"}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}]
 NAMES = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies menu nav navbar navigation newsletter notice notices popup promo related share sidebar social sponsor sponsored".split())
+#: Words that may stand beside one of NAMES in a name, as in comments-list or cookie-banner.
+BESIDE = set("area article bar block body bottom box consent container content desktop feed footer form global google header inner item items left links list mobile outer page panel post reader right section site slot sticky thread top unit user widget wrap wrapper".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Templates broadcast at most.
 HOSTS = 20_000
 
 
+def is_noise(name: str) -> bool:
+    """Whether a class, id or role is a word of NAMES, with nothing but words of BESIDE and numbers around it."""
+    parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    return any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE or p.isdigit() for p in parts)
+
+
 class Element:
     """An open element: its path, and whether its tag or its names tell that it's no article text."""
 
@@ -55,7 +66,7 @@ class Element:
         self.path = f"{above.path if above else ''}/{tag}" + "".join(f".{c}" for c in (names.get("class") or "").split())
         whole = tag in ("html", "body", "article", "main")
         self.by_tag = tag in DROPPED
-        self.named = not whole and any(x.lower() in NAMES for k in ("class", "id", "role") for x in (names.get(k) or "").split())
+        self.named = not whole and any(is_noise(x) for k in ("class", "id", "role") for x in (names.get(k) or "").split())
 
     def around(self) -> Iterator["Element"]:
         node: Element | None = self
@@ -65,13 +76,18 @@ class Element:
 
 
 def dropped(node: Element) -> bool:
-    """Whether a tag around says that this is no article text; a form around an article says nothing, as whole pages lie in forms."""
-    article = False
+    """Whether a tag around says that this is no article text.
+
+    A form around an article says nothing, as whole pages lie in forms; neither does a header within it about its headings.
+    """
+    article, title, waiting = False, node.tag in HEADINGS, False
     for e in node.around():
-        if e.by_tag and not (article and e.tag == "form"):
+        if e.tag == "header" and title and not article:
+            waiting = True  # it counts unless an article is around
+        elif e.by_tag and not (article and e.tag == "form"):
             return True
         article = article or e.tag in ("article", "main")
-    return False
+    return waiting and not article
 
 
 class Page(HTMLParser):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import hard_negatives, licenses, pii, quality_classifier, secrets, token_alignment
+from lexloom.llm import hard_negatives, html_extraction, licenses, pii, quality_classifier, secrets, token_alignment
 from lexloom.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -242,3 +242,29 @@ def test_held_out_labels_never_matter(spark):
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     scores = lambda x: sorted((r["doc_id"], r["score"]) for r in quality_classifier.quality_scores(docs, x).collect())
     assert scores(labels) == scores(turned) == scores(labels.filter(~held))
+
+
+ARTICLE = "<p>" + "One sentence of the article. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ('<section id="comments-list"><p>noise</p></section>', False),
+        ('<div class="comments-section"><p>noise</p></div>', False),
+        ('<div class="cookie-banner">noise</div>', False),
+        ('<div class="ad-slot">noise</div>', False),
+        ('<div class="userComments">noise</div>', False),
+        ('<div id="ad_unit_3">noise</div>', False),
+        ("<header><h1>noise</h1></header>", True),
+        ("<header><p>noise</p></header>", False),
+        ("<header><nav><h2>noise</h2></nav></header>", False),
+        ('<div class="has-sidebar">noise</div>', True),
+        ('<div class="no-ads navy-theme">noise</div>', True),
+        ('<div class="comment-free-zone">noise</div>', True),
+    ],
+)
+def test_what_an_article_keeps(inner, kept):
+    page = html_extraction.Page(f"<header><h1>site</h1></header><article>{inner}{ARTICLE}</article><footer>foot</footer>")
+    text = html_extraction.main_text(page, None)
+    assert ("noise" in text) == kept and "One sentence" in text and "site" not in text and "foot" not in text

@@ -13,10 +13,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and _ : . # -, each followed by its parts of over one byte."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsAlphabetic}\p{N}_:.#-]+)"), F.lit(1))
-    parts = lambda t: F.filter(F.split(t, "[:.#-]"), lambda p: (F.octet_length(p) > 1) & (p != t))
-    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike("[:.#-]"), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
+    """Lower-case runs of letters, digits and _ : . # -, then the parts of over one byte of those that have such a sign within."""
+    runs = F.array_remove(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}_:.#-]+"), "")
+    parts = F.transform(F.filter(runs, lambda t: t.rlike("[:.#-]")), lambda t: F.filter(F.split(t, "[:.#-]"), lambda p: F.octet_length(p) > 1))
+    return F.concat(runs, F.flatten(parts))
 
 
 def question_symbols(text: Column, most: int = 12) -> Column:

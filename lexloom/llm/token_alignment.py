@@ -34,6 +34,8 @@ BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/
 PATTERN, BLANK = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", "▁"
 #: Pairs that are broadcast (16 bytes each), and bytes of texts that are aligned at once.
 HEAD, AT_ONCE = 1_000_000, 1 << 20
+#: Groups of a stretch that are looked at one by one, before probes; no tokens.
+STEPS, NONE = 8, np.empty(0, np.int32)
 
 FIRST = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
 SECOND = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, best bigint, total bigint, rest array<bigint>, rest_times array<int>"
@@ -79,19 +81,19 @@ class Tokenizers:
             cls.built[key] = cls(byte_model, piece_model)
         return cls.built[key]
 
-    def both(self, text: str | None) -> tuple[list[int], list[int]]:
+    def both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text after a blank; none where the bytes aren't those of the text."""
-        if not text:
-            return [], []
-        a, b = self.a.encode_ordinary(f" {text}"), self.b.encode(text)
-        whole = f" {text}".encode()
-        same = b"".join([self.bytes_b[n] for n in b]) == whole and b"".join([self.bytes_a[n] for n in a]) == whole
-        return (a, b) if same else ([], [])
+        if text:
+            a, b = self.a.encode_to_numpy(f" {text}"), self.b.encode(text)
+            if b"".join(map(self.bytes_b.__getitem__, b)) == f" {text}".encode() == self.a.decode_bytes(a):
+                return a, np.array(b, np.int32)
+        return NONE, NONE
 
 
 def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """(i, j, n): groups end with tokens i and j, i+1 and j+1 and so on, n in all; a and b rise to the same last end."""
     out, i, j, most = [], 0, 0, len(a)
+    a, b = [*a, -1], [*b, -2]  # what ends every stretch
     while i < most:
         x, y = a[i], b[j]
         while x != y:  # an irregular group: its shorter side goes on
@@ -101,25 +103,28 @@ def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             else:
                 j += 1
                 y = b[j]
-        n = step = 1
-        while i + n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
-            n += step
-            step *= 2
-        while step > 1:  # the stretch ends within the last probe
-            step //= 2
-            if i + n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n = 1
+        while n < STEPS and a[i + n] == b[j + n]:
+            n += 1
+        if n == STEPS:  # a long stretch: probes of doubling length, and then of halves within the last one
+            step = STEPS
+            while i + n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
                 n += step
-        n = min(n, most - i)
+                step *= 2
+            while step > 1:
+                step //= 2
+                if i + n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+                    n += step
         out.append((i, j, n))
         i += n
         j += n
     return out
 
 
-def aligned(pair: Tokenizers, tokens: list[tuple[list[int], list[int]]]) -> pd.DataFrame:
+def aligned(pair: Tokenizers, tokens: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     """FIRST without the row and id, of texts given as their two lists of ids."""
     n_a, n_b = (np.array([len(t[k]) for t in tokens]) for k in (0, 1))
-    a, b = (np.fromiter((x for t in tokens for x in t[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+    a, b = (np.concatenate([t[k] for t in tokens]).astype(np.int64) for k in (0, 1))
     ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
     found = np.array(runs(ends_a.tolist(), ends_b.tolist()), np.int64).reshape(-1, 3)
     within = np.arange(found[:, 2].sum()) - np.repeat(np.cumsum(found[:, 2]) - found[:, 2], found[:, 2])

@@ -64,40 +64,46 @@ def find_hits(
 ) -> DataFrame:
     """doc_id, text_hash, copies, n_words, hits (start, len) and items of each different (id, text).
 
-    One pass over the documents: every window is one probe; a marker row for
-    each document travels with the probes, so that documents without hits
-    stay. The window table is broadcast while its counted size allows it;
-    a larger one is joined by a shuffle on the hash.
+    One pass over the documents probes every window's hash, without its words; a
+    marker row for each document travels with the probes, so that documents
+    without hits stay. The hashes are broadcast while their counted number allows
+    it; more are joined by a shuffle. A second pass verifies the probes that hit
+    against the words of their documents, each read once.
     """
     table = checkpointed(benchmark_windows(bench, n, item_col, item_text_col))
     # at most n + 1 numbers reach the driver
     sizes = {r["len"]: r["k"] for r in table.groupBy("len").agg(F.count(F.lit(1)).alias("k")).collect()}
     marker = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h")))
-    probes = let(F.col("ws"), lambda ws: F.concat(marker, *[windows(ws, k) for k in sorted(sizes)]))
-    split = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        words(F.col(text_col)).alias("ws"),
-    )
-    rows = split.select("doc_id", "text_hash", "ws", F.size("ws").cast("long").alias("n_words"), probes.alias("probes"))
-    rows = rows.select("doc_id", "text_hash", "ws", "n_words", F.explode("probes").alias("p"))
+    probes = let(words(F.col(text_col)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(marker, *[windows(ws, k) for k in sorted(sizes)]).alias("probes")))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), probes.alias("s"))
+    rows = rows.select("doc_id", "text_hash", "s.n_words", F.explode("s.probes").alias("p"))
+    known = table.select(F.col("h").alias("bh")).distinct()
     if sum(sizes.values()) <= max_broadcast_windows:
-        table = F.broadcast(table)
-    met = rows.join(
-        table.select(F.col("h").alias("bh"), F.col("len").alias("blen"), "window", "items"),
-        (F.col("p.h") == F.col("bh")) & (F.col("p.len") == F.col("blen")) & (F.slice("ws", F.greatest(F.col("p.start"), F.lit(1)), F.col("p.len")) == F.col("window")),
-        "left",
-    ).filter((F.col("p.len") == 0) | F.col("bh").isNotNull())
-    hit = F.col("bh").isNotNull()
-    return (
-        met.groupBy("doc_id", "text_hash", "n_words")
-        .agg(
-            F.sum(F.when(F.col("p.len") == 0, 1).otherwise(0)).alias("copies"),
-            F.collect_set(F.when(hit, F.struct(F.col("p.start").alias("start"), F.col("p.len").alias("len")))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items"))))).alias("items"),
-        )
-        .withColumn("hits", F.sort_array("hits"))
+        known = F.broadcast(known)  # a number each
+    met = rows.join(known, F.col("p.h") == F.col("bh"), "left").filter((F.col("p.len") == 0) | F.col("bh").isNotNull())
+    tried = met.groupBy("doc_id", "text_hash", "n_words").agg(
+        F.sum(F.when(F.col("p.len") == 0, 1).otherwise(0)).alias("copies"),
+        F.collect_set(F.when(F.col("p.len") > 0, F.col("p"))).alias("tried"),  # a document's own windows
+    )
+    tried = checkpointed(tried)
+
+    maybe = tried.select("doc_id", "text_hash", F.explode("tried").alias("t")).join(table, (F.col("t.h") == F.col("h")) & (F.col("t.len") == F.col("len")))
+    maybe = maybe.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("t.start", "len", "window", "items")).alias("maybe"))
+    key, mark, list_ = fresh(docs, "tried_id", "tried_hash", "tried_list")
+    asked = maybe.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), F.col("maybe").alias(list_))
+    texts = docs.join(asked, docs[id_col].eqNullSafe(F.col(key)) & (text_hash == F.col(mark)))
+    right = let(words(F.col(text_col)), lambda ws: F.filter(list_, lambda x: F.slice(ws, x["start"], x["len"]) == x["window"]))
+    found = texts.select(F.col(key).alias("doc_id"), F.col(mark).alias("text_hash"), right.alias("right")).select(
+        "doc_id",
+        "text_hash",
+        F.array_sort(F.array_distinct(F.transform("right", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"))))).alias("hits"),
+        F.array_distinct(F.flatten(F.transform("right", lambda x: x["items"]))).alias("items"),
     )
+    found = found.dropDuplicates(["doc_id", "text_hash"]).toDF("found_doc", "found_text", "hits", "items")
+    joined = tried.join(found, F.col("doc_id").eqNullSafe(F.col("found_doc")) & (F.col("text_hash") == F.col("found_text")), "left")
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    return joined.select("doc_id", "text_hash", "copies", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def hit_words(hits: Column) -> Column:

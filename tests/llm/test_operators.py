@@ -344,7 +344,7 @@ def test_contamination_as_sql(spark):
     from lexloom.llm import registry
 
     folder, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     for name, sql in registry.SQL.items():
         got, want = registry.queries()[name](spark, folder).toPandas(), c.sql(sql).df()

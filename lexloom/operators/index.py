@@ -28,6 +28,8 @@ from lexloom.sources.snapshots import escaped
 
 #: Buckets of terms, shelves of pages, and the bucket of chunks' own rows.
 BUCKETS, SHELVES, NO_TERM = 32, 16, -1
+#: Asked terms that a scan is told by name; more are only joined.
+MOST_NAMED = 200
 
 
 def bucket_of(term: Column) -> Column:
@@ -212,5 +214,8 @@ def search_index(index: Index, questions: DataFrame, k: int = 8, docsets: list[s
         known = index.table("chunks")
         kind = "string" if known is None else dict(known.dtypes)["chunk_id"]
         return spark.createDataFrame([], f"query_id {kinds}, chunk_id {kind}, score double, rank int")
+    few = [r[0] for r in asked.select("term").distinct().limit(MOST_NAMED + 1).collect()]
+    if len(few) <= MOST_NAMED:  # the scan skips row groups by the terms that it is told
+        found = found.filter(F.col("term").isin(few))
     found = found.filter(F.col("docset").isin(docsets)) if docsets else found
     return top_k(score(found, index.term_df(buckets), index.n, index.average, asked, scopes=scopes), k)

@@ -95,7 +95,7 @@ def plain_pages(files: DataFrame, base: str, keep: tuple[str, ...] = ()) -> Data
     safe = F.when(F.array_contains(F.split("path", "/"), ".."), F.raise_error(F.concat(F.lit("path leaves its folder: "), "path"))).otherwise(F.col("path"))
     title = path_title(F.col("path"))
     # what the end of the file closes is anchored at the top
-    open_end = F.coalesce(F.col("content"), F.lit("")).rlike(r"(?U)\S[^\n]*\n?\z")
+    open_end = F.substring_index(F.regexp_replace(F.coalesce(F.col("content"), F.lit("")), r"\n\z", ""), "\n", -1).rlike(r"(?U)\S")
     made = lambda ps: F.transform(ps, lambda p, k: F.struct(title.alias("heading"), F.when(open_end & (k == F.size(ps) - 1), "top").otherwise(slug(title)).alias("anchor"), p.alias("text"), F.array().cast("array<string>").alias("code")))
     url = F.concat(F.lit(base.rstrip("/") + "/"), "path")
     rows = files.select(*keep, safe.alias("path"), title.alias("title"), url.alias("canonical_url"), F.array().cast("array<string>").alias("symbols"), let(paragraphs(F.col("content")), made).alias("sections"))

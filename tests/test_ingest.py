@@ -220,6 +220,7 @@ def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     now = index.load_index(spark, folder)
     bucket = spark.range(1).select(index.bucket_of(F.lit("word7"))).first()[0]
     read, every = now.postings([bucket]).inputFiles(), now.table("postings").inputFiles()
+    assert asking(spark, folder, "word7")[0][0] == 7 and [x[0] for x in asking(spark, folder, " ".join(f"word{k}" for k in range(0, 250)))]
     assert all(f"bucket={bucket}/" in f for f in now.postings([bucket]).filter("term = 'word7'").select(F.input_file_name()).distinct().toPandas().iloc[:, 0]) and len(every) > index.BUCKETS // 2
     assert now.postings([bucket]).count() < now.table("postings").count() / 8 and read
 

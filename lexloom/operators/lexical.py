@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.topk import top_k
-from lexloom.sources.tables import stored
+from lexloom.sources.tables import spread, stored
 
 
 def doc_lengths(chunks: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def exploded(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each token of a chunk, and one with an empty term for the chunk itself; len is the chunk's number of tokens."""
-    words = chunks.select("chunk_id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    words = spread(chunks.select("chunk_id", *keep, "text")).select("chunk_id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("ts"))
     return words.select("chunk_id", *keep, F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
 
 

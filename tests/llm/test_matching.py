@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import hard_negatives, html_extraction, licenses, pii, quality_classifier, secrets, token_alignment
+from lexloom.llm import decontamination, hard_negatives, html_extraction, licenses, pii, quality_classifier, secrets, token_alignment
 from lexloom.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -268,3 +268,16 @@ def test_what_an_article_keeps(inner, kept):
     page = html_extraction.Page(f"<header><h1>site</h1></header><article>{inner}{ARTICLE}</article><footer>foot</footer>")
     text = html_extraction.main_text(page, None)
     assert ("noise" in text) == kept and "One sentence" in text and "site" not in text and "foot" not in text
+
+
+def test_contamination_without_broadcast(spark):
+    """Hashes joined by a shuffle, very long texts among the documents: as with the broadcast."""
+    item = " ".join(f"b{k}" for k in range(30))
+    long = " ".join(f"w{k % 977}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, item), (2, item), (3, long), (4, None), (None, f"x {item[: item.index('b14')]}")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (8, "w1 w2"), (None, item)], "item_id bigint, text string")
+    rows = lambda **o: sorted(map(str, decontamination.contamination(docs, bench, **o).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()))
+    got = rows(max_broadcast_windows=0)
+    assert got == rows() and len(got) == 6
+    pairs = sum((k % 977, (k + 1) % 977) == (1, 2) for k in range(99_999))
+    assert f"doc_id=1, n_words=200030, n_hit={30 + 2 * 2 * pairs}, items=['7', '8'], contaminated=False" in got[0] + got[1] and sum("n_hit=30" in r for r in got) == 2

@@ -9,7 +9,7 @@ partial overlaps; subtrees that can't reach the bound any more or are linked
 already are left out. Large groups are dealt into blocks for this, and sets of a common
 shingle that are still in several components are walked by it again. A second pass
 makes it exact: sets of different components that share a prefix shingle, at
-places where the remaining lengths still reach the bound, and whose parities (512
+places where the remaining lengths still reach the bound, and whose parities (2,048
 bits of a set) don't differ in more bits than linked sets can, are verified. So
 copies of one text never meet pair by pair, and no link between components is lost.
 
@@ -37,7 +37,7 @@ from lexloom.llm.components import components
 #: A shingle is one number: 5 bits that put long words first, and 57 bits of hash. Common ones come after all others.
 HASH_BITS, COMMON = 57, 1 << 62
 #: Numbers of 64 bits in a set's parity; a power of two.
-PARITY = 8
+PARITY = 32
 #: A word is one number: its length, at most 31, and 58 bits of hash.
 WORD_BITS = 58
 

@@ -3,9 +3,17 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.sources.files import delete
+
+#: Folders made within a clearing.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -16,7 +24,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(top or tempfile.mkdtemp(prefix='lexloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(top or tempfile.mkdtemp(prefix='lexloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, errors included, what folders of intermediate tables were made within it.
+
+    Results are lazy, so write them to a place of their own before it ends. Clearings nest: each has its own folders.
+    """
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for path in made:
+            delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -295,3 +295,30 @@ def test_pack_files(spark, tmp_path):
     assert {r["pack_key"]: r["violation"] for r in wrong.collect()} == {k: re.sub(" [23]$", "", k) for k in cases if k not in ("fine", "defaults")}
     got = {r["pack_key"]: r for r in pages.collect()}
     assert set(got) == {"fine", "defaults"} and got["fine"]["symbols"] == ["x.y"] and got["defaults"]["symbols"] == [] and got["fine"]["sections"][0]["code"] == []
+
+
+def test_intermediate_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from lexloom.operators.lexical import bm25
+    from lexloom.sources import tables
+
+    chunks = spark.createDataFrame([(1, "red green"), (2, "green blue")], "chunk_id bigint, text string")
+    asked = spark.createDataFrame([(7, "green")], "query_id bigint, question string")
+    monkeypatch.setattr(tables.tempfile, "mkdtemp", lambda prefix: str(tmp_path / "made"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or str(tmp_path / "made")
+    before = set(files.children(spark, top))
+    made = lambda: sorted(x.split("-")[0] for x in set(files.children(spark, top)) - before)
+    kept = tables.stored(asked, "kept")
+    with tables.clearing(spark):
+        with tables.clearing(spark):
+            tables.stored(asked, "inner")
+            assert made() == ["inner", "kept"]
+        assert made() == ["kept"]
+        bm25(chunks, asked).write.parquet(str(tmp_path / "hits"))
+        assert made() == ["kept", "terms"]
+    assert made() == ["kept"] and kept.count() == 1
+    with pytest.raises(RuntimeError), tables.clearing(spark):
+        tables.stored(asked, "lost")
+        raise RuntimeError
+    assert made() == ["kept"]
+    files.delete(spark, kept.inputFiles()[0].rsplit("/", 1)[0])
+    assert spark.read.parquet(str(tmp_path / "hits")).count() == 2

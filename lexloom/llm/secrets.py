@@ -1,10 +1,12 @@
 """Secrets: character Markov models of random strings and of ordinary identifiers.
 
 Both models are trained on bounded samples: what the base patterns find is
-labelled random, other words and numbers of the texts ordinary. A token whose log-likelihood
+labelled random, other words and numbers of the texts ordinary, and so are names and
+paths made of these words. A token whose log-likelihood
 ratio per character exceeds the threshold is added to the base spans; the
 threshold lets pass at most one of a thousand ordinary sample words that the
-models didn't learn from. So keys without a telling name before them are found.
+models didn't learn from. So keys without a telling name before them are found,
+and UUIDs too, which look as random as keys do.
 
 Defined cases: a null or empty text has no spans; repeated rows get a row
 each; an empty table gives no rows; without random samples nothing is added.
@@ -53,11 +55,28 @@ def markov(samples: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
+def identifiers(words: list[str]) -> list[str]:
+    """Names and paths made of a sample's words in turn, as texts without code have none to learn from."""
+    plain = [w for w in words if w.isalpha()]
+    out = []
+    for k in range(len(plain) // 3):
+        x, y, z = plain[3 * k : 3 * k + 3]
+        n = k // 8
+        ways = (f"{x}_{y}_{z}", f"{x.title()}{y.title()}{z.title()}", f"/{x}/{y}/{z}", f"{x}-{y}-{z}-{n % 100}", f"{x}_{y}_{n % 100}_{1990 + n % 60}", f"{x}{n % 20}/{y}_{z}", f"{x.upper()}_{y.upper()}_{z.upper()}", f"{x}{y.title()}{z.title()}{n % 10}")
+        out.append(ways[k % 8])
+    return out
+
+
+#: The least log-likelihood ratio a character at which a token counts as random: samples can be too plain to tell.
+LEAST = 0.25
+
+
 class Model:
-    def __init__(self, secrets: list[str], words: list[str]):
-        own, held = words[0::2], [w for w in words[1::2] if len(w) >= 8]
-        self.table = markov(secrets) - markov(own) if secrets and own else None
-        self.threshold = max(0.25, float(np.quantile([self.ratio(w) for w in held], 0.999))) if self.table is not None and held else 0.25
+    def __init__(self, secrets: list[str], words: list[str], least: float = LEAST):
+        own, held = words[0::2], words[1::2]
+        self.table = markov(secrets) - markov(own + identifiers(own)) if secrets and own else None
+        held = [w for w in held + identifiers(held) if len(w) >= 8] if self.table is not None else []
+        self.threshold = max(least, float(np.quantile([self.ratio(w) for w in held], 0.999))) if held else least
 
     def ratio(self, token: str) -> float:
         c = codes(token)

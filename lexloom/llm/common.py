@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 from functools import lru_cache
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.files import delete
+from lexloom.sources.tables import new_folder
+
 #: White space between words, as a Java regular expression.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +55,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Parquet takes a fraction of the room of Spark's own checkpoint files.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,11 +63,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that checkpointed wrote, once nothing reads them any more."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if folder.rsplit("/", 1)[1].startswith("table-"):
-                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-                path.getFileSystem(conf).delete(path, True)
+                delete(df.sparkSession, unquote(folder))
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

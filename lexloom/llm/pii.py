@@ -5,9 +5,9 @@ further spans; trees boosted on format and context features score them, and
 the smallest threshold of the wanted precision on held-out candidates selects.
 
 The trees learn from a bounded sample what the base patterns can't tell: its base
-spans are rewritten in place (signs spelled out, blanked or left away, digits
-grouped otherwise) as right examples; candidates beside base spans, and
-dates, times, versions and counts put in their places, are wrong ones. No feature
+spans are rewritten in place (signs spelled out, bracketed, blanked or left away,
+digits grouped otherwise), FORMS times each, as right examples; candidates beside base
+spans, and dates, times, versions, places and counts put in their places, are wrong ones. No feature
 gives away whether a base pattern fits.
 
 Defined cases: a null or empty text has no spans; repeated rows get a row
@@ -34,15 +34,25 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What the generators propose: addresses with spelled-out signs, and runs of digits and marks.
+#: Signs of an address as people write them; bare words count for @ only beside a spelled-out dot.
+OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
+AT = rf" ?(?:@|{OPEN} ?(?:at|@) ?{CLOSE}|_at_) ?"
+WRITTEN_DOT = rf" ?{OPEN} ?(?:dot|\.) ?{CLOSE} ?|_dot_| dot "
+DOT = rf" ?\. ?|{WRITTEN_DOT}"
+#: What the generators propose: addresses and IPs with rewritten signs, and runs of digits and marks.
 #: They reach as far as personal data do: 64 characters before the sign of an address
 #: (the longest local part), 7 to 19 digits (the shortest phone number to the longest card
 #: number) with marks between them, so 40 characters.
-WIDE = (
-    re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
-    re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ().:/-]{5,38}[0-9](?![0-9])"),
+ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(?:{WRITTEN_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?:{AT}[A-Za-z0-9-]+(?:(?:{DOT})[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)", re.I | re.A)
+#: A text without any of these has no such address; the second needs them in lower case.
+AT_SIGN, AT_WORDS = "@", re.compile(r"[(\[{<] ?at ?[)\]}>]|_at_| dot ")
+QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I | re.A)
+QUAD_SIGNS = re.compile(rf"[0-9](?: ?{OPEN} ?(?:dot|\.)|_dot_| dot )", re.I | re.A)
+RUNS = (
+    re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ()._:/-]{5,38}[0-9](?![0-9])"),
     re.compile(r"(?<![0-9])[0-9]{7,19}(?![0-9])"),
 )
+SIGN = re.compile(r"@|[(\[{<_ ]at[)\]}>_ ]", re.I)
 CUES = re.compile(r"mail|tel|phone|call|fax|card|contact|server|host|\bip\b", re.I)
 
 
@@ -81,10 +91,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Proposed spans, which may overlap; texts without any digit or sign skip the search."""
-    found = {(m.start(), m.end()) for p in WIDE[1:] for m in p.finditer(text)}
-    if "@" in text or "(at)" in text or "[at]" in text:
-        found |= {(m.start(), m.end()) for m in WIDE[0].finditer(text)}
+    """Proposed spans, which may overlap; texts without the signs of a form skip its search."""
+    found = {(m.start(), m.end()) for p in RUNS for m in p.finditer(text)}
+    if AT_SIGN in text or AT_WORDS.search(text.lower()):
+        found |= {(m.start(), m.end()) for m in ADDRESS.finditer(text)}
+    if QUAD_SIGNS.search(text):
+        found |= {(m.start(), m.end()) for m in QUAD.finditer(text)}
     return sorted(found)
 
 
@@ -105,7 +117,7 @@ def features(text: str, a: int, b: int) -> list[float]:
         float(sum(c in "/:" for c in marks)),
         float(sum(c == "." for c in marks)),
         float(sum(c in " ()-" for c in marks)),
-        float(any(c.isalpha() for c in s) and bool(re.search(r"@|[(\[]at[)\]]", s))),
+        float(any(c.isalpha() for c in s) and bool(SIGN.search(s))),
         float(len(digits) >= 13 and luhn(digits)),
         float(max((int(g[:6]) for g in groups), default=0)),
         float(bool(CUES.search(before))),
@@ -114,25 +126,32 @@ def features(text: str, a: int, b: int) -> list[float]:
 
 
 N_FEATURES = 16
+#: Right and wrong examples that each base span gives.
+FORMS = 4
 
 
 def rewritten(kind: str, s: str, pick: int) -> str:
     """A base span in a form that its pattern doesn't know."""
     if kind == "email":
         local, _, domain = s.partition("@")
-        return (f"{local} (at) {domain}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local} @ {domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}")[pick % 4]
+        at, dot = ((" (at) ", "."), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "."), ("<at>", "<dot>"), ("_at_", "_dot_"), ("[@]", "[.]"))[pick % 10]
+        return local.replace(".", dot) + at + domain.replace(".", dot)
     digits = "".join(c for c in s if c in "0123456789")
     if kind == "ip":
-        return s.replace(".", (" . ", ". ", ":", " .")[pick % 4])
+        return s.replace(".", (" . ", ". ", ":", " .", "[.]", "(.)", " dot ", "[dot]", "_dot_")[pick % 9])
     if kind == "card":
-        return (".", "/", "  ", " - ")[pick % 4].join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    return (f"00{s[1:]}", f"({digits[:2]}) {digits[2:5]} {digits[5:]}", s[1:], f"{digits[:2]}.{digits[2:5]}.{digits[5:]}")[pick % 4]
+        return (".", "/", "  ", " - ", "_", ":")[pick % 6].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    a, b, c, d = digits[:2], digits[2:5], digits[5:8], digits[8:]
+    return (f"00{s[1:]}", f"({a}) {b} {c}{d}", s[1:], f"{a}.{b}.{c}{d}", f"00{a} {b} {c} {d}", f"+{a}/{b}/{c}{d}", f"{a} {b} {c} {d}", f"({a}{b}) {c}-{d}", f"{a}-{b}-{c}-{d}", f"+{a}_{b}_{c}{d}")[pick % 10].strip(" -")
 
 
 def ordinary(seed: int) -> str:
-    """A number that isn't personal data."""
+    """A number, or words like those of an address, that are no personal data."""
     y, m, d, h, k = 1950 + seed % 100, 1 + seed % 12, 1 + seed % 28, seed % 24, seed % 60
-    return (f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y} {h:02}:{k:02}", f"{h:02}:{k:02}:{d:02}", f"{y}-{y + m}", f"{d}.{h:03}.{k:03}", f"{m}.{d}.{h}.{k}{y}", f"{d}/{m}/{y}", f"0.{seed % 10**8:08}", f"{y}{m:02}{d:02}{h:02}{k:02}", f"{seed % 10**7}")[seed // 7 % 10]
+    dates = (f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y} {h:02}:{k:02}", f"{y}-{y + m}", f"{d}/{m}/{y}", f"{y}{m:02}{d:02}{h:02}{k:02}", f"{d:02}/{m:02}/{y} - {d:02}/{1 + (m + 3) % 12:02}/{y}", f"{y}-{m:02}-{d:02} {h:02}:{k:02}:{d:02}", f"{h:02}:{k:02}:{d:02}")
+    counts = (f"{d}.{h:03}.{k:03}", f"{m}.{d}.{h}.{k}{y}", f"0.{seed % 10**8:08}", f"{seed % 10**7}", f"{seed % 90}.{seed % 10**6:06} {seed % 180}.{seed // 3 % 10**6:06}", f"978-{m % 10}-{k:02}-{seed % 10**6:06}-{h % 10}", f"{seed % 10**6}/{seed // 5 % 10**6}", f"{d} {h} {k} {m} {y}")
+    words = (f"arrived at noon dot {d}", f"{d} at {h} dot {k}")
+    return (*dates, *counts, *words)[seed // 7 % 18]
 
 
 def examples(text: str) -> Iterator[tuple[list[float], float]]:
@@ -144,7 +163,8 @@ def examples(text: str) -> Iterator[tuple[list[float], float]]:
             yield features(text, a, b), 0.0
     for n, (kind, a, b) in enumerate(base):
         seed = int.from_bytes(hashlib.blake2b(f"{n} {text[a:b]}".encode("utf-8", "replace"), digest_size=6).digest(), "little")
-        for good, new in ((True, rewritten(kind, text[a:b], seed)), (False, ordinary(seed // 4))):
+        forms = [(True, rewritten(kind, text[a:b], seed + k)) for k in range(FORMS)] + [(False, ordinary(seed // 4 + 7 * k)) for k in range(FORMS)]
+        for good, new in forms:
             around = text[max(0, a - 60) : a] + new + text[b : b + 60]
             start = min(a, 60)
             end, near = start + len(new), [(x, y) for x, y in candidates(around) if x < start + len(new) and y > start]

@@ -25,6 +25,18 @@ def test_cosine_of_odd_vectors(spark):
         vectors.cosine_topk(held.union(vecs(spark, [(9, [1.0])], "chunk_id")), asked)
 
 
+def test_cosine_is_rounded_once_before_the_cut(spark):
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    kind = "{} bigint, embedding array<double>"
+    held = spark.createDataFrame([(1, at(0.2876354999998)), (2, at(0.2876352)), (3, at(0.2876351)), (4, at(-0.1234564999998))], kind.format("chunk_id"))
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], kind.format("query_id"))
+    got = lambda k: [(r["chunk_id"], r["score"]) for r in vectors.cosine_topk(held, asked, k=k).orderBy("rank").collect()]
+    assert got(4) == [(1, 0.287635), (2, 0.287635), (3, 0.287635), (4, -0.123456)]
+    # 2 is nearer than 1 of these, but they tie at six places
+    near = held.filter("chunk_id in (2, 3)").withColumn("chunk_id", 5 - F.col("chunk_id"))
+    assert [r["chunk_id"] for r in vectors.cosine_topk(near, asked, k=1).collect()] == [2]
+
+
 def test_embedding_jobs(spark):
     def embed(texts):
         if len(texts) > 1 and any("fail" in t for t in texts) or any(len(t.encode()) > 200 and "long" in t for t in texts):

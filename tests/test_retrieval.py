@@ -190,3 +190,43 @@ def test_empty_search(spark):
     assert lexical.bm25(none, asked).count() == 0 and lexical.bm25(none.union(spark.createDataFrame([(1, "word"), (2, None)], "chunk_id bigint, text string")), asked.filter("query_id > 1")).count() == 0
     same = spark.range(2000).select(F.col("id").alias("chunk_id"), F.lit("equal words").alias("text"))
     assert lexical.bm25(same, spark.createDataFrame([(1, "unknown")], "query_id bigint, question string")).count() == 0
+
+
+def test_block_of_postings_by_scope_and_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "ASKED", 2)
+    monkeypatch.setattr(lexical, "TERMS", 3)
+    rng = np.random.default_rng(5)
+    asked = [(q, t, float(rng.random() + 0.1)) for q in range(5) for t in rng.choice(9, 6, replace=False)]
+    posts = [(c, int(t), float(rng.random()), d) for c in ("b", "a", None, "c") for d in ("x", "y", None) for t in rng.choice(9, 5, replace=False)]
+    scope = [None, [], ["x"], ["y", "z"], ["none", None]]
+    rows = pa.table(dict(zip(("chunk_id", "number", "part", "docset"), map(list, zip(*posts)))))
+    for scopes in (None, scope):
+        want = {}
+        for q, t, idf in asked:
+            for c, number, part, d in posts:
+                if number == t and (not scopes or not scopes[q] or d is not None and d in scopes[q]):
+                    want[q, c] = want.get((q, c), 0.0) + idf * part
+        best = {(q, c) for q in range(5) for c in sorted((c for p, c in want if p == q), key=lambda c: (-round(want[q, c], 6), c or ""))[:3]}
+        run = lexical.block_scorer(np.array([q for q, _, _ in asked]), pa.array(range(5)), np.array([t for _, t, _ in asked]), np.array([w for _, _, w in asked]), scopes, 3)
+        got = {(r["query_id"], r["chunk_id"]): r["score"] for r in run(rows).to_pylist()}
+        assert got.keys() == best and all(got[x] == pytest.approx(want[x], abs=1e-6) for x in best)
+
+
+def test_bm25_shuffles_no_pairs_of_questions_and_chunks(spark, monkeypatch):
+    """Every question meets every chunk; the joined form, for more asked terms than tasks are told, gives the same."""
+    monkeypatch.setattr(lexical, "BLOCK", 100)
+    rows = [(k, " ".join(["all", f"w{k % 7}", f"w{k % 11}"] * (k % 3 + 1))) for k in range(600)] + [(5, "all w5"), (6, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    asked = spark.createDataFrame([(q, f"all w{q % 13}") for q in range(200)], "query_id bigint, question string")
+    terms = lexical.asked_terms(asked)
+    post = lexical.postings(chunks).withColumn("docset", F.when(F.col("chunk_id") % 2 == 0, "even").otherwise("odd"))
+    df = lexical.term_df(lexical.postings(chunks))
+    scopes = spark.createDataFrame([(q, [[], ["even"], ["odd", "even"], None, ["none"]][q % 5]) for q in range(150)], "query_id bigint, docsets array<string>")
+    found = lambda x: sorted(map(tuple, x.collect()))
+    for own in (None, scopes):
+        told = lexical.best(post, df, 602, 5.0, terms, 4, scopes=own)
+        assert found(told) == found(lexical.best(post, df, 602, 5.0, terms, 4, scopes=own, most=0))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Aggregate [query_id" not in plan

@@ -16,6 +16,8 @@ from lexloom.sources.tables import stored
 #: What is imported, by extension; the limits of one import.
 EXTENSIONS = ("html", "htm", "md", "markdown", "txt", "rst", "text")
 MOST_FILES, MOST_BYTES = 400, 2 * 1024 * 1024
+#: Pages parsed before they are passed on.
+PARSED = 256
 SECTIONS = "array<struct<heading:string,anchor:string,text:string,code:array<string>>>"
 PAGES = f"path string, title string, canonical_url string, symbols array<string>, sections {SECTIONS}"
 
@@ -75,6 +77,11 @@ def import_limited(files: DataFrame, order: str = "slot") -> DataFrame:
     return fits.withColumn("library", F.when(F.contains("path", F.lit("/")), F.split("path", "/")[0]).otherwise("Documentation"))
 
 
+def slices(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of batches, at most `most` at a time."""
+    return (b.iloc[k : k + most] for b in batches for k in range(0, len(b), most))
+
+
 def parse_pages(files: DataFrame, base: str, standalone: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages of files (path, content); pages without a section go. A path part .. is an error. keep: further columns."""
     safe = F.when(F.array_contains(F.split("path", "/"), ".."), F.raise_error(F.concat(F.lit("path leaves its folder: "), "path"))).otherwise(F.col("path"))
@@ -82,7 +89,8 @@ def parse_pages(files: DataFrame, base: str, standalone: bool = False, keep: tup
     types = dict(files.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        # a batch has thousands of pages: what is made of PARSED of them is passed on before the next
+        for pdf in slices(batches, PARSED):
             made = [parsing.parse(p, f"{base.rstrip('/')}/{p}", c, base, standalone) for p, c in zip(pdf["path"], pdf["content"])]
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), pd.DataFrame(made, columns=["path", "title", "canonical_url", "symbols", "sections"])], axis=1)
 

@@ -322,3 +322,14 @@ def test_intermediate_tables_are_cleared(spark, tmp_path, monkeypatch):
     assert made() == ["kept"]
     files.delete(spark, kept.inputFiles()[0].rsplit("/", 1)[0])
     assert spark.read.parquet(str(tmp_path / "hits")).count() == 2
+
+
+def test_few_pages_of_a_batch_are_parsed_at_once(spark):
+    import pandas as pd
+
+    rows = pd.DataFrame({"a": range(10)})
+    assert [list(x["a"]) for x in ingest.slices(iter([rows, rows[:0], rows[:1]]), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [0]]
+    n = 2 * ingest.PARSED + 5
+    files = spark.createDataFrame([(f"{k}.md", f"# h{k}\n\ntext {k}") for k in range(n)], FILES).coalesce(1)
+    got = {r["path"]: r["sections"][0]["text"] for r in ingest.parse_pages(files, "https://d").collect()}
+    assert len(got) == n and all(got[f"{k}.md"].endswith(f"text {k}") for k in range(n))

@@ -107,16 +107,18 @@ class Trie:
     def __init__(self, sets: list[np.ndarray], percent: int, comps: list[int] | None = None):
         self.percent = percent
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
+        rank = np.empty(len(values), np.int32)
         rank[np.lexsort((values, -counts))] = np.arange(len(values))
-        at = np.cumsum([0, *map(len, sets)])
+        inverse, at = inverse.astype(np.int32), np.cumsum([0, *map(len, sets)])
+        del values
         kept = {}
         for i, s in enumerate(sets):
             own = inverse[at[i] : at[i + 1]]
             own = np.sort(rank[own[counts[own] > 1]])
             if len(own) >= required(len(s), -(-percent * len(s) // 100), percent):
                 kept[i] = own
-        self.order = sorted(kept, key=lambda i: kept[i].astype(">i8").tobytes())
+        del inverse, rank, counts
+        self.order = sorted(kept, key=lambda i: kept[i].astype(">i4").tobytes())
         self.keys = [kept[i] for i in self.order]
         self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
         self.label = np.arange(len(self.order)) if comps is None else np.unique(np.array([comps[i] for i in self.order], np.int64), return_inverse=True)[1]
@@ -233,6 +235,7 @@ def cluster(
     least_common: int = 50,
     max_common: int = 1_000_000,
     block: int = 500,
+    block_shingles: int = 250_000,
     crowded: int = 50,
     rounds: int = 3,
 ) -> DataFrame:
@@ -240,7 +243,7 @@ def cluster(
 
     At most max_common shingles, held by over least_common sets, are ordered
     last by their counts; only they and tables of checked sizes are broadcast.
-    Groups of over `block` sets are dealt into blocks, and shingles of over `crowded`
+    Groups of over `block` sets, or of over block_shingles in all, are dealt into blocks, and shingles of over `crowded`
     sets are walked up to `rounds` times; none of these changes the result.
     """
     spark = docs.sparkSession
@@ -260,12 +263,12 @@ def cluster(
     rows = rows.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
     by_size = Window.partitionBy("token").orderBy("size", "node")
     near = rows.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
-    near = near.filter(fits(F.col("below"), F.col("size")) | fits(F.col("above"), F.col("size"))).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    rows = checkpointed(near.select("token", "node", "size", "pos", "k"))
+    near = near.filter(fits(F.col("below"), F.col("size")) | fits(F.col("above"), F.col("size"))).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).withColumn("mean", F.avg("size").over(Window.partitionBy("token")))
+    rows = checkpointed(near.select("token", "node", "size", "pos", "k", "mean"))
 
     # each set that shares a shingle goes to the one that most sets share, up to a block, as text: shingles don't compress
-    best = F.max(F.struct(F.col("k") <= block, F.when(F.col("k") <= block, F.col("k")).otherwise(-F.col("k")).alias("much"), (-F.col("token")).alias("token"), "k")).alias("key")
-    keys = rows.groupBy("node").agg(best).select("node", (-F.col("key.token")).alias("token"), F.col("key.k").alias("k"), F.col("node").alias("comp")).join(nodes, "node")
+    best = F.max(F.struct(F.col("k") <= block, F.when(F.col("k") <= block, F.col("k")).otherwise(-F.col("k")).alias("much"), (-F.col("token")).alias("token"), "k", "mean")).alias("key")
+    keys = rows.groupBy("node").agg(best).select("node", (-F.col("key.token")).alias("token"), F.col("key.k").alias("k"), F.col("key.mean").alias("mean"), F.col("node").alias("comp")).join(nodes, "node")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [ordered(shingles(np.asarray(h, dtype=np.int64), n), *common.value) for h in pdf["h"]]
@@ -275,7 +278,8 @@ def cluster(
         return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"], dtype="int64")
 
     def walked(keys: DataFrame, turn: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.col("k") / block).cast("long"))
+        # a task holds a block's sets: few long texts are as much as many short ones
+        part = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.greatest(F.col("k") / block, F.col("k") * F.col("mean") / block_shingles)).cast("long"))
         asked = checkpointed(keys.select("id", "mark", "token", "comp", part.alias("part")))
         dealt = having(docs, asked, id_col, text_col).repartition("token", "part").select("token", "part", "comp", word_codes(F.col("t")).alias("h"))
         return dealt.groupBy("token", "part").applyInPandas(lambda p: walk(p), "a bigint, b bigint").distinct()
@@ -284,9 +288,9 @@ def cluster(
     first = components(links)
     for turn in range(1, rounds):
         # crowds that still have several components meet anew, by the shingle that most of them share
-        crowd = rows.filter(F.col("k") > crowded).drop("k", "size").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        apart = crowd.groupBy("token").agg(F.count(F.lit(1)).alias("k"), (F.min("comp") < F.max("comp")).alias("apart")).filter(F.col("apart") & (F.col("k") > crowded))
-        most = crowd.join(apart, "token").groupBy("node").agg(F.max(F.struct("k", "token")).alias("key"), F.min("comp").alias("comp"))
+        crowd = rows.filter(F.col("k") > crowded).drop("k", "mean").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = crowd.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.avg("size").alias("mean"), (F.min("comp") < F.max("comp")).alias("apart")).filter(F.col("apart") & (F.col("k") > crowded))
+        most = crowd.join(apart, "token").groupBy("node").agg(F.max(F.struct("k", "token", "mean")).alias("key"), F.min("comp").alias("comp"))
         again = checkpointed(most.select("node", "key.*", "comp").join(nodes, "node"))
         if again.isEmpty():
             break

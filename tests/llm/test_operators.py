@@ -109,6 +109,14 @@ def test_crowds_walked_again_give_the_same(spark):
         assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == want
 
 
+def test_long_sets_are_dealt_into_blocks_by_their_shingles(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: i % 7], f"x{i}", *words[i % 7 + 1 :]])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **options: sorted((r["doc_id"], r["component_id"]) for r in ngram_join.cluster(docs, 3, 80, **options).collect())
+    assert found(block_shingles=100) == found() and ngram_join.Trie([ngram_join.np.arange(9), ngram_join.np.arange(10)], 80).keys[0].dtype.itemsize == 4
+
+
 def test_trie_joins_what_pairs_would():
     import numpy as np
 

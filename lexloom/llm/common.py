@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -68,6 +70,20 @@ def dropped(*tables: DataFrame) -> None:
                 delete(df.sparkSession, unquote(folder))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """The session's setting has this value within it, for what runs there, and its own one afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, a table of a few numbers a row, to be broadcast if it has at most `most` rows; beyond that, a join shuffles."""
     return F.broadcast(df) if df.count() <= most else df

@@ -36,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed, dropped, fresh, let
+from lexloom.llm.common import checkpointed, dropped, fresh, let, setting
 
 MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -48,9 +48,7 @@ CHAR = 1 << 21
 SHIFT = 200
 #: Ends folded at once, and states carried on from them.
 CHUNK, CARRIED = 256, 64
-#: Units of which one place is held.
-BLOCK = 16
-FIELDS = ("h", "sizes", "blocks", "ids")
+FIELDS = ("h", "sizes", "ids")
 
 
 class Pieces:
@@ -74,6 +72,7 @@ class Pieces:
         texts = {i: p for p, i, _ in priced}
         size = sp.get_piece_size()
         hexed = [f"{i - self.zero:02X}" if self.zero <= i < self.zero + 256 else texts.get(i, "").encode().hex().upper() for i in range(size)]
+        self.spelled = pa.array([bytes.fromhex(x) for x in hexed], pa.binary())
         self.decoding = spark.createDataFrame([([texts.get(i, "") for i in range(size)], hexed)], "texts array<string>, hexed array<string>")
 
 
@@ -201,26 +200,38 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Paths:
-    """Units' hashes in order, with the places of their ids."""
+    """Units' hashes in order, with the places of their ids (starts) and where each slot of hashes begins (slots), both made from what the files hold."""
 
-    def __init__(self, h: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, ids: np.ndarray):
-        self.h, self.sizes, self.blocks, self.ids = h, sizes, blocks, ids
-
-    def starts(self, at: np.ndarray) -> np.ndarray:
-        """Where the ids of the units at these places begin."""
-        first, lanes = at // BLOCK * BLOCK, np.arange(BLOCK)
-        held = self.sizes[first[:, None] + lanes]
-        held[lanes >= (at - first)[:, None]] = 0
-        return self.blocks[at // BLOCK].astype(np.int64) + held.sum(axis=1)
+    def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        self.h, self.ids = h, ids
+        self.starts = np.concatenate([np.zeros(1, np.uint32), np.cumsum(sizes, dtype=np.uint32)])
+        bits = slot_bits(len(h))
+        self.slots = np.searchsorted(h, np.arange(-(1 << (bits - 1)), 1 << (bits - 1)) << (64 - bits)).astype(np.uint32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, whether there)."""
         if not len(self.h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        at = self.slots[slot_of(h, len(self.h))].astype(np.int64)
+        ahead = np.arange(len(h))
+        while len(ahead):  # a slot has a few hashes
+            ahead = ahead[at[ahead] < len(self.h)]
+            ahead = ahead[self.h[at[ahead]] < h[ahead]]
+            at[ahead] += 1
+        at = np.minimum(at, len(self.h) - 1)
         return at, self.h[at] == h
 
 
+def slot_bits(units: int) -> int:
+    return max(units.bit_length() - 2, 1)
+
+
+def slot_of(h: np.ndarray, units: int) -> np.ndarray:
+    """The leading bits of hashes, two to four units a slot."""
+    bits = slot_bits(units)
+    return (h >> (64 - bits)) + (1 << (bits - 1))
+
+
 def shipped(coded: DataFrame) -> str:
     """The name under which Spark hands the paths of these units to every executor, as files."""
     # one partition after another, some 16 bytes a unit
@@ -233,9 +244,9 @@ def shipped(coded: DataFrame) -> str:
     order = np.argsort(h).astype(np.uint32)
     ordered = h[order]
     del h
-    counts = np.append(sizes[order], np.zeros(BLOCK, sizes.dtype))
+    counts = sizes[order]
     before = (np.cumsum(sizes, dtype=np.uint32) - sizes)[order]
-    blocks = (np.cumsum(counts, dtype=np.uint32) - counts)[::BLOCK].astype(np.uint32)
+    del sizes
     placed, at = np.empty_like(ids), 0
     for k in range(0, len(order), 500_000):
         n = counts[k : min(k + 500_000, len(order))].astype(np.int64)
@@ -243,7 +254,7 @@ def shipped(coded: DataFrame) -> str:
         placed[at : at + int(ends[-1])] = ids[np.repeat(before[k : k + len(n)].astype(np.int64) - (ends - n), n) + np.arange(int(ends[-1]))]
         at += int(ends[-1])
     sc, name = coded.sparkSession.sparkContext, f"paths-{uuid.uuid4().hex}"
-    for field, a in zip(FIELDS, (ordered, counts, blocks, placed), strict=True):
+    for field, a in zip(FIELDS, (ordered, counts, placed), strict=True):
         file = os.path.join(SparkFiles.getRootDirectory(), f"{name}-{field}.npy")  # the application's own folder
         np.save(file, a)
         sc.addFile(file)
@@ -261,25 +272,25 @@ def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
 
 
-def in_parts(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int, most: int = 100_000) -> pa.Array:
+def in_parts(known: Paths, hashes: pa.Array, own: pa.Array | None, spelled: pa.Array, most: int = 100_000) -> pa.Array:
     """joined_ids of some lists at a time, of at most `most` units together as far as one list has no more."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy())
     out, at = [], 0
     while at < len(ends):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        out.append(joined_ids(known, hashes.slice(at, to - at), None if own is None else own.slice(at, to - at), zero))
+        out.append(joined_ids(known, hashes.slice(at, to - at), None if own is None else own.slice(at, to - at), spelled))
         at = to
-    return pa.concat_arrays(out) if out else joined_ids(known, hashes, own, zero)
+    return pa.concat_arrays(out) if out else joined_ids(known, hashes, own, spelled)
 
 
-def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int) -> pa.Array:
-    """ids of each list of units, and raw, whether byte pieces are among them; own has the units (h, ids) that known lacks."""
+def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, spelled: pa.Array) -> pa.Array:
+    """ids of each list of units, and the text that they give by what each id spells; own has the units (h, ids) that known lacks."""
     h, sizes = flat_lists(hashes)
     at, there = known.find(h)
-    n = np.zeros(len(h), np.int64)
-    n[there] = known.sizes[at[there]]
-    start, more = np.zeros(len(h), np.int64), np.empty(0, np.int32)
-    start[there] = known.starts(at[there])
+    n, start, more = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.empty(0, np.int32)
+    if len(known.h):
+        start = known.starts[at].astype(np.int64)
+        n = known.starts[at + 1] - start
     if not there.all():
         extra = own.flatten()
         more, counts = flat_lists(extra.field("ids"))
@@ -288,14 +299,28 @@ def joined_ids(known: Paths, hashes: pa.Array, own: pa.Array | None, zero: int)
         place = order[np.searchsorted(keys[order], h[~there])]
         n[~there], start[~there] = counts[place], first[place]
     ends = np.cumsum(n)
-    spot, held = np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), np.repeat(there, n)
-    got = np.empty(len(spot), np.int32)
-    got[held], got[~held] = known.ids[spot[held]], more[spot[~held]]
+    spot = np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    if there.all():
+        got = np.asarray(known.ids[spot], np.int32)
+    else:
+        held, got = np.repeat(there, n), np.empty(len(spot), np.int32)
+        got[held], got[~held] = known.ids[spot[held]], more[spot[~held]]
     rows = np.concatenate([[0], np.cumsum(sizes)])
     offsets = np.concatenate([[0], ends])[rows]
-    raw = np.diff(np.concatenate([[0], np.cumsum((got >= zero) & (got < zero + 256))])[offsets]) > 0
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got), mask=hashes.is_null() if hashes.null_count else None)
-    return pa.StructArray.from_arrays([lists, pa.array(raw)], names=["ids", "raw"])
+    texts = spelled_out(got, offsets, spelled)
+    return pa.StructArray.from_arrays([lists, pc.if_else(hashes.is_valid(), texts, None) if hashes.null_count else texts], names=["ids", "decoded"])
+
+
+def spelled_out(ids: np.ndarray, offsets: np.ndarray, spelled: pa.Array) -> pa.Array:
+    """The text of each run of ids, less the blank that it begins with."""
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy()[ids], dtype=np.int64)])[offsets]
+    some = np.diff(bounds) > 0
+    data = np.frombuffer(spelled.take(pa.array(ids)).buffers()[2] or b"", np.uint8)[: bounds[-1]]
+    bounds[1:] -= np.cumsum(some)
+    firsts = np.flatnonzero(some)
+    data = np.delete(data, bounds[firsts] + np.arange(len(firsts)))
+    return pa.StringArray.from_buffers(len(some), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, costs: str = "zipf", head_words: int = 6_000_000, max_batch: int = 1_000) -> DataFrame:
@@ -310,7 +335,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     counts = docs.filter(F.col(text_col).isNotNull()).select(F.explode(units(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     counts = checkpointed(counts.select(F.xxhash64("w").alias("h"), "w", "k"))
     folded, zero = lattices(counts, pieces).select("h", cheapest(F.col("edges")).alias("best")), pieces.zero
-    coded = checkpointed(folded.mapInArrow(lambda batches: followed(batches, zero), "h bigint, ids array<int>"))
+    # edges are rows of three numbers: with a limit of bytes, Spark adds up a batch's bytes anew for each of them
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", 2**31 - 1):
+        coded = checkpointed(folded.mapInArrow(lambda batches: followed(batches, zero), "h bigint, ids array<int>"))
 
     # counts by frequency: at most 10,000 numbers reach the driver
     histogram = counts.groupBy(F.least("k", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()
@@ -326,15 +353,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(rows, min(max_batch, int(spark.conf.get(rows)) if int(spark.conf.get(rows)) > 0 else max_batch))
-    key, mark, hashes, own, k, m, texts, hexed, got = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_names", "piece_hexed", "piece_got")
+    key, mark, hashes, own, k, m, got = fresh(docs, "piece_doc", "piece_text", "piece_units", "piece_own", "piece_k", "piece_m", "piece_got")
     made = F.transform(units(F.col(text_col)), lambda u: F.xxhash64(u))
-    out = docs.withColumn(hashes, made)
+    out, spelled = docs.withColumn(hashes, made), pieces.spelled
     if all_known:
         dropped(coded)  # the files have it all
 
-        @F.arrow_udf("ids array<int>, raw boolean")
+        @F.arrow_udf("ids array<int>, decoded string")
         def looked_up(lists: pa.Array) -> pa.Array:
-            return in_parts(opened(shared), lists, None, zero)
+            return in_parts(opened(shared), lists, None, spelled)
 
         ids = looked_up(F.col(hashes))
     else:
@@ -354,12 +381,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         tails = tails.select(F.col("i").alias(k), F.col("m").alias(m), F.col("own").alias(own))
         out = out.join(tails, F.col(key).eqNullSafe(F.col(k)) & F.col(mark).eqNullSafe(F.col(m)), "left")
 
-        @F.arrow_udf("ids array<int>, raw boolean")
+        @F.arrow_udf("ids array<int>, decoded string")
         def looked_up(lists: pa.Array, rare: pa.Array) -> pa.Array:
-            return in_parts(opened(shared), lists, rare, zero)
+            return in_parts(opened(shared), lists, rare, spelled)
 
         ids = looked_up(F.col(hashes), F.col(own))
     out = out.withColumn(got, ids).withColumn("piece_ids", F.col(got)["ids"]).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"))
-    out = out.crossJoin(F.broadcast(pieces.decoding.toDF(texts, hexed)))  # one row
-    out = out.withColumn("decoded", decoded(F.col("piece_ids"), F.col(texts), F.col(hexed), F.col(got)["raw"]))
-    return out.drop(hashes, own, key, mark, k, m, texts, hexed, got)
+    out = out.withColumn("decoded", F.col(got)["decoded"])
+    return out.drop(hashes, own, key, mark, k, m, got)

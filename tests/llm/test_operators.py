@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lexloom.llm import decontamination, html_extraction, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece, suffix_dedup
@@ -80,6 +81,23 @@ def test_pieces_round_trip(docs):
         assert r["decoded"] == r["text"]
 
 
+def test_units_are_found_by_slots():
+    rng = np.random.default_rng(3)
+    for h in (np.empty(0, np.int64), np.array([-5]), rng.integers(-(2**63), 2**63 - 1, 5_000), np.arange(-40, 40), np.append(rng.integers(-(2**63), -(2**62), 90), 2**63 - 1)):
+        h = np.unique(h)
+        known = sentencepiece.Paths(h, np.ones(len(h), np.uint8), np.arange(len(h)))
+        asked = np.concatenate([h, h[:-1] + 1, [-(2**63), 0, 2**63 - 1]])
+        at, there = known.find(asked)
+        assert there.tolist() == np.isin(asked, h).tolist() and (h[at[there]] == asked[there]).all()
+
+
+def test_pieces_are_not_copied_to_rows(docs):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = docs.sparkSession.conf.get(limit)
+    plan = sentencepiece.encode(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and docs.sparkSession.conf.get(limit) == before
+
+
 def test_join_against_brute_force(docs):
     got = by_id(ngram_join.cluster(docs))
     sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for i, t in texts() if (w := (t or "").lower().split())}

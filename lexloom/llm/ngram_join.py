@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import ascii_lower, checkpointed, fresh, small, space_words
+from lexloom.llm.common import ascii_lower, checkpointed, fresh, setting, small, space_words
 from lexloom.llm.components import components
 
 
@@ -226,12 +226,20 @@ def common_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, least_c
     return token[order], rank[order]
 
 
-def cluster(
+def cluster(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", max_batch: int = 1_000, **options) -> DataFrame:
+    """clustered, whose Python tasks get at most max_batch texts at a time: a batch lies in memory several times, in the JVM and in Python."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(docs.sparkSession.conf.get(rows))
+    with setting(docs.sparkSession, rows, min(max_batch, own) if own > 0 else max_batch):
+        return clustered(docs, n, percent, id_col, text_col, **options)  # all its Python runs here, the rest is lazy
+
+
+def clustered(
     docs: DataFrame,
-    n: int = 3,
-    percent: int = 90,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    n: int,
+    percent: int,
+    id_col: str,
+    text_col: str,
     least_common: int = 50,
     max_common: int = 1_000_000,
     block: int = 500,

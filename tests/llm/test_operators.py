@@ -98,6 +98,16 @@ def test_pieces_are_not_copied_to_rows(docs):
     assert "NestedLoopJoin" not in plan and docs.sparkSession.conf.get(limit) == before
 
 
+def test_join_takes_texts_in_small_batches(docs, monkeypatch):
+    limit, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    spark, shingled = docs.sparkSession, ngram_join.shingled
+    spark.conf.set(limit, "10000")  # Spark's own; op3 leaves its own one
+    monkeypatch.setattr(ngram_join, "shingled", lambda *a: seen.append(int(spark.conf.get(limit))) or shingled(*a))
+    plain = sorted(map(str, ngram_join.cluster(docs, max_batch=2).collect()))
+    assert seen and set(seen) == {2} and spark.conf.get(limit) == "10000"
+    assert sorted(map(str, ngram_join.cluster(docs).collect())) == plain and set(seen) == {2, 1_000}
+
+
 def test_join_against_brute_force(docs):
     got = by_id(ngram_join.cluster(docs))
     sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for i, t in texts() if (w := (t or "").lower().split())}

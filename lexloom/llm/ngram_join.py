@@ -195,29 +195,40 @@ def having(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> Dat
     return texts.join(small(asked), F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark"))).drop("doc", "own")
 
 
-def common_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, least_common: int, max_common: int, held: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ranks by count) of those that over least_common sets hold, at most max_common, as far as single tasks see them repeated.
+def repeated(sets: Iterator[np.ndarray], held: int) -> Iterator[pd.DataFrame]:
+    """Numbers (token) that several sets hold, and how many (k), for about `held` numbers at a time.
 
-    They only order the sets: any choice gives the same links.
+    They lie in one array that is sorted where it is; nothing else grows with the numbers that are not repeated, but for a byte each.
     """
+    numbers, size = np.empty(held, np.int64), 0
+
+    def counted() -> pd.DataFrame:
+        got = numbers[:size]
+        got.sort()
+        same = np.zeros(size + 1, bool)  # as the number before
+        np.equal(got[1:], got[:-1], out=same[1:-1])
+        first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        return pd.DataFrame({"token": got[first], "k": last - first + 1})
+
+    for s in sets:
+        if size and size + len(s) > len(numbers):
+            yield counted()
+            size = 0
+        if len(s) > len(numbers):
+            numbers = np.empty(len(s), np.int64)
+        numbers[size : size + len(s)] = s
+        size += len(s)
+    if size:
+        yield counted()
 
-    def repeated(stream) -> Iterator[pd.DataFrame]:
-        sets, size = [], 0
 
-        def counted() -> pd.DataFrame:
-            h, k = np.unique(np.concatenate(sets), return_counts=True)
-            return pd.DataFrame({"token": h[k > 1], "k": k[k > 1]})
+def common_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, least_common: int, max_common: int, held: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks by count) of those that over least_common sets hold, at most max_common, as far as single tasks see them repeated.
 
-        for _, _, more in stream:
-            sets += more
-            size += sum(map(len, more))
-            if size >= held:
-                yield counted()
-                sets, size = [], 0
-        if sets:
-            yield counted()
+    They only order the sets: any choice gives the same links.
+    """
 
-    counts = shingled(docs, n, id_col, text_col, repeated, "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).filter(F.col("k") > least_common)
+    counts = shingled(docs, n, id_col, text_col, lambda stream: repeated((s for _, _, sets in stream for s in sets), held), "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).filter(F.col("k") > least_common)
     often = counts.orderBy(F.desc("k"), "token").limit(max_common).toPandas()
     token, k = often["token"].to_numpy(np.int64), often["k"].to_numpy(np.int64)
     rank = np.empty(len(token), np.int64)

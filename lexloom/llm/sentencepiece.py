@@ -27,7 +27,6 @@ import math
 import os
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +47,8 @@ CHAR = 1 << 21
 SHIFT = 200
 #: Ends folded at once, and states carried on from them.
 CHUNK, CARRIED = 256, 64
+#: Units and slots of hashes placed at once.
+AT_ONCE = 1 << 16
 FIELDS = ("h", "sizes", "ids")
 
 
@@ -204,9 +205,15 @@ class Paths:
 
     def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         self.h, self.ids = h, ids
-        self.starts = np.concatenate([np.zeros(1, np.uint32), np.cumsum(sizes, dtype=np.uint32)])
+        self.starts = np.zeros(len(sizes) + 1, np.uint32)
         bits = slot_bits(len(h))
-        self.slots = np.searchsorted(h, np.arange(-(1 << (bits - 1)), 1 << (bits - 1)) << (64 - bits)).astype(np.uint32)
+        self.slots = np.empty(1 << bits, np.uint32)
+        # a part at a time: every worker has arrays of its own
+        for at in range(0, len(sizes), AT_ONCE):
+            self.starts[at + 1 : at + AT_ONCE + 1] = self.starts[at] + np.cumsum(sizes[at : at + AT_ONCE], dtype=np.uint32)
+        for at in range(0, len(self.slots), AT_ONCE):
+            own = np.arange(at, min(at + AT_ONCE, len(self.slots))) - (1 << (bits - 1))
+            self.slots[at : at + AT_ONCE] = np.searchsorted(h, own << (64 - bits))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, whether there)."""
@@ -261,10 +268,16 @@ def shipped(coded: DataFrame) -> str:
     return name
 
 
-@lru_cache(maxsize=1)
+#: The paths that this worker asked last.
+_opened: dict[str, Paths] = {}
+
+
 def opened(name: str) -> Paths:
-    """The paths in this executor's files, mapped: its Python workers share one copy."""
-    return Paths(*(np.asarray(np.load(SparkFiles.get(f"{name}-{field}.npy"), mmap_mode="r")) for field in FIELDS))
+    """The paths in this executor's files, mapped: its Python workers share one copy. Earlier ones go first."""
+    if name not in _opened:
+        _opened.clear()
+        _opened[name] = Paths(*(np.asarray(np.load(SparkFiles.get(f"{name}-{field}.npy"), mmap_mode="r")) for field in FIELDS))
+    return _opened[name]
 
 
 def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -454,3 +454,38 @@ def test_rules_as_sql(spark, docs):
     con.register("documents", rows.toPandas())
     wanted = con.execute(f"select {', '.join(columns)} from (select case when isnan(doc_id) then null else doc_id::bigint end as doc_id, * exclude doc_id from ({SQL['op4_quality_rules']}))").fetchall()
     assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
+def peak_bytes(work) -> int:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_shingles_are_counted_in_place():
+    """The task that counts shingles takes little more than the shingles themselves."""
+    from collections import Counter
+
+    made = lambda k: np.unique(np.random.default_rng(k).integers(0, 1 << 40, 5_000))
+    sets = [np.array([1, 5, 9]), np.array([5, 9, 11]), np.array([2, 9]), np.empty(0, np.int64), np.array([5, 20])]
+    plain = Counter(x for s in sets for x in s.tolist())
+    (got,) = ngram_join.repeated(iter(sets), 100)
+    assert dict(zip(got["token"], got["k"])) == {x: k for x, k in plain.items() if k > 1}
+    assert sum(len(x) for x in ngram_join.repeated(iter(sets), 2)) == 0  # each set by itself
+    assert list(ngram_join.repeated(iter([]), 10)) == []
+    assert peak_bytes(lambda: list(ngram_join.repeated((made(k) for k in range(200)), 1_000_000))) < 1.5 * 8_000_000
+
+
+def test_paths_take_little_more_than_they_hold():
+    h = np.sort(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 500_000))
+    known, sizes, ids = [], np.ones(len(h), np.uint8), np.arange(len(h), dtype=np.uint16)
+    peak = peak_bytes(lambda: known.append(sentencepiece.Paths(h, sizes, ids)))
+    bits = sentencepiece.slot_bits(len(h))
+    assert known[0].starts.tolist() == list(range(len(h) + 1))
+    assert np.array_equal(known[0].slots, np.searchsorted(h, np.arange(-(1 << (bits - 1)), 1 << (bits - 1)) << (64 - bits)))
+    assert peak < known[0].starts.nbytes + known[0].slots.nbytes + 1_500_000

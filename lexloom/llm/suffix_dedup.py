@@ -37,6 +37,8 @@ MANY = 10_000
 #: Bytes hashed at once, and rows broadcast at most where they hold lists.
 BUFFER, LISTS = 1 << 19, 300_000
 LOWEST = -(2**63)
+#: Strings judged at once, of contexts that share a gram.
+CELLS = 100_000
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -204,14 +206,23 @@ def covered(contexts: list[tuple[bytes, bytes]], length: int, few: int = 8) -> l
                 if a + b >= length:
                     out[i].append((-a, b))
         return out
+    # all offsets of a block at once; a context's strings overlap, so their ranges are one
     nl, nr = np.array([len(x) for x, _ in contexts]), np.array([len(r) for _, r in contexts])
-    for o in range(WINDOW):
-        need = max(0, length - o - gram)
-        who = np.flatnonzero((nl >= o) & (nr >= need))
-        key = np.cumsum(r_common < need)[right[who]] * (m + 1) + np.cumsum(l_common < o)[left[who]] if need or o else np.zeros(len(who), np.int64)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        for i in who[first[inverse] != np.arange(len(who))]:
-            out[i].append((-o, length - o))
+    most, least = np.full(m, -1), np.full(m, WINDOW)
+    step = max(1, CELLS // m)
+    for at in range(0, WINDOW, step):
+        o = np.arange(at, min(at + step, WINDOW))[:, None]
+        need = np.maximum(0, length - o - gram)
+        key = (o * (m + 1) + (r_common < need).cumsum(1)[:, right]) * (m + 1) + (l_common < o).cumsum(1)[:, left]
+        fit = np.flatnonzero(((nl >= o) & (nr >= need)).ravel())
+        key = key.ravel()[fit]
+        order = np.argsort(key, kind="stable")  # equal strings in the order of their contexts
+        key = key[order]
+        later = fit[order[1:][key[1:] == key[:-1]]]
+        np.maximum.at(most, later % m, later // m + at)
+        np.minimum.at(least, later % m, later // m + at)
+    for i in np.flatnonzero(most >= 0).tolist():
+        out[i].append((-int(most[i]), length - int(least[i])))
     return out
 
 

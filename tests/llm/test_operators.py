@@ -489,3 +489,23 @@ def test_paths_take_little_more_than_they_hold():
     assert known[0].starts.tolist() == list(range(len(h) + 1))
     assert np.array_equal(known[0].slots, np.searchsorted(h, np.arange(-(1 << (bits - 1)), 1 << (bits - 1)) << (64 - bits)))
     assert peak < known[0].starts.nbytes + known[0].slots.nbytes + 1_500_000
+
+
+@pytest.mark.parametrize("cells", [70, 1000, 100_000])
+def test_contexts_give_one_range_each(cells, monkeypatch):
+    """Strings around one gram overlap, so what they cover is one range, judged for many offsets at once."""
+    monkeypatch.setattr(suffix_dedup, "CELLS", cells)
+    r = random.Random(6)
+    pool = [bytes(r.choice(b"xy") for _ in range(163)) for _ in range(4)]
+    contexts = []
+    for _ in range(60):
+        x = bytearray(r.choice(pool))
+        x[r.choice([*range(63), *range(100, 163)])] = 122
+        contexts.append((bytes(x[r.randrange(20) : 63]), bytes(x[100 : 163 - r.randrange(20)])))
+    gram, seen = pool[0][63:100], set()
+    for (left, right), got in zip(contexts, suffix_dedup.covered(contexts, 100, few=1), strict=True):
+        whole = left + gram + right
+        strings = [(o, whole[len(left) - o :][:100]) for o in range(min(len(left), 63) + 1) if len(whole) - len(left) + o >= 100]
+        again = [o for o, s in strings if (o, s) in seen]
+        seen |= set(strings)
+        assert got == ([(-max(again), 100 - min(again))] if again else [])
